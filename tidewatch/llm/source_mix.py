@@ -9,11 +9,12 @@ undecided documents at a time move along the one direction that changes neither
 probabilities (documents) nor the sum of probability times size (words), until one of them reaches 0
 or 1. That leaves two or so undecided documents in a block; the blocks' remainders meet in
 further rounds, a factor of `FAN_IN` fewer blocks each, and the last few documents of a source land on
-the 0/1 choice that is nearest to the words still owed. Large documents move first, so what is left
-for the landing is small.
+the 0/1 choice that is nearest to the words still owed; where the last round still sees decided
+documents, one that is taken and one that isn't change places while that brings the words nearer.
+A move goes either way with the chances that keep every document's inclusion probability.
 
 Blocks hold about BLOCK documents of one source, so a source that holds a third of all rows is many
-blocks. No random state is kept: directions' signs come from hashes of ids, and reruns agree.
+blocks. No random state is kept: draws come from hashes of ids, and reruns agree.
 
 Results for odd input: a null text has size 0; equal rows are separate documents (the rows that
 share id and size are told apart by their order, which no result depends on); a table without words
@@ -73,7 +74,13 @@ def _direction(sizes: np.ndarray) -> np.ndarray:
     return way if way.any() else np.array([1.0, -1.0, 0.0])
 
 
-def flight(sizes: np.ndarray, chances: np.ndarray, signs: np.ndarray) -> np.ndarray:
+def _room(p: np.ndarray, way: np.ndarray) -> float:
+    """How far p can go that way within 0 and 1."""
+    moves = way != 0
+    return float(np.min(np.where(way > 0, 1 - p, p)[moves] / np.abs(way[moves])))
+
+
+def flight(sizes: np.ndarray, chances: np.ndarray, draws: np.ndarray) -> np.ndarray:
     """Chances moved to 0 or 1, but for two or so; their sum and their sum with the sizes stay."""
     chances = chances.copy()
     held: list[int] = []
@@ -81,14 +88,10 @@ def flight(sizes: np.ndarray, chances: np.ndarray, signs: np.ndarray) -> np.ndar
         held.append(int(at))
         while len(held) == 3:
             p, way = chances[held], _direction(sizes[held])
-            if signs[held[-1]]:
-                way = -way
-            moves = way != 0
-            with np.errstate(divide="ignore"):
-                most = np.where(way > 0, (1 - p) / np.where(moves, way, 1), np.where(moves, -p / np.where(moves, way, 1), np.inf))
-            step = most.min()
-            p = p + step * way
-            p = np.where(most <= step * (1 + 1e-12), (way > 0).astype(float), p)
+            up, down = _room(p, way), _room(p, -way)
+            if draws[held[-1]] * (up + down) >= down:  # up with chance down / (up + down)
+                way, up = -way, down
+            p = p + up * way
             p = np.where((p < 1e-9) | (p > 1 - 1e-9), np.round(p), p)
             chances[held] = p
             held = [i for i in held if 0 < chances[i] < 1]
@@ -107,12 +110,32 @@ def landing(sizes: np.ndarray, chances: np.ndarray) -> np.ndarray:
     return chances
 
 
+def swapped(sizes: np.ndarray, chances: np.ndarray, before: np.ndarray, most: int = 8) -> np.ndarray:
+    """At most `most` swaps of a taken with an untaken document, each the one that brings the words nearest to their sum before."""
+    chances = chances.copy()
+    free = np.flatnonzero((before > 0) & (before < 1))
+    for _ in range(most):
+        over = float(chances[free] @ sizes[free] - before[free] @ sizes[free])
+        taken, untaken = free[chances[free] == 1], free[chances[free] == 0]
+        if not len(taken) or not len(untaken):
+            break
+        untaken = untaken[np.argsort(sizes[untaken], kind="stable")]
+        near = np.searchsorted(sizes[untaken], sizes[taken] - over)
+        pairs = np.stack([np.clip(near - 1, 0, len(untaken) - 1), np.clip(near, 0, len(untaken) - 1)])
+        left = np.abs(over - sizes[taken] + sizes[untaken[pairs]])
+        side, at = np.unravel_index(np.argmin(left), left.shape)
+        if left[side, at] >= abs(over):
+            break
+        chances[taken[at]], chances[untaken[pairs[side, at]]] = 0.0, 1.0
+    return chances
+
+
 def _flown(last: bool):
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "doc_id", "row"], ascending=[False, True, True], kind="stable")
-        sizes, chances = rows["size"].to_numpy(float), rows["chance"].to_numpy(float)
-        chances = flight(sizes, chances, rows["sign"].to_numpy(bool))
-        rows["chance"] = landing(sizes, chances) if last else chances
+        sizes, before = rows["size"].to_numpy(float), rows["chance"].to_numpy(float)
+        chances = flight(sizes, before, rows["draw"].to_numpy(float))
+        rows["chance"] = swapped(sizes, landing(sizes, chances), before) if last else chances
         return rows
 
     return block
@@ -134,8 +157,8 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     lines = lines.join(F.broadcast(targets) if targets.count() <= 10_000 else targets, "source").select(
         "source", "doc_id", "row", "size", "source_size", "target", F.floor(rate).cast("long").alias("base"), (rate - F.floor(rate)).alias("chance"), F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK)).cast("long").alias("blocks"),
     )
-    dealt = lines.withColumn("sign", F.xxhash64(F.col("doc_id"), F.col("row"), F.lit(11)) > 0).withColumn("block", F.pmod(F.xxhash64("doc_id", "row", F.lit(7)), F.col("blocks")))
-    schema = f"source {SOURCE}, doc_id long, row long, size long, source_size long, target double, base long, chance double, blocks long, sign boolean, block long"
+    dealt = lines.withColumn("draw", F.pmod(F.xxhash64(F.col("doc_id"), F.col("row"), F.lit(11)), F.lit(1 << 40)) / float(1 << 40)).withColumn("block", F.pmod(F.xxhash64("doc_id", "row", F.lit(7)), F.col("blocks")))
+    schema = f"source {SOURCE}, doc_id long, row long, size long, source_size long, target double, base long, chance double, blocks long, draw double, block long"
     most_blocks = (dealt.agg(F.max("blocks")).first()[0] or 1) if not targets.isEmpty() else 1
     done: list[DataFrame] = []
     level = 0
