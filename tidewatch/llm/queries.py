@@ -7,13 +7,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, source_mix
+from tidewatch.llm import byte_bpe, exact_dedup, language_id, source_mix, token_rollup
+from tidewatch.llm.shared import shared_folder, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and characters of all documents by source, language and version, after five batches.
+
+    All documents are inserted in both versions; those that `labels` calls toxic are deleted; those of quality 0
+    are revised to the words that have a letter; the first batch is delivered a second time, which changes
+    nothing; at last the third version of the tokenizer (words of letters only) counts all documents.
+    """
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    text = F.coalesce("text", F.lit(""))
+    counts = docs.select("doc_id", "source", "lang", source_mix.word_count(text).alias("words"), F.length(text).alias("chars"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]*[A-Za-z][^\x20\x09-\x0D]*")).alias("lettered"))
+    counts = written(counts, "counts")
+    labelled = counts.join(labels, "doc_id")
+    rollup = token_rollup.Rollup(spark, shared_folder(spark, "rollup"))
+    change = token_rollup.change
+    loaded = change(counts, "insert", "words-1", F.col("words")).unionByName(change(counts, "insert", "chars-1", F.col("chars")))
+    toxic = labelled.where("toxic = 1")
+    rollup.commit("load", loaded)
+    rollup.commit("toxic", change(toxic, "delete", "words-1", F.lit(0)).unionByName(change(toxic, "delete", "chars-1", F.lit(0))))
+    rollup.commit("revised", change(labelled.where("toxic = 0 and quality = 0"), "revise", "words-1", F.col("lettered")))
+    rollup.commit("load", loaded)
+    rollup.commit("words-2", change(counts, "insert", "words-2", F.col("lettered")))
+    return rollup.totals()
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -23,6 +59,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = {
+    "op7_token_rollup": r"""
+        with l as (select doc_id, max(toxic) as toxic, min(quality) as quality from labels group by doc_id),
+        d as (select d.source, d.lang, l.toxic, l.quality,
+                     cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as words,
+                     cast(length(coalesce(text, '')) as bigint) as chars,
+                     cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]*[A-Za-z][^\x20\x09-\x0D]*')) as bigint) as lettered
+              from documents d left join l using (doc_id)),
+        c as (select source, lang, 'words-1' as tokenizer, case when toxic = 0 and quality = 0 then lettered else words end as n from d where coalesce(toxic, 0) <> 1
+              union all select source, lang, 'chars-1', chars from d where coalesce(toxic, 0) <> 1
+              union all select source, lang, 'words-2', lettered from d)
+        select source, lang, tokenizer, count(*) as docs, cast(sum(n) as bigint) as tokens from c group by all""",
     "op10_exact_dedup": r"""
         with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
         select doc_id, min(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -58,7 +59,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = PIECE) -> I
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(text)).fill_null(0)).astype(np.int64))
+        ends = np.cumsum(np.asarray(pc.binary_length(batch.column(text)).fill_null(0)).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
