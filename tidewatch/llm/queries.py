@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, exact_dedup, language_id, source_mix, token_rollup
+from tidewatch.llm import byte_bpe, exact_dedup, hamming_topk, language_id, line_dedup, source_mix, token_rollup, warc_zip
 from tidewatch.llm.shared import shared_folder, written
 
 
@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes to every vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return hamming_topk.search(vectors, vectors.where("vec_id % 100 = 0"), 10).select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("vec_id"), F.col("distance").cast("long").alias("distance"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,6 +31,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and characters of all documents by source, language and version, after five batches.
 
@@ -54,11 +64,31 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 ORACLE = {
+    "op1_hamming_topk": r"""
+        with v as (select vec_id, list_transform(embedding, lambda x: coalesce(x > 0, false)) as bits from embeddings where len(embedding) > 0),
+        q as (select vec_id as query_id, bits as own from v where vec_id % 100 = 0),
+        p as (select query_id, vec_id, cast(len(list_filter(range(1, len(own) + 1), lambda i: own[i] <> bits[i])) as bigint) as distance from q cross join v),
+        r as (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from p)
+        select query_id, rank, vec_id, distance from r where rank <= 10""",
+    "op5_line_dedup": r"""
+        with l as (select doc_id, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as line from documents where text is not null),
+        t as (select *, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as own from l),
+        w as (select doc_id, line, 2 as size, own || chr(10) || lead(own) over (partition by doc_id order by line) as run from t
+              union all select doc_id, line, 1, own from t where length(own) >= 250),
+        r as (select *, row_number() over (partition by size, run order by doc_id, line) as nth from w where run is not null and run <> chr(10)),
+        g as (select doc_id, line from r where nth > 1 union select doc_id, line + 1 from r where nth > 1 and size = 2),
+        s as (select t.doc_id, count(*) as n_lines, count(g.line) as n_gone, coalesce(string_agg(raw, chr(10) order by t.line) filter (where g.line is null), '') as text
+              from t left join g on g.doc_id = t.doc_id and g.line = t.line group by t.doc_id)
+        select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_gone, 0) as n_gone, s.text as text from documents d left join s using (doc_id)""",
     "op7_token_rollup": r"""
         with l as (select doc_id, max(toxic) as toxic, min(quality) as quality from labels group by doc_id),
         d as (select d.source, d.lang, l.toxic, l.quality,
@@ -70,6 +100,12 @@ ORACLE = {
               union all select source, lang, 'chars-1', chars from d where coalesce(toxic, 0) <> 1
               union all select source, lang, 'words-2', lettered from d)
         select source, lang, tokenizer, count(*) as docs, cast(sum(n) as bigint) as tokens from c group by all""",
+    "op9_warc_zip": r"""
+        with p as (select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+        r as (select *, max(page_id) over (partition by payload_digest, payload_bytes) as largest from p)
+        select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id <> largest then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 1000 and page_id <> largest then largest end as refers_to
+        from r""",
     "op10_exact_dedup": r"""
         with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
         select doc_id, min(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
