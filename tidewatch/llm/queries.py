@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, exact_dedup, hamming_topk, language_id, line_dedup, source_mix, token_rollup, warc_zip
+from tidewatch.llm import byte_bpe, exact_dedup, hamming_topk, language_id, line_dedup, ngram_join, source_mix, token_rollup, warc_zip
 from tidewatch.llm.shared import shared_folder, written
 
 
@@ -27,6 +27,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = {
+    "op3_ngram_join": r"""
+        with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+        g as (select distinct doc_id, unnest(case when len(words) >= 5 then list_transform(range(1, len(words) - 3), lambda i: list_aggregate(words[i:i + 4], 'string_agg', ' '))
+                                                  when len(words) > 0 then [list_aggregate(words, 'string_agg', ' ')] end) as token from w),
+        n as (select doc_id, count(*) as n from g group by doc_id),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from g a join g b on a.token = b.token and a.doc_id <> b.doc_id group by all),
+        l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)),
+        c as (select doc_id, doc_id as reached from n union select c.doc_id, l.b from c join l on l.a = c.reached),
+        m as (select doc_id, min(reached) as component_id from c group by doc_id)
+        select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.component_id, w.doc_id) as component_id from w left join n using (doc_id) left join m using (doc_id)""",
     "op1_hamming_topk": r"""
         with v as (select vec_id, list_transform(embedding, lambda x: coalesce(x > 0, false)) as bits from embeddings where len(embedding) > 0),
         q as (select vec_id as query_id, bits as own from v where vec_id % 100 = 0),
