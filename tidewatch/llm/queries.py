@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, exact_dedup, hamming_topk, language_id, line_dedup, ngram_join, source_mix, token_rollup, warc_zip
+from tidewatch.llm import byte_bpe, exact_dedup, hamming_topk, kneser_ney, language_id, line_dedup, ngram_join, source_mix, token_rollup, warc_zip
 from tidewatch.llm.shared import shared_folder, written
 
 
@@ -39,6 +39,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.scored(table(spark, sf_dir, "documents"))
+
+
 def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and characters of all documents by source, language and version, after five batches.
 
