@@ -1,0 +1,120 @@
+"""The batch operators on streams: what lands is read once, late rows within the watermark count, and every sink can be written again."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from tidewatch.functions import exact_mean, exact_sum
+from tidewatch.operators.tape import wallet_trades
+
+
+def landing(spark: SparkSession, folder: str, schema: str, kind: str = "parquet", files_per_batch: int = 100) -> DataFrame:
+    """New files of a folder; the checkpoint of the query that reads them is the resume cursor."""
+    return spark.readStream.schema(schema).format(kind).option("header", True).option("maxFilesPerTrigger", files_per_batch).load(folder)
+
+
+def unique(rows: DataFrame, key: str = "id", at: str = "timestamp", late: str = "1 hour") -> DataFrame:
+    """Each id once, for ids that come again within the lateness."""
+    return rows.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+
+
+def price_history(trades: DataFrame, late: str = "1 hour", bucket: str = "5 minutes") -> DataFrame:
+    """The batch price history; in append mode a bucket comes out when the watermark has passed its end."""
+    rows = trades.where(F.col("price").isNotNull() & (F.col("usd_amount") > 0)).withWatermark("timestamp", late)
+    sums = rows.groupBy("market_id", F.window("timestamp", bucket).alias("w")).agg(exact_mean(F.col("price")).alias("avg_price"), F.count(F.lit(1)).alias("num_trades"), exact_sum(F.col("usd_amount")).alias("total_volume"))
+    return sums.select("market_id", F.col("w.start").alias("bucket_start"), F.col("w.end").alias("bucket_end"), "avg_price", "num_trades", "total_volume")
+
+
+class RecentRange(StatefulProcessor):
+    """Keeps a market's buckets of the last 31 minutes and reports when they are far enough apart.
+
+    Cooldown goes by arrival here: the batch rule wants all candidates by size, which a stream never has.
+    """
+
+    def __init__(self, move: float, least_trades: int, cooldown: int) -> None:
+        self.move, self.least_trades, self.cooldown = move, least_trades, cooldown
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.buckets = handle.getMapState("buckets", StructType([StructField("at", LongType())]), StructType([StructField("price", DoubleType()), StructField("trades", LongType())]))
+        self.last = handle.getValueState("last", StructType([StructField("end", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found = []
+        for row in sorted((r for pdf in rows for r in pdf.itertuples(index=False)), key=lambda r: r.bucket_start):
+            at = int(row.bucket_start.timestamp())
+            self.buckets.updateValue((at,), (float(row.avg_price), int(row.num_trades)))
+            held = [(k[0], *v) for k, v in self.buckets.iterator()]
+            for old in [x for x in held if x[0] <= at - 31 * 60]:
+                self.buckets.removeKey((old[0],))
+            held = [x for x in held if at - 31 * 60 < x[0] <= at]
+            high, low = max(held, key=lambda x: (x[1], -x[0])), min(held, key=lambda x: (x[1], x[0]))
+            start, end = min(high[0], low[0]), max(high[0], low[0])
+            last = self.last.get()[0] if self.last.exists() else None
+            if round(high[1] - low[1], 12) >= self.move and sum(x[2] for x in held) >= self.least_trades and (last is None or start >= last + self.cooldown):
+                self.last.update((end,))
+                up = low[0] < high[0]
+                found.append({"market_id": key[0], "spike_start_ts": pd.Timestamp(start, unit="s"), "spike_end_ts": pd.Timestamp(end, unit="s"), "price_before": low[1] if up else high[1], "price_after": high[1] if up else low[1], "magnitude_pp": high[1] - low[1], "direction": "up" if up else "down"})
+        if found:
+            yield pd.DataFrame(found)
+
+    def close(self) -> None:
+        pass
+
+
+def price_spikes(history: DataFrame, move: float = 0.30, least_trades: int = 2, cooldown: int = 3600) -> DataFrame:
+    """Moves of at least `move` within 31 minutes; needs the RocksDB state store."""
+    schema = "market_id long, spike_start_ts timestamp, spike_end_ts timestamp, price_before double, price_after double, magnitude_pp double, direction string"
+    return history.groupBy("market_id").transformWithStateInPandas(RecentRange(move, least_trades, cooldown), schema, "Append", "None")
+
+
+def pre_spike_trades(trades: DataFrame, spikes: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Trades four hours to thirty minutes before a spike of their market: an inner interval join whose state both watermarks bound."""
+    rows = wallet_trades(trades).withWatermark("timestamp", late).alias("t")
+    moves = spikes.withWatermark("spike_start_ts", late).alias("s")
+    within = F.expr("t.market_id = s.market_id and t.timestamp >= s.spike_start_ts - interval 4 hours and t.timestamp <= s.spike_start_ts - interval 30 minutes")
+    return rows.join(moves, within).select("t.wallet", "t.market_id", "s.spike_start_ts", F.col("t.timestamp").alias("entry_timestamp"), F.col("t.direction").alias("side"), "t.usd_amount", "t.price", "s.direction")
+
+
+def running_positions(trades: DataFrame) -> DataFrame:
+    """USD and tokens in and out a (wallet, market, side), for the update mode."""
+    rows = wallet_trades(trades)
+    of = lambda direction, col: F.coalesce(exact_sum(F.when(F.col("direction") == direction, F.col(col))), F.lit(0.0))
+    return rows.groupBy("wallet", "market_id", F.col("nonusdc_side").alias("side")).agg(of("BUY", "usd_amount").alias("total_usd_in"), of("BUY", "token_amount").alias("tokens_bought"), of("SELL", "usd_amount").alias("total_usd_out"), of("SELL", "token_amount").alias("tokens_sold"), F.count(F.lit(1)).alias("num_trades"))
+
+
+def run_available(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append what there is to Parquet files that appear in one step, and end."""
+    query = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def run_upserts(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Each batch's updated rows in a folder of its own, which a repeated batch replaces; latest() reads them."""
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/batch={number:012d}")
+
+    query = rows.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """The last update of each key."""
+    rows = spark.read.option("recursiveFileLookup", True).parquet(folder)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*")
+
+
+def split_late(rows: DataFrame, closed_until: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that a running query still takes, and the (market, day) that a backfill has to compute again. closed_until: one row, closed_until."""
+    marked = rows.crossJoin(F.broadcast(closed_until))
+    late = F.col("timestamp") < F.col("closed_until")
+    return marked.where(~late).drop("closed_until"), marked.where(late).select("market_id", F.to_date("timestamp").alias("day")).distinct()
