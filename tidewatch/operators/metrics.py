@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.functions import clipped, divide, exact_sum, nearest_quantile, with_row
+from tidewatch.functions import MICRO, clipped, divide, exact_mean, exact_sum, nearest_quantile, with_row
 
 NAIVE_BRIER = 0.25
 
@@ -45,7 +45,7 @@ def niche_accuracy(positions: DataFrame, q: float = 0.25, flag_rate: float = 0.7
     only = lambda x: F.when(niche, x)
     out = rows.groupBy("wallet").agg(
         F.count(only(F.col("market_id"))).alias("niche_bet_count"), F.sum(only(F.col("won"))).alias("niche_wins"), exact_sum(only(F.col("total_usd_in"))).alias("niche_usd_deployed"),
-        F.avg(only(F.col("avg_entry_price"))).alias("mean_niche_entry_price"), F.avg(only(F.col("market_volume"))).alias("mean_market_volume"),
+        F.avg(only(F.col("avg_entry_price"))).alias("mean_niche_entry_price"), exact_mean(only(F.col("market_volume")), MICRO).alias("mean_market_volume"),
         F.count("market_id").alias("total_bet_count"), divide(F.sum("won"), F.count("market_id")).alias("overall_win_rate"),
     ).where("niche_bet_count > 0")
     out = out.withColumn("niche_win_rate", divide(F.col("niche_wins"), F.col("niche_bet_count")))
@@ -145,11 +145,11 @@ def bet_size_vs_odds(positions: DataFrame, low: float = 0.10, high: float = 0.90
     def block(name: str, condition: Column, deployed: str, largest: str, payout: bool) -> list[Column]:
         only = lambda x: F.when(condition, x)
         found = [F.count(only(F.col("market_id"))).alias(f"{name}_count"), F.coalesce(F.sum(only(F.col("won"))), F.lit(0)).alias(f"{name.removesuffix('_bet')}_wins"), exact_sum(only(usd)).alias(deployed), F.max(only(usd)).alias(largest), F.avg(only(price)).alias(f"{name.removesuffix('_bet')}_mean_entry")]
-        return [*found, F.avg(only(F.col("potential_payout_usd"))).alias(f"{name.removesuffix('_bet')}_mean_potential_payout")] if payout else found
+        return [*found, exact_mean(only(F.col("potential_payout_usd")), MICRO).alias(f"{name.removesuffix('_bet')}_mean_potential_payout")] if payout else found
 
     out = rows.groupBy("wallet").agg(
-        F.count("market_id").alias("total_bet_count"), exact_sum(usd).alias("total_volume"), F.avg(usd).alias("avg_bet_size"), F.sum("won").alias("total_wins"),
-        F.avg(F.when(F.col("odds_category") == "mid_range", usd)).alias("avg_bet_size_mid_range"), F.avg(F.when(F.col("is_extreme_odds"), usd)).alias("avg_bet_size_extreme"),
+        F.count("market_id").alias("total_bet_count"), exact_sum(usd).alias("total_volume"), exact_mean(usd, MICRO).alias("avg_bet_size"), F.sum("won").alias("total_wins"),
+        exact_mean(F.when(F.col("odds_category") == "mid_range", usd), MICRO).alias("avg_bet_size_mid_range"), exact_mean(F.when(F.col("is_extreme_odds"), usd), MICRO).alias("avg_bet_size_extreme"),
         *block("longshot_bet", price < low, "longshot_usd_deployed", "longshot_max_bet_usd", True), *block("favorite_bet", price > high, "favorite_usd_deployed", "favorite_max_bet_usd", True),
         *block("large_extreme", F.col("is_extreme_odds") & F.col("is_large_bet"), "large_extreme_usd", "largest_extreme_bet_usd", False),
     )

@@ -30,11 +30,12 @@ def us(name: str, to: str | None = None) -> Column:
 
 def shown(df: DataFrame) -> DataFrame:
     """Doubles rounded to 4 (amounts) or 6 places, times as microseconds, whole numbers as longs."""
-    amounts = ("usd", "volume", "capital", "profit", "loss", "tokens", "payout", "pnl", "bet_size", "size_")
+    amounts = ("usd", "volume", "capital", "profit", "loss", "tokens", "payout", "pnl", "bet_size", "size_", "token_amount")
     out = []
     for name, kind in df.dtypes:
         if kind == "double":
-            out.append(F.round(F.col(name), 4 if any(a in name for a in amounts) else 6).alias(name))
+            scale = 1e4 if any(a in name for a in amounts) and not name.endswith("_rate") and not name.startswith("score_") else 1e6
+            out.append((F.floor(F.col(name) * scale + 0.5) / scale).alias(name))
         elif kind == "timestamp":
             out.append(us(name))
         else:
