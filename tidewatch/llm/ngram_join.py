@@ -11,8 +11,13 @@ different hashes.
    estimate is short of its true count by at most one a chunk. Which tokens an order puts last
    changes the work, never the result.
 2. Texts with equal sets are one class, represented by its smallest id.
-3. The first order's prefix tokens go through the shuffle as (token, id); those of one id only are
-   dropped. Each token's ids are linked to a hub, the id with the fewest rare tokens, where they verify.
+3. The first order's prefix tokens that aren't frequent travel in blocks, as differences of 48 bits of
+   their hashes with the places of their texts in the block, to the task of their range; those of one
+   text only are dropped there, and the places of the others become ids by a join. Frequent tokens are
+   shared anyway and need no such meeting. Each token's ids are linked to a hub, the id with the
+   fewest rare tokens, where they verify.
+   A pair goes on only if it shares enough prefix tokens: the text whose prefix ends first shares none of it
+   beyond those, so with c shared ones the intersection is c + ceil(0.8 n) - 1 at most.
 4. Ids that share a token and aren't connected by then are compared with one another. What is
    connected already needs no comparison, so a group of n near copies costs about n comparisons.
 
@@ -31,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,18 +97,103 @@ def _ordered(tokens: np.ndarray, last: np.ndarray, order: int, similar: int) ->
     return tokens[take], size - int(frequent.sum())
 
 
+#: Prefix tokens of a block, and the ranges of tokens: 2**RANGES.
+BLOCK, RANGES = 1 << 20, 8
+POSTED = "part int, block long, tokens binary, places binary, token long, doc_id long, n long, rare long"
+NAMES = [c.split()[0] for c in POSTED.split(", ")]
+#: Bits of a text's number that are its place in its block; the block has the task's number and its own within it.
+PLACE_BITS = 24
+
+
 def _prefixes(last, n: int, similar: int):
+    """Blocks of rare prefix tokens by range (part), the texts of the blocks (part -1, token is the text's number), and rows of frequent tokens (part -2)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, texts, size, number = [], [], 0, TaskContext.get().partitionId() << 16
+
+        def block() -> pa.RecordBatch:
+            each = np.concatenate(tokens) >> np.uint64(16)
+            place = np.repeat(np.arange(len(tokens), dtype=np.uint32), list(map(len, tokens)))
+            order = np.argsort(each, kind="stable")
+            each, place = each[order], place[order]
+            edges = np.searchsorted(each, np.arange(1 << RANGES, dtype=np.uint64) << np.uint64(48 - RANGES))
+            edges = np.append(edges, len(each))
+            full = np.flatnonzero(np.diff(edges))
+            kind = np.uint16 if len(texts) <= 1 << 16 else np.uint32
+            rows = [(_steps(each[edges[i] : edges[i + 1]]), place[edges[i] : edges[i + 1]].astype(kind).tobytes()) for i in full]
+            none = pa.nulls(len(full), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), number, np.int64)), *(pa.array([r[j] for r in rows], pa.binary()) for j in (0, 1)), none, none, none, none], NAMES)
+
+        def described() -> pa.RecordBatch:
+            table = np.array(texts, np.int64)
+            blank = pa.nulls(len(table), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(table), -1, np.int32)), pa.nulls(len(table), pa.int64()), blank, blank, pa.array((number << PLACE_BITS) + np.arange(len(table))), *(pa.array(np.ascontiguousarray(table[:, j])) for j in range(3))], NAMES)
+
         for ids, sets in _sets(batches, n):
-            found = [(i, *_ordered(x, last.value, ORDERS[0], similar), len(x)) for i, x in zip(ids.to_pylist(), sets, strict=True) if len(x)]
-            if found:
-                each = [len(x[1]) for x in found]
-                repeat = lambda at: pa.array(np.repeat(np.array([x[at] for x in found], np.int64), each))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[1] for x in found]).view(np.int64)), repeat(0), repeat(3), repeat(2)], ["token", "doc_id", "n", "rare"])
+            often: list[tuple[np.ndarray, int | None, int, int]] = []
+            for doc_id, own in zip(ids.to_pylist(), sets, strict=True):
+                if not len(own) or doc_id is None:
+                    continue
+                prefix, rare = _ordered(own, last.value, ORDERS[0], similar)
+                at = np.searchsorted(last.value, prefix)
+                frequent = last.value[np.minimum(at, len(last.value) - 1)] == prefix if len(last.value) else np.zeros(len(prefix), bool)
+                if frequent.any():
+                    often.append((prefix[frequent], doc_id, len(own), rare))
+                if not frequent.all():
+                    tokens.append(prefix[~frequent])
+                    texts.append((doc_id, len(own), rare))
+                    size += len(tokens[-1])
+            if often:
+                each = [len(x[0]) for x in often]
+                repeat = lambda j: pa.array(np.repeat(np.array([x[j] for x in often], np.int64), each))  # noqa: B023, E731
+                # a rare token of the same 48 bits would be another bucket: the lowest bit tells them apart
+                key = pa.array((np.concatenate([x[0] for x in often]) | np.uint64(1)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), -2, np.int32)), pa.nulls(len(key), pa.int64()), *[pa.nulls(len(key), pa.binary())] * 2, key, repeat(1), repeat(2), repeat(3)], NAMES)
+            if size >= BLOCK:
+                yield block()
+                yield described()
+                tokens, texts, size, number = [], [], 0, number + 1
+        if tokens:
+            yield block()
+            yield described()
 
     return run
 
 
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending 48-bit keys: the first, then differences, of four bytes each if they fit."""
+    steps = np.diff(keys)
+    return keys[:1].tobytes() + steps.astype(np.uint32 if not len(steps) or int(steps.max()) < 1 << 32 else np.uint64).tobytes()
+
+
+def _shared_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, text (its number) of the rare tokens that two texts or more have, from blocks in the order of their ranges."""
+    part, keys, texts = None, [], []
+
+    def closed() -> pa.RecordBatch:
+        token, text = np.concatenate(keys), np.concatenate(texts)
+        order = np.argsort(token, kind="stable")
+        token, text = token[order], text[order]
+        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        count = np.diff(np.append(starts, len(token)))
+        keep = np.repeat(count > 1, count)
+        return pa.RecordBatch.from_arrays([pa.array((token[keep] << np.uint64(16)).view(np.int64)), pa.array(text[keep])], ["token", "text"])
+
+    for batch in batches:
+        for own, block, steps, places in zip(*(batch.column(x).to_pylist() for x in ("part", "block", "tokens", "places")), strict=True):
+            if own != part:
+                if part is not None:
+                    yield closed()
+                part, keys, texts = own, [], []
+            # n tokens: 8 + 4 (n - 1) or 8 + 8 (n - 1) bytes, and 2 n or 4 n bytes of places
+            n = next(n for n in ((len(steps) - 8) // 4 + 1, (len(steps) - 8) // 8 + 1) if len(places) in (2 * n, 4 * n))
+            rest = np.frombuffer(steps, np.uint32 if len(steps) == 4 + 4 * n else np.uint64, offset=8).astype(np.uint64)
+            keys.append(np.cumsum(np.concatenate([np.frombuffer(steps, np.uint64, 1), rest]), dtype=np.uint64))
+            texts.append((block << PLACE_BITS) + np.frombuffer(places, f"u{len(places) // n}").astype(np.int64))
+    if part is not None:
+        yield closed()
+
+
 def _candidates(last, n: int, similar: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _sets(batches, n):
@@ -121,6 +212,16 @@ def _near(a: Column, b: Column, similar: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * similar
 
 
+def _counted(pairs: DataFrame, posted: DataFrame, similar: int) -> DataFrame:
+    """The pairs (a, b) that share enough tokens of the first order's prefixes."""
+    side = lambda x: posted.select(F.col("doc_id").alias(x), "token", F.col("n").alias(f"n{x}"))
+    shared = pairs.join(side("a"), "a").join(side("b"), ["b", "token"])
+    shared = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *(f(f"n{x}").alias(f"{f.__name__}{x}") for x in "ab" for f in (F.min, F.max)))
+    least = F.ceil((F.col("mina") + F.col("minb")) * similar / (100.0 + similar) - 1e-9)
+    rest = F.ceil(F.greatest("maxa", "maxb") * similar / 100.0 - 1e-9) - 1
+    return shared.where(F.col("c") + rest >= least).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """The links among pairs (a, b): the other orders' filters first, then the whole sets."""
     side = lambda x, cols: sets.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
@@ -159,17 +260,25 @@ def linked(df: DataFrame, words: int = WORDS, similar: int = SIMILAR, id_col: st
     texts = written(texts.join(classes, "digest", "left").select("doc_id", "n", "rep"), "classes")
     reps = texts.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct()
 
-    prefixes = docs.mapInArrow(_prefixes(last, words, similar), "token long, doc_id long, n long, rare long")
-    shared = prefixes.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("token")
-    posted = written(prefixes.join(shared, "token", "left_semi").join(reps, "doc_id", "left_semi").select("token", "doc_id", "n", "rare"), "postings")
+    prefixes = written(docs.mapInArrow(_prefixes(last, words, similar), POSTED), "prefixes")
+    rare = prefixes.where("part >= 0").select("part", "block", "tokens", "places").repartition("part").sortWithinPartitions("part").mapInArrow(_shared_rare, "token long, text long")
+    rare = rare.join(prefixes.where("part = -1").select(F.col("token").alias("text"), "doc_id", "n", "rare"), "text")
+    shared = rare.select("token", "doc_id", "n", "rare").unionByName(prefixes.where("part = -2").select("token", "doc_id", "n", "rare"))
+    posted = written(shared.join(reps, "doc_id", "left_semi"), "postings")
 
     hubs = posted.groupBy("token").agg(F.min(F.struct("rare", "n", "doc_id")).alias("hub"))
     first = posted.join(hubs, "token").where((F.col("doc_id") != F.col("hub.doc_id")) & _near(F.col("n"), F.col("hub.n"), similar))
-    first = written(first.select(F.greatest("doc_id", "hub.doc_id").alias("a"), F.least("doc_id", "hub.doc_id").alias("b")).distinct(), "hubpairs")
+    first = first.select(F.greatest("doc_id", "hub.doc_id").alias("a"), F.least("doc_id", "hub.doc_id").alias("b")).distinct()
+    first = written(first, "hubpairs")
+
+    def linked_pairs(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = written(_counted(pairs, posted, similar), f"{name}-counted")
+        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs")), f"{name}-wanted")
+        sets = docs.join(wanted.where("pairs > 0"), "doc_id", "left_semi").mapInArrow(_candidates(last, words, similar), "doc_id long, n long, tokens array<long>, second array<int>, third array<int>")
+        sets = _with_runtime_filter(spark, lambda: written(sets, f"{name}-sets"))
+        return written(_verified(pairs, sets, similar), f"{name}-links")
 
-    wanted = written(posted.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("token").join(posted, "token").groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens")), "wanted")
-    sets = _with_runtime_filter(spark, lambda: written(docs.join(wanted.where("tokens > 0"), "doc_id", "left_semi").mapInArrow(_candidates(last, words, similar), "doc_id long, n long, tokens array<long>, second array<int>, third array<int>"), "candidates"))
-    links = written(_verified(first, sets, similar), "hublinks")
+    links = linked_pairs(first, "hub")
 
     labels = components(links)
     label = F.coalesce("component", F.col("doc_id"))
@@ -180,7 +289,7 @@ def linked(df: DataFrame, words: int = WORDS, similar: int = SIMILAR, id_col: st
     others = open_rows.where("own <> main").select("token", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("own").alias("ox"))
     met = others.join(open_rows, "token").where((F.col("ox") != F.col("own")) & ((F.col("own") == F.col("main")) | (F.col("x") < F.col("doc_id"))) & _near(F.col("n"), F.col("nx"), similar))
     second = met.select(F.greatest("x", "doc_id").alias("a"), F.least("x", "doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = _verified(written(second, "pairs"), sets, similar)
+    more = linked_pairs(written(second, "pairs"), "open")
     labels = written(components(links.unionByName(more)), "components")
 
     out = texts.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
