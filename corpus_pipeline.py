@@ -38,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with token_ids, n_tokens, and whether the ids decode to the text."""
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    both = byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path, pattern)
+    both = byte_bpe.encode_and_decode(docs, path, pattern)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return both.withColumn("n_tokens", F.size("token_ids").cast("long")).withColumn("decodes", same).drop("decoded")
 

@@ -31,7 +31,7 @@ from tidewatch.llm.words import mixed, pieces
 LONGEST = 256
 SLICE = 1 << 20
 #: Stretches of text whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 
 
 class PairTable:
@@ -87,6 +87,7 @@ class Vocabulary:
         with open(path, "rb") as f:
             self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, map(bytes.strip, f)))}
         # white space as the library that defines the ids has it: U+001C to U+001F are none
+        self.pairs: PairTable | None = None
         self.findall = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.between = regex.compile(r"(?<=\P{White_Space}) (?=\P{White_Space})")
         size = max(self.ids.values()) + 1
@@ -94,14 +95,17 @@ class Vocabulary:
         for token, rank in self.ids.items():
             self.tokens[rank] = token
         self.byte = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
-        split = [(a, b, rank) for token, rank in self.ids.items() for i in range(1, len(token)) if (a := self.ids.get(token[:i])) is not None and (b := self.ids.get(token[i:])) is not None]
-        self.pairs = PairTable(*(np.array(x, np.int32) for x in zip(*split, strict=True)))
-        self.rank_of = {(a, b): rank for a, b, rank in split}
         self.length = np.array([len(t) for t in self.tokens] + [0], np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.length[:-1])))
         self.joined = np.frombuffer(b"".join(self.tokens), np.uint8)
         self._forget()
 
+    def _merges(self) -> None:
+        """The tables of merges, for the first piece that isn't a whole token."""
+        split = [(a, b, rank) for token, rank in self.ids.items() for i in range(1, len(token)) if (a := self.ids.get(token[:i])) is not None and (b := self.ids.get(token[i:])) is not None]
+        self.pairs = PairTable(*(np.array(x, np.int32) for x in zip(*split, strict=True)))
+        self.rank_of = {a << 32 | b: rank for a, b, rank in split}
+
     def _matrix(self, encoded: list[bytes]) -> list[list[int]]:
         """Ids of pieces of about one length."""
         widths = np.array(list(map(len, encoded)))
@@ -146,26 +150,28 @@ class Vocabulary:
         n, after, before = len(ids), list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         rank_of, heap = self.rank_of, []
         for i in range(n - 1):
-            if (rank := rank_of.get((ids[i], ids[i + 1]))) is not None:
+            if (rank := rank_of.get(ids[i] << 32 | ids[i + 1])) is not None:
                 heap.append((rank, i))
         heapq.heapify(heap)
         while heap:
             rank, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j >= n or rank_of.get((ids[i], ids[j])) != rank:
+            if ids[i] < 0 or j >= n or rank_of.get(ids[i] << 32 | ids[j]) != rank:
                 continue
             ids[i], ids[j] = rank, -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if (r := rank_of.get((rank, ids[after[i]]))) is not None:
+                if (r := rank_of.get(rank << 32 | ids[after[i]])) is not None:
                     heapq.heappush(heap, (r, i))
-            if before[i] >= 0 and (r := rank_of.get((ids[before[i]], rank))) is not None:
+            if before[i] >= 0 and (r := rank_of.get(ids[before[i]] << 32 | rank)) is not None:
                 heapq.heappush(heap, (r, before[i]))
         return [x for x in ids if x >= 0]
 
     def _encoded(self, found: list[str]) -> dict[str, list[int]]:
         """Ids of pieces: whole tokens at once, the rest in buckets by length."""
+        if self.pairs is None:
+            self._merges()
         out: dict[str, list[int]] = {}
         buckets: dict[int, list[tuple[str, bytes]]] = {}
         for piece in found:
@@ -290,8 +296,22 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", o
     return _with(df, out_col, T.BinaryType(), data, sliced)
 
 
+def encode_and_decode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
+    """df with the ids of the text and the bytes that they decode to, in one pass of one worker."""
+    own = [c for c in df.columns if c not in (ids_col, out_col)]
+    schema = T.StructType([df.schema[c] for c in own] + [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(out_col, T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text_col, SLICE):
+            known = vocabulary(path, pattern)
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            ids = known.encode(column(text_col).to_pylist())
+            yield pa.RecordBatch.from_arrays([*map(column, own), ids, known.decode(ids).cast(pa.binary())], [*own, ids_col, out_col])
+
+    return df.mapInArrow(run, schema)
+
+
 def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text's ids and of what they decode to."""
-    ids = encode(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), path, pattern).drop("text")
-    both = decode(ids, path, pattern)
+    both = encode_and_decode(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), path, pattern)
     return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
