@@ -20,6 +20,9 @@ different hashes.
    beyond those, so with c shared ones the intersection is c + ceil(0.8 n) - 1 at most.
 4. Ids that share a token and aren't connected by then are compared with one another. What is
    connected already needs no comparison, so a group of n near copies costs about n comparisons.
+   An id that isn't part of a crowd (a large component) but shares many tokens with it would meet its
+   members once a shared token. It meets each once instead: both sides are cut into blocks, every pair
+   of blocks is a cell, and a cell's rows carry their prefix tokens, so that shared ones are counted there.
 
 The set of frequent tokens is bounded: their estimate is at least LAST, and at least a 2**20th of all
 passed-on counts, so they are 2**20 at most (8 MB) and go to the workers in a broadcast.
@@ -50,6 +53,8 @@ LAST = 16
 #: Tokens that a task counts at once.
 CHUNK = 1 << 21
 FREQUENT = 1 << 20
+#: Ids of a component from which it is a crowd, and ids of a block of a crowd's cells. Both change the work, never the result.
+CROWD, CELL = 32, 128
 #: One hash for each order.
 ORDERS = (0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -212,14 +217,41 @@ def _near(a: Column, b: Column, similar: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * similar
 
 
+def _enough(c: Column, similar: int) -> Column:
+    """Whether c shared prefix tokens allow a link of sizes from mina to maxa and from minb to maxb."""
+    least = F.ceil((F.col("mina") + F.col("minb")) * similar / (100.0 + similar) - 1e-9)
+    rest = F.ceil(F.greatest("maxa", "maxb") * similar / 100.0 - 1e-9) - 1
+    return c + rest >= least
+
+
 def _counted(pairs: DataFrame, posted: DataFrame, similar: int) -> DataFrame:
     """The pairs (a, b) that share enough tokens of the first order's prefixes."""
     side = lambda x: posted.select(F.col("doc_id").alias(x), "token", F.col("n").alias(f"n{x}"))
     shared = pairs.join(side("a"), "a").join(side("b"), ["b", "token"])
     shared = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *(f(f"n{x}").alias(f"{f.__name__}{x}") for x in "ab" for f in (F.min, F.max)))
-    least = F.ceil((F.col("mina") + F.col("minb")) * similar / (100.0 + similar) - 1e-9)
-    rest = F.ceil(F.greatest("maxa", "maxb") * similar / 100.0 - 1e-9) - 1
-    return shared.where(F.col("c") + rest >= least).select("a", "b")
+    return shared.where(_enough(F.col("c"), similar)).select("a", "b")
+
+
+def _crowded(meets: DataFrame, members: DataFrame, posted: DataFrame, similar: int) -> DataFrame:
+    """The pairs (a, b) of ids and members of the crowds they meet (x, main) that share enough prefix tokens.
+
+    A crowd of y members that x ids meet has about x y / CELL**2 cells of at most about CELL rows a side.
+    """
+    wanted = meets.select(F.col("x").alias("doc_id")).unionByName(members.join(meets.select("main").distinct(), "main", "left_semi").select(F.col("y").alias("doc_id"))).distinct()
+    sets = posted.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("token").alias("tokens"), F.count(F.lit(1)).alias("rows"), F.min("n").alias("min"), F.max("n").alias("max"))
+    # tokens of a text that fall together in their 48 bits, and rows of one id, count as shared
+    sets = written(sets.withColumn("spare", F.col("rows") - F.size("tokens")).drop("rows"), "crowdsets")
+    side = lambda x: sets.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("tokens", "spare", "min", "max")))
+    blocks = lambda c: F.ceil(F.col(c) / CELL).cast("int")
+    cells = meets.groupBy("main").agg(F.count(F.lit(1)).alias("xs")).join(members.groupBy("main").agg(F.count(F.lit(1)).alias("ys")), "main").select("main", blocks("xs").alias("rows"), blocks("ys").alias("cols"))
+    own = lambda x, c: F.pmod(F.xxhash64(x), F.col(c)).cast("int")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    a = meets.select(F.col("x").alias("a"), "main").join(cells, "main").join(side("a"), "a").select("*", own("a", "rows").alias("row"), all_of("cols").alias("col")).drop("rows", "cols")
+    b = members.select(F.col("y").alias("b"), "main").join(cells, "main").join(side("b"), "b").select("*", own("b", "cols").alias("col"), all_of("rows").alias("row")).drop("rows", "cols")
+    near = F.least("maxa", "maxb") * 100 >= F.greatest("mina", "minb") * similar
+    shared = F.size(F.array_intersect("tokensa", "tokensb")) + F.col("sparea") + F.col("spareb")
+    met = a.join(b, ["main", "row", "col"]).where(near & (shared > 0) & _enough(shared, similar))
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -272,24 +304,36 @@ def linked(df: DataFrame, words: int = WORDS, similar: int = SIMILAR, id_col: st
     first = written(first, "hubpairs")
 
     def linked_pairs(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = written(_counted(pairs, posted, similar), f"{name}-counted")
+        pairs = written(pairs, f"{name}-counted")
         wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs")), f"{name}-wanted")
         sets = docs.join(wanted.where("pairs > 0"), "doc_id", "left_semi").mapInArrow(_candidates(last, words, similar), "doc_id long, n long, tokens array<long>, second array<int>, third array<int>")
         sets = _with_runtime_filter(spark, lambda: written(sets, f"{name}-sets"))
         return written(_verified(pairs, sets, similar), f"{name}-links")
 
-    links = linked_pairs(first, "hub")
+    links = linked_pairs(_counted(first, posted, similar), "hub")
 
-    labels = components(links)
+    labels = written(components(links), "labels")
     label = F.coalesce("component", F.col("doc_id"))
     placed = posted.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", label.alias("own"))
     groups = placed.groupBy("token", "own").agg(F.count(F.lit(1)).alias("rows"))
-    mixed_tokens = groups.groupBy("token").agg(F.max_by("own", F.struct("rows", "own")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups")
+    mixed_tokens = groups.groupBy("token").agg(F.max_by("own", F.struct("rows", "own")).alias("main"), F.max("rows").alias("size"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups")
     open_rows = written(placed.join(mixed_tokens, "token"), "open")
-    others = open_rows.where("own <> main").select("token", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("own").alias("ox"))
-    met = others.join(open_rows, "token").where((F.col("ox") != F.col("own")) & ((F.col("own") == F.col("main")) | (F.col("x") < F.col("doc_id"))) & _near(F.col("n"), F.col("nx"), similar))
-    second = met.select(F.greatest("x", "doc_id").alias("a"), F.least("x", "doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = linked_pairs(written(second, "pairs"), "open")
+    inside = open_rows.where("own = main").select("token", "doc_id", "n")
+    others = open_rows.where("own <> main").select("token", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("own").alias("ox"), "main", "size")
+
+    crowds = labels.groupBy(F.col("component").alias("main")).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= CROWD)
+    meets = others.join(crowds, "main").groupBy("x", "main").agg(F.sum("size").alias("cost"), F.min("members").alias("members")).where("cost > members")
+    meets = written(meets.select("x", "main"), "meets")
+    members = labels.select(F.col("id").alias("y"), F.col("component").alias("main"))
+    members = members.join(meets.select("main").distinct(), "main", "left_semi")
+    crowded = _crowded(meets, members, posted, similar)
+
+    with_main = others.join(meets, ["x", "main"], "left_anti").join(inside, "token").where(_near(F.col("n"), F.col("nx"), similar)).select("x", F.col("doc_id").alias("y"))
+    another = others.select("token", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("ox").alias("oy"))
+    with_others = others.join(another, "token").where((F.col("ox") != F.col("oy")) & (F.col("x") < F.col("y")) & _near(F.col("nx"), F.col("ny"), similar)).select("x", "y")
+    second = with_main.unionByName(with_others).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    second = written(second, "pairs")
+    more = linked_pairs(_counted(second, posted, similar).unionByName(crowded.join(first, ["a", "b"], "left_anti")).distinct(), "open")
     labels = written(components(links.unionByName(more)), "components")
 
     out = texts.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
