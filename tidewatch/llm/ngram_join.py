@@ -21,8 +21,9 @@ different hashes.
 4. Ids that share a token and aren't connected by then are compared with one another. What is
    connected already needs no comparison, so a group of n near copies costs about n comparisons.
    An id that isn't part of a crowd (a large component) but shares many tokens with it would meet its
-   members once a shared token. It meets each once instead: both sides are cut into blocks, every pair
-   of blocks is a cell, and a cell's rows carry their prefix tokens, so that shared ones are counted there.
+   members once a shared token, and the other such ids likewise. It meets each once instead: both sides are
+   cut into blocks, every pair of blocks is a cell, and a cell's rows carry their prefix tokens, so that
+   shared ones are counted there.
 
 The set of frequent tokens is bounded: their estimate is at least LAST, and at least a 2**20th of all
 passed-on counts, so they are 2**20 at most (8 MB) and go to the workers in a broadcast.
@@ -233,11 +234,12 @@ def _counted(pairs: DataFrame, posted: DataFrame, similar: int) -> DataFrame:
 
 
 def _crowded(meets: DataFrame, members: DataFrame, posted: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) of ids and members of the crowds they meet (x, main) that share enough prefix tokens.
+    """The pairs (a, b) of ids that meet a crowd (x, main) and ids about it (y, main) that share enough prefix tokens.
 
-    A crowd of y members that x ids meet has about x y / CELL**2 cells of at most about CELL rows a side.
+    Ids about a crowd are its members and the ids that meet it; own is an id's component.
+    A crowd with y ids about it that x ids meet has about x y / CELL**2 cells of at most about CELL rows a side.
     """
-    wanted = meets.select(F.col("x").alias("doc_id")).unionByName(members.join(meets.select("main").distinct(), "main", "left_semi").select(F.col("y").alias("doc_id"))).distinct()
+    wanted = meets.select(F.col("x").alias("doc_id")).unionByName(members.select(F.col("y").alias("doc_id"))).distinct()
     sets = posted.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("token").alias("tokens"), F.count(F.lit(1)).alias("rows"), F.min("n").alias("min"), F.max("n").alias("max"))
     # tokens of a text that fall together in their 48 bits, and rows of one id, count as shared
     sets = written(sets.withColumn("spare", F.col("rows") - F.size("tokens")).drop("rows"), "crowdsets")
@@ -246,11 +248,11 @@ def _crowded(meets: DataFrame, members: DataFrame, posted: DataFrame, similar: i
     cells = meets.groupBy("main").agg(F.count(F.lit(1)).alias("xs")).join(members.groupBy("main").agg(F.count(F.lit(1)).alias("ys")), "main").select("main", blocks("xs").alias("rows"), blocks("ys").alias("cols"))
     own = lambda x, c: F.pmod(F.xxhash64(x), F.col(c)).cast("int")
     all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    a = meets.select(F.col("x").alias("a"), "main").join(cells, "main").join(side("a"), "a").select("*", own("a", "rows").alias("row"), all_of("cols").alias("col")).drop("rows", "cols")
-    b = members.select(F.col("y").alias("b"), "main").join(cells, "main").join(side("b"), "b").select("*", own("b", "cols").alias("col"), all_of("rows").alias("row")).drop("rows", "cols")
+    a = meets.select(F.col("x").alias("a"), "main", F.col("own").alias("owna")).join(cells, "main").join(side("a"), "a").select("*", own("a", "rows").alias("row"), all_of("cols").alias("col")).drop("rows", "cols")
+    b = members.select(F.col("y").alias("b"), "main", F.col("own").alias("ownb")).join(cells, "main").join(side("b"), "b").select("*", own("b", "cols").alias("col"), all_of("rows").alias("row")).drop("rows", "cols")
     near = F.least("maxa", "maxb") * 100 >= F.greatest("mina", "minb") * similar
     shared = F.size(F.array_intersect("tokensa", "tokensb")) + F.col("sparea") + F.col("spareb")
-    met = a.join(b, ["main", "row", "col"]).where(near & (shared > 0) & _enough(shared, similar))
+    met = a.join(b, ["main", "row", "col"]).where((F.col("owna") != F.col("ownb")) & ((F.col("ownb") == F.col("main")) | (F.col("a") < F.col("b"))) & near & (shared > 0) & _enough(shared, similar))
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
@@ -322,15 +324,17 @@ def linked(df: DataFrame, words: int = WORDS, similar: int = SIMILAR, id_col: st
     others = open_rows.where("own <> main").select("token", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("own").alias("ox"), "main", "size")
 
     crowds = labels.groupBy(F.col("component").alias("main")).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= CROWD)
-    meets = others.join(crowds, "main").groupBy("x", "main").agg(F.sum("size").alias("cost"), F.min("members").alias("members")).where("cost > members")
-    meets = written(meets.select("x", "main"), "meets")
-    members = labels.select(F.col("id").alias("y"), F.col("component").alias("main"))
-    members = members.join(meets.select("main").distinct(), "main", "left_semi")
+    meets = others.join(crowds, "main").groupBy("x", "main").agg(F.sum("size").alias("cost"), F.min("members").alias("members"), F.min("ox").alias("own")).where("cost > members")
+    meets = written(meets.select("x", "main", "own"), "meets")
+    members = labels.select(F.col("id").alias("y"), F.col("component").alias("main"), F.col("component").alias("own"))
+    members = members.join(meets.select("main").distinct(), "main", "left_semi").unionByName(meets.withColumnRenamed("x", "y"))
     crowded = _crowded(meets, members, posted, similar)
 
-    with_main = others.join(meets, ["x", "main"], "left_anti").join(inside, "token").where(_near(F.col("n"), F.col("nx"), similar)).select("x", F.col("doc_id").alias("y"))
-    another = others.select("token", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("ox").alias("oy"))
-    with_others = others.join(another, "token").where((F.col("ox") != F.col("oy")) & (F.col("x") < F.col("y")) & _near(F.col("nx"), F.col("ny"), similar)).select("x", "y")
+    apart = others.join(meets, ["x", "main"], "left_anti")
+    with_main = apart.join(inside, "token").where(_near(F.col("n"), F.col("nx"), similar)).select("x", F.col("doc_id").alias("y"))
+    another = others.join(meets.select("x", "main", F.lit(True).alias("meets")), ["x", "main"], "left")
+    another = another.select("token", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("ox").alias("oy"), F.col("meets").isNotNull().alias("meets"))
+    with_others = apart.join(another, "token").where((F.col("ox") != F.col("oy")) & (F.col("meets") | (F.col("x") < F.col("y"))) & _near(F.col("nx"), F.col("ny"), similar)).select("x", "y")
     second = with_main.unionByName(with_others).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = written(second, "pairs")
     more = linked_pairs(_counted(second, posted, similar).unionByName(crowded.join(first, ["a", "b"], "left_anti")).distinct(), "open")
