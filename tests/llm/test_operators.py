@@ -211,6 +211,24 @@ def test_mix(spark):
     assert source_mix.mixed(docs(spark, [])).count() == 0
 
 
+def test_mix_of_small_sources_beside_a_large_one(spark, monkeypatch):
+    monkeypatch.setattr(source_mix, "BLOCK", 300)
+    random.seed(12)
+    sources = ["a"] * 2500 + ["b"] * 700 + ["c"] * 120 + ["d"] * 90
+    rows = [(i, " ".join(["w"] * random.randrange(5, 300)), s) for i, s in enumerate(sources)]
+    rows += [(9000 + i, " ".join(["w"] * 20_000), s) for i, s in enumerate("abcd")]
+    table = docs(spark, rows)
+    out = source_mix.mixed(table).collect()
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r.source].append(r)
+    assert sorted(r.doc_id for r in out) == sorted(r[0] for r in rows)
+    for x in by.values():
+        base = math.floor(x[0].target / x[0].source_size + 1e-9)
+        assert abs(sum(r.taken for r in x) - x[0].target) <= 5 and {r.copies for r in x} <= {base, base + 1}
+    assert sorted(map(tuple, source_mix.mixed(table).collect())) == sorted(map(tuple, out))
+
+
 def test_flight_keeps_sums():
     rng = np.random.default_rng(1)
     sizes, chances = rng.integers(1, 500, 3000).astype(float), np.full(3000, 0.37)

@@ -37,6 +37,8 @@ from tidewatch.llm.shared import written
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
 BLOCK, FAN_IN = 8192, 1024
+#: Decided documents of a block that may change places in the next round.
+RESERVE = 128
 WORD = r"[^\x20\x09-\x0D]+"
 SOURCE = "struct<unknown:boolean,name:string>"
 
@@ -110,32 +112,47 @@ def landing(sizes: np.ndarray, chances: np.ndarray) -> np.ndarray:
     return chances
 
 
-def swapped(sizes: np.ndarray, chances: np.ndarray, before: np.ndarray, most: int = 8) -> np.ndarray:
-    """At most `most` swaps of a taken with an untaken document, each the one that brings the words nearest to their sum before."""
+def swapped(sizes: np.ndarray, chances: np.ndarray, before: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Swaps of a taken with an untaken free document, each the one that brings the words nearest to their sum before, until none does."""
     chances = chances.copy()
-    free = np.flatnonzero((before > 0) & (before < 1))
-    for _ in range(most):
-        over = float(chances[free] @ sizes[free] - before[free] @ sizes[free])
+    over = float(chances @ sizes - before @ sizes)
+    free = np.flatnonzero(free)
+    while abs(over) > 1e-6:
         taken, untaken = free[chances[free] == 1], free[chances[free] == 0]
         if not len(taken) or not len(untaken):
             break
         untaken = untaken[np.argsort(sizes[untaken], kind="stable")]
         near = np.searchsorted(sizes[untaken], sizes[taken] - over)
         pairs = np.stack([np.clip(near - 1, 0, len(untaken) - 1), np.clip(near, 0, len(untaken) - 1)])
-        left = np.abs(over - sizes[taken] + sizes[untaken[pairs]])
-        side, at = np.unravel_index(np.argmin(left), left.shape)
-        if left[side, at] >= abs(over):
+        left = over - sizes[taken] + sizes[untaken[pairs]]
+        side, at = np.unravel_index(np.argmin(np.abs(left)), left.shape)
+        if abs(left[side, at]) > abs(over) - 1e-6:
             break
         chances[taken[at]], chances[untaken[pairs[side, at]]] = 0.0, 1.0
+        over = float(left[side, at])
     return chances
 
 
-def _flown(last: bool):
+def reserve(chances: np.ndarray, free: np.ndarray, most: int = RESERVE) -> np.ndarray:
+    """Whether a document, in the order of sizes, goes to the next round: the undecided, and `most` free ones, of the taken and untaken the longest, the shortest and some at even steps."""
+    goes = (chances > 0) & (chances < 1)
+    for kind in (0.0, 1.0):
+        own = np.flatnonzero(free & (chances == kind))
+        goes[own[: most // 8]] = goes[own[len(own) - min(len(own), most // 8) :]] = True
+        goes[own[np.linspace(0, len(own) - 1, min(len(own), most // 4)).astype(int)]] = True
+    return goes
+
+
+def _flown(first: bool):
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "doc_id", "row"], ascending=[False, True, True], kind="stable")
         sizes, before = rows["size"].to_numpy(float), rows["chance"].to_numpy(float)
         chances = flight(sizes, before, rows["draw"].to_numpy(float))
-        rows["chance"] = swapped(sizes, landing(sizes, chances), before) if last else chances
+        # later rounds have only documents of sources whose chance lies between 0 and 1
+        free = (before > 0) & (before < 1) if first else np.full(len(rows), True)
+        last = rows["blocks"].iloc[0] == 1
+        rows["chance"] = swapped(sizes, landing(sizes, chances), before, free) if last else chances
+        rows["open"] = False if last else reserve(chances, free)
         return rows
 
     return block
@@ -158,18 +175,17 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "source", "doc_id", "row", "size", "source_size", "target", F.floor(rate).cast("long").alias("base"), (rate - F.floor(rate)).alias("chance"), F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK)).cast("long").alias("blocks"),
     )
     dealt = lines.withColumn("draw", F.pmod(F.xxhash64(F.col("doc_id"), F.col("row"), F.lit(11)), F.lit(1 << 40)) / float(1 << 40)).withColumn("block", F.pmod(F.xxhash64("doc_id", "row", F.lit(7)), F.col("blocks")))
-    schema = f"source {SOURCE}, doc_id long, row long, size long, source_size long, target double, base long, chance double, blocks long, draw double, block long"
+    schema = f"source {SOURCE}, doc_id long, row long, size long, source_size long, target double, base long, chance double, blocks long, draw double, block long, open boolean"
     most_blocks = (dealt.agg(F.max("blocks")).first()[0] or 1) if not targets.isEmpty() else 1
     done: list[DataFrame] = []
     level = 0
     while True:
-        last = most_blocks == 1
-        flown = written(dealt.groupBy("source", "block").applyInPandas(_flown(last), schema), f"flight{level}")
-        done.append(flown.where("chance in (0, 1)"))
-        if last:
+        flown = written(dealt.groupBy("source", "block").applyInPandas(_flown(level == 0), schema), f"flight{level}")
+        done.append(flown.where("not open"))
+        if most_blocks == 1:
             break
         most_blocks, level = math.ceil(most_blocks / FAN_IN), level + 1
-        dealt = flown.where("chance not in (0, 1)").withColumn("blocks", F.ceil(F.col("blocks") / FAN_IN)).withColumn("block", F.floor(F.col("block") / FAN_IN))
+        dealt = flown.where("open").withColumn("blocks", F.ceil(F.col("blocks") / FAN_IN)).withColumn("block", F.floor(F.col("block") / FAN_IN))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
