@@ -147,6 +147,29 @@ def test_lines(spark):
     assert line_dedup.deduplicated(docs(spark, [])).count() == 0
 
 
+def test_passages_wrapped_otherwise_or_within_lines(spark):
+    random.seed(15)
+    own = lambda n: [f"v{random.randrange(10**6)}" for _ in range(n)]
+    wrap = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    a, b = own(51), own(120)
+    texts = [" ".join(a), " ".join(own(30) + a + own(30)), wrap(own(9) + a + own(5), 7), wrap(own(5) + a[:50] + own(5), 8), wrap(b, 11), "  " + " ".join(own(40) + b[:60]) + "\n" + wrap(b[60:], 4), " ".join(own(3) + b[10:70] + own(2) + b[20:90]), " ".join(["z"] * 200), "z " * 80, " ".join(a), None, "", " \n", " ".join(own(60) * 2)]
+    want, seen = {}, {}
+    for i, t in enumerate(texts):
+        w = words(t)
+        gone = set()
+        for k in range(len(w) - 50):
+            first = seen.setdefault(tuple(w[k : k + 51]), (i, k))
+            if first[0] != i or k >= first[1] + 51:
+                gone |= set(range(k, k + 51))
+        want[i] = (len(w), len(gone), [x for k, x in enumerate(w) if k not in gone])
+    rows = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    found = {r.doc_id: r for r in line_dedup.passages_removed(rows).collect()}
+    assert {i: (r.n_words, r.n_gone, words(r.text)) for i, r in found.items()} == want
+    assert [want[i][1] for i in range(7)] == [0, 51, 51, 0, 0, 120, 130] and want[9][1] == 51
+    assert all(found[i].text == t for i, t in enumerate(texts) if not want[i][1]) and found[5].text.startswith("  v")
+    assert line_dedup.passages_removed(docs(spark, [])).count() == 0
+
+
 def test_kneser_ney_against_plain_counts(spark):
     random.seed(6)
     texts = [" ".join(random.choices("a b c d e f g h i j".split(), weights=range(1, 11), k=random.randrange(1, 30))) + f" r{i}" for i in range(120)] + [None, "", "A  B"]

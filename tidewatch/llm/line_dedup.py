@@ -16,6 +16,12 @@ Results for odd input: lines are compared without white space at their ends; a r
 other character is never deleted; a null text has no lines and stays null; an empty text stays empty; a text
 whose lines all go becomes empty; of rows with equal ids and texts all keep what the first keeps; other
 columns aren't returned; an empty table gives an empty result.
+
+Lines see a passage only where it is cut into the same lines. `passages_removed` works on words instead, however they are
+wrapped or embedded: every stretch of `least` words (51) that stands at an earlier place too is deleted, and so is every
+longer one, as the sum of such stretches. Its fingerprints are hashes of `gram` words, winnowed so that each stretch
+of `least` words has one. White space isn't compared; a deleted word goes with the white space after it. Copies
+that overlap their own first place in one text stay, so a word that is repeated a thousand times keeps its first fifty or more.
 """
 
 from __future__ import annotations
@@ -29,6 +35,9 @@ from tidewatch.llm.shared import written
 WINDOW = 2
 #: Characters of a line that is a run by itself.
 LONG_LINE = 250
+#: Words that a repeated passage has at least, and words of a fingerprint of it.
+LEAST, GRAM = 51, 8
+SPACE = r"\x20\x09-\x0D"
 
 
 def lines(text: Column) -> Column:
@@ -82,3 +91,66 @@ def deduplicated(df: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_gone"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
     )
+
+
+def _hashes(text: Column) -> Column:
+    """Hashes of the words of a text."""
+    return F.transform(F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0)), lambda x: F.xxhash64(x))
+
+
+def _slices(a: Column, size: int, start: Column | int, end: Column) -> Column:
+    """A hash of `size` elements from each place (0 is the first) from start to end."""
+    return F.transform(F.sequence(start, end), lambda i: F.xxhash64(F.slice(a, i + 1, size)))
+
+
+def word_windows(df: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """doc_id, fingerprint, start, end: the stretches of `least` words from the words start to end (0 is the first) have this least hash of `gram` words at one place."""
+    own = df.select("doc_id", _hashes(F.col("text")).alias("h")).where(F.size("h") >= least)
+    own = own.select("doc_id", _slices(F.col("h"), gram, F.lit(0), F.size("h") - gram).alias("g"))
+    # the least of 2, 4, 8 and so on hashes, up to as many as a stretch has
+    wide, width = 1, least - gram + 1
+    while wide < width:
+        step = min(wide, width - wide)
+        own = own.select("doc_id", F.zip_with(F.slice("g", 1, F.size("g") - step), F.slice("g", step + 1, F.size("g")), lambda a, b: F.least(a, b)).alias("g"))
+        wide += step
+    cut = F.filter(F.transform("g", lambda x, i: F.when((i == 0) | (x != F.get("g", i - 1)), i)), lambda i: i.isNotNull())
+    own = own.select("doc_id", "g", cut.alias("cut"))
+    rows = F.transform("cut", lambda i, k: F.struct(F.get("g", i).alias("fingerprint"), i.alias("start"), (F.coalesce(F.get("cut", k + 1), F.size("g")) - 1).alias("end")))
+    return own.select("doc_id", F.inline(rows))
+
+
+def repeated_words(df: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """doc_id, gone: the stretches (start and end, 0 is the first word) that are deleted, apart and ascending; only texts that have any."""
+    rows = written(word_windows(df, least, gram).distinct(), "wordwindows")
+    position = F.struct("doc_id", "start")
+    shared = rows.groupBy("fingerprint").agg(F.min(position).alias("a"), F.max(position).alias("b"))
+    # stretches of a text that share their least hash without a break may repeat each other too
+    shared = shared.where("a <> b").select("fingerprint").unionByName(rows.where(F.col("end") - F.col("start") >= least).select("fingerprint")).distinct()
+    places = rows.join(shared, "fingerprint", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("places"))
+    own = df.join(places, "doc_id").select("doc_id", _hashes(F.col("text")).alias("h"), F.explode("places").alias("p"))
+    runs = own.select("doc_id", F.col("p.start").alias("from"), F.posexplode(_slices(F.col("h"), least, F.col("p.start"), F.col("p.end"))).alias("at", "run"))
+    runs = written(runs.select("doc_id", (F.col("from") + F.col("at")).alias("word"), "run").distinct(), "wordruns")
+    place = F.struct("doc_id", "word")
+    first = runs.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    later = runs.join(first, "run").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("word") >= F.col("first.word") + least))
+    found = later.groupBy("doc_id").agg(F.array_sort(F.collect_set("word")).alias("w"))
+    # stretches that overlap or adjoin are one: it starts at a word that is more than `least` after the one before, and ends before such a gap
+    starts = F.filter("w", lambda x, k: (k == 0) | (x > F.get("w", k - 1) + least))
+    ends = F.filter("w", lambda x, k: (k == F.size("w") - 1) | (x + least < F.get("w", k + 1)))
+    return found.select("doc_id", F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b + least - 1).alias("end"))).alias("gone"))
+
+
+def passages_removed(df: DataFrame, least: int = LEAST, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of df: doc_id, n_words, n_gone, text without the words of passages that stand at an earlier place."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    both = docs.join(repeated_words(docs, least, gram), "doc_id", "left")
+    pieces = F.regexp_extract_all("text", F.lit(f"[^{SPACE}]+[{SPACE}]*"), F.lit(0))
+    # what lies between one deleted stretch and the next
+    froms = F.concat(F.array(F.lit(0)), F.transform("gone", lambda x: x["end"] + 1))
+    untils = F.concat(F.transform("gone", lambda x: x["start"]), F.array(F.size("pieces")))
+    left = F.flatten(F.zip_with(froms, untils, lambda a, b: F.slice("pieces", a + 1, F.greatest(b - a, F.lit(0)))))
+    both = both.select("doc_id", "text", "gone", F.when(F.col("gone").isNotNull(), pieces).alias("pieces"))
+    number = F.coalesce(F.regexp_count("text", F.lit(f"[^{SPACE}]+")), F.lit(0))
+    gone = F.aggregate("gone", F.lit(0), lambda n, x: n + x["end"] - x["start"] + 1)
+    kept = F.concat(F.regexp_extract("text", f"^[{SPACE}]*", 0), F.array_join(left, ""))
+    return both.select("doc_id", number.cast("long").alias("n_words"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_gone"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"))
