@@ -297,6 +297,17 @@ def test_warc(spark):
     assert warc_zip.round_trip(pages.where("page_id < 0")).count() == 0
 
 
+def test_warc_with_a_repeated_id(spark):
+    one, two = "<p>" + "a" * 1000, "<p>" + "b" * 2000
+    rows = [(1, "u", one), (1, "v", two), (7, "w", one), (7, "x", "c" * 3000), (8, "y", two[:-1] + "d")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    found = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to or 0) for r in warc_zip.round_trip(pages).collect())
+    assert found == sorted((i, len(t), sha(t), "revisit" if (i, t) == (1, one) else "response", 7 if (i, t) == (1, one) else 0) for i, _, t in rows)
+    payloads = {bytes(r.payload).decode() for r in warc_zip.read(warc_zip.index(warc_zip.write(pages, shared_folder(spark, "w")))).collect() if r.payload is not None}
+    assert payloads == {t for _, _, t in rows}
+
+
 def test_zip64_directory():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:

@@ -43,10 +43,10 @@ DATE = "2024-01-01T00:00:00Z"
 
 
 def roles(df: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, refers_to of the revisits among page_id and payload."""
-    digests = written(df.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")).where(F.col("size") >= least), "digests")
+    """page_id, digest, size, refers_to of the revisits among page_id, digest and size of payloads."""
+    digests = written(df.select("page_id", "digest", "size").where(F.col("size") >= least), "digests")
     largest = digests.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("other")).where("other <> refers_to").drop("other")
-    return digests.join(largest, ["digest", "size"]).where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return digests.join(largest, ["digest", "size"]).where("page_id <> refers_to").select("page_id", "digest", "size", "refers_to").distinct()
 
 
 def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
@@ -144,7 +144,8 @@ def members(source) -> dict[str, tuple[int, int]]:
 def write(df: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Packages below root; returns their manifest: path, records, bytes."""
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
-    rows = pages.join(roles(pages), "page_id", "left")
+    pages = pages.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
+    rows = pages.join(roles(pages), ["page_id", "digest", "size"], "left")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -217,6 +218,7 @@ def round_trip(df: DataFrame) -> DataFrame:
     manifest = write(df, shared_folder(df.sparkSession, "warc"))
     found = written(read(index(manifest)).select("page_id", F.octet_length("payload").cast("long").alias("size"), "payload_digest", "record_type", "refers_to"), "records")
     # a revisit has its payload in the response that it refers to
-    sizes = found.where("record_type = 'response'").select(F.col("page_id").alias("of"), F.col("size").alias("theirs")).join(found.select(F.col("refers_to").alias("of")).where("of is not null").distinct(), "of").distinct()
-    out = found.join(sizes, found["refers_to"] == sizes["of"], "left")
+    wanted = found.select(F.col("refers_to").alias("of"), F.col("payload_digest").alias("with")).where("of is not null").distinct()
+    sizes = found.where("record_type = 'response'").select(F.col("page_id").alias("of"), F.col("payload_digest").alias("with"), F.col("size").alias("theirs")).join(wanted, ["of", "with"]).distinct()
+    out = found.join(sizes, (found["refers_to"] == sizes["of"]) & (found["payload_digest"] == sizes["with"]), "left")
     return out.select("page_id", F.coalesce("size", "theirs").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
