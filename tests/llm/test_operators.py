@@ -105,6 +105,12 @@ def test_jaccard_join_against_all_pairs(spark, monkeypatch, groups, copies, crow
     assert ngram_join.linked(docs(spark, [])).count() == 0
 
 
+def test_jaccard_join_links_the_texts_of_one_id(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = docs(spark, [(3, one, "s"), (4, two, "s"), (5, one, "s"), (5, two, "s"), (6, "c d e f g h", "s")])
+    assert {(r.doc_id, r.component_id) for r in ngram_join.linked(rows).collect()} == {(3, 3), (4, 3), (5, 3), (6, 6)}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     found = {r.id: r.component for r in components.components(links).collect()}

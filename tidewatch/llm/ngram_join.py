@@ -338,11 +338,12 @@ def linked(df: DataFrame, words: int = WORDS, similar: int = SIMILAR, id_col: st
     second = with_main.unionByName(with_others).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = written(second, "pairs")
     more = linked_pairs(_counted(second, posted, similar).unionByName(crowded.join(first, ["a", "b"], "left_anti")).distinct(), "open")
-    labels = written(components(links.unionByName(more)), "components")
-
-    out = texts.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     # rows that share an id are linked by it
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    repeated = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.collect_set("rep").alias("reps")).where("rows > 1").select(F.col("doc_id").alias("a"), F.explode("reps").alias("b"))
+    labels = written(components(links.unionByName(more).unionByName(repeated)), "components")
+
+    out = texts.withColumn("id", F.coalesce("rep", "doc_id")).join(labels, "id", "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out
 
 
