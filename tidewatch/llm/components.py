@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import written
+from tidewatch.llm.shared import dropped, written
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """id, component (smallest id reachable) of every id in links (a, b).
+    """id, component (smallest id reachable) of every id in links (a, b), as a written table.
 
     Each round replaces the links by links to minima: first every id's larger neighbours are linked to the
     smallest of its neighbourhood, then its smaller ones. That halves the paths and keeps the
@@ -25,7 +25,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
         small = written(small, "small")
         changed = small.join(links, ["a", "b"], "left_anti").limit(1).count() or links.join(small, ["a", "b"], "left_anti").limit(1).count()
+        dropped(links, large)
         links = small
         if not changed:
-            return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+            labels = written(links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()), "labels")
+            dropped(links)
+            return labels
     raise RuntimeError("the components haven't settled")

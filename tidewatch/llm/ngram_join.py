@@ -3,348 +3,307 @@
 A text's set is its distinct word n-grams; two texts link when 100 * intersection >= 80 * union.
 Under any total order of the tokens, linked sets share one of their first n - ceil(0.8 n) + 1 tokens. So each of
 several orders is a filter that loses no link, and candidates must pass all of them before their
-sets are compared. The orders put tokens that are frequent in the corpus last, and place the others by
-different hashes.
-
-1. One scan gives each text the digest of its set, and counts of tokens that are frequent: every
-   chunk of a task counts all its tokens and passes on those that it has twice or more. A token's
-   estimate is short of its true count by at most one a chunk. Which tokens an order puts last
-   changes the work, never the result.
-2. Texts with equal sets are one class, represented by its smallest id.
-3. The first order's prefix tokens that aren't frequent travel in blocks, as differences of 48 bits of
-   their hashes with the places of their texts in the block, to the task of their range; those of one
-   text only are dropped there, and the places of the others become ids by a join. Frequent tokens are
-   shared anyway and need no such meeting. Each token's ids are linked to a hub, the id with the
-   fewest rare tokens, where they verify.
-   A pair goes on only if it shares enough prefix tokens: the text whose prefix ends first shares none of it
-   beyond those, so with c shared ones the intersection is c + ceil(0.8 n) - 1 at most.
-4. Ids that share a token and aren't connected by then are compared with one another. What is
-   connected already needs no comparison, so a group of n near copies costs about n comparisons.
-   An id that isn't part of a crowd (a large component) but shares many tokens with it would meet its
-   members once a shared token, and the other such ids likewise. It meets each once instead: both sides are
-   cut into blocks, every pair of blocks is a cell, and a cell's rows carry their prefix tokens, so that
-   shared ones are counted there.
-
-The set of frequent tokens is bounded: their estimate is at least LAST, and at least a 2**20th of all
-passed-on counts, so they are 2**20 at most (8 MB) and go to the workers in a broadcast.
+sets are fetched and compared. All orders put the tokens that are rare in the corpus first, in fine, coarse
+and very coarse classes of their exact counts, and order a class by different hashes.
+
+1. One scan turns texts into blocks: the distinct sets of a task's stretch of texts. A block's tokens
+   travel as differences of 48 bits of their hashes, with the place of the text that has them, to the
+   task of their range. A token that a block has more than once travels once, with its count, so
+   a token of a third of all texts is one entry a block; its places go past the ranges to the block.
+2. A range adds up its tokens' counts over all blocks and answers each block with the class of every token that
+   two texts or more have. The others can't be shared and travel no further.
+3. Texts with equal sets are one class, represented by its smallest id; one text of each class goes on.
+   What is gathered of it are its shared tokens: with m of them and n in all, it has a link only if
+   m >= 0.8 n. For those texts alone, sets and prefixes are written. The n - m others are first in every order,
+   so a prefix needs only the m - ceil(0.8 n) + 1 shared tokens that follow.
+4. Each prefix token's texts are held against a hub, the text with the fewest unshared tokens, where sizes
+   and the places of the token in both orders allow a link: with i - 1 and j - 1 tokens before it the
+   intersection is 1 + min(n - i, m - j) at most, if it is the first that they share.
+5. Texts that share a prefix token and aren't connected by then are compared with one another, under the
+   same conditions. What is connected needs no comparison, so n near copies cost about n comparisons.
 
 Results for odd input: a text without words has no set and links with nothing; one of fewer words
 than n has its whole sequence as its one token; a null text has no words; rows with equal ids are one
-document whose texts count as linked; other columns aren't read; an empty table gives an empty result.
+document whose texts count as linked; a null id belongs to the class of its set, and to no link beyond it;
+a very long text is one piece, and one block; repeated rows are repeated in the result; other columns
+aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.components import components
-from tidewatch.llm.shared import written
+from tidewatch.llm.shared import dropped, written
 from tidewatch.llm.words import mixed, ngram_hashes, pieces, word_hashes
 
 WORDS, SIMILAR = 5, 80
-#: Estimated count from which a token is among the last ones of every order.
-LAST = 16
-#: Tokens that a task counts at once.
-CHUNK = 1 << 21
-FREQUENT = 1 << 20
-#: Ids of a component from which it is a crowd, and ids of a block of a crowd's cells. Both change the work, never the result.
-CROWD, CELL = 32, 128
-#: One hash for each order.
-ORDERS = (0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: Bits of a token's hash; two tokens of one pair of texts fall together with a chance of about n**2 / 2**48.
+BITS = 48
+#: Tokens of a block, and about how many tokens of all texts a range has.
+BLOCK, RANGE = 1 << 20, 1 << 21
+#: A hash for each order, and how many eighths of a doubling of counts are one class.
+ORDERS = ((0x2545F4914F6CDD1D, 1), (0xD6E8FEB86659FD93, 16), (0xA0761D6478BD642F, 48))
+TEXT, LISTS, TOKENS = 0, 1, 2
+SENT = "part long, kind int, block long, place int, doc_id long, n long, digest string, keys binary, places binary, more binary, counts binary"
+SETS = "doc_id long, n long, m long, tokens array<long>, first array<long>, second array<int>, third array<int>"
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Ids and sets (ascending distinct hashes) of the texts, batch by batch."""
     for batch in pieces(batches, "text"):
         grams, ends = ngram_hashes(*word_hashes(batch.column("text")), n)
-        yield batch.column("doc_id"), [np.unique(grams[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        yield batch.column("doc_id").to_pylist(), [np.unique(grams[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _scan(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending keys: the first, then differences, of four bytes each if they fit."""
+    steps = np.diff(keys)
+    return keys[:1].tobytes() + steps.astype(np.uint32 if not len(steps) or int(steps.max()) < 1 << 32 else np.uint64).tobytes()
 
-        def frequent() -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            many = counts > 1
-            return rows(pa.nulls(int(many.sum()), pa.int64()), counts[many], tokens[many], pa.nulls(int(many.sum()), pa.string()))
 
-        def rows(ids, n, token, digest) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(token.view(np.int64)), digest], ["doc_id", "n", "token", "digest"])
+def _unstepped(data: bytes, n: int) -> np.ndarray:
+    rest = np.frombuffer(data, np.uint32 if len(data) == 4 + 4 * n else np.uint64, offset=8) if n else ()
+    return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, min(n, 1)), np.asarray(rest, np.uint64)]), dtype=np.uint64)
 
-        for ids, sets in _sets(batches, n):
-            digests = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() if len(x) else None for x in sets], pa.string())
-            yield rows(ids, np.array(list(map(len, sets))), np.zeros(len(sets), np.uint64), pa.array(["" if d is None else d for d in digests.to_pylist()], pa.string()))
-            held += sets
-            size += sum(map(len, sets))
-            if size >= CHUNK:
-                yield frequent()
-                held, size = [], 0
-        yield frequent()
 
-    return run
+def _five(keys: np.ndarray) -> bytes:
+    """Five bytes of each key: what a key has beyond its range."""
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unfive(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
 
 
-def _ordered(tokens: np.ndarray, last: np.ndarray, order: int, similar: int) -> tuple[np.ndarray, int]:
-    """The set's prefix under an order, and how many of its tokens aren't frequent."""
-    size = len(tokens)
-    prefix = size - -(-similar * size // 100) + 1
-    at = np.searchsorted(last, tokens)
-    frequent = last[np.minimum(at, len(last) - 1)] == tokens if len(last) else np.zeros(size, bool)
-    key = mixed(tokens * np.uint64(order)) >> np.uint64(1) | frequent.astype(np.uint64) << np.uint64(63)
-    take = np.argpartition(key, prefix - 1)[:prefix] if prefix < size else slice(None)
-    return tokens[take], size - int(frequent.sum())
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in SENT.split(", ")])
 
 
-#: Prefix tokens of a block, and the ranges of tokens: 2**RANGES.
-BLOCK, RANGES = 1 << 20, 8
-POSTED = "part int, block long, tokens binary, places binary, token long, doc_id long, n long, rare long"
-NAMES = [c.split()[0] for c in POSTED.split(", ")]
-#: Bits of a text's number that are its place in its block; the block has the task's number and its own within it.
-PLACE_BITS = 24
+def _runs(ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and their lengths."""
+    starts = np.flatnonzero(np.concatenate(([True], ascending[1:] != ascending[:-1]))) if len(ascending) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(ascending)))
 
 
-def _prefixes(last, n: int, similar: int):
-    """Blocks of rare prefix tokens by range (part), the texts of the blocks (part -1, token is the text's number), and rows of frequent tokens (part -2)."""
+def _blocks(n: int, bits: int):
+    """Rows of the texts, and the tokens of blocks by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, texts, size, number = [], [], 0, TaskContext.get().partitionId() << 16
-
-        def block() -> pa.RecordBatch:
-            each = np.concatenate(tokens) >> np.uint64(16)
-            place = np.repeat(np.arange(len(tokens), dtype=np.uint32), list(map(len, tokens)))
-            order = np.argsort(each, kind="stable")
-            each, place = each[order], place[order]
-            edges = np.searchsorted(each, np.arange(1 << RANGES, dtype=np.uint64) << np.uint64(48 - RANGES))
-            edges = np.append(edges, len(each))
-            full = np.flatnonzero(np.diff(edges))
-            kind = np.uint16 if len(texts) <= 1 << 16 else np.uint32
-            rows = [(_steps(each[edges[i] : edges[i + 1]]), place[edges[i] : edges[i + 1]].astype(kind).tobytes()) for i in full]
-            none = pa.nulls(len(full), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), number, np.int64)), *(pa.array([r[j] for r in rows], pa.binary()) for j in (0, 1)), none, none, none, none], NAMES)
-
-        def described() -> pa.RecordBatch:
-            table = np.array(texts, np.int64)
-            blank = pa.nulls(len(table), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(table), -1, np.int32)), pa.nulls(len(table), pa.int64()), blank, blank, pa.array((number << PLACE_BITS) + np.arange(len(table))), *(pa.array(np.ascontiguousarray(table[:, j])) for j in range(3))], NAMES)
+        number, texts, held, place_of, size = TaskContext.get().partitionId() << 24, [], [], {}, 0
+        spread = (1 << bits) - 1
+
+        def block() -> Iterator[pa.RecordBatch]:
+            yield _rows([((number + place) & spread, TEXT, number, place, doc_id, count, digest, *[None] * 4) for doc_id, place, count, digest in texts])
+            if not held:
+                return
+            token, place = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.uint16), list(map(len, held)))
+            order = np.argsort(token, kind="stable")
+            token, place = token[order], place[order]
+            starts, count = _runs(token)
+            single = np.repeat(count == 1, count)
+            more, counts = token[starts[count > 1]], count[count > 1].astype(np.uint16)
+            if len(more):
+                yield _rows([(number & spread, LISTS, number, None, None, len(more), None, _steps(more), place[~single].tobytes(), None, counts.tobytes())])
+            token, place = token[single], place[single]
+            begins = np.arange(1 << bits, dtype=np.uint64) << np.uint64(BITS - bits)
+            one, two = (np.append(np.searchsorted(x, begins), len(x)) for x in (token, more))
+            full = np.flatnonzero(np.diff(one) + np.diff(two)).tolist()
+            rows = [(i, TOKENS, number, None, None, None, None, _steps(token[a:b]), place[a:b].tobytes(), _steps(more[c:d]), counts[c:d].tobytes()) for i, a, b, c, d in zip(full, one[full].tolist(), one[1:][full].tolist(), two[full].tolist(), two[1:][full].tolist(), strict=True)]
+            for at in range(0, len(rows), 256):
+                yield _rows(rows[at : at + 256])
 
         for ids, sets in _sets(batches, n):
-            often: list[tuple[np.ndarray, int | None, int, int]] = []
-            for doc_id, own in zip(ids.to_pylist(), sets, strict=True):
-                if not len(own) or doc_id is None:
-                    continue
-                prefix, rare = _ordered(own, last.value, ORDERS[0], similar)
-                at = np.searchsorted(last.value, prefix)
-                frequent = last.value[np.minimum(at, len(last.value) - 1)] == prefix if len(last.value) else np.zeros(len(prefix), bool)
-                if frequent.any():
-                    often.append((prefix[frequent], doc_id, len(own), rare))
-                if not frequent.all():
-                    tokens.append(prefix[~frequent])
-                    texts.append((doc_id, len(own), rare))
-                    size += len(tokens[-1])
-            if often:
-                each = [len(x[0]) for x in often]
-                repeat = lambda j: pa.array(np.repeat(np.array([x[j] for x in often], np.int64), each))  # noqa: B023, E731
-                # a rare token of the same 48 bits would be another bucket: the lowest bit tells them apart
-                key = pa.array((np.concatenate([x[0] for x in often]) | np.uint64(1)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), -2, np.int32)), pa.nulls(len(key), pa.int64()), *[pa.nulls(len(key), pa.binary())] * 2, key, repeat(1), repeat(2), repeat(3)], NAMES)
-            if size >= BLOCK:
-                yield block()
-                yield described()
-                tokens, texts, size, number = [], [], 0, number + 1
-        if tokens:
-            yield block()
-            yield described()
+            for doc_id, own in zip(ids, sets, strict=True):
+                digest = hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest() if len(own) else ""
+                if digest and digest not in place_of:
+                    place_of[digest] = len(held)
+                    held.append(np.unique(own >> np.uint64(64 - BITS)))
+                    size += len(own)
+                texts.append((doc_id, place_of.get(digest, 0), len(own), digest))
+                if size >= BLOCK or len(held) == (1 << 16) - 1 or len(texts) == 1 << 18:
+                    yield from block()
+                    number, texts, held, place_of, size = number + 1, [], [], {}, 0
+        if texts:
+            yield from block()
 
     return run
 
 
-def _steps(keys: np.ndarray) -> bytes:
-    """Ascending 48-bit keys: the first, then differences, of four bytes each if they fit."""
-    steps = np.diff(keys)
-    return keys[:1].tobytes() + steps.astype(np.uint32 if not len(steps) or int(steps.max()) < 1 << 32 else np.uint64).tobytes()
+def _answered(bits: int):
+    """Answers to the blocks, from rows in the order of their ranges; rows of texts and lists go past.
 
+    An answer has the keys, places and classes of the tokens that one text of the block has and another text of the corpus, and
+    the classes of those that several texts of the block have. Class 0 is a count of 1.
+    """
 
-def _shared_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """token, text (its number) of the rare tokens that two texts or more have, from blocks in the order of their ranges."""
-    part, keys, texts = None, [], []
-
-    def closed() -> pa.RecordBatch:
-        token, text = np.concatenate(keys), np.concatenate(texts)
-        order = np.argsort(token, kind="stable")
-        token, text = token[order], text[order]
-        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        count = np.diff(np.append(starts, len(token)))
-        keep = np.repeat(count > 1, count)
-        return pa.RecordBatch.from_arrays([pa.array((token[keep] << np.uint64(16)).view(np.int64)), pa.array(text[keep])], ["token", "text"])
-
-    for batch in batches:
-        for own, block, steps, places in zip(*(batch.column(x).to_pylist() for x in ("part", "block", "tokens", "places")), strict=True):
-            if own != part:
-                if part is not None:
-                    yield closed()
-                part, keys, texts = own, [], []
-            # n tokens: 8 + 4 (n - 1) or 8 + 8 (n - 1) bytes, and 2 n or 4 n bytes of places
-            n = next(n for n in ((len(steps) - 8) // 4 + 1, (len(steps) - 8) // 8 + 1) if len(places) in (2 * n, 4 * n))
-            rest = np.frombuffer(steps, np.uint32 if len(steps) == 4 + 4 * n else np.uint64, offset=8).astype(np.uint64)
-            keys.append(np.cumsum(np.concatenate([np.frombuffer(steps, np.uint64, 1), rest]), dtype=np.uint64))
-            texts.append((block << PLACE_BITS) + np.frombuffer(places, f"u{len(places) // n}").astype(np.int64))
-    if part is not None:
-        yield closed()
-
-
-def _candidates(last, n: int, similar: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _sets(batches, n):
-            own = [i for i, x in enumerate(sets) if len(x)]
-            # for the filters 32 bits of a token do: two that fall together only let a pair pass
-            more = [[np.sort(_ordered(sets[i], last.value, order, similar)[0].astype(np.uint32)).view(np.int32) for i in own] for order in ORDERS[1:]]
-            whole = [sets[i].view(np.int64) for i in own]
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(list(map(len, x))))).astype(np.int32)), pa.array(np.concatenate(x) if x else np.zeros(0, kind))) for x, kind in ((whole, np.int64), *((x, np.int32) for x in more))]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(own, pa.int64())), pa.array(list(map(len, whole)), pa.int64()), *lists], ["doc_id", "n", "tokens", "second", "third"])
+        part, held = None, []
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            ones = [_unstepped(keys, len(places) // 2) for _, keys, places, _, _ in held]
+            twos = [_unstepped(more, len(counts) // 2) for *_, more, counts in held]
+            weights = [np.frombuffer(counts, np.uint16).astype(np.int64) for *_, counts in held]
+            keys = np.concatenate([*ones, *twos])
+            weight = np.concatenate([np.ones(sum(map(len, ones)), np.int64), *weights])
+            order = np.argsort(keys, kind="stable")
+            starts, length = _runs(keys[order])
+            found = np.minimum(8 * np.log2(np.add.reduceat(weight[order], starts)), 255).astype(np.uint8)
+            code = np.empty(len(keys), np.uint8)
+            code[order] = np.repeat(found, length)
+            inner = np.uint64((1 << (BITS - bits)) - 1)
+            rows, at, then = [], 0, sum(map(len, ones))
+            for (block, _, places, _, _), one, two in zip(held, ones, twos, strict=True):
+                own = code[at : at + len(one)]
+                shared = own > 0
+                if shared.any() or len(two):
+                    rows.append((part, TOKENS, block, None, None, None, None, _five(one[shared] & inner), np.frombuffer(places, np.uint16)[shared].tobytes(), code[then : then + len(two)].tobytes(), own[shared].tobytes()))
+                at, then = at + len(one), then + len(two)
+            for i in range(0, len(rows), 512):
+                yield _rows(rows[i : i + 512])
+
+        for batch in batches:
+            other = batch.filter(pc.not_equal(batch.column("kind"), TOKENS))
+            if other.num_rows:
+                yield other
+            tokens = batch.filter(pc.equal(batch.column("kind"), TOKENS))
+            for own, *row in zip(*(tokens.column(x).to_pylist() for x in ("part", "block", "keys", "places", "more", "counts")), strict=True):
+                if own != part:
+                    if held:
+                        yield from closed()
+                    part, held = own, []
+                held.append(row)
+        if held:
+            yield from closed()
 
     return run
 
 
-def _near(a: Column, b: Column, similar: int) -> Column:
-    """Sizes that a link allows."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * similar
+def _gathered(bits: int, similar: int):
+    """SETS of the texts that may have a link, from rows in the order of their blocks and ranges."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, texts, lists, answers = None, [], None, []
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            if not texts or not answers and lists is None:
+                return
+            token = [_unfive(keys) + (np.uint64(part) << np.uint64(BITS - bits)) for part, keys, *_ in answers]
+            place = [np.frombuffer(places, np.uint16) for *_, places, _, _ in answers]
+            code = [np.frombuffer(counts, np.uint8) for *_, counts in answers]
+            if lists is not None:
+                n, keys, places, counts = lists
+                each = np.frombuffer(counts, np.uint16)
+                token.append(np.repeat(_unstepped(keys, n), each))
+                place.append(np.frombuffer(places, np.uint16))
+                code.append(np.repeat(np.concatenate([np.frombuffer(more, np.uint8) for *_, more, _ in answers]), each))
+            token, place, code = map(np.concatenate, (token, place, code))
+            shared = np.bincount(place, minlength=1 << 16)
+            wanted = {at: (doc_id, n) for at, doc_id, n in texts if shared[at] >= -(-similar * n // 100)}
+            open_ = np.zeros(1 << 16, bool)
+            open_[list(wanted)] = True
+            take = open_[place]
+            token, place, code = token[take], place[take], code[take]
+            order = np.lexsort((token, place))
+            token, place, code = token[order], place[order], code[order].astype(np.uint64)
+            keys = [(code // np.uint64(step)) << np.uint64(56) | mixed(token * np.uint64(seed)) >> np.uint64(8) for seed, step in ORDERS]
+            starts, length = _runs(place)
+            rows = []
+            for a, m in zip(starts.tolist(), length.tolist(), strict=True):
+                doc_id, n = wanted[int(place[a])]
+                own, most = token[a : a + m], m + (similar * -n // 100) + 1
+                first, second, third = (own[np.argsort(x[a : a + m], kind="stable")[:most]] for x in keys)
+                rows.append((doc_id, n, m, own.view(np.int64), first.view(np.int64), *(x.astype(np.uint32).view(np.int32) for x in (second, third))))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            for at in range(0, len(rows), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows[at : at + 256], strict=True), kinds, strict=True)], [c.split()[0] for c in SETS.split(", ")])
+
+        for batch in batches:
+            for own, kind, part, place, doc_id, n, keys, places, more, counts in zip(*(batch.column(x).to_pylist() for x in ("block", "kind", "part", "place", "doc_id", "n", "keys", "places", "more", "counts")), strict=True):
+                if own != block:
+                    yield from closed()
+                    block, texts, lists, answers = own, [], None, []
+                if kind == TEXT:
+                    texts.append((place, doc_id, n))
+                elif kind == LISTS:
+                    lists = (n, keys, places, counts)
+                else:
+                    answers.append((part, keys, places, more, counts))
+        yield from closed()
 
-def _enough(c: Column, similar: int) -> Column:
-    """Whether c shared prefix tokens allow a link of sizes from mina to maxa and from minb to maxb."""
-    least = F.ceil((F.col("mina") + F.col("minb")) * similar / (100.0 + similar) - 1e-9)
-    rest = F.ceil(F.greatest("maxa", "maxb") * similar / 100.0 - 1e-9) - 1
-    return c + rest >= least
-
+    return run
 
-def _counted(pairs: DataFrame, posted: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) that share enough tokens of the first order's prefixes."""
-    side = lambda x: posted.select(F.col("doc_id").alias(x), "token", F.col("n").alias(f"n{x}"))
-    shared = pairs.join(side("a"), "a").join(side("b"), ["b", "token"])
-    shared = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *(f(f"n{x}").alias(f"{f.__name__}{x}") for x in "ab" for f in (F.min, F.max)))
-    return shared.where(_enough(F.col("c"), similar)).select("a", "b")
 
+def _allowed(x: tuple[Column, Column], y: tuple[Column, Column], similar: int) -> Column:
+    """Whether sets of these sizes whose first shared token is at these places (1 is the first) may link."""
+    (n, i), (m, j) = x, y
+    return (F.least(n - i, m - j) + 1) * (100 + similar) >= (n + m) * similar
 
-def _crowded(meets: DataFrame, members: DataFrame, posted: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) of ids that meet a crowd (x, main) and ids about it (y, main) that share enough prefix tokens.
 
-    Ids about a crowd are its members and the ids that meet it; own is an id's component.
-    A crowd with y ids about it that x ids meet has about x y / CELL**2 cells of at most about CELL rows a side.
-    """
-    wanted = meets.select(F.col("x").alias("doc_id")).unionByName(members.select(F.col("y").alias("doc_id"))).distinct()
-    sets = posted.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("token").alias("tokens"), F.count(F.lit(1)).alias("rows"), F.min("n").alias("min"), F.max("n").alias("max"))
-    # tokens of a text that fall together in their 48 bits, and rows of one id, count as shared
-    sets = written(sets.withColumn("spare", F.col("rows") - F.size("tokens")).drop("rows"), "crowdsets")
-    side = lambda x: sets.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("tokens", "spare", "min", "max")))
-    blocks = lambda c: F.ceil(F.col(c) / CELL).cast("int")
-    cells = meets.groupBy("main").agg(F.count(F.lit(1)).alias("xs")).join(members.groupBy("main").agg(F.count(F.lit(1)).alias("ys")), "main").select("main", blocks("xs").alias("rows"), blocks("ys").alias("cols"))
-    own = lambda x, c: F.pmod(F.xxhash64(x), F.col(c)).cast("int")
-    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    a = meets.select(F.col("x").alias("a"), "main", F.col("own").alias("owna")).join(cells, "main").join(side("a"), "a").select("*", own("a", "rows").alias("row"), all_of("cols").alias("col")).drop("rows", "cols")
-    b = members.select(F.col("y").alias("b"), "main", F.col("own").alias("ownb")).join(cells, "main").join(side("b"), "b").select("*", own("b", "cols").alias("col"), all_of("rows").alias("row")).drop("rows", "cols")
-    near = F.least("maxa", "maxb") * 100 >= F.greatest("mina", "minb") * similar
-    shared = F.size(F.array_intersect("tokensa", "tokensb")) + F.col("sparea") + F.col("spareb")
-    met = a.join(b, ["main", "row", "col"]).where((F.col("owna") != F.col("ownb")) & ((F.col("ownb") == F.col("main")) | (F.col("a") < F.col("b"))) & near & (shared > 0) & _enough(shared, similar))
-    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """The links among pairs (a, b): the other orders' filters first, then the whole sets."""
+def _verified(pairs: DataFrame, sets: DataFrame, similar: int, name: str) -> DataFrame:
+    """The links among pairs (a, b): the other orders' filters first, then the whole sets of those that pass."""
     side = lambda x, cols: sets.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
     passed = pairs.join(side("b", ["second", "third"]), "b").join(side("a", ["second", "third"]), "a")
-    passed = passed.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b").distinct()
+    passed = written(passed.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b"), f"{name}-passed")
     both = passed.join(side("b", ["n", "tokens"]), "b").join(side("a", ["n", "tokens"]), "a")
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return both.where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * similar).select("a", "b").distinct()
-
-
-def _with_runtime_filter(spark, make):
-    """Plan and run make() with Spark's Bloom-filter joins on, so that rows without a partner are dropped before the shuffle."""
-    wanted = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g"}
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        return make()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    links = written(both.where(common * (100 + similar) >= (F.col("n_a") + F.col("n_b")) * similar).select("a", "b"), f"{name}-links")
+    dropped(passed)
+    return links
 
 
 def linked(df: DataFrame, words: int = WORDS, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: doc_id, n_shingles, component_id (smallest id reachable by links)."""
-    spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scan = written(docs.mapInArrow(_scan(words), "doc_id long, n long, token long, digest string"), "sets")
-    counts = scan.where("digest is null").groupBy("token").agg(F.sum("n").alias("n"))
-    total = scan.where("digest is null").agg(F.sum("n")).first()[0] or 0
-    last = counts.where(F.col("n") >= max(LAST, total / FREQUENT)).select("token").toPandas()["token"]
-    last = spark.sparkContext.broadcast(np.sort(last.to_numpy(np.int64).view(np.uint64)))
-
-    texts = scan.where("digest is not null").select("doc_id", "n", "digest")
-    classes = texts.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    texts = written(texts.join(classes, "digest", "left").select("doc_id", "n", "rep"), "classes")
-    reps = texts.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct()
-
-    prefixes = written(docs.mapInArrow(_prefixes(last, words, similar), POSTED), "prefixes")
-    rare = prefixes.where("part >= 0").select("part", "block", "tokens", "places").repartition("part").sortWithinPartitions("part").mapInArrow(_shared_rare, "token long, text long")
-    rare = rare.join(prefixes.where("part = -1").select(F.col("token").alias("text"), "doc_id", "n", "rare"), "text")
-    shared = rare.select("token", "doc_id", "n", "rare").unionByName(prefixes.where("part = -2").select("token", "doc_id", "n", "rare"))
-    posted = written(shared.join(reps, "doc_id", "left_semi"), "postings")
-
-    hubs = posted.groupBy("token").agg(F.min(F.struct("rare", "n", "doc_id")).alias("hub"))
-    first = posted.join(hubs, "token").where((F.col("doc_id") != F.col("hub.doc_id")) & _near(F.col("n"), F.col("hub.n"), similar))
-    first = first.select(F.greatest("doc_id", "hub.doc_id").alias("a"), F.least("doc_id", "hub.doc_id").alias("b")).distinct()
-    first = written(first, "hubpairs")
-
-    def linked_pairs(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = written(pairs, f"{name}-counted")
-        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs")), f"{name}-wanted")
-        sets = docs.join(wanted.where("pairs > 0"), "doc_id", "left_semi").mapInArrow(_candidates(last, words, similar), "doc_id long, n long, tokens array<long>, second array<int>, third array<int>")
-        sets = _with_runtime_filter(spark, lambda: written(sets, f"{name}-sets"))
-        return written(_verified(pairs, sets, similar), f"{name}-links")
-
-    links = linked_pairs(_counted(first, posted, similar), "hub")
-
-    labels = written(components(links), "labels")
-    label = F.coalesce("component", F.col("doc_id"))
-    placed = posted.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", label.alias("own"))
-    groups = placed.groupBy("token", "own").agg(F.count(F.lit(1)).alias("rows"))
-    mixed_tokens = groups.groupBy("token").agg(F.max_by("own", F.struct("rows", "own")).alias("main"), F.max("rows").alias("size"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups")
-    open_rows = written(placed.join(mixed_tokens, "token"), "open")
-    inside = open_rows.where("own = main").select("token", "doc_id", "n")
-    others = open_rows.where("own <> main").select("token", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("own").alias("ox"), "main", "size")
-
-    crowds = labels.groupBy(F.col("component").alias("main")).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= CROWD)
-    meets = others.join(crowds, "main").groupBy("x", "main").agg(F.sum("size").alias("cost"), F.min("members").alias("members"), F.min("ox").alias("own")).where("cost > members")
-    meets = written(meets.select("x", "main", "own"), "meets")
-    members = labels.select(F.col("id").alias("y"), F.col("component").alias("main"), F.col("component").alias("own"))
-    members = members.join(meets.select("main").distinct(), "main", "left_semi").unionByName(meets.withColumnRenamed("x", "y"))
-    crowded = _crowded(meets, members, posted, similar)
-
-    apart = others.join(meets, ["x", "main"], "left_anti")
-    with_main = apart.join(inside, "token").where(_near(F.col("n"), F.col("nx"), similar)).select("x", F.col("doc_id").alias("y"))
-    another = others.join(meets.select("x", "main", F.lit(True).alias("meets")), ["x", "main"], "left")
-    another = another.select("token", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("ox").alias("oy"), F.col("meets").isNotNull().alias("meets"))
-    with_others = apart.join(another, "token").where((F.col("ox") != F.col("oy")) & (F.col("meets") | (F.col("x") < F.col("y"))) & _near(F.col("nx"), F.col("ny"), similar)).select("x", "y")
-    second = with_main.unionByName(with_others).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = written(second, "pairs")
-    more = linked_pairs(_counted(second, posted, similar).unionByName(crowded.join(first, ["a", "b"], "left_anti")).distinct(), "open")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a word takes some seven bytes
+    bits = max(8, math.ceil(math.log2(max(1, size / 7 / RANGE))))
+    sent = docs.mapInArrow(_blocks(words, bits), SENT).repartition("part").sortWithinPartitions("part")
+    sent = written(sent.mapInArrow(_answered(bits), SENT), "tokens")
+
+    texts = sent.where(F.col("kind") == TEXT).select("doc_id", "n", "digest", F.struct("block", "place").alias("at"))
+    classes = texts.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("at").alias("at"), F.first("n").alias("n"))
+    classes = written(classes, "classes")
+    texts = written(texts.join(classes.select("digest", "rep"), "digest", "left").select("doc_id", "n", "rep"), "texts")
+    chosen = classes.where("rep is not null").select(F.lit(0).cast("long").alias("part"), F.lit(TEXT).alias("kind"), "at.block", "at.place", F.col("rep").alias("doc_id"), "n", *(F.lit(None).cast("binary").alias(c) for c in ("keys", "places", "more", "counts")))
+    rows = sent.where(F.col("kind") != TEXT).select(chosen.columns).unionByName(chosen)
+    sets = written(rows.repartition("block").sortWithinPartitions("block", "kind", "part").mapInArrow(_gathered(bits, similar), SETS), "sets")
+    dropped(sent, classes)
+
+    posted = sets.select("doc_id", "n", "m", F.posexplode("first").alias("at", "token")).select("token", "doc_id", "n", (F.col("n") - F.col("m") + F.col("at") + 1).alias("place"), (F.col("n") - F.col("m")).alias("own"))
+    posted = written(posted, "postings")
+    hubs = posted.groupBy("token").agg(F.min(F.struct("own", "n", "doc_id", "place")).alias("hub"), F.count(F.lit(1)).alias("texts")).where("texts > 1").select("token", "hub")
+    first = posted.join(hubs, "token").where((F.col("doc_id") != F.col("hub.doc_id")) & _allowed((F.col("n"), F.col("place")), (F.col("hub.n"), F.col("hub.place")), similar))
+    first = written(first.select(F.greatest("doc_id", "hub.doc_id").alias("a"), F.least("doc_id", "hub.doc_id").alias("b")).distinct(), "hubpairs")
+    links = _verified(first, sets, similar, "hub")
+
+    labels = components(links)
+    placed = posted.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("part"))
+    groups = placed.groupBy("token", "part").agg(F.count(F.lit(1)).alias("texts")).groupBy("token").agg(F.max_by("part", F.struct("texts", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    apart = written(placed.join(groups.where("parts > 1").select("token", "main"), "token"), "open")
+    x = apart.where("part <> main").select("token", *(F.col(c).alias(f"{c}_x") for c in ("doc_id", "n", "place", "part")))
+    met = x.join(apart, "token").where((F.col("part_x") != F.col("part")) & ((F.col("part") == F.col("main")) | (F.col("doc_id_x") < F.col("doc_id"))) & _allowed((F.col("n_x"), F.col("place_x")), (F.col("n"), F.col("place")), similar))
+    second = met.select(F.greatest("doc_id_x", "doc_id").alias("a"), F.least("doc_id_x", "doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    more = _verified(written(second, "pairs"), sets, similar, "open")
     # rows that share an id are linked by it
     repeated = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.collect_set("rep").alias("reps")).where("rows > 1").select(F.col("doc_id").alias("a"), F.explode("reps").alias("b"))
-    labels = written(components(links.unionByName(more).unionByName(repeated)), "components")
+    found = components(links.unionByName(more).unionByName(repeated))
+    dropped(sets, posted, first, links, labels, apart, more)
 
-    out = texts.withColumn("id", F.coalesce("rep", "doc_id")).join(labels, "id", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    return out
+    out = texts.withColumn("id", F.coalesce("rep", "doc_id")).join(found, "id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def deduplicated(df: DataFrame, words: int = WORDS, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
