@@ -205,5 +205,6 @@ def take(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
         own = own.withColumn("__tw_row", F.lit(1))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__tw_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__tw_source")) & (F.col("__tw_size") == F.col("__tw_words"))
     times = F.coalesce(F.try_element_at("__tw_copies", F.col("__tw_row")), F.lit(0))
-    taken = own.join(copies, same).withColumn("__tw_times", times.cast("int")).where("__tw_times > 0")
+    # copies grow with df, so they aren't broadcast where their file happens to be small
+    taken = own.join(copies.hint("merge"), same).withColumn("__tw_times", times.cast("int")).where("__tw_times > 0")
     return taken.withColumn("__tw_each", F.explode(F.sequence(F.lit(1), F.col("__tw_times")))).select(*(F.col(f"`{c}`") for c in df.columns))
