@@ -145,13 +145,52 @@ def test_language(spark):
     assert {r.lang_pred for r in language_id.identified(table.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def plain_lines(rows, least):
+    """Lines left of each (id, text), by comparing every window with all before it."""
+    seen, kept = {}, []
+    for i, text in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
+        own = text.split("\n")
+        full = [(k, words(x)) for k, x in enumerate(own) if words(x)]
+        gone = set()
+        for at in range(len(full)):
+            n = 1
+            while at + n < len(full) and sum(len(w) for _, w in full[at : at + n]) < least:
+                n += 1
+            if sum(len(w) for _, w in full[at : at + n]) >= least:
+                first = seen.setdefault(tuple(own[k].strip() for k, _ in full[at : at + n]), (i, at))
+                if first[0] != i or at >= first[1] + n:
+                    gone |= set(range(full[at][0], full[at + n - 1][0] + 1))
+        kept.append((i, len(own), len(gone), "\n".join(x for k, x in enumerate(own) if k not in gone)))
+    return kept
+
+
 def test_lines(spark):
-    rows = [(1, "one\ntwo\nthree", "s"), (2, "zero\none\ntwo\nfour", "s"), (3, "two\nfour\nnew", "s"), (4, None, "s"), (5, "", "s"), (6, "one", "s"), (7, "\n\n\n", "s"), (8, "q" * 300, "s"), (9, "z\n " + "q" * 300, "s"), (10, "a\na\na\na", "s")]
-    found = {r.doc_id: (r.n_lines, r.n_gone, r.text) for r in line_dedup.deduplicated(docs(spark, rows)).collect()}
-    assert found == {1: (3, 0, "one\ntwo\nthree"), 2: (4, 2, "zero\nfour"), 3: (3, 2, "new"), 4: (0, 0, None), 5: (1, 0, ""), 6: (1, 0, "one"), 7: (4, 0, "\n\n\n"), 8: (1, 0, "q" * 300), 9: (2, 1, "z"), 10: (4, 3, "a")}
+    rows = [(1, "one\ntwo\nthree", "s"), (2, "zero\none\ntwo\nfour", "s"), (3, "two\n\n  four\nnew", "s"), (4, None, "s"), (5, "", "s"), (6, "one", "s"), (7, "\n\n\n", "s"), (8, "q q q", "s"), (9, "z\n q q q", "s"), (10, "a\na\na\na", "s"), (8, "q q q", "s")]
+    found = {r.doc_id: (r.n_lines, r.n_gone, r.text) for r in line_dedup.deduplicated(docs(spark, rows), 2).collect()}
+    assert found == {1: (3, 0, "one\ntwo\nthree"), 2: (4, 2, "zero\nfour"), 3: (4, 3, "new"), 4: (0, 0, None), 5: (1, 0, ""), 6: (1, 0, "one"), 7: (4, 0, "\n\n\n"), 8: (1, 0, "q q q"), 9: (2, 1, "z"), 10: (4, 2, "a\na")}
     assert line_dedup.deduplicated(docs(spark, [])).count() == 0
 
 
+def test_lines_against_all_windows(spark):
+    random.seed(21)
+    lines = [" ".join(random.choices("a b c d e f g".split(), k=random.choice((0, 1, 2, 5, 9, 30)))) for _ in range(40)]
+    texts = ["\n".join(random.choices(lines, k=random.randrange(1, 30))) for _ in range(30)]
+    texts += [texts[3] + "\nend", "x\n" + texts[4], "\n".join(texts[5].split("\n")[2:9]), "\n".join(["same line"] * 200), "\n".join(f"w{k % 900}" for k in range(3000))]
+    rows = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    for least in (8, 51):
+        found = [tuple(r) for r in line_dedup.deduplicated(rows, least).orderBy("doc_id").collect()]
+        want = plain_lines(list(enumerate(texts)), least)
+        assert found == want and sum(r[2] for r in want) > 100
+    assert line_dedup.windows(rows).count() < sum(t.count("\n") + 1 for t in texts) / 2
+
+
+def test_lines_of_texts_that_share_an_id(spark):
+    rows = [(1, "a\nb\nc", "s"), (2, "a\nb\nx", "s"), (2, "keep1\nkeep2\nkeep3", "s"), (None, "u v\nw", "s"), (None, "u v\nz", "s"), (9, "u v\ny", "s")]
+    table = spark.createDataFrame([(i, t, "en", s, 0, "x", "y") for i, t, s in rows], DOCS).withColumn("gone", F.lit(1)).withColumn("version", F.lit("v"))
+    found = sorted((r.doc_id or 0, r.text) for r in line_dedup.deduplicated(table, 2).collect())
+    assert found in ([(0, "u v\nw"), (0, "z"), (1, "a\nb\nc"), (2, "keep1\nkeep2\nkeep3"), (2, "x"), (9, "y")], [(0, "u v\nz"), (0, "w"), (1, "a\nb\nc"), (2, "keep1\nkeep2\nkeep3"), (2, "x"), (9, "y")])
+
+
 def test_passages_wrapped_otherwise_or_within_lines(spark):
     random.seed(15)
     own = lambda n: [f"v{random.randrange(10**6)}" for _ in range(n)]

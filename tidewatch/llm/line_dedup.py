@@ -1,21 +1,24 @@
 """Line dedup by winnowing, in DataFrame operations only.
 
-Line hashes of a text are winnowed: the minimum of every `window` consecutive lines (the last of equal
-minima) is a fingerprint, so two texts that share that many consecutive lines share the fingerprint
-there, at the same line of the run. Fingerprints that occur once in the corpus go no further.
-A shared fingerprint is extended both ways over the windows whose minimum it is: each is verified
-by the hash of all its lines against the first place (smallest id, then line) where these
-lines stand in this order, and windows that adjoin or overlap make up the whole run. All lines of a
-run of `window` or more lines that stands at an earlier place too are deleted, and the earliest copy stays.
-A line of `long_line` characters or more (a passage of some fifty words) is a run by itself.
+A run is consecutive lines of `least` words (51) or more in all. Each line begins one window: it and as many next
+lines as it takes to have that many words, so every run holds a window. The minimum of a window's line hashes (the last
+of equal minima) is its fingerprint, and texts that share a window share the fingerprint there. Windows that
+follow each other mostly have the same one: the places of these minima, with their windows, are the only rows that go
+on, and those whose fingerprint stands at one place of the corpus only go no further.
+Positions of equal fingerprints are joined with the first place (smallest id, then line) that has the same lines around
+it: a match is extended both ways over the windows whose minimum it is, each verified by two independent 64-bit hashes of all
+its lines, and windows that adjoin or overlap make up the whole run. All lines of a run that stands at an
+earlier place too are deleted, and the earliest copy stays.
 
 Every step groups by a hash with map-side aggregation; no step pairs the copies of a run with one
 another, so a passage that a third of all texts share costs a row a copy.
 
-Results for odd input: lines are compared without white space at their ends; a run without any
-other character is never deleted; a null text has no lines and stays null; an empty text stays empty; a text
-whose lines all go becomes empty; of rows with equal ids and texts all keep what the first keeps; other
-columns aren't returned; an empty table gives an empty result.
+Results for odd input: lines are compared without white space at their ends; lines without any other character don't count,
+and go with the run that they lie within; a copy that overlaps its own first place in one text stays; a null text has no
+lines and stays null; an empty text stays empty; a text whose lines all go becomes empty; rows with equal ids and
+different texts are texts of their own, in the order of a hash; rows with equal ids and texts all keep what the first keeps; a null
+id comes before all others; very long texts are cut like all others, with windows of 51 lines at most; other columns aren't
+returned; an empty table gives an empty result.
 
 Lines see a passage only where it is cut into the same lines. `passages_removed` works on words instead, however they are
 wrapped or embedded: every stretch of `least` words (51) that stands at an earlier place too is deleted, and so is every
@@ -31,11 +34,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.shared import written
 
-#: Lines that a repeated run has at least.
-WINDOW = 2
-#: Characters of a line that is a run by itself.
-LONG_LINE = 250
-#: Words that a repeated passage has at least, and words of a fingerprint of it.
+#: Words that a repeated run or passage has at least, and words of a fingerprint of a passage.
 LEAST, GRAM = 51, 8
 SPACE = r"\x20\x09-\x0D"
 
@@ -48,47 +47,68 @@ def stripped(line: Column) -> Column:
     return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
 
 
-def windows(df: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE) -> DataFrame:
-    """doc_id, line (0 is the first), size, place, fingerprint, run: a row for each `window` consecutive lines and for each long line.
+def windows(df: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc_id, version, fingerprint, place, windows: a row for each window minimum, with the windows that have it.
 
-    fingerprint is the least line hash and place the line that has it, the last one of equals; run is a hash of all the lines.
+    A window has at and n (its first line and number of lines, of those with words), line and last (their numbers in the text, 0 is the
+    first), one and two (hashes of its lines). version tells texts of one id apart.
     """
-    own = df.select("doc_id", F.transform(lines(F.col("text")), stripped).alias("l"))
-    own = own.select("doc_id", F.transform("l", lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) >= long_line).alias("long"))).alias("l"))
-    short = F.transform(F.sequence(F.lit(1), F.size("l") - window + 1), lambda i: F.struct((i - 1).alias("line"), F.slice("l.h", i, window).alias("own")))
-    short = F.when(F.size("l") >= window, short).otherwise(F.array().cast("array<struct<line:int,own:array<bigint>>>"))
-    long = F.filter(F.transform("l", lambda x, i: F.struct(i.alias("line"), F.array(x["h"]).alias("own"), x["long"].alias("long"))), lambda x: x["long"])
-    long = F.transform(long, lambda x: F.struct(x["line"].alias("line"), x["own"].alias("own")))
-    rows = own.select("doc_id", F.inline(F.concat(short, long))).where(F.exists("own", lambda x: x != F.xxhash64(F.lit(""))))
-    least = F.array_min("own")
-    place = F.col("line") + F.size("own") - F.array_position(F.reverse("own"), least).cast("int")
-    return rows.select("doc_id", "line", F.size("own").alias("size"), place.alias("place"), least.alias("fingerprint"), F.xxhash64(F.col("own"), F.lit(41)).alias("run"))
-
-
-def repeated_lines(df: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE) -> DataFrame:
-    """doc_id, gone: the numbers of the lines that are deleted, ascending; only texts that have any."""
-    rows = written(windows(df, window, long_line), "windows")
-    position = F.struct("doc_id", "place")
+    word = F.lit(f"[^{SPACE}]+")
+    own = df.where("text is not null").select("doc_id", F.xxhash64("text").alias("version"), F.transform(lines(F.col("text")), stripped).alias("l"))
+    of_line = lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("one"), F.xxhash64(F.lit(41), x).alias("two"), F.regexp_count(x, word).alias("words"))
+    own = own.select("doc_id", "version", F.filter(F.transform("l", of_line), lambda x: x["words"] > 0).alias("l")).where(F.size("l") > 0)
+    # a line with words has one at least, so no window is longer than `least` lines
+    grown = lambda i: F.aggregate(F.slice("l.words", i, least), F.struct(F.lit(0).alias("words"), F.lit(0).alias("n")), lambda a, x: F.when(a["words"] >= least, a).otherwise(F.struct((a["words"] + x).alias("words"), (a["n"] + 1).alias("n"))))
+    own = own.select("doc_id", "version", "l", F.transform(F.sequence(F.lit(1), F.size("l")), grown).alias("w"))
+    # the last windows of a text run out of words
+    own = own.select("doc_id", "version", "l", F.col("l.one").alias("one"), F.col("l.two").alias("two"), F.transform(F.filter("w", lambda x: x["words"] >= least), lambda x: x["n"]).alias("n"))
+    of_start = lambda n, i: F.struct(
+        i.alias("at"), n.alias("n"), F.get("l", i)["line"].alias("line"), F.get("l", i + n - 1)["line"].alias("last"),
+        F.xxhash64(F.slice("one", i + 1, n)).alias("one"), F.xxhash64(F.slice("two", i + 1, n)).alias("two"), F.array_min(F.slice("one", i + 1, n)).alias("least"),
+    )
+    own = own.select("doc_id", "version", "one", F.transform("n", of_start).alias("w"))
+    place = lambda x: x["at"] + x["n"] - F.array_position(F.reverse(F.slice("one", x["at"] + 1, x["n"])), x["least"]).cast("int")
+    own = own.select("doc_id", "version", "w", F.transform("w", place).alias("places"))
+    # places never go back from one window to the next
+    cut = F.filter(F.transform("places", lambda x, i: F.when((i == 0) | (x != F.get("places", i - 1)), i)), lambda i: i.isNotNull())
+    own = own.select("doc_id", "version", "w", "places", cut.alias("cut"))
+    part = lambda i, k: F.struct(F.get("w", i)["least"].alias("fingerprint"), F.get("places", i).alias("place"), F.transform(F.slice("w", i + 1, F.coalesce(F.get("cut", k + 1), F.size("w")) - i), lambda x: x.dropFields("least")).alias("windows"))
+    return own.select("doc_id", "version", F.inline(F.transform("cut", part)))
+
+
+def repeated_lines(df: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc_id, version, gone: the stretches (line and last) that are deleted, apart and ascending; only texts that have any."""
+    rows = written(windows(df, least), "fingerprints")
+    position = F.struct("doc_id", "version", "place")
     shared = rows.groupBy("fingerprint").agg(F.min(position).alias("a"), F.max(position).alias("b")).where("a <> b").select("fingerprint")
-    candidates = rows.join(shared, "fingerprint", "left_semi")
-    # both ways from the fingerprint: every window that it is the minimum of, against where its lines stand first
-    start = F.struct("doc_id", "line")
-    first = candidates.groupBy("fingerprint", "run", "size").agg(F.min(start).alias("first"), F.max(start).alias("last")).where("first <> last").drop("last")
-    later = candidates.join(first, ["fingerprint", "run", "size"]).where(start != F.col("first"))
-    covered = F.explode(F.sequence(F.col("line"), F.col("line") + F.col("size") - 1))
-    return later.select("doc_id", covered.alias("line")).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("gone"))
-
-
-def deduplicated(df: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    candidates = rows.join(shared, "fingerprint", "left_semi").select("fingerprint", "doc_id", "version", F.inline("windows"))
+    candidates = written(candidates, "positions")
+    start = F.struct("doc_id", "version", "at")
+    first = candidates.groupBy("fingerprint", "one", "two").agg(F.min(start).alias("first"), F.max(start).alias("end")).where("first <> end").drop("end")
+    elsewhere = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version")))
+    later = candidates.join(first, ["fingerprint", "one", "two"]).where(elsewhere | (F.col("at") >= F.col("first.at") + F.col("n")))
+    found = later.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("line", "last"))).alias("w"))
+    # windows end in the order in which they start, so only neighbours can touch
+    starts = F.filter("w", lambda x, k: (k == 0) | (x["line"] > F.get("w", k - 1)["last"] + 1))
+    ends = F.filter("w", lambda x, k: (k == F.size("w") - 1) | (x["last"] + 1 < F.get("w", k + 1)["line"]))
+    return found.select("doc_id", "version", F.zip_with(starts, ends, lambda a, b: F.struct(a["line"].alias("line"), b["last"].alias("last"))).alias("gone"))
+
+
+def deduplicated(df: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: doc_id, n_lines, n_gone, text without the deleted lines."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    gone = repeated_lines(docs, window, long_line)
-    both = docs.join(gone, "doc_id", "left")
-    left = F.filter(lines(F.col("text")), lambda _, i: ~F.array_contains("gone", i))
+    gone = repeated_lines(docs, least).select(F.col("doc_id").alias("of"), F.col("version").alias("own"), "gone")
+    both = docs.withColumn("version", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("version") == F.col("own")), "left")
+    both = both.select("doc_id", "text", "gone", lines(F.col("text")).alias("l"))
+    # what lies between one deleted stretch and the next
+    froms = F.concat(F.array(F.lit(0)), F.transform("gone", lambda x: x["last"] + 1))
+    untils = F.concat(F.transform("gone", lambda x: x["line"]), F.array(F.size("l")))
+    left = F.flatten(F.zip_with(froms, untils, lambda a, b: F.slice("l", a + 1, F.greatest(b - a, F.lit(0)))))
+    n_gone = F.aggregate("gone", F.lit(0), lambda n, x: n + x["last"] - x["line"] + 1)
     return both.select(
         "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines(F.col("text")))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_gone"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("l")).cast("long").alias("n_lines"),
+        F.coalesce(n_gone, F.lit(0)).cast("long").alias("n_gone"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
     )
 

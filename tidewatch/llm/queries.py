@@ -103,13 +103,14 @@ ORACLE = {
         select query_id, rank, vec_id, distance from r where rank <= 10""",
     "op5_line_dedup": r"""
         with l as (select doc_id, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as line from documents where text is not null),
-        t as (select *, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as own from l),
-        w as (select doc_id, line, 2 as size, own || chr(10) || lead(own) over (partition by doc_id order by line) as run from t
-              union all select doc_id, line, 1, own from t where length(own) >= 250),
-        r as (select *, row_number() over (partition by size, run order by doc_id, line) as nth from w where run is not null and run <> chr(10)),
-        g as (select doc_id, line from r where nth > 1 union select doc_id, line + 1 from r where nth > 1 and size = 2),
-        s as (select t.doc_id, count(*) as n_lines, count(g.line) as n_gone, coalesce(string_agg(raw, chr(10) order by t.line) filter (where g.line is null), '') as text
-              from t left join g on g.doc_id = t.doc_id and g.line = t.line group by t.doc_id)
+        t as (select *, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as own, len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) as words from l),
+        f as (select *, row_number() over (partition by doc_id order by line) as nth, sum(words) over (partition by doc_id order by line) as upto from t where words > 0),
+        e as (select a.doc_id, a.nth, min(b.nth) as until from f a join f b on a.doc_id = b.doc_id and b.nth between a.nth and a.nth + 50 and b.upto - a.upto + a.words >= 51 group by all),
+        w as (select e.doc_id, e.nth, e.until, min(line) as line, max(line) as last, string_agg(own, chr(10) order by f.nth) as run from e join f on f.doc_id = e.doc_id and f.nth between e.nth and e.until group by all),
+        r as (select *, first_value(doc_id) over (partition by run order by doc_id, nth) as first_doc, first_value(nth) over (partition by run order by doc_id, nth) as first_nth from w),
+        g as (select distinct doc_id, unnest(range(line, last + 1)) as line from r where doc_id <> first_doc or nth > first_nth + until - nth),
+        s as (select l.doc_id, count(*) as n_lines, count(g.line) as n_gone, coalesce(string_agg(raw, chr(10) order by l.line) filter (where g.line is null), '') as text
+              from l left join g on g.doc_id = l.doc_id and g.line = l.line group by l.doc_id)
         select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_gone, 0) as n_gone, s.text as text from documents d left join s using (doc_id)""",
     "op7_token_rollup": r"""
         with l as (select doc_id, max(toxic) as toxic, min(quality) as quality from labels group by doc_id),
