@@ -17,12 +17,14 @@ The order is two: the distinct trigrams of a corpus are about as many as its wor
 take a multiple of the input on disk.
 
 Results for odd input: a null text is empty and has the end token only; without training texts every
-token has probability 1; rows with equal ids are separate texts; other columns aren't read; an empty
-table gives an empty result.
+token has probability 1; rows with equal ids are separate texts; a very long text is one piece; columns of the
+input that are named like results are replaced; other columns aren't read; an empty table gives an empty result; 2**32
+distinct words or more raise an error.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,8 +38,8 @@ from tidewatch.llm.words import mixed, pieces, word_hashes
 
 #: Tokens that a task adds up before it passes them on, and about how many distinct keys a range has.
 CHUNK, RANGE = 1 << 21, 2_000_000
-#: Ranges of hashes are 2**BITS.
-BITS = 6
+#: Ranges of hashes are 2**BITS at least, and more where a range would hold more than WORDS words of text.
+BITS, WORDS = 6, 1 << 23
 END = mixed(np.array([0x454E44], np.uint64))[0]
 
 
@@ -130,7 +132,8 @@ class Model:
     """Names and numbers of a trained model; the arrays are in files below root."""
 
     root: str
-    offsets: list[int] = field(default_factory=lambda: [0] * ((1 << BITS) + 1))  # first id of each range of hashes
+    bits: int = BITS
+    offsets: list[int] = field(default_factory=lambda: [0])  # first id of each range of hashes
     tokens: int = 0
     bounds: list[int] = field(default_factory=list)
     present: list[int] = field(default_factory=list)  # ranges of keys that have a file
@@ -148,13 +151,18 @@ class Model:
 FIELDS = ("count", "follows", "total", "ones", "twos", "more")
 
 
+def _starts(bits: int) -> np.ndarray:
+    """Where ranges of hashes begin, but for the first."""
+    return np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+
+
 class Mapped:
     """A model's arrays in one worker; files are mapped when they are first needed."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.files = model, {}
         self.offsets = np.array(model.offsets, np.int64)
-        self.starts = np.array([i << (64 - BITS) for i in range(1, 1 << BITS)], np.uint64)
+        self.starts = _starts(model.bits)
         self.bounds = np.array(model.bounds, np.uint64)
 
     def array(self, name: str, kind: type = np.uint64) -> np.ndarray:
@@ -232,7 +240,9 @@ def train(df: DataFrame, root: str, text_col: str = "text") -> Model:
     """A model of df's texts, with its files below root, a folder that driver and executors share."""
     spark, model = df.sparkSession, Model(root)
     texts = df.select(F.col(text_col).alias("text"))
-    starts = np.array([i << (64 - BITS) for i in range(1, 1 << BITS)], np.uint64)
+    # a word takes some seven bytes
+    model.bits = max(BITS, math.ceil(math.log2(max(1, (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 7 / WORDS))))
+    parts_of_words, starts = 1 << model.bits, _starts(model.bits)
     sums = texts.mapInArrow(_added(lambda x: _tokens(x)[0], starts), ADDED)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,17 +252,19 @@ def train(df: DataFrame, root: str, text_col: str = "text") -> Model:
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([len(keys)]), pa.array([int(counts.sum())])], ["part", "n", "tokens"])
 
     by_part = lambda x: x.repartition("part").sortWithinPartitions("part")
-    made = {r.part: r for r in written(by_part(sums).mapInArrow(words, "part int, n long, tokens long"), "words").collect()}  # a row for each of 2**BITS ranges
-    sizes = [made[i].n if i in made else 0 for i in range(1 << BITS)]
-    masses = [made[i].tokens if i in made else 0 for i in range(1 << BITS)]
+    made = {r.part: r for r in written(by_part(sums).mapInArrow(words, "part int, n long, tokens long"), "words").collect()}  # a row for each range of hashes
+    sizes = [made[i].n if i in made else 0 for i in range(parts_of_words)]
+    masses = [made[i].tokens if i in made else 0 for i in range(parts_of_words)]
     model.offsets = np.concatenate(([0], np.cumsum(sizes))).tolist()
     model.tokens = sum(masses)
     if not model.tokens:
         return model
     size, offsets = model.size, np.array(model.offsets)
+    if size >= 1 << 32:
+        raise ValueError("a bigram's key has 64 bits, which is enough for 2**32 distinct words")
 
     # where ranges of keys of equal mass begin: a context has its count's mass, spread evenly over its words
-    ranges = max(1 << BITS, -(-model.tokens // RANGE))
+    ranges = max(parts_of_words, -(-model.tokens // RANGE))
     wanted = [model.tokens * i / ranges for i in range(1, ranges)]
     before = np.concatenate(([0], np.cumsum(masses)))
 
@@ -266,7 +278,7 @@ def train(df: DataFrame, root: str, text_col: str = "text") -> Model:
                 keys = (offsets[part] + at).astype(np.uint64) * np.uint64(size) + (share * size).astype(np.uint64)
                 yield pa.record_batch([pa.array(keys.view(np.int64))], ["key"])
 
-    filled = spark.createDataFrame([(i,) for i in range(1 << BITS) if sizes[i]], "part int").repartition("part")
+    filled = spark.createDataFrame([(i,) for i in range(parts_of_words) if sizes[i]], "part int").repartition("part")
     model.bounds = sorted({r.key for r in filled.mapInArrow(begins, "key long").collect()})  # one for each range
     bounds = np.array(model.bounds, np.uint64)
 
