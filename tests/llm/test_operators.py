@@ -214,10 +214,12 @@ def test_passages_wrapped_otherwise_or_within_lines(spark):
     assert line_dedup.passages_removed(docs(spark, [])).count() == 0
 
 
-def test_kneser_ney_against_plain_counts(spark):
+@pytest.mark.parametrize("most", [kneser_ney.WORDS, 8])
+def test_kneser_ney_against_plain_counts(spark, monkeypatch, most):
+    monkeypatch.setattr(kneser_ney, "WORDS", most)
     random.seed(6)
-    texts = [" ".join(random.choices("a b c d e f g h i j".split(), weights=range(1, 11), k=random.randrange(1, 30))) + f" r{i}" for i in range(120)] + [None, "", "A  B"]
-    table = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    texts = [" ".join(random.choices("a b c d e f g h i j".split(), weights=range(1, 11), k=random.randrange(1, 30))) + f" r{i}" for i in range(120)] + [None, "", "A  B", "a b " * 30_000]
+    table = docs(spark, [(i, t, "s") for i, t in enumerate(texts)]).withColumn("score", F.lit("own"))
     found = {r.doc_id: r for r in kneser_ney.scored(table).collect()}
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     tokens = [[*words(t), None] for t in texts]
@@ -328,6 +330,68 @@ def test_rollup(spark):
     assert totals() == {("a", "en"): (1, 7), ("a", None): (1, 20)} and rollup.commit("none", change(rows.where("doc_id < 0"), "insert", "t", F.lit(1)))
 
 
+def test_rollup_ignores_the_order_of_rows(spark):
+    kind = "doc_id long, tokenizer string, source string, lang string, op string, n_tokens long, seq int"
+    rows = [(1, "t", "a", "en", "delete", 5, 0), (1, "t", "a", "en", "insert", 5, 0), (1, "t", None, "en", "insert", 5, 0), (2, "t", "a", None, "insert", None, 1), (2, "t", "a", "en", "insert", 9, 0), (None, "t", "a", "en", "insert", 3, 0), (2, "t", "a", None, "insert", None, 1)]
+    found = []
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        rollup = token_rollup.Rollup(spark, shared_folder(spark, "rollup"))
+        rollup.commit("one", spark.createDataFrame(rows, kind).withColumn("old", F.lit(1)))
+        found.append(sorted(map(tuple, rollup.totals().collect()), key=str))
+    assert found[0] == found[1] == found[2] == sorted([("a", "en", "t", 2, 8), ("a", None, "t", 1, 0)], key=str)
+
+
+def test_rollup_reads_touched_buckets_and_compacts(spark):
+    rows = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("en").alias("lang"))
+    rollup, change = token_rollup.Rollup(spark, shared_folder(spark, "rollup"), 6, 3), token_rollup.change
+    rollup.commit("load", change(rows, "insert", "t", F.lit(2)))
+    one = rows.where("doc_id = 7")
+    touched = rollup.touched_state(change(one, "revise", "t", F.lit(3)))
+    assert touched.count() == 1 and len(touched.inputFiles()) >= 1
+    plan = touched._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [", 1)[1].split("]")[0]
+    live = {i: 2 for i in range(600)}
+    for k in range(4):
+        own = rows.where(f"doc_id % 100 = {k}")
+        rollup.commit(f"b{k}", change(own, "revise" if k % 2 else "delete", "t", F.lit(k)))
+        assert not rollup.commit(f"b{k}", change(own, "insert", "t", F.lit(99)))
+        live = {i: k if i % 100 == k else n for i, n in live.items() if i % 100 != k or k % 2}
+    total = rollup.totals().first()
+    assert (total.docs, total.tokens) == (len(live), sum(live.values())) and any(x.startswith("base~") for x in rollup.commits())
+    assert {r.doc_id: r.n_tokens for r in rollup.state().collect()} == live
+    # a commit that broke off before its marker is applied when it comes again
+    rollup._files.create(rollup._path(f"{rollup.root}/claimed/{rollup._number():09d}"), False).close()
+    assert rollup.commit("late", change(rows.where("doc_id = 1"), "insert", "t", F.lit(1))) and rollup.totals().first().docs == len(live) + (1 not in live)
+
+
+def test_rollup_of_real_tokens(spark, tmp_path):
+    tiktoken = pytest.importorskip("tiktoken")
+    from tidewatch.llm import queries
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    random.seed(5)
+    texts = [None, "", *(" ".join(random.choices(["the", "a  b", "été", "\n\n", "x9", "!?"], k=random.randrange(40))) for _ in range(60))]
+    rows = [(i, t, random.choice(["en", None]), random.choice("ab"), 0, "x", "y") for i, t in enumerate(texts)]
+    labels = [(i, i % 2, int(i % 5 == 0)) for i in range(0, 60, 3)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    n = lambda t: len(library.encode_ordinary(t))
+    want, known = collections.defaultdict(lambda: [0, 0]), {i: (q, toxic) for i, q, toxic in labels}
+    for i, t, lang, source, *_ in rows:
+        q, toxic = known.get(i, (1, 0))
+        text = t or ""
+        each = {"words-2": sum(any(c.isascii() and c.isalpha() for c in w) for w in words(text))}
+        if not toxic:
+            each |= {"byte_bpe_50k": n(re.sub(r"[\x20\x09-\x0D]+", " ", text) if q == 0 else text), "words-1": len(words(text))}
+        for version, c in each.items():
+            want[source, lang, version][0] += 1
+            want[source, lang, version][1] += c
+    found = {(r.source, r.lang, r.tokenizer): [r.docs, r.tokens] for r in queries.op7_token_rollup(spark, str(tmp_path)).collect()}
+    assert found == dict(want)
+
+
 def test_warc(spark):
     big = "<p>" + "é" * 800
     rows = [(1, "u1", big), (2, "u\n2", big), (3, None, "small"), (4, "u4", "small"), (5, "u5", None)]

@@ -311,6 +311,16 @@ def encode_and_decode(df: DataFrame, path: str, pattern: str, text_col: str = "t
     return df.mapInArrow(run, schema)
 
 
+def token_counts(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
+    """df with out_col: the number of ids of the whole text; the ids stay in the worker."""
+
+    def count(batch: pa.RecordBatch) -> pa.Array:
+        ids = vocabulary(path, pattern).encode(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+        return pc.list_value_length(ids).cast(pa.int64())
+
+    return _with(df, out_col, T.LongType(), count, lambda batches: pieces(batches, text_col, SLICE))
+
+
 def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text's ids and of what they decode to."""
     both = encode_and_decode(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), path, pattern)

@@ -47,21 +47,47 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.scored(table(spark, sf_dir, "documents"))
 
 
+def _labelled(spark: SparkSession, sf_dir: str, counts: DataFrame) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    return counts.join(labels, "doc_id")
+
+
 def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words and characters of all documents by source, language and version, after five batches.
+    """Tokens of all documents by source, language and tokenizer version, after five batches.
 
-    All documents are inserted in both versions; those that `labels` calls toxic are deleted; those of quality 0
-    are revised to the words that have a letter; the first batch is delivered a second time, which changes
-    nothing; at last the third version of the tokenizer (words of letters only) counts all documents.
+    All documents are inserted with the ids of byte_bpe_50k and with their words; those that `labels` calls toxic are deleted; those of
+    quality 0 are revised to the ids of their text with each run of white space as one space; the first batch is
+    delivered a second time, which changes nothing; at last a second version of the words (those with a letter) counts all documents.
     """
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents")
+    words = [source_mix.word_count(F.col("text")).alias("words"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]*[A-Za-z][^\x20\x09-\x0D]*")), F.lit(0)).alias("lettered")]
+    counts = byte_bpe.token_counts(docs.select("doc_id", "source", "lang", "text", *words), path, pattern, out_col="ids").drop("text")
+    counts = written(counts, "counts")
+    labelled = _labelled(spark, sf_dir, counts)
+    poor = labelled.where("toxic = 0 and quality = 0").select("doc_id", "source", "lang")
+    poor = poor.join(docs.select("doc_id", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ").alias("text")), "doc_id")
+    rollup, change = token_rollup.Rollup(spark, shared_folder(spark, "rollup")), token_rollup.change
+    loaded = change(counts, "insert", "byte_bpe_50k", F.col("ids")).unionByName(change(counts, "insert", "words-1", F.col("words")))
+    toxic = labelled.where("toxic = 1")
+    rollup.commit("load", loaded)
+    rollup.commit("toxic", change(toxic, "delete", "byte_bpe_50k", F.lit(0)).unionByName(change(toxic, "delete", "words-1", F.lit(0))))
+    rollup.commit("revised", change(byte_bpe.token_counts(poor, path, pattern), "revise", "byte_bpe_50k", F.col("n_tokens")))
+    rollup.commit("load", loaded)
+    rollup.commit("words-2", change(counts, "insert", "words-2", F.col("lettered")))
+    return rollup.totals()
+
+
+def op7_word_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with counts that SQL can express: words and characters, revised to the words that have a letter."""
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     text = F.coalesce("text", F.lit(""))
     counts = docs.select("doc_id", "source", "lang", source_mix.word_count(text).alias("words"), F.length(text).alias("chars"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]*[A-Za-z][^\x20\x09-\x0D]*")).alias("lettered"))
     counts = written(counts, "counts")
-    labelled = counts.join(labels, "doc_id")
-    rollup = token_rollup.Rollup(spark, shared_folder(spark, "rollup"))
-    change = token_rollup.change
+    labelled = _labelled(spark, sf_dir, counts)
+    rollup, change = token_rollup.Rollup(spark, shared_folder(spark, "rollup")), token_rollup.change
     loaded = change(counts, "insert", "words-1", F.col("words")).unionByName(change(counts, "insert", "chars-1", F.col("chars")))
     toxic = labelled.where("toxic = 1")
     rollup.commit("load", loaded)
@@ -112,7 +138,7 @@ ORACLE = {
         s as (select l.doc_id, count(*) as n_lines, count(g.line) as n_gone, coalesce(string_agg(raw, chr(10) order by l.line) filter (where g.line is null), '') as text
               from l left join g on g.doc_id = l.doc_id and g.line = l.line group by l.doc_id)
         select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_gone, 0) as n_gone, s.text as text from documents d left join s using (doc_id)""",
-    "op7_token_rollup": r"""
+    "op7_word_rollup": r"""
         with l as (select doc_id, max(toxic) as toxic, min(quality) as quality from labels group by doc_id),
         d as (select d.source, d.lang, l.toxic, l.quality,
                      cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as words,

@@ -2,81 +2,151 @@
 
 A batch of changes (insert a count, delete it, revise it) becomes signed deltas against the live
 counts of the documents it names; these add up by source, language and tokenizer version to the
-totals. Everything a batch does is two tables below `root`, named after the batch: the new state of
+totals. Everything a batch does is two tables below `root`, named after its number and name: the new state of
 the documents it touched and the deltas of the totals. Both appear in one step, when the batch's
 marker is written after them; a batch that has its marker is never applied again, and one that failed
-half-way is written anew. The totals are the sum of all committed deltas, so a batch costs what it touches.
+half-way is written anew. Two writers can't take one number: the second finds it claimed and computes its deltas anew.
+
+State lies in buckets of documents. A commit reads the buckets that its documents are in, and of those only the rows of these
+documents are grouped. compact() writes the last state of all documents as one table, and the sums of all deltas, so
+that a commit doesn't read the history of its buckets again and again; commit() calls it after every COMPACT batches.
 
 Results for odd input: an insert or revision of a live count replaces it; a delete or revision of
 what isn't live (a revision then inserts) changes nothing twice; of several changes to one document and
-version in one batch the one with the largest `seq` counts, then the larger count; null source or language is a group of
-its own; a null count is 0; an empty batch commits and changes nothing; extra columns are ignored.
+version in one batch the one with the largest `seq` counts, then the largest count, operation, source and language by code
+point, a null being smallest, so the order of rows never matters; null source or language is a group of
+its own; a null count is 0; a null id is a document of its own; an empty batch commits and changes nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ["doc_id", "tokenizer"]
 GROUP = ["source", "lang", "tokenizer"]
-STATE = "doc_id long, tokenizer string, source string, lang string, n_tokens long, live boolean, commit long"
+STATE = "doc_id long, tokenizer string, source string, lang string, n_tokens long, live boolean, commit long, bucket int"
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long, commit long"
+#: Buckets of the state, and commits after which it is compacted.
+BUCKETS, COMPACT = 64, 16
+_BASE = "base"
 
 
 class Rollup:
     """Totals below a folder of a Hadoop file system that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, compact_after: int = COMPACT) -> None:
+        self.spark, self.root, self.buckets, self.compact_after = spark, root.rstrip("/"), buckets, compact_after
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._files = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(f"{self.root}/{folder}")
+        return [x.getPath().getName() for x in self._files.listStatus(path)] if self._files.exists(path) else []
+
     def commits(self) -> dict[str, int]:
-        """Committed batches and their numbers."""
-        folder = self._path(f"{self.root}/committed")
-        names = [x.getPath().getName() for x in self._files.listStatus(folder)] if self._files.exists(folder) else []
-        return {m[2]: int(m[1]) for x in names if (m := re.fullmatch(r"(\d+)-(.+)", x))}
+        """Committed batches and their numbers; the compacted tables count by the number that they hold."""
+        return {m[2]: int(m[1]) for x in self._names("committed") if (m := re.fullmatch(r"(\d+)-(.+)", x))}
+
+    def _since(self) -> tuple[list[str], list[str]]:
+        """The newest compacted tables, if any, with the batches after them; and all batches."""
+        done = self.commits()
+        bases = sorted((n, x) for x, n in done.items() if x.startswith(f"{_BASE}~"))
+        held = int(bases[-1][1].split("~")[1]) if bases else 0
+        batches = sorted((n, x) for x, n in done.items() if not x.startswith(f"{_BASE}~"))
+        return [f"{n:09d}-{x}" for n, x in [*bases[-1:], *(b for b in batches if b[0] > held)]], [x for _, x in batches]
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.root}/{kind}/{name}" for name in self.commits()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        paths = [f"{self.root}/{kind}/{name}" for name in self._since()[0]]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        found = [self.spark.read.schema(schema).parquet(p) for p in paths]
+        rows = found[0]
+        for more in found[1:]:
+            rows = rows.unionByName(more)
+        return rows
+
+    def _last(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*KEY).agg(F.max_by(F.struct("source", "lang", "n_tokens", "live"), "commit").alias("x"))
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
 
     def state(self) -> DataFrame:
         """The live counts: doc_id, tokenizer, source, lang, n_tokens."""
-        last = self._read("state", STATE).groupBy(*KEY).agg(F.max_by(F.struct("source", "lang", "n_tokens", "live"), "commit").alias("x"))
-        return last.where("x.live").select(*KEY, "x.source", "x.lang", "x.n_tokens")
+        return self._last(self._read("state", STATE)).where("x.live").select(*KEY, "x.source", "x.lang", "x.n_tokens")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens; groups without documents are gone."""
         sums = self._read("delta", DELTA).groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return sums.where("docs <> 0 or tokens <> 0")
 
+    def touched_state(self, keys: DataFrame) -> DataFrame:
+        """State rows of these documents and versions, from the buckets that they are in."""
+        buckets = [r[0] for r in keys.select(self._bucket()).distinct().collect()]  # self.buckets numbers at most
+        own = keys.select(*KEY).distinct().select(*(F.col(c).alias(f"of_{c}") for c in KEY))
+        rows = self._read("state", STATE).where(F.col("bucket").isin(buckets))
+        return rows.join(own, rows["doc_id"].eqNullSafe(own["of_doc_id"]) & rows["tokenizer"].eqNullSafe(own["of_tokenizer"]), "left_semi")
+
+    def _number(self) -> int:
+        taken = [*self.commits().values(), *(int(x) for x in self._names("claimed"))]
+        return max(taken, default=0) + 1
+
+    def _put(self, number: int, name: str, state: DataFrame, deltas: DataFrame) -> bool:
+        """Write both tables and their marker; False if another writer has taken the number meanwhile."""
+        folder = f"{number:09d}-{name}"
+        # an attempt has its own folders, so two writers of one batch and number don't meet
+        attempt = f"attempt-{uuid.uuid4().hex}"
+        state.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{attempt}/state")
+        deltas.write.parquet(f"{self.root}/{attempt}/delta")
+        for kind in ("state", "delta", "claimed", "committed"):
+            self._files.mkdirs(self._path(f"{self.root}/{kind}"))
+        try:
+            self._files.create(self._path(f"{self.root}/claimed/{number:09d}"), False).close()
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in str(e.java_exception.getClass().getName()):
+                raise
+            self._files.delete(self._path(f"{self.root}/{attempt}"), True)
+            return False
+        for kind in ("state", "delta"):
+            self._files.rename(self._path(f"{self.root}/{attempt}/{kind}"), self._path(f"{self.root}/{kind}/{folder}"))
+        self._files.create(self._path(f"{self.root}/committed/{number:09d}-{name}"), True).close()
+        self._files.delete(self._path(f"{self.root}/{attempt}"), True)
+        return True
+
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply a batch of doc_id, tokenizer, source, lang, op (insert, delete, revise), n_tokens, seq. False: it had been applied."""
         if not re.fullmatch(r"[\w.-]+", batch_id):
             raise ValueError("a batch is named by letters, digits, _, . and -")
+        n = F.coalesce(F.col("n_tokens").cast("long"), F.lit(0).cast("long"))
+        new = changes.groupBy(*KEY).agg(F.max(F.struct("seq", n.alias("n_tokens"), "op", "source", "lang")).alias("new"))
+        while batch_id not in (done := self.commits()):
+            number = self._number()
+            old = self._last(self.touched_state(new)).where("x.live").select(*(F.col(c).alias(f"of_{c}") for c in KEY), F.struct("x.source", "x.lang", "x.n_tokens").alias("old"))
+            same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & F.col("tokenizer").eqNullSafe(F.col("of_tokenizer"))
+            touched = new.join(old, same, "left").where("new.op <> 'delete' or old is not null")
+            state = touched.select(*KEY, "new.source", "new.lang", "new.n_tokens", (F.col("new.op") != "delete").alias("live"), F.lit(number).cast("long").alias("commit"))
+            signed = touched.select(F.inline(F.filter(F.array(
+                F.struct(*(F.col(f"old.{c}").alias(c) for c in ("source", "lang")), "tokenizer", F.lit(-1).cast("long").alias("docs"), (-F.col("old.n_tokens")).alias("tokens"), F.col("old").isNotNull().alias("counts")),
+                F.struct(*(F.col(f"new.{c}").alias(c) for c in ("source", "lang")), "tokenizer", F.lit(1).cast("long").alias("docs"), F.col("new.n_tokens").alias("tokens"), (F.col("new.op") != "delete").alias("counts")),
+            ), lambda x: x["counts"])))
+            deltas = signed.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
+            if self._put(number, batch_id, state, deltas.withColumn("commit", F.lit(number).cast("long"))):
+                if self.compact_after and len(self._since()[0]) > self.compact_after:
+                    self.compact()
+                return True
+        return False
+
+    def compact(self) -> None:
+        """The last live state and the totals as tables that stand for all batches so far."""
         done = self.commits()
-        if batch_id in done:
-            return False
-        number = max(done.values(), default=0) + 1
-        n = F.coalesce(F.col("n_tokens").cast("long"), F.lit(0))
-        new = changes.groupBy(*KEY).agg(F.max_by(F.struct("op", "source", "lang", n.alias("n_tokens")), F.struct("seq", n)).alias("new"))
-        old = self.state().select(*KEY, F.struct("source", "lang", "n_tokens").alias("old"))
-        touched = new.join(old, KEY, "left").where("new.op <> 'delete' or old is not null")
-        state = touched.select(*KEY, "new.source", "new.lang", "new.n_tokens", (F.col("new.op") != "delete").alias("live"), F.lit(number).cast("long").alias("commit"))
-        signed = touched.select(F.inline(F.filter(F.array(
-            F.struct(*(F.col(f"old.{c}").alias(c) for c in ("source", "lang")), "tokenizer", F.lit(-1).cast("long").alias("docs"), (-F.col("old.n_tokens")).alias("tokens"), F.col("old").isNotNull().alias("counts")),
-            F.struct(*(F.col(f"new.{c}").alias(c) for c in ("source", "lang")), "tokenizer", F.lit(1).cast("long").alias("docs"), F.col("new.n_tokens").alias("tokens"), (F.col("new.op") != "delete").alias("counts")),
-        ), lambda x: x["counts"])))
-        deltas = signed.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).withColumn("commit", F.lit(number).cast("long"))
-        state.write.mode("overwrite").parquet(f"{self.root}/state/{batch_id}")
-        deltas.where("docs <> 0 or tokens <> 0").write.mode("overwrite").parquet(f"{self.root}/delta/{batch_id}")
-        self._files.mkdirs(self._path(f"{self.root}/committed"))
-        self._files.create(self._path(f"{self.root}/committed/{number:09d}-{batch_id}"), True).close()
-        return True
+        held, number = max(done.values(), default=0), self._number()
+        state = self.state().select(*KEY, "source", "lang", "n_tokens", F.lit(True).alias("live"), F.lit(held).cast("long").alias("commit"))
+        self._put(number, f"{_BASE}~{held}", state, self.totals().withColumn("commit", F.lit(held).cast("long")))
 
 
 def change(rows: DataFrame, op: str, tokenizer: str, n_tokens: Column, seq: int = 0) -> DataFrame:
