@@ -31,7 +31,7 @@ from tidewatch.llm.words import mixed, pieces
 LONGEST = 256
 SLICE = 1 << 20
 #: Stretches of text whose ids a worker remembers.
-REMEMBERED = 120_000
+REMEMBERED = 300_000
 
 
 class PairTable:
