@@ -96,13 +96,11 @@ class Rollup:
         taken = [*self.commits().values(), *(int(x) for x in self._names("claimed"))]
         return max(taken, default=0) + 1
 
-    def _put(self, number: int, name: str, state: DataFrame, deltas: DataFrame) -> bool:
-        """Write both tables and their marker; False if another writer has taken the number meanwhile."""
+    def _put(self, number: int, name: str, state: DataFrame, deltas: DataFrame, attempt: str) -> bool:
+        """Write both tables below `attempt`, a folder that only this writer knows, and move them in place with a marker; False if another writer has taken the number meanwhile."""
         folder = f"{number:09d}-{name}"
-        # an attempt has its own folders, so two writers of one batch and number don't meet
-        attempt = f"attempt-{uuid.uuid4().hex}"
-        state.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{attempt}/state")
-        deltas.write.parquet(f"{self.root}/{attempt}/delta")
+        state.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{attempt}/state")
+        deltas.write.parquet(f"{attempt}/delta")
         for kind in ("state", "delta", "claimed", "committed"):
             self._files.mkdirs(self._path(f"{self.root}/{kind}"))
         try:
@@ -110,43 +108,51 @@ class Rollup:
         except Py4JJavaError as e:
             if "AlreadyExists" not in str(e.java_exception.getClass().getName()):
                 raise
-            self._files.delete(self._path(f"{self.root}/{attempt}"), True)
+            self._files.delete(self._path(attempt), True)
             return False
         for kind in ("state", "delta"):
-            self._files.rename(self._path(f"{self.root}/{attempt}/{kind}"), self._path(f"{self.root}/{kind}/{folder}"))
+            self._files.rename(self._path(f"{attempt}/{kind}"), self._path(f"{self.root}/{kind}/{folder}"))
         self._files.create(self._path(f"{self.root}/committed/{number:09d}-{name}"), True).close()
-        self._files.delete(self._path(f"{self.root}/{attempt}"), True)
+        self._files.delete(self._path(attempt), True)
         return True
 
+    def _attempt(self) -> str:
+        return f"{self.root}/attempt-{uuid.uuid4().hex}"
+
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply a batch of doc_id, tokenizer, source, lang, op (insert, delete, revise), n_tokens, seq. False: it had been applied."""
         if not re.fullmatch(r"[\w.-]+", batch_id):
             raise ValueError("a batch is named by letters, digits, _, . and -")
         n = F.coalesce(F.col("n_tokens").cast("long"), F.lit(0).cast("long"))
-        new = changes.groupBy(*KEY).agg(F.max(F.struct("seq", n.alias("n_tokens"), "op", "source", "lang")).alias("new"))
-        while batch_id not in (done := self.commits()):
-            number = self._number()
+        while batch_id not in self.commits():
+            number, attempt = self._number(), self._attempt()
+            # changes may be dear to compute, and are read several times from here on
+            new = self._stored(changes.groupBy(*KEY).agg(F.max(F.struct("seq", n.alias("n_tokens"), "op", "source", "lang")).alias("new")), f"{attempt}/new")
             old = self._last(self.touched_state(new)).where("x.live").select(*(F.col(c).alias(f"of_{c}") for c in KEY), F.struct("x.source", "x.lang", "x.n_tokens").alias("old"))
             same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & F.col("tokenizer").eqNullSafe(F.col("of_tokenizer"))
-            touched = new.join(old, same, "left").where("new.op <> 'delete' or old is not null")
+            touched = self._stored(new.join(old, same, "left").where("new.op <> 'delete' or old is not null").select(*KEY, "new", "old"), f"{attempt}/touched")
             state = touched.select(*KEY, "new.source", "new.lang", "new.n_tokens", (F.col("new.op") != "delete").alias("live"), F.lit(number).cast("long").alias("commit"))
             signed = touched.select(F.inline(F.filter(F.array(
                 F.struct(*(F.col(f"old.{c}").alias(c) for c in ("source", "lang")), "tokenizer", F.lit(-1).cast("long").alias("docs"), (-F.col("old.n_tokens")).alias("tokens"), F.col("old").isNotNull().alias("counts")),
                 F.struct(*(F.col(f"new.{c}").alias(c) for c in ("source", "lang")), "tokenizer", F.lit(1).cast("long").alias("docs"), F.col("new.n_tokens").alias("tokens"), (F.col("new.op") != "delete").alias("counts")),
             ), lambda x: x["counts"])))
             deltas = signed.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
-            if self._put(number, batch_id, state, deltas.withColumn("commit", F.lit(number).cast("long"))):
+            if self._put(number, batch_id, state, deltas.withColumn("commit", F.lit(number).cast("long")), attempt):
                 if self.compact_after and len(self._since()[0]) > self.compact_after:
                     self.compact()
                 return True
         return False
 
+    def _stored(self, rows: DataFrame, path: str) -> DataFrame:
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def compact(self) -> None:
         """The last live state and the totals as tables that stand for all batches so far."""
         done = self.commits()
         held, number = max(done.values(), default=0), self._number()
         state = self.state().select(*KEY, "source", "lang", "n_tokens", F.lit(True).alias("live"), F.lit(held).cast("long").alias("commit"))
-        self._put(number, f"{_BASE}~{held}", state, self.totals().withColumn("commit", F.lit(held).cast("long")))
+        self._put(number, f"{_BASE}~{held}", state, self.totals().withColumn("commit", F.lit(held).cast("long")), self._attempt())
 
 
 def change(rows: DataFrame, op: str, tokenizer: str, n_tokens: Column, seq: int = 0) -> DataFrame:
