@@ -33,14 +33,18 @@ def contrarian_win_rate(positions: DataFrame, below: float = 0.20, flag_rate: fl
     return out.withColumn("flagged", (F.col("contrarian_win_rate") > flag_rate) & (F.col("contrarian_bet_count") >= least_bets))
 
 
-def niche_volume(positions: DataFrame, q: float = 0.25) -> DataFrame:
-    """One row: the volume up to which a market is niche, over the distinct resolved markets."""
-    per_market = resolved(positions).groupBy("market_id").agg(F.max("market_volume").alias("market_volume"))
+def niche_volume(positions: DataFrame, q: float = 0.25, outcomes: DataFrame | None = None) -> DataFrame:
+    """One row: the volume up to which a market is niche, over the distinct resolved markets.
+
+    outcomes: the resolutions() that the positions were made with. A market resolves by a trade of it, so each resolved one has
+    positions, and the quantile needs a row a market instead of the positions, which would be computed anew for it.
+    """
+    per_market = resolved(positions).groupBy("market_id").agg(F.max("market_volume").alias("market_volume")) if outcomes is None else outcomes.where(F.col("resolution").isin("token1", "token2")).select("market_id", "market_volume")
     return nearest_quantile(per_market, "market_volume", q, "niche_volume")
 
 
-def niche_accuracy(positions: DataFrame, q: float = 0.25, flag_rate: float = 0.70, least_bets: int = 5) -> DataFrame:
-    rows = with_row(resolved(positions), niche_volume(positions, q))
+def niche_accuracy(positions: DataFrame, q: float = 0.25, flag_rate: float = 0.70, least_bets: int = 5, outcomes: DataFrame | None = None) -> DataFrame:
+    rows = with_row(resolved(positions), niche_volume(positions, q, outcomes))
     niche = F.col("market_volume") <= F.col("niche_volume")
     only = lambda x: F.when(niche, x)
     out = rows.groupBy("wallet").agg(
@@ -83,13 +87,13 @@ def brier_skill(positions: DataFrame, flag_skill: float = 0.20, least_bets: int
     return out.withColumn("flagged", (F.col("brier_skill_vs_consensus") > flag_skill) & (F.col("resolved_bet_count") >= least_bets))
 
 
-def position_concentration(positions: DataFrame, flag_share: float = 0.50, least_bets: int = 3, q: float = 0.25) -> DataFrame:
+def position_concentration(positions: DataFrame, flag_share: float = 0.50, least_bets: int = 3, q: float = 0.25, outcomes: DataFrame | None = None) -> DataFrame:
     """The share of a wallet's capital in its largest position, from one aggregation: shares' squares are the amounts' squares over the total's."""
     rows = resolved(positions)
     largest = F.max_by(F.struct("market_id", "total_usd_in", "won", "market_volume", "side", "resolution"), F.struct(F.col("total_usd_in"), -F.col("market_id"), F.when(F.col("side") == "token1", 1).otherwise(0)))
     out = rows.groupBy("wallet").agg(F.count("market_id").alias("total_positions"), exact_sum(F.col("total_usd_in")).alias("wallet_total_capital"), F.sum(F.col("total_usd_in") * F.col("total_usd_in")).alias("squares"), largest.alias("top"))
     total = F.col("wallet_total_capital")
-    out = with_row(out, niche_volume(positions, q)).select(
+    out = with_row(out, niche_volume(positions, q, outcomes)).select(
         "wallet", "total_positions", "wallet_total_capital", F.coalesce(divide(F.col("top.total_usd_in"), F.when(total > 0, total)), F.lit(0.0)).alias("max_concentration"), F.coalesce(divide(F.col("squares"), F.when(total > 0, total * total)), F.lit(0.0)).alias("hhi"),
         F.col("top.market_id").alias("largest_bet_market"), F.col("top.total_usd_in").alias("largest_bet_usd"), (F.col("top.won") == 1).alias("largest_bet_won"), F.col("top.market_volume").alias("largest_bet_market_volume"),
         F.col("top.side").alias("largest_bet_side"), F.col("top.resolution").alias("largest_bet_resolution"), F.coalesce(F.col("top.market_volume") <= F.col("niche_volume"), F.lit(False)).alias("largest_bet_is_niche"),

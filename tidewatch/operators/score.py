@@ -75,12 +75,13 @@ def ranked(scores: DataFrame) -> DataFrame:
     return have.unionByName(scores.where("aggregate_score is null").withColumn("suspicion_rank", F.lit(None).cast("long")))
 
 
-def all_metrics(positions: DataFrame) -> dict[str, DataFrame]:
-    return {name: function(positions) for name, (function, _) in metrics.ALL.items()}
+def all_metrics(positions: DataFrame, outcomes: DataFrame | None = None) -> dict[str, DataFrame]:
+    of_markets = {"niche_market_accuracy", "position_concentration"} if outcomes is not None else ()
+    return {name: function(positions, outcomes=outcomes) if name in of_markets else function(positions) for name, (function, _) in metrics.ALL.items()}
 
 
-def aggregate_score(positions: DataFrame, least_bets: int = 5, least_metrics: int = 3, least_wallets: int = 50) -> DataFrame:
+def aggregate_score(positions: DataFrame, least_bets: int = 5, least_metrics: int = 3, least_wallets: int = 50, outcomes: DataFrame | None = None) -> DataFrame:
     """The eight metrics of positions and their aggregate. Positions are persisted, and ranks counted in a few small jobs, while this is built."""
     positions = positions.persist(StorageLevel.MEMORY_AND_DISK)
-    scores = aggregate(percentiles(metric_values(all_metrics(positions), least_bets), least_wallets), least_metrics)
+    scores = aggregate(percentiles(metric_values(all_metrics(positions, outcomes), least_bets), least_wallets), least_metrics)
     return ranked(scores.persist(StorageLevel.MEMORY_AND_DISK))

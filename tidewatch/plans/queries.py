@@ -51,6 +51,10 @@ def event_positions(spark: SparkSession, d: str) -> DataFrame:
     return wallet_positions(tapes.events_tape(spark, d), tapes.events_markets(spark, d))
 
 
+def day_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return resolutions(tapes.lineitem_markets(spark, d), last_prices(tapes.lineitem_tape(spark, d)))
+
+
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """Candidates as spikes, each with an id of its market and times."""
     rows = timing.spike_candidates(timing.price_history(tapes.events_tape(spark, d)))
@@ -81,21 +85,21 @@ def last_price(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def market_resolution(spark: SparkSession, d: str) -> DataFrame:
-    return shown(resolutions(tapes.lineitem_markets(spark, d), last_prices(tapes.lineitem_tape(spark, d))))
+    return shown(day_outcomes(spark, d))
 
 
-def _metric(name: str, function: Callable[[DataFrame], DataFrame]) -> None:
+def _metric(name: str, function: Callable[..., DataFrame], of_markets: bool = False) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return shown(function(day_positions(spark, d)))
+        return shown(function(day_positions(spark, d), **({"outcomes": day_outcomes(spark, d)} if of_markets else {})))
 
     FOUND[name] = run
 
 
 _metric("contrarian_win_rate", metrics.contrarian_win_rate)
-_metric("niche_accuracy", metrics.niche_accuracy)
+_metric("niche_accuracy", metrics.niche_accuracy, True)
 _metric("profit_factor", metrics.profit_factor)
 _metric("brier_skill", metrics.brier_skill)
-_metric("position_concentration", metrics.position_concentration)
+_metric("position_concentration", metrics.position_concentration, True)
 _metric("win_streak", metrics.win_streak)
 _metric("roi", metrics.roi)
 _metric("bet_size_vs_odds", metrics.bet_size_vs_odds)
@@ -108,12 +112,12 @@ def roi_leaderboard(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return score.aggregate_score(day_positions(spark, d))
+    return score.aggregate_score(day_positions(spark, d), outcomes=day_outcomes(spark, d))
 
 
 @query
 def metric_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    values = score.metric_values(score.all_metrics(day_positions(spark, d).persist()))
+    values = score.metric_values(score.all_metrics(day_positions(spark, d).persist(), day_outcomes(spark, d)))
     return shown(score.percentiles(values))
 
 
@@ -162,20 +166,38 @@ def leaderboard(spark: SparkSession, d: str) -> DataFrame:
 def wallet_report(spark: SparkSession, d: str) -> DataFrame:
     """The positions of the wallet with the most of them, by USD."""
     rows = day_positions(spark, d)
-    top = rows.groupBy("wallet").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "wallet").limit(1).first()
-    wallet = top["wallet"] if top else ""
-    return shown(reports.positions_by_usd(rows, wallet).drop("first_trade_timestamp", "last_trade_timestamp", "market_question"))
+    return shown(reports.positions_by_usd(rows, _busiest(rows)).drop("first_trade_timestamp", "last_trade_timestamp", "market_question"))
+
+
+def _resolved_slice(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The slice of the first market that has resolved."""
+    trades, markets = tapes.events_tape(spark, d), tapes.events_markets(spark, d)
+    first = resolutions(markets, last_prices(trades)).where(F.col("resolution").isin("token1", "token2")).agg(F.min("market_id")).first()[0]
+    return reports.market_slice(trades, markets, -1 if first is None else first)
 
 
 @query
 def market_slice_roi(spark: SparkSession, d: str) -> DataFrame:
-    """ROI of the wallets of market 7, from its trades alone."""
-    return shown(reports.market_slice(tapes.events_tape(spark, d), tapes.events_markets(spark, d), 7)["roi"])
+    """ROI of the wallets of the first market that has resolved, from its trades alone."""
+    return shown(_resolved_slice(spark, d)["roi"])
 
 
 @query
 def market_slice_summary(spark: SparkSession, d: str) -> DataFrame:
-    return shown(reports.slice_summary(reports.market_slice(tapes.events_tape(spark, d), tapes.events_markets(spark, d), 7)).select("positions", "wallets", "roi_wallets", "avg_roi", "roi_flagged", "profit_factor_flagged"))
+    return shown(reports.slice_summary(_resolved_slice(spark, d)).select("positions", "wallets", "roi_wallets", "avg_roi", "roi_flagged", "profit_factor_flagged"))
+
+
+def _busiest(rows: DataFrame) -> str:
+    """The wallet with the most rows."""
+    top = rows.groupBy("wallet").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "wallet").limit(1).first()
+    return top["wallet"] if top else ""
+
+
+@query
+def wallet_slice_profit_factor(spark: SparkSession, d: str) -> DataFrame:
+    """The profit factor of the wallet with the most positions, from its slice."""
+    rows = day_positions(spark, d)
+    return shown(reports.wallet_slice(rows, _busiest(rows))["profit_factor"])
 
 
 @query
@@ -220,6 +242,31 @@ def price_spikes(spark: SparkSession, d: str) -> DataFrame:
     return shown(timing.price_spikes(timing.price_history(tapes.events_tape(spark, d))))
 
 
+def _spikes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The spikes after cooldown, and the tape."""
+    trades = tapes.events_tape(spark, d)
+    return timing.price_spikes(timing.price_history(trades)), trades
+
+
+@query
+def pre_spike_trades(spark: SparkSession, d: str) -> DataFrame:
+    return shown(timing.pre_spike_trades(*_spikes(spark, d)))
+
+
+@query
+def timing_score(spark: SparkSession, d: str) -> DataFrame:
+    spikes, trades = _spikes(spark, d)
+    return shown(timing.timing_scores(timing.pre_spike_trades(spikes, trades), spikes, timing.price_history(trades), trades))
+
+
+@query
+def recent_pre_spike(spark: SparkSession, d: str) -> DataFrame:
+    """The last trades ahead of spikes of the wallet that has the most of them."""
+    spikes, trades = _spikes(spark, d)
+    rows = timing.pre_spike_trades(spikes, trades)
+    return shown(reports.recent_pre_spike(rows, spikes, _busiest(rows)).select("spike_id", "entry_timestamp", "market_id", "side", "correct_direction", "usd_amount", "lead_time_minutes", "magnitude_pp"))
+
+
 @query
 def pre_spike_from_candidates(spark: SparkSession, d: str) -> DataFrame:
     return shown(timing.pre_spike_trades(candidates(spark, d), tapes.events_tape(spark, d)))
@@ -337,31 +384,32 @@ def merged_intervals(spark: SparkSession, d: str) -> DataFrame:
     return quality.merged_intervals(_intervals(spark, d)[0], 60, ("user_id",))
 
 
-#: The stretch of the events tables: January 2024 in seconds.
-JANUARY = (1704067200, 1706745600)
-
-
-def _profile(spark: SparkSession, d: str) -> DataFrame:
+def _stretch(spark: SparkSession, d: str) -> tuple[DataFrame, int, int]:
+    """Seconds of the events, the first whole day's start and the last one's end."""
     at = table(spark, d, "events").select(F.floor(micros("ts") / 1_000_000).alias("at"))
-    return quality.density(at, "at", *JANUARY)
+    ends = at.agg(F.floor(F.min("at") / 86400).alias("lo"), F.floor(F.max("at") / 86400).alias("hi")).first()
+    return at, (ends["lo"] or 0) * 86400, ((ends["hi"] or 0) + 1) * 86400
 
 
 @query
 def density_profile(spark: SparkSession, d: str) -> DataFrame:
-    return shown(_profile(spark, d))
+    at, start, end = _stretch(spark, d)
+    return shown(quality.density(at, "at", start, end))
 
 
 @query
 def partition_plan(spark: SparkSession, d: str) -> DataFrame:
-    return quality.partition_plan(_profile(spark, d), *JANUARY, 16)
+    at, start, end = _stretch(spark, d)
+    return quality.partition_plan(quality.density(at, "at", start, end), start, end, 16)
 
 
 @query
 def partition_plan_check(spark: SparkSession, d: str) -> DataFrame:
     """Users' stretches of events as a plan, which has overlaps, gaps and foreign ends."""
+    _, start, end = _stretch(spark, d)
     at = F.floor(micros("ts") / 1_000_000)
     plan = table(spark, d, "events").groupBy((F.col("user_id") % 20).alias("worker_id"), (F.floor(at / 432000)).alias("w")).agg(F.min(at).alias("start_ts"), F.max(at).alias("end_ts")).drop("w")
-    return quality.plan_violations(plan, *JANUARY)
+    return quality.plan_violations(plan, start, end)
 
 
 @query
@@ -372,7 +420,10 @@ def stream_price_history(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*events*" if not _is_folder(spark, d) else "*.parquet").parquet(d if not _is_folder(spark, d) else f"{d}/events.parquet")
     price = (F.floor(F.col("value") * 100 + 0.5).cast("long") % 10000) / 10000.0
     trades = stream.select(F.timestamp_micros(micros("ts")).alias("timestamp"), F.regexp_extract("props", "([0-9]+)", 1).try_cast("long").alias("market_id"), F.concat(F.lit("u"), "user_id").alias("taker"), F.concat(F.lit("u"), (F.col("user_id") * 7 + F.col("event_id")) % users).alias("maker"), price.alias("price"), F.col("value").alias("usd_amount"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-stream-")
     where = f"{base}/{spark.sparkContext.applicationId}/stream-{id(stream)}-{spark._jvm.java.lang.System.nanoTime()}"
     streaming.run_available(streaming.price_history(trades), f"{where}/out", f"{where}/checkpoint")
     return shown(spark.read.schema("market_id long, bucket_start timestamp, bucket_end timestamp, avg_price double, num_trades long, total_volume double").parquet(f"{where}/out"))

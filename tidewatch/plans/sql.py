@@ -119,6 +119,14 @@ moves as (select market_id, least(ts_of_min, ts_of_max) as spike_start_ts, great
 candidates as (select * exclude (nth) from (select *, row_number() over (partition by market_id, spike_start_ts, spike_end_ts order by magnitude_pp desc, price_before, direction) as nth from moves) where nth = 1),
 spikes as (select *, market_id * 10000000000 + spike_start_ts // 1000000 % 10000000 * 1000 + (spike_end_ts - spike_start_ts) // 60000000 as spike_id from candidates)"""
 
+COOLED = r"""
+ranked as (select *, row_number() over (partition by market_id order by magnitude_pp desc, spike_start_ts, spike_end_ts) as k from candidates),
+walk as (select market_id, cast(0 as bigint) as k, cast([] as struct(s bigint, e bigint)[]) as kept from (select distinct market_id from ranked)
+  union all select w.market_id, r.k, case when len(list_filter(w.kept, lambda x: r.spike_start_ts >= x.s and r.spike_start_ts < x.e + 3600000000)) = 0 then list_append(w.kept, struct_pack(s := r.spike_start_ts, e := r.spike_end_ts)) else w.kept end
+  from walk w join ranked r on r.market_id is not distinct from w.market_id and r.k = w.k + 1),
+cooled as (select market_id, unnest(kept, recursive := true) from (select market_id, arg_max(kept, k) as kept from walk group by 1)),
+spikes as (select row_number() over (order by spike_start_ts, c.market_id, spike_end_ts) - 1 as spike_id, c.* from candidates c join cooled o on c.market_id is not distinct from o.market_id and spike_start_ts = s and spike_end_ts = e)"""
+
 PRE = r"""
 turns as (select * from (select *, row_number() over (partition by tx, wallet, market_id, direction order by role, ord, usd_amount, price, token_amount) as nth from views where usd_amount >= 1 and market_id in (select market_id from spikes)) where nth = 1),
 pre as (select wallet, t.market_id, spike_id, us as entry_timestamp, cast((spike_start_ts - us) // 60000000 as double) as lead_time_minutes, cast(sum(cast(floor(usd_amount * 1000000 + 0.5) as bigint)) as double) / 1000000 as usd_amount, cast(sum(cast(floor(price * 1000000000 + 0.5) as bigint)) as double) / 1000000000 / count(price) as entry_price, s.direction, upper(t.direction) as side, (t.direction = 'BUY' and s.direction = 'up') or (t.direction = 'SELL' and s.direction = 'down') as correct_direction
@@ -147,23 +155,28 @@ METRICS = [NICHE, CONTRARIAN, NICHES, FACTOR, BRIER, CONCENTRATION, STREAK, ROI,
 BASE = [VIEWS, ONCE, LAST, POSITIONS]
 SCORE = [DAY, *BASE, *METRICS, VALUES.replace("{least}", "50"), SCORES]
 SPIKES = [EVENT, VIEWS, HISTORY, ROLLING, CANDIDATES]
+REAL = [EVENT, VIEWS, HISTORY, ROLLING, CANDIDATES.partition(",\nspikes as")[0], COOLED]
+#: The tape and the market of the first market that has resolved.
+WHOLE = re.sub(r"\b(tape|markets|lasts|outcomes)\b", r"whole_\1", EVENT + "," + LAST)
+RESOLVED = [WHOLE, "chosen as (select min(market_id) as m from whole_outcomes where resolution in ('token1', 'token2')), tape as (select * from whole_tape where market_id = (select m from chosen)), markets as (select * from whole_markets where market_id = (select m from chosen))"]
 
 SECONDS = "spans as (select user_id, epoch_us(ts) // 1000000 as start, epoch_us(ts) // 1000000 + 1800 as finish from events)"
 RUNS = r"""
 runs as (select user_id, min(start) as start, max(finish) as "end" from (select *, sum(case when reach is null or start - reach > 60 then 1 else 0 end) over (partition by user_id order by start, finish rows unbounded preceding) as island from (select *, max(finish) over (partition by user_id order by start, finish rows between unbounded preceding and 1 preceding) as reach from spans)) group by user_id, island)"""
-DENSITY = r"""
-probes as (select cast(range as int) as probe, cast(floor(range * 4464.0::double + 1704067200) as bigint) as ts from range(600)),
-counts as (select cast(least(floor((epoch_us(ts) // 1000000 - 1704067200) / 4464.0::double), 599) as int) as probe, count(*) as n from events where epoch_us(ts) // 1000000 between 1704067200 and 1706745599 group by 1),
-rates as (select probe, ts, coalesce(n, 0) * (3600.0::double / 4464.0::double) as rate from probes left join counts using (probe)),
+STRETCH = "stretch as (select lo, hi, (hi - lo) / 600.0::double as step from (select min(epoch_us(ts)) // 86400000000 * 86400 as lo, (max(epoch_us(ts)) // 86400000000 + 1) * 86400 as hi from events))"
+DENSITY = STRETCH + r""",
+probes as (select cast(range as int) as probe, cast(floor(range * step + lo) as bigint) as ts from range(600) cross join stretch),
+counts as (select cast(least(floor((epoch_us(ts) // 1000000 - lo) / step), 599) as int) as probe, count(*) as n from events cross join stretch group by 1),
+rates as (select probe, ts, coalesce(n, 0) * (3600.0::double / step) as rate from probes left join counts using (probe) cross join stretch),
 profile as (select probe, ts, rate, sum(coalesce((before + rate) / 2 * ((ts - ts0) / 3600.0::double), 0)) over (order by probe rows unbounded preceding) as cumulative from (select *, lag(rate) over (order by probe) as before, lag(ts) over (order by probe) as ts0 from rates))"""
 
 
 def _sql(parts: list[str], select: str) -> str:
-    return "with " + ",".join(parts) + "\n" + _cut(select)
+    return "with recursive " + ",".join(parts) + "\n" + _cut(select)
 
 
 def _plain(parts: list[str], select: str) -> str:
-    return "with " + ",".join(parts) + "\n" + select
+    return "with recursive " + ",".join(parts) + "\n" + select
 
 
 def _r(names: str, places: int) -> str:
@@ -201,8 +214,13 @@ def oracle_sql() -> dict[str, str]:
         "wallet_search": _plain(SCORE, "select wallet, round(aggregate_score, 6) as aggregate_score, num_metrics_available from scores where wallet ilike '%c1%' order by round(aggregate_score, 6) desc nulls last, wallet limit 20"),
         "leaderboard": _sql([EVENT, *BASE, *METRICS, VALUES.replace("{least}", "10"), SCORES, HISTORY, ROLLING, CANDIDATES, PRE, TIMING], "select wallet, round(aggregate_score, 6) as aggregate_score, num_metrics_available, num_spikes_preceded, round(hit_rate, 6) as timing_hit_rate, round(total_pre_spike_usd, 4) as total_pre_spike_usd, round(excess_ratio, 6) as timing_excess_ratio, coalesce(is_flagged, false) as timing_flagged from scores left join timings using (wallet) where aggregate_score >= 0 and num_metrics_available >= 1 order by round(excess_ratio, 6) desc nulls last, wallet limit 500"),
         "wallet_report": _sql(day, f"select market_id, side, {_r('total_usd_in total_usd_out net_tokens', 4)}, num_trades, round(avg_entry_price, 6) as avg_entry_price, position_won, resolution from positions where wallet = (select wallet from positions group by 1 order by count(*) desc, wallet limit 1) order by positions.total_usd_in desc, market_id, side limit 200"),
-        "market_slice_roi": _sql([EVENT.replace("as ord from raw)", "as ord from raw where m = 7)"), *BASE, ROI], _ROI_COLUMNS),
-        "market_slice_summary": _sql([EVENT.replace("as ord from raw)", "as ord from raw where m = 7)"), *BASE, FACTOR, ROI], "select (select count(*) from positions) as positions, (select count(distinct wallet) from positions) as wallets, count(*) as roi_wallets, round(avg(roi), 6) as avg_roi, count(*) filter (roi > 2 and total_capital_deployed >= 500 and resolved_bet_count >= 5) as roi_flagged, (select count(*) from factors where profit_factor > 5 and total_volume >= 1000 and resolved_bet_count >= 5) as profit_factor_flagged from rois"),
+        "market_slice_roi": _sql([*RESOLVED, *BASE, ROI], _ROI_COLUMNS),
+        "market_slice_summary": _sql([*RESOLVED, *BASE, FACTOR, ROI], "select (select count(*) from positions) as positions, (select count(distinct wallet) from positions) as wallets, count(*) as roi_wallets, round(avg(roi), 6) as avg_roi, count(*) filter (roi > 2 and total_capital_deployed >= 500 and resolved_bet_count >= 5) as roi_flagged, (select count(*) from factors where profit_factor > 5 and total_volume >= 1000 and resolved_bet_count >= 5) as profit_factor_flagged from rois"),
+        "wallet_slice_profit_factor": _sql([*day, FACTOR], f"select wallet, resolved_bet_count, cast(wins as bigint) as wins, {_r('total_volume gross_profit gross_loss net_pnl profit_factor', 4)}, round(wins / resolved_bet_count, 6) as win_rate, profit_factor > 5 and total_volume >= 1000 and resolved_bet_count >= 5 as flagged from factors where wallet = (select wallet from positions group by 1 order by count(*) desc, wallet limit 1)"),
+        "price_spikes": _sql(REAL, f"select spike_id, market_id, spike_start_ts, spike_end_ts, {_r('price_before price_after magnitude_pp', 6)}, direction from spikes"),
+        "pre_spike_trades": _sql([*REAL, PRE], "select wallet, market_id, spike_id, entry_timestamp, lead_time_minutes, round(usd_amount, 4) as usd_amount, round(entry_price, 6) as entry_price, direction, side, correct_direction from pre"),
+        "timing_score": _sql([*REAL, PRE, TIMING], f"select wallet, num_spikes_preceded, num_markets, {_r('avg_lead_time_minutes median_lead_time_minutes hit_rate spike_rate expected_spikes excess_ratio', 6)}, round(total_pre_spike_usd, 4) as total_pre_spike_usd, total_trades_all, total_markets_all, is_flagged from timings"),
+        "recent_pre_spike": _sql([*REAL, PRE], "select spike_id, entry_timestamp, pre.market_id, side, correct_direction, round(usd_amount, 4) as usd_amount, lead_time_minutes, round(magnitude_pp, 6) as magnitude_pp from pre join spikes using (spike_id) where wallet = (select wallet from pre group by 1 order by count(*) desc, wallet limit 1) order by entry_timestamp desc, spike_id, side limit 200"),
         "win_loss": _sql(day, "select position_won, count(*) as n from positions group by 1"),
         "market_search": _sql([EVENT], "select cast(market_id as varchar) as id, question, round(volume, 4) as volume from markets where question ilike '%market 1%' order by markets.volume desc nulls last, cast(market_id as varchar) limit 50"),
         "market_list": _sql([DAY], 'select cast(market_id as varchar) as id, question, round(volume, 4) as volume, closed_time as "closedTime" from markets'),
@@ -227,7 +245,7 @@ def oracle_sql() -> dict[str, str]:
         "coverage_gaps": _sql([SECONDS, RUNS], 'select user_id, gap_start, gap_end from (select user_id, max("end") over (partition by user_id order by start, "end" rows between unbounded preceding and 1 preceding) as gap_start, start as gap_end from (select * from runs union all select distinct user_id, x, x from spans cross join (select unnest([min(start), max(finish)]) as x from spans))) where gap_end - gap_start > 60'),
         "merged_intervals": _sql([SECONDS, RUNS], "select * from runs"),
         "density_profile": _sql([DENSITY], "select cast(probe as bigint) as probe, ts, round(rate, 6) as rate, round(cumulative, 6) as cumulative from profile"),
-        "partition_plan": _sql([DENSITY, _CUTS], "select row_number() over (order by start_ts) - 1 as worker_id, start_ts, coalesce(lead(start_ts) over (order by start_ts), 1706745600) as end_ts from starts"),
+        "partition_plan": _sql([DENSITY, _CUTS], "select row_number() over (order by start_ts) - 1 as worker_id, start_ts, coalesce(lead(start_ts) over (order by start_ts), (select hi from stretch)) as end_ts from starts"),
         "partition_plan_check": _CHECK,
         "stream_price_history": _sql([EVENT, HISTORY], "select market_id, bucket_start, bucket_end, round(avg_price, 6) as avg_price, num_trades, round(total_volume, 4) as total_volume from history where bucket_end <= (select max(epoch_us(ts)) // 1000 * 1000 - 3600000000 from events)"),
         "first_trade_per_wallet": _sql([EVENT, VIEWS], "select wallet, market_id, us as timestamp, round(usd_amount, 4) as usd_amount from (select *, row_number() over (partition by wallet order by us, ord, role) as nth from views) where nth = 1"),
@@ -249,15 +267,15 @@ union all select us, o_orderkey % 100, 'CONTRACT_MERGE', 'c' || o_custkey, side,
 union all select us, o_orderkey % 100, 'CONTRACT_REDEEM', 'c' || o_custkey, case when o_orderkey % 3 = 1 then 'token2' else 'token1' end, 'BUY', 'SELL', 1::double, round(amount, 4), round(amount, 4), cast(o_orderkey as varchar) from a where o_orderstatus = 'P'"""
 
 _CUTS = """
-whole as (select cumulative + rate * ((1706745600 - ts) / 3600.0::double) as total from profile order by probe desc limit 1),
+whole as (select cumulative + rate * (((select hi from stretch) - ts) / 3600.0::double) as total from profile order by probe desc limit 1),
 steps as (select lag(ts) over (order by probe) as ts0, lag(cumulative) over (order by probe) as c0, ts as ts1, cumulative as c1 from profile),
 cuts as (select distinct cast(floor(ts0 + (goal - c0) / (c1 - c0) * (ts1 - ts0)) as bigint) as cut from (select range as k, total / 16 * range as goal from whole cross join range(1, 16)) join steps on c1 >= goal and c0 < goal),
-starts as (select 1704067200 as start_ts union all select cut from cuts)"""
+starts as (select lo as start_ts from stretch union all select cut from cuts)"""
 
-_CHECK = """with plan as (select user_id % 20 as worker_id, min(epoch_us(ts) // 1000000) as start_ts, max(epoch_us(ts) // 1000000) as end_ts from events group by user_id % 20, epoch_us(ts) // 1000000 // 432000),
+_CHECK = f"""with {STRETCH}, plan as (select user_id % 20 as worker_id, min(epoch_us(ts) // 1000000) as start_ts, max(epoch_us(ts) // 1000000) as end_ts from events group by user_id % 20, epoch_us(ts) // 1000000 // 432000),
 p as (select *, lag(end_ts) over o as before, lead(start_ts) over o as after, count(*) over (partition by worker_id) as same from plan window o as (order by start_ts, end_ts, worker_id))
-select worker_id, 'starts elsewhere' as problem from p where before is null and start_ts <> 1704067200
-union all select worker_id, 'ends elsewhere' from p where after is null and end_ts <> 1706745600
+select worker_id, 'starts elsewhere' as problem from p where before is null and start_ts <> (select lo from stretch)
+union all select worker_id, 'ends elsewhere' from p where after is null and end_ts <> (select hi from stretch)
 union all select worker_id, 'gap or overlap' from p where before <> start_ts
 union all select worker_id, 'no length' from p where end_ts <= start_ts
 union all select worker_id, 'repeated worker' from p where same > 1"""
