@@ -106,7 +106,9 @@ def _blocks(n: int, bits: int):
         spread = (1 << bits) - 1
 
         def block() -> Iterator[pa.RecordBatch]:
-            yield _rows([((number + place) & spread, TEXT, number, place, doc_id, count, digest, *[None] * 4) for doc_id, place, count, digest in texts])
+            # rows that no range needs go past the ranges' tasks, dealt evenly over them
+            home = (number >> 24) + number
+            yield _rows([((home + place) & spread, TEXT, number, place, doc_id, count, digest, *[None] * 4) for doc_id, place, count, digest in texts])
             if not held:
                 return
             token, place = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.uint16), list(map(len, held)))
@@ -116,7 +118,7 @@ def _blocks(n: int, bits: int):
             single = np.repeat(count == 1, count)
             more, counts = token[starts[count > 1]], count[count > 1].astype(np.uint16)
             if len(more):
-                yield _rows([(number & spread, LISTS, number, None, None, len(more), None, _steps(more), place[~single].tobytes(), None, counts.tobytes())])
+                yield _rows([(home & spread, LISTS, number, None, None, len(more), None, _steps(more), place[~single].tobytes(), None, counts.tobytes())])
             token, place = token[single], place[single]
             begins = np.arange(1 << bits, dtype=np.uint64) << np.uint64(BITS - bits)
             one, two = (np.append(np.searchsorted(x, begins), len(x)) for x in (token, more))
