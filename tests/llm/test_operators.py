@@ -145,6 +145,75 @@ def test_language(spark):
     assert {r.lang_pred for r in language_id.identified(table.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def plain_profile(texts):
+    """The most frequent n-grams of one to three letters, words parted by a blank."""
+    counts = collections.Counter()
+    for t in texts:
+        padded = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in t.lower()))
+        for n in (1, 2, 3):
+            counts.update(g for i in range(len(padded) - n + 1) if " " not in (g := padded[i : i + n])[1:-1] and g.strip())
+    return counts
+
+
+def test_language_scores_against_plain_distances(spark):
+    """Distances with ranks that no tie of counts makes ambiguous: profiles shorter than LENGTH, and n-grams of different counts."""
+    random.seed(14)
+    letters = {"aa": "abcde", "bb": "cdefg"}
+    rows = []
+    for k in range(80):
+        lang = "aa" if k % 2 else "bb"
+        rows.append((k, " ".join("".join(random.choices(letters[lang], weights=(5, 4, 3, 2, 1), k=random.randrange(1, 5))) for _ in range(30)), lang, "s", 0, "x", "y"))
+    table = spark.createDataFrame(rows, DOCS)
+    trained = language_id.profiles(table)
+    found = collections.defaultdict(dict)
+    for r in trained.collect():
+        found[r.lang][r.gram] = r.place
+    for lang in letters:
+        counts = plain_profile(r[1] for r in rows if r[2] == lang)
+        key = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+        best = sorted(counts.values(), reverse=True)[: language_id.LENGTH]
+        placed = sorted(found[lang], key=found[lang].get)
+        assert sorted(found[lang].values()) == list(range(len(best)))
+        assert [counts[g] for g in sorted(counts, key=lambda g: found[lang].get(key(g), 10**9))][: len(best)] == best and len(placed) == len(best)
+    probe = "abacab dcb"
+    long = table.limit(1).withColumn("text", F.lit(probe))
+    r = language_id.predict(long, trained).first()
+    grams = plain_profile([probe])
+    key = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    # equal counts may stand in any order: the distance lies between the least and the largest that their places allow
+    order = sorted(grams.values(), reverse=True)
+    low = {lang: 0 for lang in letters}
+    high = {lang: 0 for lang in letters}
+    for g, c in grams.items():
+        first, last = order.index(c), len(order) - 1 - order[::-1].index(c)
+        for lang in letters:
+            there = found[lang].get(key(g))
+            apart = [language_id.LENGTH] * 2 if there is None else [min(abs(there - p) for p in range(first, last + 1)), max(abs(there - p) for p in range(first, last + 1))]
+            low[lang], high[lang] = low[lang] + apart[0], high[lang] + apart[1]
+    most = len(grams) * language_id.LENGTH
+    assert 1 - high[r.lang_pred] / most <= r.score <= 1 - low[r.lang_pred] / most
+
+
+def test_language_of_ties_long_and_repeated_texts(spark):
+    rows = [(1, "abc abc", "bb", "s", 0, "x", "y"), (2, "abc abc", "aa", "s", 0, "x", "y"), (3, "abc " * 200_000, None, "s", 0, "x", "y"), (3, "abc " * 200_000, None, "s", 0, "x", "y")]
+    table = spark.createDataFrame(rows, DOCS).withColumn("lang_pred", F.lit("own")).withColumn("score", F.lit(9.0))
+    found = language_id.predict(table, language_id.profiles(table))
+    assert [(r.doc_id, r.lang_pred) for r in found.orderBy("doc_id").collect()] == [(1, "aa"), (2, "aa"), (3, "aa"), (3, "aa")] and found.columns.count("score") == 1
+
+
+def test_language_of_held_out_documents(spark):
+    """Accuracy on rows of the given table that the profiles haven't seen."""
+    import os
+
+    where = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(where):
+        pytest.skip("the given tables aren't there")
+    table = spark.read.parquet(where)
+    both = language_id.identified(table).where("held_out").join(table.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'")
+    right = both.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("share"), F.count(F.lit(1)).alias("n")).first()
+    assert right.n > 100 and right.share > 0.98
+
+
 def plain_lines(rows, least):
     """Lines left of each (id, text), by comparing every window with all before it."""
     seen, kept = {}, []
@@ -434,6 +503,47 @@ def test_zip64_directory():
     assert warc_zip.members(pa.BufferReader(bytes(data[:end]) + wide + tail)) == plain
 
 
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """run() on a small table against what the stages are to do, one by one in plain Python, but for the choice that the mix draws."""
+    import corpus_pipeline
+
+    texts = near_copies(9, groups=3, copies=4)
+    rows = [(i, t, "en", random.choice("ab"), 0, "x", "y") for i, t in enumerate(texts)] + [(900, "12 !! 34", "en", "a", 0, "x", "y"), (901, texts[0].replace(" ", "\n"), "en", "b", 0, "x", "y")]
+    spark.createDataFrame(rows, DOCS).withColumns({"n_tokens": F.lit("own"), "score": F.lit(1)}).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = {r[0]: r[1] for r in rows if r[1] and any(c.isalpha() for c in r[1])}
+    first: dict[str, int] = {}
+    for i in sorted(left):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", left[i]), i)
+    left = {i: left[i] for i in first.values()}
+    sets = {}
+    for i, t in left.items():
+        w = words(t)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+    group = {i: i for i in left}
+    for i in sorted(left):
+        for j in sorted(left):
+            both = len(sets[i] & sets[j])
+            if i < j and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    left = {i: t for i, t in left.items() if group[i] == i}
+    assert {r.doc_id for r in out} <= set(left) and all(r.text == left[r.doc_id] and r.decodes and r.score == 1 for r in out)
+    # the mix takes 150 % of all words, by 3 to 1, up to twice a source
+    size = collections.Counter()
+    for i, t in left.items():
+        size[rows[i][3] if i < 900 else rows[i - 900 + len(texts)][3]] += len(words(t))
+    total = 1.5 * sum(size.values())
+    a = min(2 * size["a"], 0.75 * total)
+    target = {"a": a, "b": min(2 * size["b"], total - a)}
+    if target["b"] < total - a:
+        target["a"] = min(2 * size["a"], total - target["b"])
+    taken = collections.Counter()
+    for r in out:
+        taken[r.source] += len(words(r.text))
+    assert all(abs(taken[s] - target[s]) <= 100 for s in target)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

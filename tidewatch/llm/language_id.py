@@ -1,6 +1,6 @@
 """Language ID by rank-order profiles.
 
-A profile is the list of the most frequent character n-grams (1 to LONGEST letters, words padded
+A profile is the list of the most frequent character n-grams (1 to LONGEST letters, words parted
 by a blank, lower case) in the order of their counts. A document's profile is compared with each language's by the
 out-of-place distance: the sum over the document's n-grams of how far their places differ, and of
 the profile's length for one that the language's profile lacks. The nearest language wins; its
