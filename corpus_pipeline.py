@@ -1,4 +1,11 @@
-"""A corpus from raw documents: language, copies, near copies, mix, tokens."""
+"""A corpus from raw documents: language, copies, near copies, mix, tokens.
+
+Results for odd input, of all stages: an empty table stays empty, with its columns; columns other than doc_id, text, lang and
+source pass as they are, whatever their names, but that the last stage replaces token_ids, n_tokens and decodes (names
+that begin with __tw_ are the stages' own). A null or empty text has no language and is rejected first. Rows that repeat a doc_id
+are documents of their own for the language and the mix; of those with equal texts too one stays; those with different texts
+count as linked for near copies. Of ties the smallest doc_id stays. A very long text is one text like all others.
+"""
 
 from __future__ import annotations
 
