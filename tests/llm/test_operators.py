@@ -281,6 +281,9 @@ def test_passages_wrapped_otherwise_or_within_lines(spark):
     assert [want[i][1] for i in range(7)] == [0, 51, 51, 0, 0, 120, 130] and want[9][1] == 51
     assert all(found[i].text == t for i, t in enumerate(texts) if not want[i][1]) and found[5].text.startswith("  v")
     assert line_dedup.passages_removed(docs(spark, [])).count() == 0
+    c = own(60)
+    shared = docs(spark, [(1, " ".join(c), "s"), (2, " ".join(c), "s"), (2, " ".join(own(70)), "s"), (None, " ".join(own(55)), "s")])
+    assert sorted((r.doc_id or 0, r.n_words, r.n_gone) for r in line_dedup.passages_removed(shared).collect()) == [(0, 55, 0), (1, 60, 0), (2, 60, 60), (2, 70, 0)]
 
 
 @pytest.mark.parametrize("most", [kneser_ney.WORDS, 8])

@@ -162,7 +162,8 @@ def repeated_words(df: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataF
 
 def passages_removed(df: DataFrame, least: int = LEAST, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: doc_id, n_words, n_gone, text without the words of passages that stand at an earlier place."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # texts that share an id are told apart by a hash
+    docs = df.select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("version")).alias("doc_id"), F.col(text_col).alias("text"))
     both = docs.join(repeated_words(docs, least, gram), "doc_id", "left")
     pieces = F.regexp_extract_all("text", F.lit(f"[^{SPACE}]+[{SPACE}]*"), F.lit(0))
     # what lies between one deleted stretch and the next
@@ -173,4 +174,4 @@ def passages_removed(df: DataFrame, least: int = LEAST, gram: int = GRAM, id_col
     number = F.coalesce(F.regexp_count("text", F.lit(f"[^{SPACE}]+")), F.lit(0))
     gone = F.aggregate("gone", F.lit(0), lambda n, x: n + x["end"] - x["start"] + 1)
     kept = F.concat(F.regexp_extract("text", f"^[{SPACE}]*", 0), F.array_join(left, ""))
-    return both.select("doc_id", number.cast("long").alias("n_words"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_gone"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"))
+    return both.select(F.col("doc_id.id").alias("doc_id"), number.cast("long").alias("n_words"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_gone"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"))
