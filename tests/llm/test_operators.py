@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import io
 import math
@@ -295,29 +296,35 @@ def test_kneser_ney_against_plain_counts(spark, monkeypatch, most):
     found = {r.doc_id: r for r in kneser_ney.scored(table).collect()}
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     tokens = [[*words(t), None] for t in texts]
-    one, two = collections.Counter(), collections.Counter()
+    trigrams = lambda t: list(zip([None, None, *t[:-2]] if len(t) > 1 else [None], [None, *t[:-1]], t, strict=True))
+    one, three = collections.Counter(), collections.Counter()
     for i, t in enumerate(tokens):
         if not held(i):
             one.update(t)
-            two.update(zip([None, *t[:-1]], t, strict=True))
-    d, cont = kneser_ney._discounts([list(two.values()).count(k) for k in (1, 2, 3, 4)]), collections.Counter(w for _, w in two)
-    low = kneser_ney._discounts([list(cont.values()).count(k) for k in (1, 2, 3, 4)])
-    left, size, n = sum(low[min(c, 3)] for c in cont.values()) / len(two), len(one), sum(one.values())
-    total, back = collections.Counter(), collections.Counter()
-    for (v, _), c in two.items():
-        total[v] += c
-        back[v] += d[min(c, 3)]
-
-    def p(v, w):
-        lower = max(cont[w] - low[min(cont[w], 3)], 0) / len(two) + left / (size + 1)
-        return max(two[v, w] - d[min(two[v, w], 3)], 0) / total[v] + back[v] / total[v] * lower if total[v] else lower
-
-    assert abs(sum(p("a", w) for w in [*one, "?"]) - 1) < 1e-9
+            three.update(trigrams(t))
+    two = collections.Counter((v, w) for _, v, w in three)
+    cont = collections.Counter(w for _, w in two)
+    d = [kneser_ney._discounts([list(x.values()).count(k) for k in (1, 2, 3, 4)]) for x in (cont, two, three)]
+    size, n = len(one), sum(one.values())
+
+    def p(counts, d, context, w, lower):
+        of = {x[-1]: c for x, c in counts.items() if x[:-1] == context}
+        if not of:
+            return lower
+        return (max(of.get(w, 0) - d[min(of.get(w, 0), 3)], 0) + sum(d[min(c, 3)] for c in of.values()) * lower) / sum(of.values())
+
+    @functools.cache
+    def whole(u, v, w):
+        lowest = p({(x,): c for x, c in cont.items()}, d[0], (), w, 1 / (size + 1))
+        return p(three, d[2], (u, v), w, p(two, d[1], (v,), w, lowest))
+
+    assert abs(sum(whole("a", "b", w) for w in [*one, "?"]) - 1) < 1e-9
+    assert abs(sum(whole(None, None, w) for w in [*one, "?"]) - 1) < 1e-9
     for i, t in enumerate(tokens):
         r = found[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(t), sum(one[w] > 0 for w in t), n)
         assert math.isclose(r.base_score, sum(math.log10((one[w] + 1) / (n + size + 1)) for w in t), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(v, w)) for v, w in zip([None, *t[:-1]], t, strict=True)), rel_tol=1e-9)
+        assert math.isclose(r.score, sum(math.log10(whole(*x)) for x in trigrams(t)), rel_tol=1e-9)
     assert kneser_ney.scored(docs(spark, [])).count() == 0
 
 

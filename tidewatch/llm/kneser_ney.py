@@ -1,25 +1,22 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by workers.
+"""Interpolated modified Kneser-Ney trigram model, counted in Spark and memory-mapped by workers.
 
 Words become 64-bit hashes. Tasks add up the words of chunks of text; the shuffle brings each range
 of hashes to one task, which writes the vocabulary's sorted hash array for that range; a word's id is
-its place in all ranges. Bigrams are counted the same way: a chunk's distinct keys (context id *
-V + word id) travel as differences, each range of keys (of about equal mass, so a frequent context is several
-ranges) is merged by one task and written as a sorted key array with its counts. From these come
-the counts of counts, the totals of contexts and the numbers of contexts that words follow. All
+its place in all ranges. Trigrams u v w are counted the same way, by their bigram: a chunk's distinct keys (id of v *
+V + id of w) travel as differences, each with its distinct u and their counts; each range of keys (of about equal mass, so a
+frequent v is several ranges) is merged by one task and written as a sorted key array with the sorted u of each key, whose
+number is the bigram's own count. One more shuffle adds up what words and pairs are as contexts. All
 files are below one shared folder, and every worker maps them: the model takes page cache, not heap.
 
-p(w | v) = max(c(v w) - D(c), 0) / c(v) + (D1 N1(v) + D2 N2(v) + D3 N3+(v)) / c(v) * p(w), where p(w) is the
-same discounting of the number of contexts that w follows, interpolated with 1 / (V + 1) for each
-word and all unknown ones together. Every text ends with an end token, which is also the context of
-its first word. All words and bigrams of the training texts count; nothing is pruned.
-
-The order is two: the distinct trigrams of a corpus are about as many as its words, and would
-take a multiple of the input on disk.
+p(w | u v) = max(c(u v w) - D(c), 0) / c(u v) + (D1 N1(u v) + D2 N2(u v) + D3 N3+(u v)) / c(u v) * p(w | v), where p(w | v) is the
+same discounting of the number of u that v w follows, and p(w) that of the number of v that w follows, interpolated with
+1 / (V + 1) for each word and all unknown ones together. Every text ends with an end token, two of which are also the
+context of its first word. All words and trigrams of the training texts count; nothing is pruned.
 
 Results for odd input: a null text is empty and has the end token only; without training texts every
 token has probability 1; rows with equal ids are separate texts; a very long text is one piece; columns of the
 input that are named like results are replaced; other columns aren't read; an empty table gives an empty result; 2**32
-distinct words or more raise an error.
+distinct words or more raise an error. The distinct u of one bigram, which the vocabulary bounds, are in one task.
 """
 
 from __future__ import annotations
@@ -33,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import mapped, put, shared_folder, written
+from tidewatch.llm.shared import exists, mapped, put, shared_folder, written
 from tidewatch.llm.words import mixed, pieces, word_hashes
 
 #: Tokens that a task adds up before it passes them on, and about how many distinct keys a range has.
 CHUNK, RANGE = 1 << 21, 2_000_000
 #: Ranges of hashes are 2**BITS at least, and more where a range would hold more than WORDS words of text.
 BITS, WORDS = 6, 1 << 23
+#: Keys of a range for which one number says where their words begin.
+BLOCK = 8
 END = mixed(np.array([0x454E44], np.uint64))[0]
 
 
@@ -127,6 +126,85 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
         yield closed()
 
 
+TRIPLES = "part int, n long, m long, keys binary, groups binary, befores binary, counts binary"
+
+
+def _triples(keys: np.ndarray, before: np.ndarray, counts: np.ndarray | None, size: int) -> tuple[np.ndarray, ...]:
+    """Distinct ascending keys, how many distinct words come before each, these words, ascending for each key, and their sums."""
+    distinct, at = np.unique(keys, return_inverse=True)
+    codes = at.astype(np.uint64) * np.uint64(size) + before
+    codes, counts = np.unique(codes, return_counts=True) if counts is None else _summed(codes, counts)
+    at, before = codes // np.uint64(size), codes % np.uint64(size)
+    return distinct, np.bincount(at.astype(np.int64), minlength=len(distinct)), before, counts
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Lowest bytes of 32-bit numbers, then the next ones: high bytes are mostly zero and compress."""
+    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.uint64)
+
+
+def _sent_triples(keys: np.ndarray, before: np.ndarray, bounds: np.ndarray, size: int) -> pa.RecordBatch:
+    """A row for each range of keys that has any."""
+    keys, groups, before, counts = _triples(keys, before, None, size)
+    edges = np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
+    ends = np.concatenate(([0], np.cumsum(groups)))
+    full = np.flatnonzero(np.diff(edges))
+    rows = []
+    for i in full:
+        own = slice(edges[i], edges[i + 1])
+        of = slice(ends[own.start], ends[own.stop])
+        rows.append((int(i), own.stop - own.start, int(of.stop - of.start), _packed(keys[own]), _small(groups[own]).tobytes(), _planes(before[of]), _small(counts[of]).tobytes()))
+    columns = zip(*rows, strict=True) if rows else [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["part", "n", "m", "keys", "groups", "befores", "counts"])
+
+
+def _merged_triples(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """_triples() of each range, from rows in the order of their ranges."""
+    part, held, extra = None, [], 0
+
+    def closed() -> tuple[np.ndarray, ...]:
+        return _triples(*(np.concatenate(x) for x in zip(*held, strict=True)), size)
+
+    for batch in batches:
+        for own, n, m, keys, groups, before, counts in zip(*(batch.column(x).to_pylist() for x in ("part", "n", "m", "keys", "groups", "befores", "counts")), strict=True):
+            if own != part:
+                if part is not None:
+                    yield part, closed()
+                part, held, extra = own, [], 0
+            held.append((np.repeat(_unpacked(keys, n), _wide(groups, n).astype(np.int64)), _unplaned(before), _wide(counts, m)))
+            extra += m
+            if extra > 4 * RANGE:  # what came in pieces is added up now and then
+                distinct, each, words, sums = closed()
+                held, extra = [(np.repeat(distinct, each), words, sums)], 0
+    if part is not None:
+        yield part, closed()
+
+
+def _filed(*arrays: np.ndarray) -> list[bytes]:
+    """Arrays as one file: their number, their lengths in bytes, and each at a multiple of eight."""
+    data = [np.ascontiguousarray(x).tobytes() for x in arrays]
+    return [np.array([len(data), *map(len, data)], np.uint64).tobytes(), *(x + bytes(-len(x) % 8) for x in data)]
+
+
+def _escaped(counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Counts in a byte each, and places and values of those from 255 on."""
+    at = np.flatnonzero(counts >= 255)
+    return np.minimum(counts, 255).astype(np.uint8), at.astype(np.uint64), counts[at].astype(np.uint64)
+
+
+def _looked_up(low: np.ndarray, places: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Counts at some places of what _escaped() has made."""
+    found = low[at].astype(np.uint64)
+    large = found == 255
+    if large.any():
+        found[large] = values.view(np.uint64)[np.searchsorted(places.view(np.uint64), at[large].astype(np.uint64))]
+    return found
+
+
 @dataclass
 class Model:
     """Names and numbers of a trained model; the arrays are in files below root."""
@@ -136,9 +214,12 @@ class Model:
     offsets: list[int] = field(default_factory=lambda: [0])  # first id of each range of hashes
     tokens: int = 0
     bounds: list[int] = field(default_factory=list)
-    present: list[int] = field(default_factory=list)  # ranges of keys that have a file
-    discounts: list[float] = field(default_factory=lambda: [0.0] * 4)
+    present: list[int] = field(default_factory=list)  # ranges of keys that have files
+    paired: list[int] = field(default_factory=list)  # and those of keys that are contexts
+    discounts: list[float] = field(default_factory=lambda: [0.0] * 4)  # of trigrams
+    middle: list[float] = field(default_factory=lambda: [0.0] * 4)  # of bigrams
     lower: list[float] = field(default_factory=lambda: [0.0] * 4)
+    start: list[int] = field(default_factory=lambda: [0] * 4)  # of two end tokens as context, as PAIR has it
     types: int = 0  # distinct bigrams
     left: float = 1.0  # of p(w), what the words' own parts leave
 
@@ -147,6 +228,8 @@ class Model:
         return self.offsets[-1]
 
 
+#: Numbers of a pair as a context: its total, and how many words follow it once, twice, more often.
+PAIR = ("total", "ones", "twos", "more")
 #: Arrays of a range of ids: token count, contexts it follows, its total as a context, and how many words follow it once, twice, more often.
 FIELDS = ("count", "follows", "total", "ones", "twos", "more")
 
@@ -191,21 +274,70 @@ class Mapped:
             out[edges[i] : edges[i + 1]] = have[:, ids[edges[i] : edges[i + 1]] - self.offsets[i]].T
         return out
 
-    def bigrams(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of ascending keys."""
-        out = np.zeros(len(keys))
-        edges = np.concatenate(([0], np.searchsorted(keys, self.bounds), [len(keys)]))
-        present = set(self.model.present)
+    def filed(self, name: str) -> list[np.ndarray]:
+        """The arrays of _filed(), as bytes."""
+        raw = self.array(name, np.uint8)
+        n = int(raw[:8].view(np.uint64)[0])
+        lengths = raw[8 : 8 + 8 * n].view(np.uint64).astype(np.int64)
+        starts = 8 + 8 * n + np.concatenate(([0], np.cumsum(lengths + -lengths % 8)))
+        return [raw[at : at + length] for at, length in zip(starts[:-1], lengths, strict=True)]
+
+    def ranges(self, keys: np.ndarray, present: list[int]) -> Iterator[tuple[int, slice]]:
+        """Ranges of those present, and which of ascending keys are theirs."""
+        edges, present = np.concatenate(([0], np.searchsorted(keys, self.bounds), [len(keys)])), set(present)
         for i in np.flatnonzero(np.diff(edges)):
             if int(i) in present:
-                have, own = self.array(f"keys-{i}"), keys[edges[i] : edges[i + 1]]
-                raw = self.array(f"counts-{i}", np.uint8)
-                counts = raw.view(f"u{len(raw) // len(have)}")
-                at = np.minimum(np.searchsorted(have, own), len(have) - 1)
-                out[edges[i] : edges[i + 1]] = np.where(have[at] == own, counts[at], 0)
+                yield int(i), slice(edges[i], edges[i + 1])
+
+    def ngrams(self, keys: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of bigrams of ascending keys, and of the trigrams that they make with the words before (-1: none)."""
+        two, three = np.zeros(len(keys)), np.zeros(len(keys))
+        for i, own in self.ranges(keys, self.model.present):
+            have, g1, g2, g3, begins, words, c1, c2, c3 = self.filed(f"range-{i}")
+            groups = (g1, g2, g3)
+            have, begins, words = have.view(np.uint64), begins.view(np.uint64), words.view(np.uint32)
+            at = np.minimum(np.searchsorted(have, keys[own]), len(have) - 1)
+            known = have[at] == keys[own]
+            at = at[known]
+            n = _looked_up(*groups, at)
+            two[own][known] = n
+            # where the word before stands among those of its key: all keys' searches go on together
+            block = at // BLOCK
+            low = begins[block].astype(np.int64)
+            inner = np.repeat(block * BLOCK, at - block * BLOCK) + _ramp(at - block * BLOCK)
+            if len(inner):
+                low += np.bincount(np.repeat(np.arange(len(at)), at - block * BLOCK), _looked_up(*groups, inner), len(at)).astype(np.int64)
+            end = low + n.astype(np.int64)
+            high, wanted = end.copy(), before[own][known]
+            while (open_ := low < high).any():
+                middle = (low + high) // 2
+                less = open_ & (words[np.minimum(middle, len(words) - 1)] < wanted)
+                low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+            low_ = np.minimum(low, len(words) - 1)
+            hit = (low < end) & (words[low_] == wanted)
+            three[own][known] = np.where(hit, _looked_up(c1, c2, c3, low_), 0)
+        return two, three
+
+    def pairs(self, keys: np.ndarray, start: int) -> np.ndarray:
+        """PAIR of ascending distinct keys, a row each; start: the key of two end tokens."""
+        out = np.zeros((len(PAIR), len(keys)))
+        for i, own in self.ranges(keys, self.model.paired):
+            have, tables = self.filed(f"range-{i}")[0].view(np.uint64), self.filed(f"pairs-{i}")
+            at = np.minimum(np.searchsorted(have, keys[own]), len(have) - 1)
+            known = have[at] == keys[own]
+            for row in range(len(PAIR)):
+                out[row, own][known] = _looked_up(*tables[3 * row : 3 * row + 3], at[known])
+        if not out[:, keys == start].any():
+            out[:, keys == start] = np.array(self.model.start, float)[:, None]
         return out
 
 
+def _ramp(lengths: np.ndarray) -> np.ndarray:
+    """0 to length - 1 for each length."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+
+
 _mapped: dict[str, Mapped] = {}
 
 
@@ -282,62 +414,100 @@ def train(df: DataFrame, root: str, text_col: str = "text") -> Model:
     model.bounds = sorted({r.key for r in filled.mapInArrow(begins, "key long").collect()})  # one for each range
     bounds = np.array(model.bounds, np.uint64)
 
-    def keys_of(x: pa.Array) -> np.ndarray:
-        here = in_worker(model)
-        hashes, ends = _tokens(x)
-        ids = _known(here, hashes)
-        return (_contexts(ids, ends, int(here.ids(np.array([END]))[0])) * size + ids).astype(np.uint64)
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks' sums of trigrams, by ranges of bigrams."""
+        held, n = [], 0
+        for batch in pieces(batches, "text"):
+            here = in_worker(model)
+            hashes, ends = _tokens(batch.column("text"))
+            ids, end = _known(here, hashes), int(here.ids(np.array([END]))[0])
+            context = _contexts(ids, ends, end)
+            held.append(((context * size + ids).astype(np.uint64), _contexts(context, ends, end).astype(np.uint64)))
+            n += len(ids)
+            if n >= CHUNK:
+                yield _sent_triples(*(np.concatenate(x) for x in zip(*held, strict=True)), bounds, size)
+                held, n = [], 0
+        if held:
+            yield _sent_triples(*(np.concatenate(x) for x in zip(*held, strict=True)), bounds, size)
 
-    stats = "kind string, part int, n long, a binary, b binary, c binary, d binary, e binary"
+    names = ["place", "part", "kind", "n", *"abcde"]
+    stats = "place string, part int, kind int, n long, a binary, b binary, c binary, d binary, e binary"
 
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, keys, counts in _merged(batches):
-            put(f"{root}/keys-{part}", [keys.tobytes()])
-            put(f"{root}/counts-{part}", [_small(counts).tobytes()])
-            rows = [("range", part, len(keys), np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)[1:5].astype(np.uint64).tobytes(), b"", b"", b"", b"")]
+        for part, (keys, groups, before, counts) in _merged_triples(batches, size):
+            begins = np.concatenate(([0], np.cumsum(groups)))
+            put(f"{root}/range-{part}", _filed(keys, *_escaped(groups), begins[:-1:BLOCK].astype(np.uint64), before.astype(np.uint32), *_escaped(counts)))
+            few = [np.bincount(np.minimum(x, 5).astype(np.int64), minlength=6)[1:5].astype(np.uint64).tobytes() for x in (groups, counts)]
+            rows = [("sums", part, 0, len(keys), *few, b"", b"", b"")]
             context, word = (keys // np.uint64(size)).astype(np.int64), (keys % np.uint64(size)).astype(np.int64)
             begin = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-            sums = [np.add.reduceat(x.astype(np.uint64), begin) for x in (counts, counts == 1, counts == 2, counts > 2)]
+            sums = lambda x, at: [np.add.reduceat(y.astype(np.uint64), at) for y in (x, x == 1, x == 2, x > 2)]
             distinct, contexts = np.unique(word, return_counts=True)
-            for kind, ids, values in (("context", context[begin], sums), ("word", distinct, [contexts.astype(np.uint64)])):
-                edges = np.searchsorted(ids, offsets)
+            pair = before * np.uint64(size) + np.repeat(context, groups).astype(np.uint64)
+            order = np.argsort(pair, kind="stable")
+            pair = pair[order]
+            first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+            for place, kind, ids, edges, base, values in (
+                ("ids", 2, context[begin], np.searchsorted(context[begin], offsets), offsets, sums(groups, begin)), ("ids", 1, distinct, np.searchsorted(distinct, offsets), offsets, [contexts]),
+                ("pairs", 0, pair[first], np.concatenate(([0], np.searchsorted(pair[first], bounds), [len(first)])), None, sums(counts[order], first)),
+            ):
                 for i in np.flatnonzero(np.diff(edges)):
                     cut = slice(edges[i], edges[i + 1])
-                    blobs = [_packed((ids[cut] - offsets[i]).astype(np.uint64)), *(_small(v[cut]).tobytes() for v in values)]
-                    rows.append((kind, int(i), int(edges[i + 1] - edges[i]), *blobs, *[b""] * (5 - len(blobs))))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], ["kind", "part", "n", *"abcde"])
+                    own = ids[cut] if base is None else (ids[cut] - base[i]).astype(np.uint64)
+                    blobs = [_packed(own), *(_small(v[cut]).tobytes() for v in values)]
+                    rows.append((place, int(i), kind, len(own), *blobs, *[b""] * (5 - len(blobs))))
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], names)
 
-    found = written(by_part(texts.mapInArrow(_added(keys_of, bounds), ADDED)).mapInArrow(ranged, stats), "bigrams")
-    parts = found.where("kind = 'range'").select("part", "n", "a").collect()  # a row for each range of keys
-    model.present = sorted(r.part for r in parts)
-    model.types = sum(r.n for r in parts)
-    model.discounts = _discounts(np.sum([np.frombuffer(r.a, np.uint64) for r in parts], axis=0).tolist())
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Files of what words and pairs are as contexts, from rows in the order of place and part; a row of numbers for each."""
+        place, part, table, keys, odd = None, None, None, None, None
 
-    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, table = None, None
+        def row(numbers: list[int], n: int = 0) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([place]), pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([[int(x) for x in numbers]], pa.list_(pa.int64()))], ["place", "part", "n", "numbers"])
 
         def closed() -> pa.RecordBatch:
-            table[0] = np.frombuffer(mapped(f"{root}/count-{part}"), np.uint64)
-            put(f"{root}/ids-{part}", [table.tobytes()])
-            n = np.bincount(np.minimum(table[1], 5).astype(np.int64), minlength=6)
-            return pa.record_batch([pa.array([part], pa.int32()), *(pa.array([int(x)]) for x in n[1:5]), pa.array([int((table[1] > 2).sum())])], ["part", "n1", "n2", "n3", "n4", "many"])
+            if place == "ids":
+                table[0] = np.frombuffer(mapped(f"{root}/count-{part}"), np.uint64)
+                put(f"{root}/ids-{part}", [table.tobytes()])
+                return row([*np.bincount(np.minimum(table[1], 5).astype(np.int64), minlength=6)[1:5], (table[1] > 2).sum()])
+            put(f"{root}/pairs-{part}", _filed(*(x for numbers in table for x in _escaped(numbers))))
+            return row(odd)
 
         for batch in batches:
-            for kind, own, n, *blobs in zip(*(batch.column(x).to_pylist() for x in ("kind", "part", "n", *"abcde")), strict=True):
-                if own != part:
-                    if part is not None:
+            for at_place, own, kind, n, *blobs in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
+                if (at_place, own) != (place, part):
+                    if place in ("ids", "pairs"):
                         yield closed()
-                    part, table = own, np.zeros((len(FIELDS), sizes[own]), np.uint64)
-                at = _unpacked(blobs[0], n).astype(np.int64)
-                for row, blob in zip((2, 3, 4, 5) if kind == "context" else (1,), blobs[1:], strict=False):
-                    table[row, at] += _wide(blob, n)
-        if part is not None:
+                    place, part = at_place, own
+                    if place == "ids":
+                        table = np.zeros((len(FIELDS), sizes[own]), np.uint64)
+                    elif place == "pairs":
+                        keys = Mapped(model).filed(f"range-{own}")[0].view(np.uint64) if exists(f"{root}/range-{own}") else np.zeros(0, np.uint64)
+                        table, odd = np.zeros((len(PAIR), len(keys)), np.uint64), np.zeros(len(PAIR), np.uint64)
+                if place == "sums":
+                    yield row([*np.frombuffer(blobs[0], np.uint64), *np.frombuffer(blobs[1], np.uint64)], n)
+                    continue
+                at, values = _unpacked(blobs[0], n), [_wide(x, n) for x in blobs[1:] if x]
+                if place == "pairs":  # all but two end tokens are bigrams too
+                    own_at = np.minimum(np.searchsorted(keys, at), max(len(keys) - 1, 0))
+                    known = keys[own_at] == at if len(keys) else np.zeros(n, bool)
+                    odd += np.array([v[~known].sum() for v in values], np.uint64)
+                    at, values = own_at[known], [v[known] for v in values]
+                for i, v in enumerate(values):
+                    table[kind + i, at.astype(np.int64)] += v
+        if place in ("ids", "pairs"):
             yield closed()
 
-    numbers = by_part(found.where("kind <> 'range'")).mapInArrow(dense, "part int, n1 long, n2 long, n3 long, n4 long, many long")
-    n1, n2, n3, n4, many = (int(x) for x in written(numbers, "ids").agg(*(F.sum(c) for c in ("n1", "n2", "n3", "n4", "many"))).first())
-    model.lower = _discounts([n1, n2, n3, n4])
-    model.left = (model.lower[1] * n1 + model.lower[2] * n2 + model.lower[3] * many) / model.types
+    ranked = by_part(texts.mapInArrow(counted, TRIPLES)).mapInArrow(ranged, stats)
+    placed = ranked.repartition("place", "part").sortWithinPartitions("place", "part")
+    rows = written(placed.mapInArrow(finished, "place string, part int, n long, numbers array<long>"), "model").collect()  # a row for each range
+    added = lambda place, k: np.sum([r.numbers for r in rows if r.place == place] or [[0] * k], axis=0).tolist()
+    few, many, model.start = added("sums", 8), added("ids", 5), added("pairs", 4)
+    model.present = sorted(r.part for r in rows if r.place == "sums")
+    model.paired = sorted({r.part for r in rows if r.place == "pairs"} & set(model.present))
+    model.types = sum(r.n for r in rows)
+    model.middle, model.discounts, model.lower = _discounts(few[:4]), _discounts(few[4:]), _discounts(many[:4])
+    model.left = (model.lower[1] * many[0] + model.lower[2] * many[1] + model.lower[3] * many[4]) / model.types
     return model
 
 
@@ -345,7 +515,16 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df without the text, with n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the whole text)."""
     own = [c for c in df.columns if c not in (text_col, "n_tokens", "n_known", "train_tokens", "base_score", "score")]
     size, types = model.size, max(1, model.types)
-    discounts, lower = np.array(model.discounts), np.array(model.lower)
+    discounts, middle, lower = np.array(model.discounts), np.array(model.middle), np.array(model.lower)
+
+    def part(c: np.ndarray, d: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """What is left of counts after their discounts, over their total."""
+        left = np.maximum(c - d[np.minimum(c, 3).astype(np.int64)], 0)
+        return np.divide(left, total, out=np.zeros_like(left), where=total > 0)
+
+    def passed(d: np.ndarray, total: np.ndarray, ones: np.ndarray, twos: np.ndarray, more: np.ndarray) -> np.ndarray:
+        """What a context's discounts leave for the shorter one."""
+        return np.divide(d[1] * ones + d[2] * twos + d[3] * more, total, out=np.ones_like(total), where=total > 0)
 
     def scored(texts: pa.Array) -> list[np.ndarray]:
         here = in_worker(model)
@@ -353,19 +532,22 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         ids = _known(here, hashes)
         distinct, at = np.unique(ids, return_inverse=True)
         table = here.of_ids(np.maximum(distinct, 0)) * (distinct >= 0)[:, None] if size else np.zeros((len(distinct), len(FIELDS)))
-        count, follows, total, ones, twos, more = table.T
-        word = np.maximum(follows - lower[np.minimum(follows, 3).astype(np.int64)], 0) / types + model.left / (size + 1)
-        back = np.divide(discounts[1] * ones + discounts[2] * twos + discounts[3] * more, total, out=np.ones_like(total), where=total > 0)
+        count, follows, *context = table.T
+        word = part(follows, lower, np.full(len(distinct), float(types))) + model.left / (size + 1)
         end = int(here.ids(np.array([END]))[0]) if size else -1
         before = _contexts(ids, offsets, end)
-        context = np.searchsorted(distinct, before)
-        both = (ids >= 0) & (before >= 0)
-        keys, key_at = np.unique((before[both] * size + ids[both]).astype(np.uint64), return_inverse=True)
-        c = np.zeros(len(ids))
-        c[both] = here.bigrams(keys)[key_at]
-        seen = np.maximum(c - discounts[np.minimum(c, 3).astype(np.int64)], 0)
-        own_part = np.divide(seen, total[context], out=np.zeros_like(seen), where=total[context] > 0)
-        logs = np.log10(own_part + back[context] * word[at])
+        first = _contexts(before, offsets, end)
+        two, three = np.zeros(len(ids)), np.zeros(len(ids))
+        both = np.flatnonzero((ids >= 0) & (before >= 0))
+        both = both[np.argsort(before[both] * size + ids[both], kind="stable")]
+        two[both], three[both] = here.ngrams((before[both] * size + ids[both]).astype(np.uint64), first[both])
+        pair = np.zeros((len(PAIR), len(ids)))
+        known = (before >= 0) & (first >= 0)
+        keys, key_at = np.unique((first[known] * size + before[known]).astype(np.uint64), return_inverse=True)
+        pair[:, known] = here.pairs(keys, end * size + end)[:, key_at]
+        of = np.searchsorted(distinct, before)
+        bigram = part(two, middle, context[0][of]) + passed(middle, *context)[of] * word[at]
+        logs = np.log10(part(three, discounts, pair[0]) + passed(discounts, *pair) * bigram)
         base = np.log10((count[at] + 1) / (model.tokens + size + 1))
         add = lambda x: np.add.reduceat(x, offsets[:-1])  # noqa: E731  every text has its end token
         return [np.diff(offsets), add((count[at] > 0).astype(np.int64)), np.full(len(texts), model.tokens), add(base), add(logs)]

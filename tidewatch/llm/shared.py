@@ -73,6 +73,13 @@ def put(uri: str, data: list[bytes]) -> None:
     files.move(attempt, path)
 
 
+def exists(uri: str) -> bool:
+    from pyarrow import fs
+
+    files, path = filesystem(uri)
+    return files.get_file_info(path).type == fs.FileType.File
+
+
 def mapped(uri: str):
     """The file's bytes, memory-mapped. A remote file is first copied to a local one that has no name any more."""
     import mmap
