@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,15 +43,25 @@ BLOCK = 8
 END = mixed(np.array([0x454E44], np.uint64))[0]
 
 
+def _dense(data: bytes, width: int) -> bytes:
+    """Numbers of `width` bytes, compressed by planes: all lowest bytes, then the next ones; high bytes are mostly zero."""
+    return zstandard.compress(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, width).T).tobytes(), 1)
+
+
+def _loose(data: bytes, width: int) -> bytes:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1).T).tobytes()
+
+
 def _packed(keys: np.ndarray) -> bytes:
-    """Ascending keys as differences, of four bytes each if they fit."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return keys[:1].tobytes() + steps[1:].astype(np.uint32 if len(keys) < 2 or int(steps[1:].max()) < 1 << 32 else np.uint64).tobytes()
+    """Ascending keys as the first one and compressed differences, of four bytes each if they fit; a byte says how many."""
+    steps = np.diff(keys)
+    kind = np.dtype(np.uint32 if len(keys) < 2 or int(steps.max()) < 1 << 32 else np.uint64)
+    return keys[:1].tobytes() + bytes([kind.itemsize]) + _dense(steps.astype(kind).tobytes(), kind.itemsize)
 
 
 def _unpacked(data: bytes, n: int) -> np.ndarray:
-    steps = np.frombuffer(data, np.uint32 if len(data) < 8 * n else np.uint64, offset=8).astype(np.uint64)
-    return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1), steps]), dtype=np.uint64)
+    steps = np.frombuffer(_loose(data[9:], data[8]), f"u{data[8]}").astype(np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(data[:8], np.uint64), steps]), dtype=np.uint64)
 
 
 def _small(counts: np.ndarray) -> np.ndarray:
@@ -138,15 +149,6 @@ def _triples(keys: np.ndarray, before: np.ndarray, counts: np.ndarray | None, si
     return distinct, np.bincount(at.astype(np.int64), minlength=len(distinct)), before, counts
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Lowest bytes of 32-bit numbers, then the next ones: high bytes are mostly zero and compress."""
-    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _unplaned(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.uint64)
-
-
 def _sent_triples(keys: np.ndarray, before: np.ndarray, bounds: np.ndarray, size: int) -> pa.RecordBatch:
     """A row for each range of keys that has any."""
     keys, groups, before, counts = _triples(keys, before, None, size)
@@ -157,7 +159,7 @@ def _sent_triples(keys: np.ndarray, before: np.ndarray, bounds: np.ndarray, size
     for i in full:
         own = slice(edges[i], edges[i + 1])
         of = slice(ends[own.start], ends[own.stop])
-        rows.append((int(i), own.stop - own.start, int(of.stop - of.start), _packed(keys[own]), _small(groups[own]).tobytes(), _planes(before[of]), _small(counts[of]).tobytes()))
+        rows.append((int(i), own.stop - own.start, int(of.stop - of.start), _packed(keys[own]), _small(groups[own]).tobytes(), _dense(before[of].astype(np.uint32).tobytes(), 4), _small(counts[of]).tobytes()))
     columns = zip(*rows, strict=True) if rows else [()] * 7
     return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["part", "n", "m", "keys", "groups", "befores", "counts"])
 
@@ -175,7 +177,7 @@ def _merged_triples(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tu
                 if part is not None:
                     yield part, closed()
                 part, held, extra = own, [], 0
-            held.append((np.repeat(_unpacked(keys, n), _wide(groups, n).astype(np.int64)), _unplaned(before), _wide(counts, m)))
+            held.append((np.repeat(_unpacked(keys, n), _wide(groups, n).astype(np.int64)), np.frombuffer(_loose(before, 4), np.uint32).astype(np.uint64), _wide(counts, m)))
             extra += m
             if extra > 4 * RANGE:  # what came in pieces is added up now and then
                 distinct, each, words, sums = closed()
