@@ -47,12 +47,21 @@ def metric_values(tables: dict[str, DataFrame], least_bets: int = 5, cap_at: flo
     return long.withColumn("value", capped)
 
 
-def percentiles(values: DataFrame, least_wallets: int = 50) -> DataFrame:
-    """values with score: the mean rank of equal values over the number of values; null for metrics of few wallets."""
+def percentiles(values: DataFrame, least_wallets: int = 50, low_is_suspicious: tuple[str, ...] = ()) -> DataFrame:
+    """values with score: the mean rank of equal values over the number of values, taken from 1 for metrics whose low values are suspicious; null for metrics of few wallets."""
     placed = counted_below(values, "metric", "value").select("metric", "value", F.when(F.col("total") >= least_wallets, (F.col("below") + (F.col("n") + 1) / 2) / F.col("total")).alias("score"))
+    if low_is_suspicious:
+        placed = placed.withColumn("score", F.when(F.col("metric").isin(*low_is_suspicious), 1.0 - F.col("score")).otherwise(F.col("score")))
     return values.join(placed, ["metric", "value"])
 
 
+def quantiles(scores: DataFrame, value: str = "aggregate_score", at: tuple[float, ...] = (0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
+    """q and the value at 0-based place round((n - 1) q) of the ascending values, one row for each of `at`."""
+    placed = counted_below(scores.select(F.lit("all").alias("g"), F.col(value).cast("double").alias("v")), "g", "v").withColumn("q", F.explode(F.array(*map(F.lit, at))))
+    place = F.floor((F.col("total") - 1) * F.col("q") + 0.5)
+    return placed.where((F.col("below") <= place) & (place < F.col("below") + F.col("n"))).select("q", F.col("v").alias("value"))
+
+
 def aggregate(scored: DataFrame, least_metrics: int = 3) -> DataFrame:
     """One row a wallet: raw_, num_bets_ and score_ of each metric, and the weighted mean of the scores that there are."""
     of = lambda name, col: F.max(F.when(F.col("metric") == name, F.col(col)))

@@ -206,6 +206,9 @@ def oracle_sql() -> dict[str, str]:
         "bet_size_vs_odds": _sql([*day, SIZES], f"select wallet, total_bet_count, cast(total_wins as bigint) as total_wins, {_r('total_volume avg_bet_size longshot_usd_deployed longshot_max_bet_usd longshot_mean_potential_payout favorite_usd_deployed favorite_max_bet_usd favorite_mean_potential_payout large_extreme_usd largest_extreme_bet_usd', 4)}, round(mid, 4) as avg_bet_size_mid_range, round(ext, 4) as avg_bet_size_extreme, longshot_bet_count, cast(longshot_wins as bigint) as longshot_wins, favorite_bet_count, cast(favorite_wins as bigint) as favorite_wins, large_extreme_count, cast(large_extreme_wins as bigint) as large_extreme_wins, {_r('longshot_mean_entry favorite_mean_entry large_extreme_mean_entry longshot_win_rate favorite_win_rate large_extreme_win_rate', 6)}, round(total_wins / total_bet_count, 6) as overall_win_rate, round(case when favorite_bet_count > 0 then 1 - favorite_win_rate else 0 end, 6) as favorite_loss_rate, round(ratio, 4) as extreme_to_midrange_size_ratio, large_extreme_count >= 3 and large_extreme_win_rate > 0.6 as flagged_large_extreme, longshot_bet_count >= 3 and longshot_win_rate > 0.6 as flagged_longshot_winner, coalesce(ratio > 2, false) as flagged_inverse_kelly, (large_extreme_count >= 3 and large_extreme_win_rate > 0.6) or (longshot_bet_count >= 3 and longshot_win_rate > 0.6) or coalesce(ratio > 2, false) as flagged from betsizes"),
         "roi_leaderboard": _sql([*day, ROI], f"select wallet, resolved_bet_count, wins, total_capital_deployed, net_profit, roi, annualized_roi, flagged from (select *, row_number() over (order by flagged desc, exact desc, total_capital_deployed desc, wallet) as nth from ({_ROI_COLUMNS.replace(' from rois', ', roi as exact from rois').replace('round(roi, 6) as roi', 'round(rois.roi, 6) as roi').replace('roi as exact', 'rois.roi as exact')})) where nth <= 20"),
         "metric_percentiles": _sql(SCORE[:-1], "select wallet, metric, round(value, 6) as value, bets, round(score, 6) as score from scored"),
+        "inverted_percentiles": _sql(SCORE[:-1], "select wallet, metric, round(value, 6) as value, bets, round(case when metric in ('position_concentration', 'roi') then 1 - score else score end, 6) as score from scored"),
+        "score_quantiles": _sql(SCORE, "select q, round(aggregate_score, 6) as value from (select aggregate_score, row_number() over (order by aggregate_score) - 1 as place, count(*) over () as n from scores where aggregate_score is not null) cross join (select unnest([0.5::double, 0.75, 0.9, 0.95, 0.99]) as q) where place = cast(floor((n - 1) * q + 0.5) as bigint)"),
+        "stored_slice": _sql(day, "select wallet, market_id, side, round(total_usd_in, 4) as total_usd_in, round(total_usd_out, 4) as total_usd_out, num_trades, resolution, position_won from positions where wallet = (select wallet from positions group by 1 order by count(*) desc, wallet limit 1)"),
         "aggregate_score": _sql(SCORE, f"select wallet, num_metrics_available, {_r('total_weight_coverage aggregate_score ' + ' '.join(f'score_{m}' for m in WEIGHTS), 6)} from scores"),
         "suspicion_rank": _plain(SCORE, "select wallet, s as aggregate_score, case when s is not null then row_number() over (order by s desc nulls last, wallet) end as suspicion_rank from (select wallet, round(aggregate_score, 4) as s from scores)"),
         "overview_kpis": _sql(SCORE, "select count(*) as total_wallets, count(*) filter (aggregate_score >= 0.8) as high_risk, count(*) filter (aggregate_score >= 0.5 and aggregate_score < 0.8) as medium_risk, round(avg(aggregate_score), 6) as mean_score, round(median(aggregate_score), 6) as median_score, round(max(aggregate_score), 6) as max_score from scores"),
@@ -236,6 +239,8 @@ def oracle_sql() -> dict[str, str]:
         "spike_magnitude_histogram": _sql(SPIKES, "select floor(round(magnitude_pp, 6) * 20) / 20 as bin, direction, count(*) as n from candidates group by 1, 2"),
         "fills_to_trades": _sql([EVENT], _FILLS),
         "activity_to_trades": _cut(_ACTIVITY),
+        "fills_from_csv": _sql([EVENT], _FILLS),
+        "activity_from_csv": _cut(_ACTIVITY),
         "source_dedup_by_id": "select cast(o_orderkey as varchar) as id, epoch_us(o_orderdate) // 1000000 as timestamp, 'c' || o_custkey as stakeholder, 'c' || (o_orderkey % 100) as condition, cast(cast(floor(o_totalprice * 1000000 + 0.5) as bigint) as varchar) as amount from orders where o_orderstatus = 'O'",
         "token_lookup_unpivot": _sql([EVENT], "select market_id, 'token1' as side, 'A' || market_id as asset_id from markets union all select market_id, 'token2', 'B' || market_id from markets"),
         "markets_dedup": "select cast(p_partkey as varchar) as id, case when p_partkey % 3 <> 0 then 'main ' else 'missing ' end || p_name as question, '2024-' || p_brand as \"createdAt\" from part where p_partkey % 3 <> 0 or p_partkey % 2 = 0",
