@@ -117,6 +117,22 @@ def test_components(spark):
     assert found == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
 
 
+def test_components_of_random_links(spark):
+    draw = random.Random(5)
+    pairs = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2001 + i) for i in range(30)]
+    smallest = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in smallest:
+        for a, b in pairs:
+            if a != b:
+                smallest[a] = smallest[b] = min(smallest[a], smallest[b])
+    links = spark.createDataFrame(pairs, "a long, b long")
+    assert {r.id: r.component for r in components.components(links).collect()} == smallest
+    assert components.settled(spark.createDataFrame([(2, 1), (3, 1), (9, 4)], "a long, b long"))
+    assert not components.settled(spark.createDataFrame([(3, 2), (2, 1)], "a long, b long"))
+    assert not components.settled(spark.createDataFrame([(3, 2), (3, 1)], "a long, b long"))
+    assert not components.components(links.limit(0)).collect()
+
+
 def test_bpe_is_the_librarys(spark):
     tiktoken = pytest.importorskip("tiktoken")
     path = P.path("byte_bpe_50k.tiktoken")
