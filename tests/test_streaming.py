@@ -51,3 +51,18 @@ def test_sources(spark, tmp_path):
     rows = flatten_markets(raw).collect()
     assert [(r.id, r.question, r.answer1, r.token2, r.neg_risk, r.volume, r.ticker) for r in rows] == [("1", "t", "Y", "b", "true", 3.5, "k")]
     assert flatten_fills(raw).first().maker == ""
+
+
+def test_repeated_ids_come_once(spark, tmp_path):
+    for part in ([(0, 0.2), (1, 0.4)], [(0, 0.2), (1, 0.4), (2, 0.5)]):
+        trades(spark, f"{tmp_path}/in", part)
+        streaming.run_available(streaming.unique(streaming.landing(spark, f"{tmp_path}/in", TAPE), "transactionHash"), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    assert sorted(r.transactionHash for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["0", "1", "2"]
+
+
+def test_late_rows_name_their_days(spark, tmp_path):
+    rows = trades(spark, f"{tmp_path}/in", [(0, 0.2), (1, 0.4), (60, 0.5), (3000, 0.5)])
+    closed = spark.createDataFrame([(T0 + dt.timedelta(minutes=60),)], "closed_until timestamp")
+    kept, days = streaming.split_late(rows, closed)
+    assert sorted(r.price for r in kept.collect()) == [0.5, 0.5] and kept.columns == rows.columns
+    assert [(r.market_id, r.day) for r in days.collect()] == [(1, T0.date())]
