@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, exact_dedup, hamming_topk, kneser_ney, language_id, line_dedup, ngram_join, source_mix, token_rollup, warc_zip
+from tidewatch.llm import byte_bpe, embedding_dedup, exact_dedup, filter_audit, hamming_topk, kneser_ney, language_id, line_dedup, ngram_join, source_mix, token_alignment, token_rollup, warc_zip
 from tidewatch.llm.shared import shared_folder, written
 
 
@@ -110,7 +110,44 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 ORACLE = {
+    "op11_filter_audit": r"""
+        with recursive l as (select doc_id, bool_or(coalesce(quality = 1, false)) as good, bool_or(coalesce(toxic = 1, false)) as toxic from labels group by doc_id),
+        t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words, min(doc_id) over (partition by coalesce(text, '')) as first_id from documents),
+        d as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+                list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: case x when 'A' then len(words) < 100 when 'B' then 100 * len(list_distinct(words)) < 80 * len(words)
+                    when 'C' then 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) when 'D' then regexp_matches(text, '[#$%&*|]') else t.doc_id > first_id end) as fails
+              from t left join l on l.doc_id = t.doc_id),
+        g as (select part, good, toxic, fails, count(*) as n from d group by all),
+        o as (select '' as filter_order union all select filter_order || x from o, (select unnest(['A', 'B', 'C', 'D', 'E']) as x) where not contains(filter_order, x)),
+        s as (select filter_order, step, substr(filter_order, step, 1) as own, string_split(substr(filter_order, 1, step - 1), '') as before from o, (select unnest(range(1, 6)) as step) where length(filter_order) = 5),
+        r as (select part, filter_order, step, own, n, good, toxic, fails, list_contains(fails, own) as hit, list_has_any(fails, before) as gone from g, s),
+        a as (select part, filter_order, step, own, coalesce(sum(n) filter (not hit and not gone), 0) as kept, coalesce(sum(n) filter (hit and not gone), 0) as removed, coalesce(sum(n) filter (hit and gone), 0) as redundant,
+                coalesce(sum(n) filter (hit and len(fails) = 1), 0) as unique_fails, coalesce(sum(n) filter (hit and not gone and good), 0) as good_lost, coalesce(sum(n) filter (hit and not gone and toxic), 0) as toxic_lost from r group by all)
+        select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+               cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley from a""",
+    "op12_embedding_dedup": r"""
+        with recursive v as (select vec_id, cast(embedding as double[]) as x from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0),
+        p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.x, b.x) >= 0.95),
+        c as (select vec_id, vec_id as reached from v union select c.vec_id, p.b from c join p on p.a = c.reached),
+        m as (select vec_id, min(reached) as component_id from c group by 1),
+        n as (select a as vec_id, count(*) as n from p group by 1)
+        select e.vec_id, coalesce(n, 0) as n_links, coalesce(component_id, e.vec_id) as component_id, e.vec_id = coalesce(component_id, e.vec_id) as kept
+        from embeddings e left join n using (vec_id) left join m using (vec_id)""",
     "op3_ngram_join": r"""
         with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
         g as (select distinct doc_id, unnest(case when len(words) >= 5 then list_transform(range(1, len(words) - 3), lambda i: list_aggregate(words[i:i + 4], 'string_agg', ' '))
