@@ -456,8 +456,40 @@ def test_rollup_reads_touched_buckets_and_compacts(spark):
     assert (total.docs, total.tokens) == (len(live), sum(live.values())) and any(x.startswith("base~") for x in rollup.commits())
     assert {r.doc_id: r.n_tokens for r in rollup.state().collect()} == live
     # a commit that broke off before its marker is applied when it comes again
-    rollup._files.create(rollup._path(f"{rollup.root}/claimed/{rollup._number():09d}"), False).close()
-    assert rollup.commit("late", change(rows.where("doc_id = 1"), "insert", "t", F.lit(1))) and rollup.totals().first().docs == len(live) + (1 not in live)
+    gone = rollup.vacuum()
+    assert gone > 0 and rollup.vacuum() == 0 and {r.doc_id: r.n_tokens for r in rollup.state().collect()} == live
+
+
+@pytest.mark.parametrize("method, first", [("_claim", True), ("_claim", False), ("_write", False), ("_settled", True), ("_settled", False)])
+def test_rollup_with_two_writers(spark, method, first):
+    rows = docs(spark, [(1, "x", "a"), (2, "y", "a")])
+    change, root = token_rollup.change, shared_folder(spark, "rollup")
+    one, two = token_rollup.Rollup(spark, root), token_rollup.Rollup(spark, root, lease=0.0)
+    one.commit("load", change(rows, "insert", "t", F.lit(10)))
+    own, met = getattr(one, method), []
+
+    def interrupted(*args):
+        out = None if first else own(*args)
+        if not met:
+            met.append(True)
+            assert two.commit("b", change(rows.where("doc_id = 1"), "revise", "t", F.lit(30)))
+        return own(*args) if first else out
+
+    setattr(one, method, interrupted)
+    assert one.commit("a", change(rows.where("doc_id = 1"), "revise", "t", F.lit(20))) and met
+    last = 30 if (method, first) == ("_settled", False) else 20
+    assert {r.doc_id: r.n_tokens for r in one.state().collect()} == {1: last, 2: 10}
+    assert [(r.docs, r.tokens) for r in two.totals().collect()] == [(2, last + 10)]
+    assert not one.commit("b", change(rows, "delete", "t", F.lit(0))) and set(one.commits()) == {"load", "a", "b"}
+
+
+def test_rollup_outlives_a_lost_writer(spark):
+    rows = docs(spark, [(1, "x", "a")])
+    rollup = token_rollup.Rollup(spark, shared_folder(spark, "rollup"), lease=1.5)
+    rollup.commit("load", token_rollup.change(rows, "insert", "t", F.lit(10)))
+    lost = rollup._claim()
+    assert rollup.commit("next", token_rollup.change(rows, "revise", "t", F.lit(5))) and not rollup._settled(lost, "lost")
+    assert rollup.totals().first().tokens == 5 and "lost" not in rollup.commits()
 
 
 def test_rollup_of_real_tokens(spark, tmp_path):

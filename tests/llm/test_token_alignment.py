@@ -53,6 +53,8 @@ def plain(rows):
 
 def test_alignment_against_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(token_alignment.aligned_blocks, "__defaults__", ("doc_id", "text", 4000))
+    monkeypatch.setattr(token_alignment.counted_ranges, "__defaults__", (50,))
+    monkeypatch.setattr(token_alignment, "ranges", lambda *_: 5)
     random.seed(4)
     units = ["the", "Straße", "naïve", "été", "日本語", "🙂", "𝔘𝔫", "é", "x" * 30, "<|endoftext|>", "</s>", "<0x41>", "<s>", "don't", "we'll", "3.14", "\x00", "\x1c", " ", " ", "﻿", "ﬁ", "0x"]
     gaps = [" ", " ", " ", "  ", "   ", "\n", "\n ", " \n", "\t", "\r\n  ", "", "　 ", "\x1c "]
@@ -64,6 +66,16 @@ def test_alignment_against_whole_texts(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in out.collect()), key=repr) == plain(rows)
 
 
+def test_alignment_of_vocabularies(spark):
+    frame = spark.createDataFrame([(i, "the end of the line") for i in range(3)], "doc_id long, text string")
+    blocks = token_alignment.aligned_blocks(frame, A, B)
+    rows = token_alignment._by_range(blocks, 2)
+    found = {(r.a, r.b): (r["count"], r.best) for r in token_alignment.pair_counts(token_alignment.counted_ranges(rows, 2)).collect()}
+    both = token_alignment.aligner(A, B)
+    the = both.a.encode(" the").ids[0], both.b.piece_to_id("▁the")
+    assert found[the] == (6, True) and sum(n for n, _ in found.values()) == 15
+
+
 def test_alignment_of_an_empty_table(spark):
     assert token_alignment.aligned(spark.createDataFrame([], "doc_id long, text string"), A, B).count() == 0
 

@@ -1,17 +1,18 @@
 """Sparse matrices in blocks of documents, and dictionaries that all blocks share.
 
 A block is one row: the documents of a slice of text, a matrix of them in compressed rows (`indptr`, `indices`, `data`)
-over the block's own dictionary, and that dictionary. What holds for the whole corpus (a word's
-number, a pair's count) is a table by dictionary entry. A block meets it with one row for each distinct entry, so
-the commonest entry has a row a block and not a row a document, and the answers come back as arrays
-in the order of the block's dictionary.
+over the block's own dictionary, and that dictionary. What holds for the whole corpus (a word's number, a pair's count) is found
+range by range: the dictionary's entries are dealt into ranges by a hash, a block sends one row to each range with all its
+entries there, and gets one back. The commonest entry is sent once a block and not once a document. Numbers travel
+as byte planes (first bytes of all, then second ones), which are a column of bytes for Spark and compress well.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -22,7 +23,20 @@ from pyspark.sql import functions as F
 from tidewatch.llm.shared import written
 
 #: Bytes of text a block; a longer text is a block by itself.
-BLOCK = 8 << 20
+BLOCK = 16 << 20
+#: Entries of the corpus-wide dictionary in one range, of which one task holds all.
+RANGE = 250_000
+#: One in so many hashes is counted to tell how many ranges there have to be.
+PROBE = 1024
+
+
+def packed(values: np.ndarray, width: int = 4) -> bytes:
+    """Whole numbers as byte planes."""
+    return np.ascontiguousarray(values.astype(f"<i{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def unpacked(data: bytes, width: int = 4) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<i{width}").ravel().astype(np.int64)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = BLOCK) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -59,22 +73,91 @@ def listed(values: pa.Array | np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def numbered(blocks: DataFrame, column: str, name: str) -> DataFrame:
-    """`name` (a dictionary entry of any block), id: dense numbers from 0, as a written table.
-
-    Numbers are a task's first number and the place within the task, so no task sees all entries.
-    """
-    place = F.monotonically_increasing_id()
-    entries = blocks.select(F.explode(column).alias(name)).distinct()
-    entries = written(entries.select(name, F.shiftright(place, 33).alias("task"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "dictionary")
-    tasks = entries.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a task
-    return entries.join(F.broadcast(tasks.select("task", before.alias("before"))), "task").select(name, (F.col("before") + F.col("place")).alias("id"))
-
-
-def answered(blocks: DataFrame, column: str, table: DataFrame, name: str, *values: str) -> DataFrame:
-    """blocks with `values` as arrays in the order of the dictionary in `column`, which goes. table: `name` and the values."""
-    asked = blocks.select("block", F.posexplode(column).alias("local", name)).join(table, name)
-    lists = asked.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("local", *values))).alias("met"))
-    rows = blocks.drop(column).join(lists, "block", "left")
-    return rows.select(*(c for c in rows.columns if c != "met"), *(F.coalesce(F.col("met")[v], F.array().cast(f"array<{dict(table.dtypes)[v]}>")).alias(v) for v in values))
+def word_places(words: bytes) -> np.ndarray:
+    """Hashes of words that are joined by line feeds."""
+    return pd.util.hash_array(np.array(words.split(b"\n"), object), categorize=False) if words else np.zeros(0, np.uint64)
+
+
+def key_places(keys: bytes, shift: int = 0) -> np.ndarray:
+    """Hashes of packed 64-bit keys, of their lower `shift` bits where these decide."""
+    own = unpacked(keys, 8)
+    return pd.util.hash_array(own & ((1 << shift) - 1) if shift else own, categorize=False)
+
+
+def probed(hashes: np.ndarray) -> pa.Array:
+    """The hashes by which ranges() counts."""
+    return listed(hashes[hashes % PROBE == 0].astype(np.int64), pa.int64())
+
+
+def ranges(blocks: DataFrame, size: int = RANGE) -> int:
+    """How many ranges the dictionary of all blocks needs, by their column `probe`."""
+    return 1 + blocks.select(F.explode("probe").alias("x")).distinct().count() * PROBE // size
+
+
+def dealt(blocks: DataFrame, n: int, cut: Callable[[pa.RecordBatch, int], Iterator[tuple[int, bytes, dict[str, bytes]]]], columns: list[str]) -> DataFrame:
+    """range, block, places and `columns` (bytes) of each block's entries by range. cut gives (range, places, columns' bytes) of a row."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                parts = list(cut(row, n))
+                block = row.column("block")[0].as_py()
+                arrays = [pa.array([p[0] for p in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([p[1] for p in parts], pa.binary()), *(pa.array([p[2][c] for p in parts], pa.binary()) for c in columns)]
+                yield pa.RecordBatch.from_arrays(arrays, ["range", "block", "places", *columns])
+
+    return blocks.mapInArrow(build, "range int, block long, places binary, " + ", ".join(f"{c} binary" for c in columns))
+
+
+def split(hashes: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Ranges and the places of their entries."""
+    own = ((hashes // np.uint64(PROBE)) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(own, kind="stable")
+    ends = np.searchsorted(own[order], np.arange(n + 1))
+    for i in np.unique(own):
+        yield int(i), order[ends[i] : ends[i + 1]]
+
+
+def numbered(blocks: DataFrame, size: int = RANGE) -> tuple[DataFrame, DataFrame]:
+    """For blocks with `block`, `words` and `probe`: (block, ids: structs of first, places and packed ids), and the dictionary (word, id). Ids are dense from 0."""
+    n = ranges(blocks, size)
+
+    def cut(row: pa.RecordBatch, n: int) -> Iterator[tuple[int, bytes, dict[str, bytes]]]:
+        words = row.column("words")[0].as_py()
+        each = np.array(words.split(b"\n"), object)
+        for i, places in split(word_places(words), n):
+            yield i, packed(places), {"words": b"\n".join(each[places])}
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["range", "block", "places", "data", "n"]
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+        out = lambda *x: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(x, kinds, strict=True)], names)
+        now, ids = None, {}
+        for batch in batches:
+            for own, block, places, words in zip(*(batch.column(c).to_pylist() for c in ("range", "block", "places", "words")), strict=True):
+                if own != now:
+                    if now is not None:
+                        yield out(now, None, None, b"\n".join(ids), len(ids))
+                    now, ids = own, {}
+                found = [ids.setdefault(w, len(ids)) for w in words.split(b"\n")]
+                yield out(own, block, places, packed(np.array(found)), None)
+        if now is not None:
+            yield out(now, None, None, b"\n".join(ids), len(ids))
+
+    rows = dealt(blocks.select("block", "words").where("length(words) > 0"), n, cut, ["words"])
+    # the order of blocks decides the numbers, so that a task that runs again gives the same ones
+    done = written(rows.repartition(n, "range").sortWithinPartitions("range", "block").mapInArrow(number, "range int, block long, places binary, data binary, n long"), "numbers")
+    whole = done.where("block is null")
+    first = F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first")  # a row a range
+    starts = whole.select("range", "n").select("range", first)
+    columns = done.where("block is not null").select("range", "block", "places", "data").join(F.broadcast(starts), "range")
+    dictionary = whole.select("range", F.posexplode(F.split(F.col("data").cast("string"), "\n")).alias("at", "word")).join(F.broadcast(starts), "range")
+    return columns.groupBy("block").agg(F.collect_list(F.struct("first", "places", "data")).alias("ids")), dictionary.select("word", (F.col("first") + F.col("at")).alias("id"))
+
+
+def in_order(parts: list[dict], n: int) -> np.ndarray:
+    """The numbers of a block's entries in the order of its dictionary, from what numbered() gives."""
+    out = np.zeros(n, np.int64)
+    for part in parts or []:
+        out[unpacked(part["places"])] = unpacked(part["data"]) + part["first"]
+    return out

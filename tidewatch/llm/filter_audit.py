@@ -14,6 +14,7 @@ their names; an empty table has no parts, hence no rows.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -24,32 +25,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.llm.blocks import BLOCK, answered, counted, listed, numbered, row_sums, slices
+from tidewatch.llm.blocks import BLOCK, counted, in_order, listed, numbered, packed, probed, row_sums, slices, unpacked, word_places
 from tidewatch.llm.shared import written
+from tidewatch.llm.words import text_bytes
 
 FILTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT, MOST_UPPER = 100, 80, 10
 #: Characters that fail filter D: fixed values.
-MARKS = r"[#$%&*|]"
+MARKS = "#$%&*|"
 ORDERS = ["".join(p) for p in itertools.permutations(FILTERS)]
 
-DOCUMENT = {"doc_id": "long", "part": "string", "digest": "string", "upper": "boolean", "marked": "boolean"}
-MATRIX = {"indptr": "array<long>", "indices": "array<long>", "data": "array<long>"}
+DOCUMENT = {"doc_id": "long", "part": "string", "digest": "binary", "upper": "boolean", "marked": "boolean"}
+KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+#: A matrix: where rows begin, columns (64 bits once they are the corpus's numbers), counts.
+MATRIX = ["indptr", "indices", "data"]
+UPPER, MARKED, LATER = (np.zeros(256, bool) for _ in range(3))
+UPPER[ord("A") : ord("Z") + 1] = True
+MARKED[list(MARKS.encode())] = True
+LATER[0x80:0xC0] = True  # bytes that go on a code point
 
 
 def _schema(columns: dict[str, str]) -> str:
     return ", ".join(f"{k} {v}" for k, v in columns.items())
 
 
-LISTS = {k: f"array<{v}>" for k, v in DOCUMENT.items()}
-KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+LISTS = {"block": "long", **{k: f"array<{v}>" for k, v in DOCUMENT.items()}, **dict.fromkeys(MATRIX, "binary")}
 
 
-def term_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Blocks of documents with their matrix over the block's own words, as a written table.
+def read_texts(texts: pa.Array) -> dict[str, pa.Array]:
+    """What filters read of texts beside their words: digest, upper, marked."""
+    data, offsets = text_bytes(texts)
+    per = lambda flags: row_sums(offsets, flags[data])
+    upper = 100 * per(UPPER) > MOST_UPPER * (np.diff(offsets) - per(LATER))
+    raw = data.tobytes()
+    digests = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return {"digest": pa.array(digests, pa.binary()), "upper": pa.array(upper), "marked": pa.array(per(MARKED) > 0)}
 
-    docs: doc_id, part, digest, upper, marked, text.
-    """
+
+def term_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Blocks of documents (doc_id, part, text) with their matrix over the block's own words, as a written table."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in slices(batches, "text", block):
@@ -59,28 +73,28 @@ def term_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             filled = pc.greater(pc.binary_length(words), 0)
             found = words.filter(filled).dictionary_encode()
             parent = parents.filter(filled).to_numpy(zero_copy_only=False)
-            indptr, indices, data = counted(parent, found.indices.to_numpy(zero_copy_only=False), rows.num_rows, len(found.dictionary))
-            columns = [listed(rows.column(c), KINDS[kind]) for c, kind in DOCUMENT.items()]
-            columns += [listed(x, pa.int64()) for x in (indptr, indices, data)] + [listed(found.dictionary, pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *columns], ["block", *DOCUMENT, *MATRIX, "words"])
+            matrix = counted(parent, found.indices.to_numpy(zero_copy_only=False), rows.num_rows, len(found.dictionary))
+            joined = "\n".join(found.dictionary.to_pylist()).encode()
+            read = {"doc_id": rows.column("doc_id"), "part": rows.column("part"), **read_texts(rows.column("text"))}
+            columns = [listed(read[c], KINDS[kind]) for c, kind in DOCUMENT.items()] + [pa.array([x], pa.binary()) for x in (*map(packed, matrix), joined)]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *columns, probed(word_places(joined))], [*LISTS, "words", "probe"])
 
-    return written(docs.select(*DOCUMENT, "text").mapInArrow(build, _schema({"block": "long", **LISTS, **MATRIX, "words": "array<string>"})), "terms")
+    return written(docs.mapInArrow(build, _schema({**LISTS, "words": "binary", "probe": "array<long>"})), "terms")
 
 
 def shards(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The matrix with numbers of all words of the corpus, a row a block, and the dictionary (word, id)."""
-    dictionary = numbered(blocks, "words", "word")
+    ids, dictionary = numbered(blocks)
 
     def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                ids, local = (pc.list_flatten(row.column(c)).to_numpy(zero_copy_only=False) for c in ("id", "indices"))
-                yield row.set_column(row.schema.get_field_index("indices"), "indices", listed(ids[local] if len(local) else local, pa.int64())).drop_columns(["id"])
+                local, parts = unpacked(row.column("indices")[0].as_py()), row.column("ids")[0].as_py()
+                columns = in_order(parts, int(local.max()) + 1 if len(local) else 0)[local]
+                yield row.set_column(row.schema.get_field_index("indices"), "indices", pa.array([packed(columns, 8)], pa.binary())).drop_columns(["ids"])
 
-    met = answered(blocks, "words", dictionary, "word", "id")
-    names = ["block", *LISTS, *MATRIX]
-    return written(met.select(*names, "id").mapInArrow(renumber, _schema({"block": "long", **LISTS, **MATRIX})), "shards"), dictionary
+    return written(blocks.select(*LISTS).join(ids, "block", "left").select(*LISTS, "ids").mapInArrow(renumber, _schema(LISTS)), "shards"), dictionary
 
 
 def word_counts(shard_rows: DataFrame) -> DataFrame:
@@ -90,20 +104,16 @@ def word_counts(shard_rows: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                flat = {c: pc.list_flatten(row.column(c)) for c in (*DOCUMENT, "indptr", "data")}
-                indptr = flat["indptr"].to_numpy()
-                words = row_sums(indptr, flat["data"].to_numpy())
-                yield pa.RecordBatch.from_arrays([*(flat[c] for c in DOCUMENT), pa.array(words, pa.int64()), pa.array(np.diff(indptr), pa.int64())], [*DOCUMENT, "words", "distinct"])
+                indptr, data = (unpacked(row.column(c)[0].as_py()) for c in ("indptr", "data"))
+                sums = [pa.array(x, pa.int64()) for x in (row_sums(indptr, data), np.diff(indptr))]
+                yield pa.RecordBatch.from_arrays([*(pc.list_flatten(row.column(c)) for c in DOCUMENT), *sums], [*DOCUMENT, "words", "distinct"])
 
     return shard_rows.select(*DOCUMENT, "indptr", "data").mapInArrow(count, _schema({**DOCUMENT, "words": "long", "distinct": "long"}))
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """What filters read of a document beside its words."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), text.alias("text"))
-    upper = 100 * F.regexp_count("text", F.lit("[A-Z]")) > MOST_UPPER * F.length("text")
-    return rows.select("doc_id", "part", F.sha2("text", 256).alias("digest"), upper.alias("upper"), F.col("text").rlike(MARKS).alias("marked"), "text")
+    """doc_id, part and text of documents, nulls replaced."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def failures(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,11 +5,11 @@ pattern nor a piece model without a piece that goes on after a space can have a
 the tokens that it has within its text, and a worker encodes each stretch once and remembers it. A token's
 end in bytes comes from the spans that the libraries give: character offsets of the first, byte spans of the
 second. Tokens that share a character (parts of a multibyte one) or have an empty span (byte fallback) are refined with the bytes that they
-decode to. Documents become blocks of a sparse matrix of documents by linked id pairs; corpus-wide counts of pairs meet
-each block once a pair.
+decode to. Documents become blocks of a sparse matrix of documents by linked id pairs; pairs are dealt into ranges by their second
+id, so that a range counts its pairs and knows each second id's highest count, and meet each block once a pair.
 
 Results for odd input: a null or empty text, and one whose tokens' bytes aren't a space and the text (one that holds
-U+2581, for instance), has no tokens: zeros and '' ; rows that repeat an id are documents of their own and count as often as they are there; a
+U+2581, for instance), has no tokens: zeros and ''; rows that repeat an id are documents of their own and count as often as they are there; a
 null id stays null; ties for the highest count all count; very long texts are a block each, and a stretch without a space
 is encoded whole; other columns aren't read; an empty table has no rows.
 """
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.blocks import BLOCK, answered, counted, listed, row_sums, slices
+from tidewatch.llm.blocks import BLOCK, counted, dealt, key_places, listed, packed, probed, ranges, row_sums, slices, split, unpacked
 from tidewatch.llm.shared import written
 
 #: Stretches that a worker remembers.
@@ -182,47 +182,131 @@ def _block(number: int, rows: pa.RecordBatch, both: Aligner) -> pa.RecordBatch:
     indptr, indices, data = counted(links, local, len(found), len(keys))
     linked = np.bincount(links, minlength=len(found))
     columns = [listed(rows.column("doc_id"), pa.int64()), *(listed(x, pa.int64()) for x in (*sums, linked)), listed(pa.array(digests, pa.string()), pa.string())]
-    columns += [listed(x, pa.int64()) for x in (indptr, indices, data, keys, np.bincount(local, minlength=len(keys)))]
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *columns], ["block", *NUMBERS, "groups_sha256", *MATRIX, "pairs", "times"])
+    data = [packed(x) for x in (indptr, indices, data)] + [packed(keys, 8), packed(np.bincount(local, minlength=len(keys)), 8)]
+    keys = probed(key_places(data[3]))
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *columns, *(pa.array([x], pa.binary()) for x in data), keys], ["block", *NUMBERS, "groups_sha256", *MATRIX, "pairs", "times", "probe"])
 
 
 def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """Blocks of documents: figures of their groups, and the matrix of documents by linked pairs (pairs: a << 32 | b), as a written table."""
+    """Blocks of documents: figures of their groups, and the matrix of documents by linked pairs (packed pairs: a << 32 | b), as a written table."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(path_a, path_b)
         for number, rows in slices(batches, "text", block):
             yield _block(number, rows, both)
 
-    schema = "block long, " + ", ".join(f"{c} array<long>" for c in NUMBERS) + ", groups_sha256 array<string>, " + ", ".join(f"{c} array<long>" for c in (*MATRIX, "pairs", "times"))
+    schema = "block long, " + ", ".join(f"{c} array<long>" for c in NUMBERS) + ", groups_sha256 array<string>, " + ", ".join(f"{c} binary" for c in (*MATRIX, "pairs", "times")) + ", probe array<long>"
     return written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(build, schema), "aligned")
 
 
-def pair_counts(blocks: DataFrame) -> DataFrame:
-    """pair, a, b, count (links that hold it corpus-wide), best (1 where no other pair of its b has more), as a written table: the alignment of both vocabularies."""
-    sums = blocks.select(F.explode(F.arrays_zip("pairs", "times")).alias("x")).groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.times").alias("count"))
-    sums = written(sums.select("pair", F.shiftright("pair", 32).alias("a"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b"), "count"), "pairs")
-    most = sums.groupBy("b").agg(F.max("count").alias("most"))
-    return written(sums.join(most, "b").select("pair", "a", "b", "count", (F.col("count") == F.col("most")).cast("long").alias("best")), "counts")
+def _by_range(blocks: DataFrame, n: int) -> DataFrame:
+    """range, block, places, pairs, times of each block's pairs; pairs of one second id are in one range."""
 
+    def cut(row: pa.RecordBatch, n: int) -> Iterator[tuple[int, bytes, dict[str, bytes]]]:
+        pairs, times = row.column("pairs")[0].as_py(), row.column("times")[0].as_py()
+        own, counts = unpacked(pairs, 8), unpacked(times, 8)
+        for i, places in split(key_places(pairs, 32), n):
+            yield i, packed(places), {"pairs": packed(own[places], 8), "times": packed(counts[places], 8)}
 
-def summed(blocks: DataFrame, counts: DataFrame) -> DataFrame:
+    return dealt(blocks.select("block", "pairs", "times").where("length(pairs) > 0"), n, cut, ["pairs", "times"])
+
+
+def _summed(pairs: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys, place = np.unique(np.concatenate(pairs), return_inverse=True)
+    return keys, np.bincount(place, np.concatenate(times), len(keys)).astype(np.int64)
+
+
+COUNTS = "range int, pairs binary, counts binary, best binary"
+
+
+def counted_ranges(rows: DataFrame, n: int, most: int = 4_000_000) -> DataFrame:
+    """range, and its pairs in ascending order, their counts, and 1 where no other pair of the second id has more (all packed), as a written table."""
+
+    def table(now: int, pairs: list[np.ndarray], times: list[np.ndarray]) -> pa.RecordBatch:
+        keys, counts = _summed(pairs, times)
+        second, place = np.unique(keys & 0xFFFFFFFF, return_inverse=True)
+        highest = np.zeros(len(second), np.int64)
+        np.maximum.at(highest, place, counts)
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *(pa.array([packed(x, 8)], pa.binary()) for x in (keys, counts, counts == highest[place]))], ["range", "pairs", "counts", "best"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pairs, times, waiting = None, [], [], 0
+        for batch in batches:
+            for own, some, n_times in zip(*(batch.column(c).to_pylist() for c in ("range", "pairs", "times")), strict=True):
+                if own != now:
+                    if now is not None:
+                        yield table(now, pairs, times)
+                    now, pairs, times, waiting = own, [], [], 0
+                pairs.append(unpacked(some, 8))
+                times.append(unpacked(n_times, 8))
+                waiting += len(pairs[-1])
+                if waiting > most:  # what one range holds is its distinct pairs, and as many again
+                    pairs, times = ([x] for x in _summed(pairs, times))
+                    waiting = 0
+        if now is not None:
+            yield table(now, pairs, times)
+
+    return written(rows.repartition(n, "range").sortWithinPartitions("range").mapInArrow(count, COUNTS), "counts")
+
+
+def pair_counts(counts: DataFrame) -> DataFrame:
+    """a, b, count, best: the alignment of both vocabularies from counted_ranges()."""
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                pairs, n, best = (unpacked(row[c], 8) for c in ("pairs", "counts", "best"))
+                yield pa.RecordBatch.from_arrays([pa.array(pairs >> 32), pa.array(pairs & 0xFFFFFFFF), pa.array(n), pa.array(best == 1)], ["a", "b", "count", "best"])
+
+    return counts.mapInArrow(flat, "a long, b long, count long, best boolean")
+
+
+def _answers(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """block, met: structs of places, counts and best (packed) of its pairs, a struct a range."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: list[np.ndarray] = []
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["block"] is None:
+                    table = [unpacked(row[c], 8) for c in ("pairs", "counts", "best")]
+                else:
+                    at = np.searchsorted(table[0], unpacked(row["pairs"], 8))
+                    out.append((row["block"], row["places"], packed(table[1][at], 8), packed(table[2][at])))
+            names, kinds = ["block", "places", "counts", "best"], [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
+
+    # a range's table comes before its blocks
+    both = rows.drop("times").unionByName(counts.withColumn("block", F.lit(None).cast("long")), allowMissingColumns=True)
+    both = both.repartition(n, "range").sortWithinPartitions("range", F.col("block").asc_nulls_first())
+    found = both.select("block", "places", "pairs", "counts", "best").mapInArrow(answer, "block long, places binary, counts binary, best binary")
+    return found.groupBy("block").agg(F.collect_list(F.struct("places", "counts", "best")).alias("met"))
+
+
+def summed(blocks: DataFrame) -> DataFrame:
     """A row a document: its figures, n_best and count_sum over its links."""
     out = [*NUMBERS, "n_best", "count_sum"]
+    n = ranges(blocks)
+    rows = _by_range(blocks, n)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                flat = {c: pc.list_flatten(batch.slice(i, 1).column(c)) for c in (*NUMBERS, "groups_sha256", *MATRIX, "best", "count")}
-                indptr, indices, data, best, count = (flat[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in (*MATRIX, "best", "count"))
-                sums = [pa.array(row_sums(indptr, data * x[indices]), pa.int64()) for x in (best, count)]
-                yield pa.RecordBatch.from_arrays([*(flat[c] for c in NUMBERS), *sums, flat["groups_sha256"]], [*out, "groups_sha256"])
+                row = batch.slice(i, 1)
+                indptr, indices, data = (unpacked(row.column(c)[0].as_py()) for c in MATRIX)
+                counts, best = (np.zeros(int(indices.max()) + 1 if len(indices) else 0, np.int64) for _ in range(2))
+                for part in row.column("met")[0].as_py() or []:
+                    places = unpacked(part["places"])
+                    counts[places], best[places] = unpacked(part["counts"], 8), unpacked(part["best"])
+                sums = [pa.array(row_sums(indptr, data * x[indices]), pa.int64()) for x in (best, counts)]
+                flat = [pc.list_flatten(row.column(c)) for c in (*NUMBERS, "groups_sha256")]
+                yield pa.RecordBatch.from_arrays([*flat[:-1], *sums, flat[-1]], [*out, "groups_sha256"])
 
-    met = answered(blocks.drop("times"), "pairs", counts, "pair", "best", "count")
-    return met.select(*NUMBERS, "groups_sha256", *MATRIX, "best", "count").mapInArrow(total, ", ".join(f"{c} long" for c in out) + ", groups_sha256 string")
+    met = blocks.select("block", *NUMBERS, "groups_sha256", *MATRIX).join(_answers(rows, counted_ranges(rows, n), n), "block", "left")
+    return met.select(*NUMBERS, "groups_sha256", *MATRIX, "met").mapInArrow(total, ", ".join(f"{c} long" for c in out) + ", groups_sha256 string")
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each document."""
-    blocks = aligned_blocks(docs, path_a, path_b)
-    return summed(blocks, pair_counts(blocks))
+    return summed(aligned_blocks(docs, path_a, path_b))
