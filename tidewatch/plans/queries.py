@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +12,7 @@ from tidewatch.functions import keep_first, micros
 from tidewatch.operators import metrics, quality, reports, score, tape, timing
 from tidewatch.operators.positions import last_prices, resolutions, wallet_positions
 from tidewatch.sources import flatten_fills, flatten_markets, merge_markets, read_activity, read_fills, schemas, tapes, write_chunks, write_table
+from tidewatch.sources.scratch import scratch
 from tidewatch.sources.tapes import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,14 +43,6 @@ def shown(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share; in local mode a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{base or tempfile.mkdtemp(prefix='spark-shared-')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def day_positions(spark: SparkSession, d: str) -> DataFrame:
     return wallet_positions(tapes.lineitem_tape(spark, d), tapes.lineitem_markets(spark, d))
 
@@ -224,7 +215,7 @@ def wallet_slice_profit_factor(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stored_slice(spark: SparkSession, d: str) -> DataFrame:
     """The positions of the wallet with the most of them, from a table stored in the order of wallets."""
-    path = _scratch(spark, "positions")
+    path = scratch(spark, "positions")
     write_table(day_positions(spark, d).repartitionByRange("wallet"), path, "wallet")
     stored = spark.read.parquet(path)
     return shown(reports.of_wallet(stored, _busiest(stored)).select("wallet", "market_id", "side", "total_usd_in", "total_usd_out", "num_trades", "resolution", "position_won"))
@@ -345,7 +336,7 @@ def fills_to_trades(spark: SparkSession, d: str) -> DataFrame:
 @query
 def fills_from_csv(spark: SparkSession, d: str) -> DataFrame:
     """Fills written as gzipped parts of text and read again with their schema."""
-    path = _scratch(spark, "fills")
+    path = scratch(spark, "fills")
     write_chunks(tapes.events_fills(spark, d), path)
     return shown(tape.fills_to_trades(read_fills(spark, path), tape.token_lookup(tapes.events_token_markets(spark, d))))
 
@@ -353,7 +344,7 @@ def fills_from_csv(spark: SparkSession, d: str) -> DataFrame:
 @query
 def activity_from_csv(spark: SparkSession, d: str) -> DataFrame:
     """Activity from gzipped text: splits and merges from the one of two places that there is, redemptions from both."""
-    path, found = _scratch(spark, "activity"), tapes.orders_activity(spark, d)
+    path, found = scratch(spark, "activity"), tapes.orders_activity(spark, d)
     even = F.col("timestamp") % 2 == 0
     write_chunks(found["splits"], f"{path}/main/splits")
     write_chunks(found["merges"], f"{path}/gap/merges")
@@ -472,7 +463,7 @@ def stream_price_history(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*events*" if not _is_folder(spark, d) else "*.parquet").parquet(d if not _is_folder(spark, d) else f"{d}/events.parquet")
     price = (F.floor(F.col("value") * 100 + 0.5).cast("long") % 10000) / 10000.0
     trades = stream.select(F.timestamp_micros(micros("ts")).alias("timestamp"), F.regexp_extract("props", "([0-9]+)", 1).try_cast("long").alias("market_id"), F.concat(F.lit("u"), "user_id").alias("taker"), F.concat(F.lit("u"), (F.col("user_id") * 7 + F.col("event_id")) % users).alias("maker"), price.alias("price"), F.col("value").alias("usd_amount"))
-    where = _scratch(spark, "stream")
+    where = scratch(spark, "stream")
     streaming.run_available(streaming.price_history(trades), f"{where}/out", f"{where}/checkpoint")
     return shown(spark.read.schema("market_id long, bucket_start timestamp, bucket_end timestamp, avg_price double, num_trades long, total_volume double").parquet(f"{where}/out"))
 
