@@ -31,6 +31,8 @@ from tidewatch.llm.shared import written
 
 #: Stretches that a worker remembers.
 REMEMBERED = 300_000
+#: Stretches whose spans are in memory at a time.
+AT_ONCE = 10_000
 #: Documents' and matrices' columns of a block.
 NUMBERS = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
 MATRIX = ["indptr", "indices", "data"]
@@ -108,9 +110,11 @@ class Aligner:
 
     def learn(self) -> None:
         """Encode the stretches that have come up since."""
-        new = self.numbers.new
-        if not new:
-            return
+        for start in range(0, len(self.numbers.new), AT_ONCE):
+            self._learn(self.numbers.new[start : start + AT_ONCE])
+        self.numbers.new.clear()
+
+    def _learn(self, new: list[str]) -> None:
         stretches = [" " + key for key in new]
         encodings = self.a.encode_batch(stretches, add_special_tokens=False)
         protos = self.b.encode(new, return_type="proto", num_threads=1)
@@ -134,7 +138,6 @@ class Aligner:
         self.counts = np.concatenate((self.counts, np.array(counts, np.int64)))
         self.pairs = np.concatenate((self.pairs, np.array(pairs, np.int64)))
         self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(lengths)))
-        new.clear()
 
 
 #: White space before a space: there a text isn't cut.
