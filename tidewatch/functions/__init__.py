@@ -82,13 +82,43 @@ def binned_interval_join(points: DataFrame, intervals: DataFrame, keys: list[str
     return points.withColumn("__bin", F.floor(F.col(at) / bin_size)).join(binned, [*keys, "__bin"]).where(F.col(at).between(F.col(start), F.col(end))).drop("__bin")
 
 
+def _ranged(df: DataFrame, value: str, parts: int) -> DataFrame:
+    """df with __range: the number of the stretch of values that a row is in, of about equal rows; equal values are in one."""
+    cuts = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("cuts")).first()["cuts"]  # parts numbers
+    return df.withColumn("__range", F.size(F.filter(F.lit(sorted(set(cuts or []))).cast("array<double>"), lambda c: c < F.col(value).cast("double"))))
+
+
+def _carried(rows: DataFrame, value: Column, fold, name: str) -> DataFrame:
+    """rows with what `fold` makes of value in all ranges before: a row a range is all that is in one task."""
+    per = rows.groupBy("__range").agg(fold(value).alias("__one"))
+    before = fold("__one").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
+    return rows.join(F.broadcast(per.select("__range", before.alias(name))), "__range")
+
+
+def reached(df: DataFrame, keys: list[str], start: str, end: str, name: str = "reach", parts: int = 64) -> DataFrame:
+    """df with the latest end of all intervals that begin before, in the order of start and end; null for the first.
+
+    Without keys the line is cut into ranges: the running maximum is within a range, and what the ranges before reach comes from one row of each.
+    """
+    if keys:
+        return df.withColumn(name, F.max(end).over(W.partitionBy(*keys).orderBy(start, end).rowsBetween(W.unboundedPreceding, -1)))
+    rows = _ranged(df, start, parts)
+    within = F.max(end).over(W.partitionBy("__range").orderBy(start, end).rowsBetween(W.unboundedPreceding, -1))
+    rows = _carried(rows.withColumn("__within", within), F.col(end), F.max, "__carried")
+    return rows.withColumn(name, F.greatest("__within", "__carried")).drop("__range", "__within", "__carried")
+
+
 def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: int, name: str = "island", strict: bool = False) -> DataFrame:
     """df with the number of the run that an interval belongs to: it begins a new one where it starts more than `gap` after all earlier ends."""
-    before = W.partitionBy(*keys).orderBy(start, end).rowsBetween(W.unboundedPreceding, -1)
-    reach = F.max(end).over(before)
-    apart = F.col(start) - reach >= gap if strict else F.col(start) - reach > gap
-    running = W.partitionBy(*keys).orderBy(start, end).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("__new", F.when(reach.isNull() | apart, 1).otherwise(0)).withColumn(name, F.sum("__new").over(running)).drop("__new")
+    rows = reached(df, keys, start, end, "__reach")
+    apart = F.col(start) - F.col("__reach") >= gap if strict else F.col(start) - F.col("__reach") > gap
+    rows = rows.withColumn("__new", F.when(F.col("__reach").isNull() | apart, 1).otherwise(0)).drop("__reach")
+    if keys:
+        return rows.withColumn(name, F.sum("__new").over(W.partitionBy(*keys).orderBy(start, end).rowsBetween(W.unboundedPreceding, 0))).drop("__new")
+    rows = _ranged(rows, start, 64)
+    within = F.sum("__new").over(W.partitionBy("__range").orderBy(start, end).rowsBetween(W.unboundedPreceding, 0))
+    rows = _carried(rows.withColumn("__within", within), F.col("__new"), F.sum, "__carried")
+    return rows.withColumn(name, F.col("__within") + F.coalesce("__carried", F.lit(0))).drop("__new", "__range", "__within", "__carried")
 
 
 def micros(ts: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.functions import divide, islands
+from tidewatch.functions import divide, islands, reached
 
 TOLERANCE = 60
 
@@ -31,9 +31,7 @@ def gaps(intervals: DataFrame, expected: DataFrame, tolerance: int = TOLERANCE,
     """
     ends = expected.select(*keys, F.explode(F.array("expected_start", "expected_end")).alias("start")).withColumn("end", F.col("start"))
     merged = merged_intervals(intervals, tolerance, keys).unionByName(ends)
-    order = W.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    rows = merged.select(*keys, reach.alias("gap_start"), F.col("start").alias("gap_end"))
+    rows = reached(merged, list(keys), "start", "end").select(*keys, F.col("reach").alias("gap_start"), F.col("start").alias("gap_end"))
     rows = (rows.join(expected, list(keys)) if keys else rows.crossJoin(F.broadcast(expected))).where((F.col("gap_start") >= F.col("expected_start")) & (F.col("gap_end") <= F.col("expected_end")))
     return rows.where(F.col("gap_end") - F.col("gap_start") > tolerance).select(*keys, "gap_start", "gap_end")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions import exact_sum
 from tidewatch.operators import metrics, score, timing
 from tidewatch.operators.positions import wallet_positions
 
@@ -78,12 +79,28 @@ def wallet_slice(positions: DataFrame, wallet: str, scores: DataFrame | None = N
     return {"positions": own, **score.all_metrics(own), **{k: of_wallet(v, wallet) for k, v in known.items() if v is not None}}
 
 
+def wallet_figures(wallet: str, positions: DataFrame, scores: DataFrame, timings: DataFrame, pre_spike: DataFrame) -> DataFrame:
+    """One row of what a wallet's page shows beside its lists: score, ROI, profit, bet sizes, Brier skill, concentration, timing, and how many positions and trades ahead of spikes it has."""
+    own = of_wallet(positions, wallet)
+    tables = score.all_metrics(own)
+    shown = {
+        "roi": ["roi", "net_profit"], "profit_factor": ["profit_factor", "gross_profit", "gross_loss"], "bet_size_vs_odds": ["avg_bet_size", "longshot_bet_count"], "brier_score": ["brier_score", "brier_skill_vs_consensus"],
+        "position_concentration": ["max_concentration", "hhi", "largest_bet_market"], "win_streak": ["longest_win_streak", "current_streak"],
+    }
+    row = own.agg(F.lit(wallet).alias("wallet"), F.count(F.lit(1)).alias("num_positions"), F.count_if("position_won").alias("num_won"))
+    parts = [of_wallet(scores, wallet).select("wallet", "aggregate_score", "suspicion_rank"), of_wallet(timings, wallet).select("wallet", "num_spikes_preceded", "hit_rate", "excess_ratio", "is_flagged"), *(tables[n].select("wallet", *columns) for n, columns in shown.items())]
+    parts.append(of_wallet(pre_spike, wallet).groupBy("wallet").agg(F.count(F.lit(1)).alias("num_pre_spike"), F.count_if("correct_direction").alias("num_correct")))
+    for part in parts:  # a row at most each
+        row = row.join(part, "wallet", "left")
+    return row
+
+
 def slice_summary(slices: dict[str, DataFrame]) -> DataFrame:
     """One row of a slice's figures."""
     counts = slices["positions"].agg(F.count(F.lit(1)).alias("positions"), F.count_distinct("wallet").alias("wallets"))
     roi = slices["roi"].agg(F.count(F.lit(1)).alias("roi_wallets"), F.avg("roi").alias("avg_roi"), F.count_if("flagged").alias("roi_flagged"))
     factor = slices["profit_factor"].agg(F.count_if("flagged").alias("profit_factor_flagged"))
-    pre = slices["pre_spike_trades"].agg(F.count(F.lit(1)).alias("pre_spike_trades"), F.count_distinct("wallet").alias("pre_spike_wallets"), F.count_if("correct_direction").alias("correct"), F.sum("usd_amount").alias("pre_spike_usd"))
+    pre = slices["pre_spike_trades"].agg(F.count(F.lit(1)).alias("pre_spike_trades"), F.count_distinct("wallet").alias("pre_spike_wallets"), F.count_if("correct_direction").alias("correct"), F.coalesce(exact_sum(F.col("usd_amount")), F.lit(0.0)).alias("pre_spike_usd"))
     return counts.crossJoin(roi).crossJoin(factor).crossJoin(pre)  # four tables of one row
 
 

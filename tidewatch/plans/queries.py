@@ -196,7 +196,7 @@ def market_slice_roi(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def market_slice_summary(spark: SparkSession, d: str) -> DataFrame:
-    return shown(reports.slice_summary(_resolved_slice(spark, d)).select("positions", "wallets", "roi_wallets", "avg_roi", "roi_flagged", "profit_factor_flagged"))
+    return shown(reports.slice_summary(_resolved_slice(spark, d)).select("positions", "wallets", "roi_wallets", "avg_roi", "roi_flagged", "profit_factor_flagged", "pre_spike_trades", "pre_spike_wallets", "correct", "pre_spike_usd"))
 
 
 def _busiest(rows: DataFrame) -> str:

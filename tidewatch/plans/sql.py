@@ -218,7 +218,7 @@ def oracle_sql() -> dict[str, str]:
         "leaderboard": _sql([EVENT, *BASE, *METRICS, VALUES.replace("{least}", "10"), SCORES, HISTORY, ROLLING, CANDIDATES, PRE, TIMING], "select wallet, round(aggregate_score, 6) as aggregate_score, num_metrics_available, num_spikes_preceded, round(hit_rate, 6) as timing_hit_rate, round(total_pre_spike_usd, 4) as total_pre_spike_usd, round(excess_ratio, 6) as timing_excess_ratio, coalesce(is_flagged, false) as timing_flagged from scores left join timings using (wallet) where aggregate_score >= 0 and num_metrics_available >= 1 order by round(excess_ratio, 6) desc nulls last, wallet limit 500"),
         "wallet_report": _sql(day, f"select market_id, side, {_r('total_usd_in total_usd_out net_tokens', 4)}, num_trades, round(avg_entry_price, 6) as avg_entry_price, position_won, resolution from positions where wallet = (select wallet from positions group by 1 order by count(*) desc, wallet limit 1) order by positions.total_usd_in desc, market_id, side limit 200"),
         "market_slice_roi": _sql([*RESOLVED, *BASE, ROI], _ROI_COLUMNS),
-        "market_slice_summary": _sql([*RESOLVED, *BASE, FACTOR, ROI], "select (select count(*) from positions) as positions, (select count(distinct wallet) from positions) as wallets, count(*) as roi_wallets, round(avg(roi), 6) as avg_roi, count(*) filter (roi > 2 and total_capital_deployed >= 500 and resolved_bet_count >= 5) as roi_flagged, (select count(*) from factors where profit_factor > 5 and total_volume >= 1000 and resolved_bet_count >= 5) as profit_factor_flagged from rois"),
+        "market_slice_summary": _sql([*RESOLVED, *BASE, FACTOR, ROI, *REAL[2:], PRE], "select (select count(*) from pre) as pre_spike_trades, (select count(distinct wallet) from pre) as pre_spike_wallets, (select count(*) from pre where correct_direction) as correct, (select round(coalesce(sum(usd_amount), 0), 4) from pre) as pre_spike_usd, (select count(*) from positions) as positions, (select count(distinct wallet) from positions) as wallets, count(*) as roi_wallets, round(avg(roi), 6) as avg_roi, count(*) filter (roi > 2 and total_capital_deployed >= 500 and resolved_bet_count >= 5) as roi_flagged, (select count(*) from factors where profit_factor > 5 and total_volume >= 1000 and resolved_bet_count >= 5) as profit_factor_flagged from rois"),
         "wallet_slice_profit_factor": _sql([*day, FACTOR], f"select wallet, resolved_bet_count, cast(wins as bigint) as wins, {_r('total_volume gross_profit gross_loss net_pnl profit_factor', 4)}, round(wins / resolved_bet_count, 6) as win_rate, profit_factor > 5 and total_volume >= 1000 and resolved_bet_count >= 5 as flagged from factors where wallet = (select wallet from positions group by 1 order by count(*) desc, wallet limit 1)"),
         "price_spikes": _sql(REAL, f"select spike_id, market_id, spike_start_ts, spike_end_ts, {_r('price_before price_after magnitude_pp', 6)}, direction from spikes"),
         "pre_spike_trades": _sql([*REAL, PRE], "select wallet, market_id, spike_id, entry_timestamp, lead_time_minutes, round(usd_amount, 4) as usd_amount, round(entry_price, 6) as entry_price, direction, side, correct_direction from pre"),

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators import calibration, coordination, indices, metrics
+from tidewatch.functions import micros, with_row
+from tidewatch.operators import calibration, coordination, indices, metrics, news, timing
 from tidewatch.operators.positions import last_prices, resolutions
 from tidewatch.plans.queries import Query, day_outcomes, day_positions, shown
 from tidewatch.sources import tapes
+from tidewatch.sources.scratch import stored
 from tidewatch.sources.tapes import table
 
 FOUND: dict[str, Query] = {}
@@ -19,20 +21,19 @@ def query(f: Query) -> Query:
     return f
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Wallets of the events tape with three places in common; a place is a market, side, direction and day there."""
-    places = coordination.trade_places(tapes.events_tape(spark, d), 86_400)
-    return coordination.coordinated_pairs(places, 3, 0.01)
+def _pairs(spark: SparkSession, d: str, shared: int, share: float) -> DataFrame:
+    """Wallets of the events tape with places in common; a place is a market, side, direction and day there."""
+    return coordination.coordinated_pairs(coordination.trade_places(tapes.events_tape(spark, d), 86_400), shared, share)
 
 
 @query
 def coordinated_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return shown(_pairs(spark, d))
+    return shown(_pairs(spark, d, 3, 0.01))
 
 
 @query
 def coordinated_groups(spark: SparkSession, d: str) -> DataFrame:
-    return coordination.coordinated_groups(_pairs(spark, d))
+    return coordination.coordinated_groups(_pairs(spark, d, 4, 0.02))
 
 
 @query
@@ -119,5 +120,46 @@ def momentum_board(spark: SparkSession, d: str) -> DataFrame:
     return shown(indices.momentum_board(indices.momentum(tapes.events_tape(spark, d), 30), 10, 1.0))
 
 
+def _stories(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as stories that are published at seconds between the first and the last event, by their ids."""
+    at = F.floor(micros("ts") / 1_000_000)
+    span = table(spark, d, "events").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    rows = with_row(table(spark, d, "documents"), span)
+    return rows.select(F.col("doc_id").alias("story_id"), F.timestamp_seconds(F.col("first") + (F.col("doc_id") * 7919) % (F.col("last") - F.col("first") + 1)).alias("published_at"), "text")
+
+
+def _moves(spark: SparkSession, d: str) -> DataFrame:
+    rows = timing.price_spikes(timing.price_history(tapes.events_tape(spark, d)))
+    return rows.select("spike_id", "market_id", F.col("spike_end_ts").alias("at"), "magnitude_pp")
+
+
+def _attributions(spark: SparkSession, d: str, moves: DataFrame) -> DataFrame:
+    """Six hours back, as documents are few; a market's text is the benchmark item of its number."""
+    markets = table(spark, d, "benchmark").select(F.col("item_id").alias("market_id"), "text")
+    return news.attributions(moves, _stories(spark, d), markets, 6 * 3600)
+
+
+@query
+def news_attributions(spark: SparkSession, d: str) -> DataFrame:
+    return shown(_attributions(spark, d, _moves(spark, d)))
+
+
+@query
+def impact_feed(spark: SparkSession, d: str) -> DataFrame:
+    moves = stored(_moves(spark, d), "moves")
+    points = news.contributions(_attributions(spark, d, moves), moves, news.move_volumes(moves, tapes.events_tape(spark, d)))
+    return shown(news.impact_feed(points.withColumn("points", F.round("points", 6)), 50))
+
+
+@query
+def merged_stories(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as stories: the title is the headline, one a minute in the order of a hash of their ids."""
+    pages = table(spark, d, "pages")
+    at = F.timestamp_seconds(1_704_067_200 + (F.col("page_id") * 7919) % 1009 * 60)
+    stories = pages.select(F.col("page_id").alias("story_id"), at.alias("published_at"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("headline"), "url")
+    rows = news.merged_stories(stories)
+    return shown(rows.withColumn("sources", F.array_join("sources", ",")))
+
+
 def queries() -> dict[str, Query]:
     return dict(FOUND)

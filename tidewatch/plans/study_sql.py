@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidewatch.plans.sql import BASE, DAY, EVENT, LAST, ROI, VIEWS, _plain, _r, _sql
+from tidewatch.plans.sql import BASE, DAY, EVENT, LAST, REAL, ROI, VIEWS, _plain, _sql
 
-PLACES = r"""
+def _places(shared: int, share: float) -> str:
+    return rf"""
 places as (select distinct wallet, market_id, nonusdc_side as side, direction, us // 86400000000 as day from views where market_id is not null and wallet is not null and us is not null and nonusdc_side is not null),
 sizes as (select wallet, count(*) as n from places group by 1),
-pairs as (select a, b, shared, shared / (x.n + y.n - shared) as share from (select p.wallet as a, q.wallet as b, count(*) as shared from places p join places q using (market_id, side, direction, day) where p.wallet < q.wallet group by all) join sizes x on x.wallet = a join sizes y on y.wallet = b where shared >= 3 and shared / (x.n + y.n - shared) >= 0.01)"""
+pairs as (select a, b, shared, shared / (x.n + y.n - shared) as share from (select p.wallet as a, q.wallet as b, count(*) as shared from places p join places q using (market_id, side, direction, day) where p.wallet < q.wallet group by all) join sizes x on x.wallet = a join sizes y on y.wallet = b where shared >= {shared} and shared / (x.n + y.n - shared) >= {share})"""
+
 
 GROUPS = r"""
 edges as (select a as node, b as other, shared from pairs union all select b, a, shared from pairs),
@@ -59,13 +61,28 @@ def _top(name: str, where: str, by: str, value: str) -> str:
     return f"select '{name}' as board, row_number() over (order by round({by}, 9) desc, market_id) as place, market_id, cast({value} as double) as value from board where {where} qualify place <= 10"
 
 
+NEWS = r"""
+span as (select min(epoch_us(ts)) // 1000000 as first, max(epoch_us(ts)) // 1000000 as last from events),
+stories as (select doc_id as story_id, first + (doc_id * 7919) % (last - first + 1) as told_at, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]{3,}')) as words from documents cross join span),
+told as (select story_id, told_at, unnest(words) as word from stories),
+spread as (select word, count(*) as df from told group by 1),
+known as (select market_id, word from (select item_id as market_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]{3,}'))) as word from benchmark) left join spread using (word) where coalesce(df, 0) <= (select count(*) from documents) * 0.2),
+sizes as (select market_id, count(*) as n from known group by 1),
+overlap as (select k.market_id, story_id, any_value(told_at) as told_at, count(*) as shared from known k join told using (word) group by 1, 2),
+found as (select spike_id, s.market_id, story_id, magnitude_pp, spike_end_ts // 1000000 as at, (spike_end_ts // 1000000 - told_at) // 60 as lag_minutes, shared, shared / n as keyword_score
+  from spikes s join sizes using (market_id) join overlap o on o.market_id = s.market_id and told_at between spike_end_ts // 1000000 - 21600 and spike_end_ts // 1000000 where shared > n * 0.2 + 1e-9),
+volumes as (select spike_id, coalesce(sum(cents), 0) / 100.0::double as volume_24h from spikes s left join (select market_id as m, us // 3600000000 as hour, sum(cast(floor(usd_amount * 100 + 0.5) as bigint)) as cents from tape where market_id is not null group by 1, 2) h on m = market_id and hour between spike_end_ts // 3600000000 - 24 and spike_end_ts // 3600000000 - 1 group by 1),
+points as (select story_id, market_id, cast(floor(round(magnitude_pp * volume_24h, 6) * 1000000 + 0.5) as bigint) as points from found join volumes using (spike_id)),
+per_market as (select story_id, market_id, sum(points) as points, count(*) as moves from points group by 1, 2)"""
+
+
 def oracle_sql() -> dict[str, str]:
     events = [EVENT, LAST, CLOSES, _points(1, 24, 168)]
     lines = [DAY, LAST, CLOSES, _points(24, 168, 720)]
     boards = " union all ".join([_top("movers", "change_24h is not null", "abs(change_24h)", "change_24h"), _top("volume", "volume_24h > 0", "volume_24h", "volume_24h"), _top("new", "is_new", "-hours_open", "hours_open"), _top("spikes", "top_z >= 1", "top_z", "top_z")])
     return {
-        "coordinated_pairs": _sql([EVENT, VIEWS, PLACES], "select a, b, shared, round(share, 6) as share from pairs"),
-        "coordinated_groups": _plain([EVENT, VIEWS, PLACES, GROUPS], "select node as wallet, group_id, group_size, count(*) as partners, cast(sum(shared) as bigint) as shared from edges join labels using (node) group by 1, 2, 3"),
+        "coordinated_pairs": _sql([EVENT, VIEWS, _places(3, 0.01)], "select a, b, shared, round(share, 6) as share from pairs"),
+        "coordinated_groups": _plain([EVENT, VIEWS, _places(4, 0.02), GROUPS], "select node as wallet, group_id, group_size, count(*) as partners, cast(sum(shared) as bigint) as shared from edges join labels using (node) group by 1, 2, 3"),
         "wallet_ages": _sql([EVENT, VIEWS, r"""
 per as (select wallet, market_id, min(us) as entered, max(us) as gone, cast(sum(cast(floor(usd_amount * 1000000 + 0.5) as bigint)) filter (direction = 'BUY') as bigint) as usd, from views where wallet is not null and market_id is not null and us is not null group by 1, 2),
 aged as (select *, min(entered) over (partition by wallet) as born from per),
@@ -96,5 +113,12 @@ begun as (select market_id, min(us) filter (nth > coalesce(wrong, 0)) as since f
         "composite_index": _sql([EVENT, DAYS, INDEX], "select index_name, day, round(100 * exp(sum(ln(ratio)) over (partition by index_name order by day rows unbounded preceding)), 6) as level, round(ratio - 1, 6) as change, markets, round(cast(now as double) / (cast(weights as double) * 1000000), 6) as mean_price from ratios"),
         "volume_scores": _sql([EVENT, HOURS], "select market_id, hour, cents, hours, round(z, 6) as z from scores"),
         "momentum": _sql([EVENT, HOURS, _momentum(7)], "select market_id, round(price, 6) as price, round(change_24h, 6) as change_24h, round(volume_24h, 4) as volume_24h, round(volume_before, 4) as volume_before, round(hours_open, 6) as hours_open, is_new, round(top_z, 6) as top_z from board"),
+        "news_attributions": _sql([*REAL, NEWS], "select spike_id, market_id, story_id, lag_minutes, shared, round(keyword_score, 6) as keyword_score from found"),
+        "impact_feed": _sql([*REAL, NEWS], "select story_id, round(cast(sum(points) as double) / 1000000, 6) as impact_score, cast(sum(moves) as bigint) as moves, count(*) as markets_moved, arg_max(market_id, struct_pack(p := points, m := market_id)) as top_market from per_market group by 1 having sum(points) > 0 order by sum(points) desc, story_id limit 50"),
+        "merged_stories": r"""
+            with s as (select page_id as story_id, (1704067200 + (page_id * 7919) % 1009 * 60) * 1000000 as published_at, coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '') as headline, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) as source from pages),
+            k as (select *, trim(regexp_replace(strip_accents(lower(headline)), '[^\p{L}\p{N}]+', ' ', 'g')) as headline_key, regexp_extract(source, '([^.]+\.[^.]+|[^.]+)$', 1) as domain from s)
+            select headline_key, domain, arg_min(story_id, struct_pack(p := published_at, s := story_id)) as story_id, min(published_at) as published_at, arg_min(headline, struct_pack(p := published_at, s := story_id)) as headline, arg_min(url, struct_pack(p := published_at, s := story_id)) as url,
+                   array_to_string(list_sort(list_distinct(list(nullif(source, '')))), ',') as sources, count(*) as copies from k group by 1, 2""",
         "momentum_board": _plain([EVENT, HOURS, _momentum(30)], f"select board, place, market_id, floor(value * 1e6 + 0.5) / 1e6 as value from ({boards})"),
     }

@@ -100,3 +100,21 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
 def write_chunks(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     """Gzipped CSV parts with quoted text."""
     df.write.mode("overwrite").option("compression", "gzip").option("header", True).option("escape", '"').option("maxRecordsPerFile", rows_per_file).csv(path)
+
+
+def land_chunks(df: DataFrame, path: str, *order: str) -> None:
+    """Gzipped CSV files named chunk_<worker>_<first day>_<last day>_part<n>.csv.gz, one for each worker and part.
+
+    df has worker, part, first_day and last_day beside the rows, which are in the given order within a file. Files are renamed one by one, so
+    there are to be as many as a folder is listed for, not as many as rows.
+    """
+    spark = df.sparkSession
+    name = F.format_string("chunk_%s_%s_%s_part%s", F.col("worker").cast("string"), F.date_format("first_day", "yyyyMMdd"), F.date_format("last_day", "yyyyMMdd"), F.col("part").cast("string"))
+    rows = df.withColumn("chunk", name).drop("worker", "part", "first_day", "last_day")
+    rows.repartition("chunk").sortWithinPartitions("chunk", *order).write.mode("overwrite").partitionBy("chunk").option("compression", "gzip").option("header", True).option("escape", '"').csv(f"{path}/unnamed")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in files.globStatus(hadoop(f"{path}/unnamed/chunk=*")):
+        part = files.globStatus(hadoop(f"{folder.getPath()}/part-*"))[0].getPath()
+        files.rename(part, hadoop(f"{path}/{folder.getPath().getName().removeprefix('chunk=')}.csv.gz"))
+    files.delete(hadoop(f"{path}/unnamed"), True)
