@@ -21,6 +21,7 @@ distinct words or more raise an error. The distinct u of one bigram, which the v
 
 from __future__ import annotations
 
+import collections
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -241,11 +242,15 @@ def _starts(bits: int) -> np.ndarray:
     return np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
 
+#: Files of the model that a worker has mapped at a time.
+OPEN = 512
+
+
 class Mapped:
-    """A model's arrays in one worker; files are mapped when they are first needed."""
+    """A model's arrays in one worker; files are mapped when they are needed, and those that haven't been for longest are let go."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.files = model, {}
+        self.model, self.files = model, collections.OrderedDict()
         self.offsets = np.array(model.offsets, np.int64)
         self.starts = _starts(model.bits)
         self.bounds = np.array(model.bounds, np.uint64)
@@ -253,6 +258,9 @@ class Mapped:
     def array(self, name: str, kind: type = np.uint64) -> np.ndarray:
         if name not in self.files:
             self.files[name] = np.frombuffer(mapped(f"{self.model.root}/{name}"), kind)
+            while len(self.files) > OPEN:
+                self.files.popitem(last=False)
+        self.files.move_to_end(name)
         return self.files[name]
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:

@@ -81,7 +81,7 @@ def exists(uri: str) -> bool:
 
 
 def mapped(uri: str):
-    """The file's bytes, memory-mapped. A remote file is first copied to a local one that has no name any more."""
+    """The file's bytes, memory-mapped without a descriptor that stays open. A remote file is first copied to a local one that has no name any more."""
     import mmap
 
     from pyarrow import fs
@@ -89,9 +89,9 @@ def mapped(uri: str):
     files, path = filesystem(uri)
     if isinstance(files, fs.LocalFileSystem):
         with open(path, "rb") as f:
-            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
     with tempfile.TemporaryFile() as local, files.open_input_stream(path) as remote:
         while block := remote.read(1 << 22):
             local.write(block)
         local.flush()
-        return mmap.mmap(local.fileno(), 0, access=mmap.ACCESS_READ)
+        return mmap.mmap(local.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
