@@ -85,5 +85,5 @@ def test_spans_that_share_a_character_are_refined():
     stretch = " 𝔘🙂é"
     ids, ends, right = both.spans_a(stretch, both.a.encode(stretch, add_special_tokens=False))
     assert right and ends[-1] == len(stretch.encode()) and len(set(ends)) == len(ids)
-    ids, ends, right = both.spans_b(stretch, both.b.encode(stretch[1:], return_type="proto"))
+    ids, ends, right = both.spans_b(stretch, both.b.encode(stretch[1:]), both.b.encode(stretch[1:], return_type="proto"))
     assert right and ends == sorted(set(ends)) and ends[-1] == len(stretch.encode())

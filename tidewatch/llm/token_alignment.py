@@ -2,7 +2,7 @@
 
 Texts are cut into stretches before a space that follows anything but white space. Neither a byte-level
 pattern nor a piece model without a piece that goes on after a space can have a token across such a cut, so a stretch has
-the tokens that it has within its text, and a worker encodes each stretch once and remembers it. A token's
+the tokens that it has within its text, and a worker encodes each stretch once and remembers it. The second library calls its immutable spans `proto`. A token's
 end in bytes comes from the spans that the libraries give: character offsets of the first, byte spans of the
 second. Tokens that share a character (parts of a multibyte one) or have an empty span (byte fallback) are refined with the bytes that they
 decode to. Documents become blocks of a sparse matrix of documents by linked id pairs; pairs are dealt into ranges by their second
@@ -17,6 +17,7 @@ is encoded whole; other columns aren't read; an empty table has no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -26,13 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.blocks import BLOCK, counted, dealt, key_places, listed, packed, probed, ranges, row_sums, slices, split, unpacked
+from tidewatch.llm.blocks import counted, dealt, key_places, listed, packed, probed, ranges, row_sums, slices, split, unpacked
 from tidewatch.llm.shared import written
 
 #: Stretches that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Stretches whose spans are in memory at a time.
 AT_ONCE = 10_000
+#: Bytes of text a block.
+BLOCK = 8 << 20
 #: Documents' and matrices' columns of a block.
 NUMBERS = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
 MATRIX = ["indptr", "indices", "data"]
@@ -81,8 +84,10 @@ class Aligner:
         self.bytes_a = {i: t.encode() if i in special else bytes(letters[c] for c in t) for t, i in self.a.get_vocab().items()}
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.is_byte = [self.b.is_byte(i) for i in range(len(pieces))]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if byte else p.replace(SPACE, " ").encode() for p, byte in zip(pieces, self.is_byte, strict=True)]
+        self.byte_ids = {i for i in range(len(pieces)) if self.b.is_byte(i)}
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if i in self.byte_ids else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.space = self.b.piece_to_id(SPACE)
+        self.digits = [str(i) for i in range(max(len(pieces), len(self.bytes_a)) + 1)]
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece of the second model goes on after a space, so texts can't be cut at spaces")
         self.forget()
@@ -97,16 +102,21 @@ class Aligner:
         """Ids, ends in bytes, and whether the tokens' bytes are the stretch's."""
         ids, offsets = encoding.ids, encoding.offsets
         parts = [self.bytes_a[i] for i in ids]
-        place = range(len(stretch) + 1) if stretch.isascii() else [0, *np.cumsum([len(c.encode()) for c in stretch]).tolist()]
+        if stretch.isascii():  # a character is a byte, which no two tokens share
+            return ids, [end for _, end in offsets], b"".join(parts) == stretch.encode()
+        place = [0, *itertools.accumulate(len(c.encode()) for c in stretch)]
         sure = [i + 1 == len(offsets) or offsets[i + 1][0] >= end for i, (_, end) in enumerate(offsets)]
         return ids, refined([place[end] for _, end in offsets], sure, list(map(len, parts))), b"".join(parts) == stretch.encode()
 
-    def spans_b(self, stretch: str, proto) -> tuple[list[int], list[int], bool]:
+    def spans_b(self, stretch: str, ids: list[int], proto) -> tuple[list[int], list[int], bool]:
         """The same for the second tokenizer, which adds the stretch's first space itself and gives spans without it."""
-        tokens = [(p.id, p.begin, p.end) for p in proto.pieces] or [(self.b.piece_to_id(SPACE), 0, 0)]
-        parts = [self.bytes_b[i] for i, _, _ in tokens]
-        ends = refined([end + 1 for _, _, end in tokens], [not self.is_byte[i] for i, _, _ in tokens], list(map(len, parts)))
-        return [i for i, _, _ in tokens], ends, b"".join(parts) == stretch.encode()
+        ends = [p.end + 1 for p in proto.pieces]
+        if not ids:
+            ids, ends = [self.space], [1]
+        parts = [self.bytes_b[i] for i in ids]
+        if not self.byte_ids.isdisjoint(ids):
+            ends = refined(ends, [i not in self.byte_ids for i in ids], list(map(len, parts)))
+        return ids, ends, b"".join(parts) == stretch.encode()
 
     def learn(self) -> None:
         """Encode the stretches that have come up since."""
@@ -117,19 +127,19 @@ class Aligner:
     def _learn(self, new: list[str]) -> None:
         stretches = [" " + key for key in new]
         encodings = self.a.encode_batch(stretches, add_special_tokens=False)
-        protos = self.b.encode(new, return_type="proto", num_threads=1)
-        counts, pairs, lengths = [], [], []
-        for stretch, encoding, proto in zip(stretches, encodings, protos, strict=True):
+        tokens, protos = self.b.encode(new, num_threads=1), self.b.encode(new, return_type="proto", num_threads=1)
+        counts, pairs, lengths, digits = [], [], [], self.digits.__getitem__
+        for stretch, encoding, ids, proto in zip(stretches, encodings, tokens, protos, strict=True):
             ids_a, ends_a, right_a = self.spans_a(stretch, encoding)
-            ids_b, ends_b, right_b = self.spans_b(stretch, proto)
+            ids_b, ends_b, right_b = self.spans_b(stretch, ids, proto)
             groups = []
             if right_a and right_b:
+                place_b = {end: k for k, end in enumerate(ends_b, 1)}
                 i = j = 0
-                place_a, place_b = {e: k for k, e in enumerate(ends_a, 1)}, {e: k for k, e in enumerate(ends_b, 1)}
-                for end in ends_a:
-                    if end in place_b:
-                        k, m = place_a[end], place_b[end]
-                        groups.append(",".join(map(str, ids_a[i:k])) + "|" + ",".join(map(str, ids_b[j:m])))
+                for k, end in enumerate(ends_a, 1):
+                    m = place_b.get(end)
+                    if m:
+                        groups.append(",".join(map(digits, ids_a[i:k])) + "|" + ",".join(map(digits, ids_b[j:m])))
                         pairs.append(ids_a[k - 1] << 32 | ids_b[m - 1])
                         i, j = k, m
             self.text.append(";".join(groups))
