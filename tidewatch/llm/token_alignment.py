@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import re
 from collections.abc import Iterator
 
@@ -75,6 +76,8 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str) -> None:
         import sentencepiece
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
