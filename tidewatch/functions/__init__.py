@@ -68,6 +68,14 @@ def nearest_quantile(df: DataFrame, value: str, q: float, name: str) -> DataFram
     return placed.where((F.col("below") <= place) & (place < F.col("below") + F.col("n"))).agg(F.max("v").alias(name))
 
 
+def ranged_median(df: DataFrame, value: str, name: str) -> DataFrame:
+    """One row: the median, the mean of the two middle values where there are two; null without values. No task holds all values."""
+    placed = counted_below(df.select(F.lit("all").alias("g"), F.col(value).cast("double").alias("v")), "g", "v")
+    holds = lambda place: (F.col("below") <= place) & (place < F.col("below") + F.col("n"))
+    middle = [F.max(F.when(holds(F.floor((F.col("total") - 1 + more) / 2)), F.col("v"))) for more in (0, 1)]
+    return placed.agg(((middle[0] + middle[1]) / 2).alias(name))
+
+
 def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
     """df with the columns of a table of one row."""
     return df.crossJoin(F.broadcast(one))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions import exact_sum
+from tidewatch.functions import exact_sum, ranged_median, with_row
 from tidewatch.operators import metrics, score, timing
 from tidewatch.operators.positions import wallet_positions
 
@@ -15,7 +15,8 @@ TIMING = {"num_spikes_preceded": "num_spikes_preceded", "hit_rate": "timing_hit_
 
 def overview(scores: DataFrame) -> DataFrame:
     s = F.col("aggregate_score")
-    return scores.agg(F.count(F.lit(1)).alias("total_wallets"), F.count_if(s >= 0.8).alias("high_risk"), F.count_if((s >= 0.5) & (s < 0.8)).alias("medium_risk"), F.avg(s).alias("mean_score"), F.median(s).alias("median_score"), F.max(s).alias("max_score"))
+    counts = scores.agg(F.count(F.lit(1)).alias("total_wallets"), F.count_if(s >= 0.8).alias("high_risk"), F.count_if((s >= 0.5) & (s < 0.8)).alias("medium_risk"), F.avg(s).alias("mean_score"), F.max(s).alias("max_score"))
+    return with_row(counts, ranged_median(scores, "aggregate_score", "median_score"))
 
 
 def histogram(rows: DataFrame, value: str, bins: int, *groups: str) -> DataFrame:

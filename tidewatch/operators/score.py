@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.functions import counted_below, divide
+from tidewatch.functions import MICRO, counted_below, divide, exact_sum, with_row
 from tidewatch.operators import metrics
+from tidewatch.sources.scratch import stored
 
 #: metric: (value, number of bets it rests on, weight): fixed values.
 SCORED = {
@@ -26,18 +26,52 @@ SCORED = {
 CAPPED = ("profit_factor", "roi")
 
 
-def metric_values(tables: dict[str, DataFrame], least_bets: int = 5, cap_at: float = 0.99) -> DataFrame:
-    """wallet, metric, value, bets: one row a wallet and metric that rests on enough bets.
+def _long(tables: dict[str, DataFrame]) -> DataFrame:
+    """wallet, metric, value, bets of the eight metrics' tables."""
+    return reduce(DataFrame.unionByName, (t.select("wallet", F.lit(n).alias("metric"), F.col(SCORED[n][0]).cast("double").alias("value"), F.col(SCORED[n][1]).alias("bets")) for n, t in tables.items()))
+
+
+def fused_values(positions: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
+    """wallet, metric, value, bets of all eight metrics, the same as from their tables, in one walk over the positions.
+
+    Positions are dealt by market side once, for the consensus of prices, and by wallet once: in the order of a wallet's first trades each run of
+    wins is a row of whole sums, and a wallet's runs add up to all that the eight values need.
+    """
+    rows = with_row(metrics.resolved(positions).withColumn("pnl", metrics._pnl()), metrics.niche_volume(positions, outcomes=outcomes))
+    usd, entry, won = F.col("total_usd_in"), F.col("avg_entry_price"), F.col("won")
+    sides = rows.groupBy("market_id", "side").agg(divide(exact_sum(entry * usd), exact_sum(usd)).alias("consensus"))
+    rows = rows.join(sides, ["market_id", "side"], "left")
+    order = W.partitionBy("wallet").orderBy("first_trade_timestamp", "market_id", "side").rowsBetween(W.unboundedPreceding, 0)
+    whole = lambda x: F.floor(x * MICRO + 0.5)
+    only = {"contrarian": entry < 0.20, "niche": F.col("market_volume") <= F.col("niche_volume"), "longshot": entry < 0.10}
+    added = {
+        "bets": F.count("market_id"), "length": F.sum("won"), "usd": F.sum(whole(usd)), "profit": F.sum(whole(F.greatest(F.col("pnl"), F.lit(0.0)))), "loss": F.sum(whole(F.greatest(-F.col("pnl"), F.lit(0.0)))), "net": F.sum(whole(F.col("pnl"))),
+        "own": F.sum(whole(F.pow(entry - won, F.lit(2.0)) * usd)), "theirs": F.sum(whole(F.pow(F.col("consensus") - won, F.lit(2.0)) * usd)),
+        **{f"{n}_bets": F.count(F.when(c, F.col("market_id"))) for n, c in only.items()}, **{f"{n}_wins": F.sum(F.when(c, won)) for n, c in only.items()},
+    }
+    runs = rows.withColumn("run", F.sum(1 - won).over(order)).groupBy("wallet", "run").agg(F.max(usd).alias("largest"), *(x.alias(n) for n, x in added.items()))
+    sums = runs.groupBy("wallet").agg(F.max("largest").alias("largest"), F.max("length").alias("longest"), *(F.sum(n).alias(n) for n in added))
+    amount = lambda n: F.col(n) / float(MICRO)
+    total, theirs = amount("usd"), divide(F.coalesce(amount("theirs"), F.lit(0.0)), amount("usd"))
+    rate = lambda n: F.coalesce(divide(F.col(f"{n}_wins"), F.col(f"{n}_bets")), F.lit(0.0))
+    skill = F.when(theirs > 0, 1.0 - divide(divide(F.coalesce(amount("own"), F.lit(0.0)), total), theirs)).otherwise(0.0)
+    values = {
+        "contrarian_win_rate": (rate("contrarian"), "contrarian_bets"), "niche_market_accuracy": (rate("niche"), "niche_bets"), "brier_score": (skill, "bets"), "bet_size_vs_odds": (rate("longshot"), "longshot_bets"),
+        "profit_factor": (F.when(F.col("loss") > 0, divide(amount("profit"), amount("loss"))).when(F.col("profit") > 0, 999.0).otherwise(0.0), "bets"), "win_streak": (F.col("longest").cast("double"), "bets"),
+        "position_concentration": (F.coalesce(divide(F.col("largest"), F.when(total > 0, total)), F.lit(0.0)), "bets"), "roi": (F.coalesce(divide(amount("net"), F.when(total > 0, total)), F.lit(0.0)), "bets"),
+    }
+    return sums.select("wallet", F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), v.alias("value"), F.col(b).alias("bets")) for n, (v, b) in values.items()))))
+
+
+def metric_values(values: dict[str, DataFrame] | DataFrame, least_bets: int = 5, cap_at: float = 0.99) -> DataFrame:
+    """wallet, metric, value, bets: one row a wallet and metric that rests on enough bets, of fused_values() or of the metrics' tables.
 
     Values are rounded to nine decimals, so that equal ones are ties whatever the order of summation.
     Two metrics are capped at their nearest-rank quantile where that is above 0; those two numbers are
-    computed here, and the values are persisted, as ranks read them several times.
+    computed here, and the values are stored, as ranks read them several times.
     """
-    rows = []
-    for name, table in tables.items():
-        value, bets, _ = SCORED[name]
-        rows.append(table.select("wallet", F.lit(name).alias("metric"), F.round(F.col(value).cast("double"), 9).alias("value"), F.col(bets).alias("bets")).where((F.col("bets") >= least_bets) & F.col("value").isNotNull()))
-    long = reduce(DataFrame.unionByName, rows).persist(StorageLevel.MEMORY_AND_DISK)
+    long = _long(values) if isinstance(values, dict) else values
+    long = stored(long.withColumn("value", F.round("value", 9)).where((F.col("bets") >= least_bets) & F.col("value").isNotNull()), "values")
     placed = counted_below(long.where(F.col("metric").isin(*CAPPED)), "metric", "value")
     place = F.floor((F.col("total") - 1) * cap_at + 0.5)
     caps = placed.where((F.col("below") <= place) & (place < F.col("below") + F.col("n"))).groupBy("metric").agg(F.max("value").alias("cap")).where("cap > 0").collect()
@@ -90,7 +124,6 @@ def all_metrics(positions: DataFrame, outcomes: DataFrame | None = None) -> dict
 
 
 def aggregate_score(positions: DataFrame, least_bets: int = 5, least_metrics: int = 3, least_wallets: int = 50, outcomes: DataFrame | None = None) -> DataFrame:
-    """The eight metrics of positions and their aggregate. Positions are persisted, and ranks counted in a few small jobs, while this is built."""
-    positions = positions.persist(StorageLevel.MEMORY_AND_DISK)
-    scores = aggregate(percentiles(metric_values(all_metrics(positions, outcomes), least_bets), least_wallets), least_metrics)
-    return ranked(scores.persist(StorageLevel.MEMORY_AND_DISK))
+    """The aggregate of the eight metrics of positions. Positions, values and scores are stored on the way, and ranks counted in a few small jobs, while this is built."""
+    values = metric_values(fused_values(stored(positions, "positions"), outcomes), least_bets)
+    return ranked(stored(aggregate(percentiles(values, least_wallets), least_metrics), "scores"))

@@ -10,7 +10,7 @@ LONG = VALUES.partition(",\nadmitted as")[0]
 #: Positions of one wallet in place of all, for metrics of a slice.
 SLICE = POSITIONS.replace("\npositions as (", "\nall_positions as (").replace("\nresolved as (", "\npositions as (select * from all_positions where wallet = (select wallet from all_positions group by 1 order by count(*) desc, wallet limit 1)),\nresolved as (")
 BOARD = [EVENT, *BASE, *METRICS, VALUES.replace("{least}", "10"), SCORES, HISTORY, ROLLING, CANDIDATES, PRE, TIMING]
-CHUNKS = "chunks as (select user_id, event_id % 4 as worker, day(ts) // 10 + 1 as part, epoch_us(ts) // 1000000 as at, month(ts) as m, ts from events)"
+CHUNKS = "chunks as (select event_id % 4 as worker, day(ts) // 10 + 1 as part, ts from events)"
 
 _BOARD = "select wallet, round(aggregate_score, 6) as aggregate_score, num_metrics_available, num_spikes_preceded, round(hit_rate, 6) as timing_hit_rate, round(total_pre_spike_usd, 4) as total_pre_spike_usd, round(excess_ratio, 6) as timing_excess_ratio, coalesce(is_flagged, false) as timing_flagged from scores left join timings using (wallet) where aggregate_score >= 0 and num_metrics_available >= 1"
 
@@ -44,12 +44,15 @@ def _total(part: str, table: str, value: str, places: int = 4) -> str:
 
 def oracle_sql() -> dict[str, str]:
     own_slice = [EVENT, *BASE[:-1], SLICE, NICHE, FACTOR, BRIER, CONCENTRATION, STREAK, ROI, SIZES]
-    scored = [re.sub(r"\b(positions|resolved|niche|contrarian|niches|factors|sides|briers|tops|concentrations|runs|streaks|rois|odds|betsizes)\b", r"every_\1", p) for p in (POSITIONS.partition(",\nresolved as")[0] + ",\nresolved as" + POSITIONS.partition(",\nresolved as")[2], *METRICS)]
+    scored = [re.sub(r"\b(sums|positions|resolved|niche|contrarian|niches|factors|sides|briers|tops|concentrations|runs|streaks|rois|odds|betsizes)\b", r"every_\1", p) for p in (POSITIONS, *METRICS)]
     measured = {"contrarian_win_rate": ("contrarian", "contrarian_win_rate"), "niche_market_accuracy": ("niches", "niche_win_rate"), "profit_factor": ("factors", "profit_factor"), "brier_score": ("briers", "brier_skill_vs_consensus"), "position_concentration": ("concentrations", "max_concentration"), "win_streak": ("streaks", "longest_win_streak"), "roi": ("rois", "roi"), "bet_size_vs_odds": ("betsizes", "longshot_win_rate")}
     tables = {"positions": ("positions", "total_usd_in"), "price_history": ("history", "avg_price"), "price_spikes": ("spikes", "magnitude_pp"), "pre_spike_trades": ("pre", "usd_amount")}
     spans = "spans as (select epoch_us(ts) // 1000000 as start, epoch_us(ts) // 1000000 + 240 as finish from events), reached as (select *, max(finish) over (order by start, finish rows between unbounded preceding and 1 preceding) as reach from spans)"
     return {
-        "chunk_scan": _plain([CHUNKS.replace("select ", "select value, ", 1)], "select worker, part, strftime(date_trunc('month', ts), '%Y%m%d') as first_day, strftime(last_day(ts), '%Y%m%d') as last_day, count(*) as num_rows, min(at) as min_ts, max(at) as max_ts, cast(sum(taken) as bigint) as taken from chunks join (select event_id % 4 as w, event_id, case when event_type in ('purchase', 'click') then cast(floor(value * 1000000 + 0.5) as bigint) else coalesce(cast(floor(value / nullif((cast(floor(value * 100 + 0.5) as bigint) % 10000) / 10000.0::double, 0) * 1000000 + 0.5) as bigint), 0) end as taken from events) x on x.event_id = chunks.event_id group by all".replace("chunks.event_id", "chunks.id")).replace("select value, user_id", "select event_id as id, user_id"),
+        "chunk_scan": _plain([EVENT, r"""
+taken as (select ord, case when taker_direction = 'BUY' then cast(floor(usd_amount * 1000000 + 0.5) as bigint) else coalesce(cast(floor(token_amount * 1000000 + 0.5) as bigint), 0) end as amount from tape),
+chunks as (select event_id % 4 as worker, day(ts) // 10 + 1 as part, strftime(date_trunc('month', ts), '%Y%m%d') as first_day, strftime(last_day(ts), '%Y%m%d') as last_day, epoch_us(ts) // 1000000 as second, amount from raw join taken on ord = event_id)"""],
+            "select worker, part, first_day, last_day, count(*) as num_rows, min(second) as min_ts, max(second) as max_ts, cast(sum(amount) as bigint) as taken from chunks group by all"),
         "chunk_manifest": _plain([CHUNKS], "select worker, part, count(*) as num_rows, true as has_bytes, true as has_digest from chunks group by worker, part, date_trunc('month', ts)"),
         "markets_from_csv": _sql([EVENT], "select market_id, side, asset_id, round(volume, 4) as volume, closed_time as \"closedTime\" from markets, lateral (values ('token1', 'A' || market_id), ('token2', 'B' || market_id)) t(side, asset_id)"),
         "leaderboard_by_score": _sql(BOARD, f"{_BOARD} order by round(aggregate_score, 6) desc nulls last, wallet limit 500"),
@@ -68,10 +71,8 @@ def oracle_sql() -> dict[str, str]:
 
 def _figures(own: list[str], scored: list[str]) -> str:
     """The busiest wallet's metrics from its slice; its score from all wallets' metrics, under other names."""
-    names = "long|admitted|caps|vals|scored|scores"
     every = [*scored, re.sub(r"\b(contrarian|niches|factors|briers|concentrations|streaks|rois|betsizes)\b(?! as)", r"every_\1", VALUES.replace("{least}", "10")), SCORES]
     parts = [*own, *every, *[HISTORY, ROLLING, CANDIDATES, PRE, TIMING]]
-    assert names
     select = """select p.wallet, num_positions, num_won, round(aggregate_score, 6) as aggregate_score, suspicion_rank, num_spikes_preceded, round(hit_rate, 6) as hit_rate, round(excess_ratio, 6) as excess_ratio, is_flagged, round(roi, 6) as roi, round(r.net_profit, 4) as net_profit, round(profit_factor, 4) as profit_factor, round(gross_profit, 4) as gross_profit, round(gross_loss, 4) as gross_loss,
         round(avg_bet_size, 4) as avg_bet_size, longshot_bet_count, round(brier_score, 6) as brier_score, round(brier_skill_vs_consensus, 6) as brier_skill_vs_consensus, round(max_concentration, 6) as max_concentration, round(hhi, 6) as hhi, largest_bet_market, longest_win_streak, current_streak, num_pre_spike, num_correct
         from (select wallet, count(*) as num_positions, count(*) filter (position_won) as num_won from positions group by 1) p

@@ -12,7 +12,7 @@ from tidewatch.functions import keep_first, micros
 from tidewatch.operators import metrics, quality, reports, score, tape, timing
 from tidewatch.operators.positions import last_prices, resolutions, wallet_positions
 from tidewatch.sources import flatten_fills, flatten_markets, merge_markets, read_activity, read_fills, schemas, tapes, write_chunks, write_table
-from tidewatch.sources.scratch import scratch
+from tidewatch.sources.scratch import scratch, stored
 from tidewatch.sources.tapes import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,14 +117,14 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def metric_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    values = score.metric_values(score.all_metrics(day_positions(spark, d).persist(), day_outcomes(spark, d)))
+    values = score.metric_values(score.fused_values(stored(day_positions(spark, d), "positions"), day_outcomes(spark, d)))
     return shown(score.percentiles(values))
 
 
 @query
 def inverted_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Ranks where low concentration and low ROI are the suspicious ends."""
-    values = score.metric_values(score.all_metrics(day_positions(spark, d).persist(), day_outcomes(spark, d)))
+    values = score.metric_values(score.fused_values(stored(day_positions(spark, d), "positions"), day_outcomes(spark, d)))
     return shown(score.percentiles(values, low_is_suspicious=("position_concentration", "roi")))
 
 

@@ -151,13 +151,15 @@ def impact_feed(spark: SparkSession, d: str) -> DataFrame:
     return shown(news.impact_feed(points.withColumn("points", F.round("points", 6)), 50))
 
 
+def page_stories(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as stories: the title is the headline, and the id decides the minute."""
+    at = F.timestamp_seconds(1_704_067_200 + (F.col("page_id") * 7919) % 1009 * 60)
+    return table(spark, d, "pages").select(F.col("page_id").alias("story_id"), at.alias("published_at"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("headline"), "url")
+
+
 @query
 def merged_stories(spark: SparkSession, d: str) -> DataFrame:
-    """Pages as stories: the title is the headline, one a minute in the order of a hash of their ids."""
-    pages = table(spark, d, "pages")
-    at = F.timestamp_seconds(1_704_067_200 + (F.col("page_id") * 7919) % 1009 * 60)
-    stories = pages.select(F.col("page_id").alias("story_id"), at.alias("published_at"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("headline"), "url")
-    rows = news.merged_stories(stories)
+    rows = news.merged_stories(page_stories(spark, d))
     return shown(rows.withColumn("sources", F.array_join("sources", ",")))
 
 
