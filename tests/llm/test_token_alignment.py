@@ -52,7 +52,7 @@ def plain(rows):
 
 
 def test_alignment_against_whole_texts(spark, monkeypatch):
-    monkeypatch.setattr(token_alignment.aligned_blocks, "__defaults__", ("doc_id", "text", 4000))
+    monkeypatch.setattr(token_alignment.stretch_blocks, "__defaults__", ("doc_id", "text", 4000))
     monkeypatch.setattr(token_alignment.counted_ranges, "__defaults__", (50,))
     monkeypatch.setattr(token_alignment, "ranges", lambda *_: 5)
     random.seed(4)

@@ -2,10 +2,11 @@
 
 Texts are cut into stretches before a space that follows anything but white space. Neither a byte-level
 pattern nor a piece model without a piece that goes on after a space can have a token across such a cut, so a stretch has
-the tokens that it has within its text, and a worker encodes each stretch once and remembers it. The second library calls its immutable spans `proto`. A token's
+the tokens that it has within its text. A block of documents knows its different stretches and sends each once to the range that
+its hash is in; a range encodes each stretch of the corpus once and answers with its groups. A token's
 end in bytes comes from the spans that the libraries give: character offsets of the first, byte spans of the
-second. Tokens that share a character (parts of a multibyte one) or have an empty span (byte fallback) are refined with the bytes that they
-decode to. Documents become blocks of a sparse matrix of documents by linked id pairs; pairs are dealt into ranges by their second
+second, which calls its immutable spans `proto`. Tokens that share a character (parts of a multibyte one) or have an empty span (byte fallback) are
+refined with the bytes that they decode to. Documents then become a sparse matrix by linked id pairs; pairs are dealt into ranges by their second
 id, so that a range counts its pairs and knows each second id's highest count, and meet each block once a pair.
 
 Results for odd input: a null or empty text, and one whose tokens' bytes aren't a space and the text (one that holds
@@ -23,20 +24,19 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.blocks import counted, dealt, key_places, listed, packed, probed, ranges, row_sums, slices, split, unpacked
+from tidewatch.llm.blocks import BLOCK, counted, dealt, key_places, listed, packed, probed, ranges, row_sums, slices, split, unpacked
 from tidewatch.llm.shared import written
 
-#: Stretches that a worker remembers.
-REMEMBERED = 600_000
+#: Different stretches of the corpus in one range, of which one task holds all.
+STRETCHES = 100_000
 #: Stretches whose spans are in memory at a time.
 AT_ONCE = 10_000
-#: Bytes of text a block.
-BLOCK = 8 << 20
 #: Documents' and matrices' columns of a block.
 NUMBERS = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
 MATRIX = ["indptr", "indices", "data"]
@@ -181,38 +181,107 @@ def _gathered(starts: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.n
     return np.arange(lengths.sum()) + shift, lengths
 
 
-def _block(number: int, rows: pa.RecordBatch, both: Aligner) -> pa.RecordBatch:
-    if len(both.numbers) > REMEMBERED:
-        both.forget()
-    texts = rows.column("text").to_pylist()
-    found = [np.fromiter(map(both.numbers.__getitem__, stretches(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
-    both.learn()
-    found = [f if both.counts[f, 3].all() else f[:0] for f in found]
-    digests = [hashlib.sha256(";".join(map(both.text.__getitem__, f.tolist())).encode()).hexdigest() if len(f) else "" for f in found]
+def stretch_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """Blocks of documents as numbers of stretches, with the block's different stretches in the order of these numbers, as a written table."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in slices(batches, "text", block):
+            numbers = Numbers()
+            found = [np.fromiter(map(numbers.__getitem__, stretches(t)), np.int64) if t else np.zeros(0, np.int64) for t in rows.column("text").to_pylist()]
+            keys = list(numbers)
+            encoded = [k.encode() for k in keys]
+            data = [packed(np.array(list(map(len, found)))), packed(np.concatenate([*found, np.zeros(0, np.int64)])), b"".join(encoded), packed(np.array(list(map(len, encoded)), np.int64))]
+            columns = [pa.array([number], pa.int64()), listed(rows.column("doc_id"), pa.int64()), *(pa.array([x], pa.binary()) for x in data), probed(_hashes(keys))]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "widths", "numbers", "keys", "lengths", "probe"])
+
+    schema = "block long, doc_id array<long>, widths binary, numbers binary, keys binary, lengths binary, probe array<long>"
+    return written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(build, schema), "stretches")
+
+
+def _hashes(keys: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(keys, object), categorize=False) if keys else np.zeros(0, np.uint64)
+
+
+def _cut(joined: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = [0, *np.cumsum(lengths).tolist()]
+    return [joined[a:b] for a, b in itertools.pairwise(ends)]
+
+
+COUNTED = ["a", "b", "groups", "right"]
+
+
+def _encoded(blocks: DataFrame, path_a: str, path_b: str, n: int) -> DataFrame:
+    """block, found: structs of places and of what is known of the stretches there, a struct a range."""
+
+    def cut(row: pa.RecordBatch, n: int) -> Iterator[tuple[int, bytes, dict[str, bytes]]]:
+        each = _cut(row.column("keys")[0].as_py(), unpacked(row.column("lengths")[0].as_py()))
+        for i, places in split(_hashes([k.decode() for k in each]), n):
+            own = [each[j] for j in places.tolist()]
+            yield i, packed(places), {"keys": b"".join(own), "lengths": packed(np.array(list(map(len, own))))}
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, now = aligner(path_a, path_b), None
+        names = ["block", "places", *COUNTED, "text", "pairs"]
+        for batch in batches:
+            for own, block, places, keys, lengths in zip(*(batch.column(c).to_pylist() for c in ("range", "block", "places", "keys", "lengths")), strict=True):
+                if own != now:
+                    now = own
+                    both.forget()
+                numbers = np.fromiter((both.numbers[k.decode()] for k in _cut(keys, unpacked(lengths))), np.int64)
+                both.learn()
+                text = "\n".join(map(both.text.__getitem__, numbers.tolist())).encode()
+                data = [places, *(packed(both.counts[numbers, i]) for i in range(len(COUNTED))), text, packed(both.pairs[_gathered(both.starts, numbers)[0]], 8)]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in data)], names)
+
+    rows = dealt(blocks.select("block", "keys", "lengths").where("length(lengths) > 0"), n, cut, ["keys", "lengths"])
+    kinds = "block long, places binary, " + ", ".join(f"{c} binary" for c in (*COUNTED, "text", "pairs"))
+    found = rows.repartition(n, "range").sortWithinPartitions("range", "block").mapInArrow(encode, kinds)
+    return found.groupBy("block").agg(F.collect_list(F.struct("places", *COUNTED, "text", "pairs")).alias("found"))
+
+
+def _joined(row: pa.RecordBatch) -> pa.RecordBatch:
+    """A block's documents from its stretches and what is known of these."""
+    widths, numbers = (unpacked(row.column(c)[0].as_py()) for c in ("widths", "numbers"))
+    parts = row.column("found")[0].as_py() or []
+    places = [unpacked(p["places"]) for p in parts]
+    n = sum(map(len, places))
+    counts, text, starts = np.zeros((n, len(COUNTED)), np.int64), [""] * n, np.zeros(n + 1, np.int64)
+    for at, part in zip(places, parts, strict=True):
+        for i, name in enumerate(COUNTED):
+            counts[at, i] = unpacked(part[name])
+        for i, own in zip(at.tolist(), part["text"].decode().split("\n"), strict=True):
+            text[i] = own
+    starts[1:] = np.cumsum(counts[:, 2])
+    pairs = np.zeros(starts[-1], np.int64)
+    for at, part in zip(places, parts, strict=True):
+        pairs[_gathered(starts, at)[0]] = unpacked(part["pairs"], 8)
+    found = np.split(numbers, np.cumsum(widths)[:-1])
+    found = [f if counts[f, 3].all() else f[:0] for f in found]
+    digests = [hashlib.sha256(";".join(map(text.__getitem__, f.tolist())).encode()).hexdigest() if len(f) else "" for f in found]
     numbers, widths = np.concatenate([*found, np.zeros(0, np.int64)]), np.array(list(map(len, found)))
-    of_doc = np.concatenate(([0], np.cumsum(widths)))
-    sums = [row_sums(of_doc, both.counts[numbers, i]) for i in range(3)]
-    places, lengths = _gathered(both.starts, numbers)
-    keys, local = np.unique(both.pairs[places], return_inverse=True)
+    sums = [row_sums(np.concatenate(([0], np.cumsum(widths))), counts[numbers, i]) for i in range(3)]
+    places, lengths = _gathered(starts, numbers)
+    keys, local = np.unique(pairs[places], return_inverse=True)
     links = np.repeat(np.repeat(np.arange(len(found)), widths), lengths)
     indptr, indices, data = counted(links, local, len(found), len(keys))
-    linked = np.bincount(links, minlength=len(found))
-    columns = [listed(rows.column("doc_id"), pa.int64()), *(listed(x, pa.int64()) for x in (*sums, linked)), listed(pa.array(digests, pa.string()), pa.string())]
+    columns = [row.column("doc_id"), *(listed(x, pa.int64()) for x in (*sums, np.bincount(links, minlength=len(found)))), listed(pa.array(digests, pa.string()), pa.string())]
     data = [packed(x) for x in (indptr, indices, data)] + [packed(keys, 8), packed(np.bincount(local, minlength=len(keys)), 8)]
-    keys = probed(key_places(data[3]))
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *columns, *(pa.array([x], pa.binary()) for x in data), keys], ["block", *NUMBERS, "groups_sha256", *MATRIX, "pairs", "times", "probe"])
+    return pa.RecordBatch.from_arrays([row.column("block"), *columns, *(pa.array([x], pa.binary()) for x in data), probed(key_places(data[3]))], ["block", *NUMBERS, "groups_sha256", *MATRIX, "pairs", "times", "probe"])
 
 
-def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Blocks of documents: figures of their groups, and the matrix of documents by linked pairs (packed pairs: a << 32 | b), as a written table."""
+    blocks = stretch_blocks(docs, id_col, text_col)
+    known = _encoded(blocks, path_a, path_b, ranges(blocks, STRETCHES))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = aligner(path_a, path_b)
-        for number, rows in slices(batches, "text", block):
-            yield _block(number, rows, both)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield _joined(batch.slice(i, 1))
 
     schema = "block long, " + ", ".join(f"{c} array<long>" for c in NUMBERS) + ", groups_sha256 array<string>, " + ", ".join(f"{c} binary" for c in (*MATRIX, "pairs", "times")) + ", probe array<long>"
-    return written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(build, schema), "aligned")
+    rows = blocks.select("block", "doc_id", "widths", "numbers").join(known, "block", "left")
+    return written(rows.mapInArrow(build, schema), "aligned")
 
 
 def _by_range(blocks: DataFrame, n: int) -> DataFrame:
