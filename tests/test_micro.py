@@ -1,6 +1,7 @@
 """Small inputs with answers worked out by hand."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from tidewatch.functions import clipped, counted_below, divide, nearest_quantile
 from tidewatch.operators import metrics, quality, score, tape, timing
 from tidewatch.operators.positions import last_prices, resolutions, wallet_positions
 from tidewatch.sources import schemas
+from tidewatch.sources.scratch import stored
 
 POSITION = "wallet string, market_id long, side string, total_usd_in double, tokens_bought double, total_usd_out double, tokens_sold double, num_trades long, first_trade_timestamp timestamp, last_trade_timestamp timestamp, net_tokens double, avg_entry_price double, market_volume double, closed_time string, market_question string, resolution string, position_won boolean"
 T0 = dt.datetime(2024, 1, 1)
@@ -193,3 +195,23 @@ def test_plan_check(spark):
 def test_division_and_bounds_keep_null(spark):
     row = spark.range(1).select(divide(F.lit(1), F.lit(0)).alias("a"), clipped(F.lit(None).cast("double"), 0, 1).alias("b"), clipped(F.lit(7.0), 0, 1).alias("c")).first()
     assert (row.a, row.b, row.c) == (None, None, 1.0)
+
+
+def test_cooldown_in_rounds_is_the_fold(spark):
+    random.seed(6)
+    rows = []
+    for market in (1, 2, None):
+        for _ in range(120):
+            start = random.randrange(0, 40 * 3600, 300)
+            rows.append((market, T0 + dt.timedelta(seconds=start), T0 + dt.timedelta(seconds=start + random.randrange(0, 1800, 300)), 0.1, 0.5, round(random.choice([0.3, 0.4, random.random()]), 3), "up"))
+    frame = spark.createDataFrame(rows, "market_id long, spike_start_ts timestamp, spike_end_ts timestamp, price_before double, price_after double, magnitude_pp double, direction string").dropDuplicates(["market_id", "spike_start_ts", "spike_end_ts"])
+    frame = stored(frame, "candidates")
+    folded, rounds = (sorted(map(str, timing.cooled_down(frame, 3600, fold).collect())) for fold in (10**6, 2))
+    assert folded == rounds and 0 < len(folded) < frame.count()
+
+
+def test_fills_that_sum_up_a_transaction_go(spark):
+    fill = lambda i, tx, gives, tokens, cash: (i, 0, "m", "A" if gives else "0", tokens if gives else cash, "t", "0" if gives else "A", cash if gives else tokens, tx)
+    rows = [fill("1", "x", True, 10, 4), fill("2", "x", False, 20, 9), fill("3", "x", True, 30, 13), fill("4", "y", True, 5, 5), fill("5", "y", True, 5, 5), fill("6", "z", True, 10, 4), fill("7", "z", True, 20, 9), fill("8", "z", True, 30, 14), fill("9", None, True, 1, 1), fill("a", None, True, 1, 1), fill("b", None, True, 2, 2)]
+    left = lambda tolerance: sorted(r.id for r in tape.without_aggregate_fills(spark.createDataFrame(rows, schemas.FILLS), tolerance).collect())
+    assert left(0) == ["1", "2", "4", "5", "6", "7", "8", "9", "a", "b"] and left(1) == ["1", "2", "4", "5", "6", "7", "9", "a", "b"]

@@ -7,6 +7,7 @@ A tape has timestamp, market_id, maker, taker, nonusdc_side (token1, token2), ma
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions import MICRO, divide, keep_first
@@ -58,6 +59,23 @@ def fills_to_trades(fills: DataFrame, lookup: DataFrame) -> DataFrame:
     )
 
 
+def without_aggregate_fills(fills: DataFrame, tolerance: int = 0) -> DataFrame:
+    """fills without those that only sum up the others of their transaction, as exchanges emit them; off by default.
+
+    Of three or more fills of one token in one transaction, the one goes whose tokens and whose cash are each the sum of the others'
+    within `tolerance` raw units. Where several are (the others have no amounts then), the one with the largest id by code point goes. Fills without a transaction stay.
+    """
+    names = fills.columns
+    from_maker = F.col("makerAssetId") != CASH
+    token = F.when(from_maker, F.col("makerAssetId")).otherwise(F.col("takerAssetId"))
+    rows = fills.withColumns({"__token": token, "__tokens": F.when(from_maker, F.col("makerAmountFilled")).otherwise(F.col("takerAmountFilled")), "__cash": F.when(from_maker, F.col("takerAmountFilled")).otherwise(F.col("makerAmountFilled"))})
+    of = W.partitionBy("transactionHash", "__token")
+    equal = lambda c: F.abs(2 * F.col(c) - F.sum(c).over(of)) <= tolerance
+    sums = rows.withColumn("__sums", F.coalesce((F.count(F.lit(1)).over(of) >= 3) & equal("__tokens") & equal("__cash") & F.col("transactionHash").isNotNull(), F.lit(False)))
+    last = F.max(F.when(F.col("__sums"), F.col("id"))).over(of)
+    return sums.withColumn("__last", last).where(~F.col("__sums") | (F.col("id") < F.col("__last"))).select(*names)
+
+
 def unique_source_rows(rows: DataFrame) -> DataFrame:
     """One row an id: paging reads the second that it stopped in twice."""
     others = [F.col(c).asc_nulls_last() for c in rows.columns if c not in ("id", "timestamp")]

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import binned_interval_join, clipped, counted_below, divide, exact_mean, exact_sum, islands, keep_first, with_row
 from tidewatch.operators.tape import once_per_transaction, wallet_trades
+from tidewatch.sources.scratch import stored
 
 BUCKET = "5 minutes"
 MOVE, COOLDOWN = 0.30, 3600
+#: Candidates of one island up to which its cooldown is a fold over an array.
+FOLD = 1000
 EARLY, LATE = 4 * 3600, 30 * 60
 #: Seconds before a bucket that its window holds: 31 minutes, open on the left.
 LOOK_BACK = 31 * 60 - 1
@@ -47,21 +50,58 @@ def spike_candidates(history: DataFrame, move: float = MOVE, least_trades: int =
     return keep_first(rows, ["market_id", "spike_start_ts", "spike_end_ts"], F.desc("magnitude_pp"), F.col("price_before"), F.col("direction"))
 
 
-def cooled_down(candidates: DataFrame, cooldown: int = COOLDOWN) -> DataFrame:
-    """Candidates that no larger kept one of their market suppresses: one that starts within it or less than `cooldown` after its end.
-
-    Larger ones go first, ties by start and end. A market's candidates are cut where one starts
-    `cooldown` or more after all earlier ends; nothing suppresses across such a cut, so each part is a small array.
-    """
-    rows = candidates.withColumn("s", F.unix_micros("spike_start_ts")).withColumn("e", F.unix_micros("spike_end_ts"))
-    wait = cooldown * 1_000_000
-    rows = islands(rows, ["market_id"], "s", "e", wait, strict=True)
-    one = F.struct((-F.col("magnitude_pp")).alias("m"), "s", "e", *candidates.columns)
+def _folded(rows: DataFrame, columns: list[str], wait: int) -> DataFrame:
+    """What stays of islands that are short arrays: a fold over each, largest first."""
+    one = F.struct((-F.col("magnitude_pp")).alias("m"), "s", "e", *columns)
     kind = rows.select(F.array(one).alias("x")).schema["x"].dataType.simpleString()
     grouped = rows.groupBy("market_id", "island").agg(F.array_sort(F.collect_list(one)).alias("x"))
     free = lambda kept, c: ~F.exists(kept, lambda k: (c["s"] >= k["s"]) & (c["s"] < F.greatest(k["e"] + wait, k["e"] + 1)))
     kept = F.aggregate("x", F.array().cast(kind), lambda kept, c: F.when(free(kept, c), F.concat(kept, F.array(c))).otherwise(kept))
-    return grouped.select(F.inline(kept)).select(*candidates.columns)
+    return grouped.select(F.inline(kept)).select(*columns)
+
+
+def _in_rounds(rows: DataFrame, columns: list[str], wait: int, most_rounds: int = 1000) -> DataFrame:
+    """The same for islands of any length. In a round each open candidate that no larger open one suppresses stays, and those that it suppresses go.
+
+    Who suppresses whom is found through bins of the line of times, so no island is in one task; open candidates are stored after
+    each round, and the largest of an island always settles, so rounds end.
+    """
+    key = F.coalesce(F.col("market_id").cast("string"), F.lit("none")).alias("key")  # a null market is one too
+    open_rows = stored(rows.select(key, "s", F.col("e"), F.struct((-F.col("magnitude_pp")).alias("m"), "s", "e").alias("rank"), *columns), "open")
+    kept = open_rows.limit(0)
+    for _ in range(most_rounds):
+        if open_rows.isEmpty():
+            return kept.select(*columns)
+
+        def suppressed(by: DataFrame, of: DataFrame) -> DataFrame:
+            reach = by.select("key", F.col("s").alias("from"), (F.greatest(F.col("e") + wait, F.col("e") + 1) - 1).alias("to"), F.col("rank").alias("by_rank"))
+            met = binned_interval_join(of.select("key", "s", "rank"), reach, ["key"], "s", "from", "to", max(wait, 1_000_000))
+            return met.where(F.col("by_rank") < F.col("rank")).select("key", "rank").distinct()
+
+        waits = suppressed(open_rows, open_rows)
+        stays = stored(open_rows.join(waits, ["key", "rank"], "left_anti"), "stays")
+        kept = kept.unionByName(stays)
+        gone = suppressed(stays, open_rows)
+        open_rows = stored(open_rows.join(stays.select("key", "rank").unionByName(gone), ["key", "rank"], "left_anti"), "open")
+    raise RuntimeError("the cooldown hasn't settled")
+
+
+def cooled_down(candidates: DataFrame, cooldown: int = COOLDOWN, fold: int = FOLD) -> DataFrame:
+    """Candidates that no larger kept one of their market suppresses: one that starts within it or less than `cooldown` after its end. A stored table.
+
+    Larger ones go first, ties by start and end. A market's candidates are cut where one starts
+    `cooldown` or more after all earlier ends; nothing suppresses across such a cut. Parts of up to `fold` candidates are folded as arrays, longer ones
+    settle in rounds, with the same result.
+    """
+    columns, wait = candidates.columns, cooldown * 1_000_000
+    rows = candidates.withColumn("s", F.unix_micros("spike_start_ts")).withColumn("e", F.unix_micros("spike_end_ts"))
+    rows = stored(islands(rows, ["market_id"], "s", "e", wait, strict=True), "candidates")
+    long = rows.groupBy("market_id", "island").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fold).select(F.col("market_id").alias("long_market"), F.col("island").alias("long_island"))
+    of_long = F.col("market_id").eqNullSafe(F.col("long_market")) & (F.col("island") == F.col("long_island"))
+    if long.isEmpty():
+        return stored(_folded(rows, columns, wait), "cooled")
+    settled = _in_rounds(rows.join(long, of_long, "left_semi"), columns, wait)
+    return stored(_folded(rows.join(long, of_long, "left_anti"), columns, wait).unionByName(settled), "cooled")
 
 
 def numbered(spikes: DataFrame) -> DataFrame:

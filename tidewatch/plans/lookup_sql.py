@@ -64,6 +64,12 @@ chunks as (select event_id % 4 as worker, day(ts) // 10 + 1 as part, strftime(da
         "wallet_slice_known": _plain([*BOARD, "busiest as (select wallet from pre group by 1 order by count(*) desc, wallet limit 1)"], " union all ".join(_total(part, table, value, 6).replace(" as n,", " as n, max(wallet) as wallet,") + " where wallet = (select wallet from busiest)" for part, table, value in (("positions", "positions", "total_usd_in"), ("aggregate_scores", "scores", "aggregate_score"), ("timing_scores", "timings", "excess_ratio"), ("pre_spike_trades", "pre", "usd_amount")))),
         "wallet_figures": _figures(own_slice, scored),
         "market_slice_parts": _plain([*RESOLVED, *BASE, *METRICS, *REAL[2:], PRE], " union all ".join(_total(part, table, f"cast({value} as double)") for part, (table, value) in (tables | measured).items())),
+        "fills_without_sums": _plain([EVENT, r"""
+own as (select cast(ord as varchar) as id, 'x' || (ord // 6) as tx, 'T' || (ord % 2) as token, ord // 6 as six, cast(floor(usd_amount * 1000000 + 0.5) as bigint) as cash, coalesce(cast(floor(token_amount * 1000000 + 0.5) as bigint), 0) as tokens from tape),
+every as (select id, tx, token, cash, tokens from own union all select 'sum ' || tx || ' ' || token, tx, token, sum(cash), sum(tokens) from own where six % 3 = 0 group by tx, token),
+judged as (select *, count(*) over (partition by tx, token) >= 3 and 2 * cash = sum(cash) over (partition by tx, token) and 2 * tokens = sum(tokens) over (partition by tx, token) as sums from every),
+kept as (select * from (select *, max(case when sums then id end) over (partition by tx, token) as last from judged) where not sums or id < last)"""],
+            "select tx as \"transactionHash\", count(*) as n, count(*) filter (id like 'sum%') as sums_left, cast(sum(cash) as bigint) as cash from kept group by 1"),
         "whole_gaps": _plain([spans], "select gap_start, gap_end from (select reach as gap_start, start as gap_end from reached union all select min(start) - 600, min(start) from spans union all select max(finish), max(finish) + 600 from spans) where gap_end - gap_start > 60"),
         "whole_runs": _plain([spans], 'select min(start) as start, max(finish) as "end" from (select *, sum(case when reach is null or start - reach > 60 then 1 else 0 end) over (order by start, finish rows unbounded preceding) as island from reached) group by island'),
     }

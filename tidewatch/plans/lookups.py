@@ -175,5 +175,20 @@ def whole_runs(spark: SparkSession, d: str) -> DataFrame:
     return shown(quality.merged_intervals(rows, 60))
 
 
+@query
+def fills_without_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Fills of six events a transaction and two tokens, and a fill that sums them up in every third transaction; what is left without these."""
+    own = tapes.events_fills(spark, d).select("*", F.floor(F.col("id").cast("long") / 6).alias("six"), (F.col("id").cast("long") % 2).alias("two"))
+    own = own.withColumns({"transactionHash": F.concat(F.lit("x"), "six"), "token": F.concat(F.lit("T"), "two")})
+    gives = F.col("makerAssetId") != tape.CASH
+    tokens, cash = F.when(gives, F.col("makerAmountFilled")).otherwise(F.col("takerAmountFilled")), F.when(gives, F.col("takerAmountFilled")).otherwise(F.col("makerAmountFilled"))
+    named = own.withColumns({"makerAssetId": F.when(gives, F.col("token")).otherwise(F.col("makerAssetId")), "takerAssetId": F.when(gives, F.col("takerAssetId")).otherwise(F.col("token")), "tokens": tokens, "cash": cash})
+    sums = named.where("six % 3 = 0").groupBy("transactionHash", "token").agg(F.sum("tokens").alias("makerAmountFilled"), F.sum("cash").alias("takerAmountFilled"), F.max("timestamp").alias("timestamp"))
+    names = [c.split()[0] for c in schemas.FILLS.split(", ")]
+    sums = sums.select(F.concat(F.lit("sum "), "transactionHash", F.lit(" "), "token").alias("id"), "timestamp", F.lit("book").alias("maker"), F.col("token").alias("makerAssetId"), "makerAmountFilled", F.lit("exchange").alias("taker"), F.lit("0").alias("takerAssetId"), "takerAmountFilled", "transactionHash")
+    left = tape.without_aggregate_fills(named.select(*names).unionByName(sums))
+    return left.groupBy("transactionHash").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("taker") == "exchange").alias("sums_left"), F.sum(F.when(F.col("makerAssetId") == "0", F.col("makerAmountFilled")).otherwise(F.col("takerAmountFilled"))).alias("cash"))
+
+
 def queries() -> dict[str, Query]:
     return dict(FOUND)

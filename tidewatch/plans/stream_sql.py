@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import study_sql
+from tidewatch.plans import sql, study_sql
 from tidewatch.plans.sql import EVENT, HISTORY, ROLLING, VIEWS, _cut, _sql
 
 ARRIVAL = r"""
@@ -24,6 +24,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_unique": "select cast(o_orderkey as varchar) as id, epoch_us(o_orderdate) // 1000000 * 1000000 as timestamp, 'c' || o_custkey as stakeholder, 'c' || (o_orderkey % 100) as condition, cast(cast(floor(o_totalprice * 1000000 + 0.5) as bigint) as varchar) as amount from orders where o_orderstatus = 'O'",
         "stream_positions": _sql([EVENT, VIEWS], f"select wallet, market_id, nonusdc_side as side, round({money('BUY', 'usd_amount')}, 4) as total_usd_in, round({money('BUY', 'token_amount')}, 4) as tokens_bought, round({money('SELL', 'usd_amount')}, 4) as total_usd_out, round({money('SELL', 'token_amount')}, 4) as tokens_sold, count(*) as num_trades from views group by all"),
         "stream_spikes": _sql([EVENT, HISTORY, ROLLING, ARRIVAL], "select r.market_id, s as spike_start_ts, e as spike_end_ts, round(case when ts_of_min < ts_of_max then roll_min else roll_max end, 6) as price_before, round(case when ts_of_min < ts_of_max then roll_max else roll_min end, 6) as price_after, round(roll_max - roll_min, 6) as magnitude_pp, case when ts_of_min < ts_of_max then 'up' else 'down' end as direction from wide r join walk w on w.market_id is not distinct from r.market_id and w.k = r.k where w.kept"),
+        "stream_pre_spike": sql.oracle_sql()["pre_spike_from_candidates"].replace("partition by tx, wallet, market_id, direction order", "partition by tx, wallet, market_id, direction, us order"),
         "movement_alerts": alerts,
         "stream_alerts": alerts,
         "stream_stories": study_sql.oracle_sql()["merged_stories"],

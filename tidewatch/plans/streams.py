@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import streaming
 from tidewatch.operators import calibration, timing
-from tidewatch.plans.queries import Query, shown
+from tidewatch.plans.queries import Query, candidates, shown
 from tidewatch.plans.studies import page_stories
 from tidewatch.sources import tapes
 from tidewatch.sources.scratch import scratch
@@ -61,6 +61,19 @@ def stream_spikes(spark: SparkSession, d: str) -> DataFrame:
     return shown(spark.read.schema(rows.schema).parquet(f"{path}/out"))
 
 
+@query
+def stream_pre_spike(spark: SparkSession, d: str) -> DataFrame:
+    """Trades ahead of the candidates' moves, both as streams: first each transaction's rows once, then the look-back join."""
+    path, tape = scratch(spark, "pre-spike"), tapes.events_tape(spark, d)
+    # all lands at once, so the watermark may stand at the last trade
+    once = streaming.once_per_transaction(_landing(tape.where("usd_amount >= 1"), f"{path}/trades"), "0 seconds")
+    streaming.run_available(once, f"{path}/once", f"{path}/checkpoint-once")
+    rows = spark.read.schema(once.schema).parquet(f"{path}/once")
+    met = streaming.pre_spike_trades(_landing(rows, f"{path}/once-in").withWatermark("timestamp", "40 days"), _landing(candidates(spark, d), f"{path}/spikes"), "40 days")
+    streaming.run_available(met, f"{path}/out", f"{path}/checkpoint")
+    return shown(streaming.summed_pre_spike(spark.read.schema(met.schema).parquet(f"{path}/out")))
+
+
 def _points(spark: SparkSession, d: str) -> DataFrame:
     return calibration.prices(tapes.events_tape(spark, d)).select("market_id", F.timestamp_micros("at").alias("at"), "price", "ord")
 
