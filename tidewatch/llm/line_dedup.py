@@ -147,9 +147,10 @@ def repeated_words(df: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataF
     # stretches of a text that share their least hash without a break may repeat each other too
     shared = shared.where("a <> b").select("fingerprint").unionByName(rows.where(F.col("end") - F.col("start") >= least).select("fingerprint")).distinct()
     places = rows.join(shared, "fingerprint", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("places"))
-    own = df.join(places, "doc_id").select("doc_id", _hashes(F.col("text")).alias("h"), F.explode("places").alias("p"))
-    runs = own.select("doc_id", F.col("p.start").alias("from"), F.posexplode(_slices(F.col("h"), least, F.col("p.start"), F.col("p.end"))).alias("at", "run"))
-    runs = written(runs.select("doc_id", (F.col("from") + F.col("at")).alias("word"), "run").distinct(), "wordruns")
+    # a text's hashes are one array that all its places are cut from, and aren't copied to a row a place
+    own = df.join(places, "doc_id").select("doc_id", _hashes(F.col("text")).alias("h"), "places")
+    run = lambda p: F.transform(F.sequence(p["start"], p["end"]), lambda i: F.struct(i.alias("word"), F.xxhash64(F.slice("h", i + 1, least)).alias("run")))
+    runs = written(own.select("doc_id", F.inline(F.flatten(F.transform("places", run)))).distinct(), "wordruns")
     place = F.struct("doc_id", "word")
     first = runs.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
     later = runs.join(first, "run").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("word") >= F.col("first.word") + least))
