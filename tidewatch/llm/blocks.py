@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from tidewatch.llm.shared import written
 
 #: Bytes of text a block; a longer text is a block by itself.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Entries of the corpus-wide dictionary in one range, of which one task holds all.
 RANGE = 250_000
+#: Entries that blocks send to one range, as long as a block sends FULL entries to each on average.
+SENT, FULL = 2_000_000, 1000
 #: One in so many hashes is counted to tell how many ranges there have to be.
 PROBE = 1024
 
@@ -90,8 +92,11 @@ def probed(hashes: np.ndarray) -> pa.Array:
 
 
 def ranges(blocks: DataFrame, size: int = RANGE) -> int:
-    """How many ranges the dictionary of all blocks needs, by their column `probe`."""
-    return 1 + blocks.select(F.explode("probe").alias("x")).distinct().count() * PROBE // size
+    """How many ranges the dictionary of all blocks needs, by their column `probe`: so that one holds `size` different entries, and is sent SENT at most while rows stay full."""
+    different = blocks.select(F.explode("probe").alias("x")).distinct().count() * PROBE
+    sums = blocks.agg(F.coalesce(F.sum(F.size("probe")), F.lit(0)).alias("probes"), F.count(F.lit(1)).alias("blocks")).first()
+    sent = sums["probes"] * PROBE
+    return 1 + max(different // size, min(sent // SENT, sent // max(sums["blocks"], 1) // FULL))
 
 
 def dealt(blocks: DataFrame, n: int, cut: Callable[[pa.RecordBatch, int], Iterator[tuple[int, bytes, dict[str, bytes]]]], columns: list[str]) -> DataFrame:
