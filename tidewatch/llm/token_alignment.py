@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -207,7 +208,8 @@ def _cut(joined: bytes, lengths: np.ndarray) -> list[bytes]:
     return [joined[a:b] for a, b in itertools.pairwise(ends)]
 
 
-COUNTED = ["a", "b", "groups", "right"]
+#: What a range answers: places, and compressed: tokens of both, groups and whether the bytes are right (four numbers a stretch); groups as text; linked pairs.
+FOUND = ["places", "counts", "text", "pairs"]
 
 
 def _encoded(blocks: DataFrame, path_a: str, path_b: str, n: int) -> DataFrame:
@@ -221,7 +223,7 @@ def _encoded(blocks: DataFrame, path_a: str, path_b: str, n: int) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, now = aligner(path_a, path_b), None
-        names = ["block", "places", *COUNTED, "text", "pairs"]
+        small = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for own, block, places, keys, lengths in zip(*(batch.column(c).to_pylist() for c in ("range", "block", "places", "keys", "lengths")), strict=True):
                 if own != now:
@@ -230,13 +232,13 @@ def _encoded(blocks: DataFrame, path_a: str, path_b: str, n: int) -> DataFrame:
                 numbers = np.fromiter((both.numbers[k.decode()] for k in _cut(keys, unpacked(lengths))), np.int64)
                 both.learn()
                 text = "\n".join(map(both.text.__getitem__, numbers.tolist())).encode()
-                data = [places, *(packed(both.counts[numbers, i]) for i in range(len(COUNTED))), text, packed(both.pairs[_gathered(both.starts, numbers)[0]], 8)]
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in data)], names)
+                data = [places, small(packed(both.counts[numbers].T.ravel())), small(text), small(packed(both.pairs[_gathered(both.starts, numbers)[0]], 8))]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in data)], ["block", *FOUND])
 
     rows = dealt(blocks.select("block", "keys", "lengths").where("length(lengths) > 0"), n, cut, ["keys", "lengths"])
-    kinds = "block long, places binary, " + ", ".join(f"{c} binary" for c in (*COUNTED, "text", "pairs"))
+    kinds = "block long, " + ", ".join(f"{c} binary" for c in FOUND)
     found = rows.repartition(n, "range").sortWithinPartitions("range", "block").mapInArrow(encode, kinds)
-    return found.groupBy("block").agg(F.collect_list(F.struct("places", *COUNTED, "text", "pairs")).alias("found"))
+    return found.groupBy("block").agg(F.collect_list(F.struct(*FOUND)).alias("found"))
 
 
 def _joined(row: pa.RecordBatch) -> pa.RecordBatch:
@@ -245,16 +247,16 @@ def _joined(row: pa.RecordBatch) -> pa.RecordBatch:
     parts = row.column("found")[0].as_py() or []
     places = [unpacked(p["places"]) for p in parts]
     n = sum(map(len, places))
-    counts, text, starts = np.zeros((n, len(COUNTED)), np.int64), [""] * n, np.zeros(n + 1, np.int64)
+    counts, text, starts = np.zeros((n, 4), np.int64), [""] * n, np.zeros(n + 1, np.int64)
+    whole = zstandard.ZstdDecompressor().decompress
     for at, part in zip(places, parts, strict=True):
-        for i, name in enumerate(COUNTED):
-            counts[at, i] = unpacked(part[name])
-        for i, own in zip(at.tolist(), part["text"].decode().split("\n"), strict=True):
+        counts[at] = unpacked(whole(part["counts"])).reshape(4, -1).T
+        for i, own in zip(at.tolist(), whole(part["text"]).decode().split("\n"), strict=True):
             text[i] = own
     starts[1:] = np.cumsum(counts[:, 2])
     pairs = np.zeros(starts[-1], np.int64)
     for at, part in zip(places, parts, strict=True):
-        pairs[_gathered(starts, at)[0]] = unpacked(part["pairs"], 8)
+        pairs[_gathered(starts, at)[0]] = unpacked(whole(part["pairs"]), 8)
     found = np.split(numbers, np.cumsum(widths)[:-1])
     found = [f if counts[f, 3].all() else f[:0] for f in found]
     digests = [hashlib.sha256(";".join(map(text.__getitem__, f.tolist())).encode()).hexdigest() if len(f) else "" for f in found]
