@@ -22,7 +22,7 @@ def tape(spark, rows):
     return spark.createDataFrame(rows, TAPE)
 
 
-@pytest.mark.parametrize("width", [1, 7, 1000])
+@pytest.mark.parametrize("width", [1, 20])
 def test_as_of_against_every_row(spark, width):
     random.seed(width)
     left = [(random.choice(["a", "b", None]), random.randrange(60), i) for i in range(80)] + [("c", 5, 98), ("a", None, 99)]
@@ -45,7 +45,7 @@ def test_groups_of_paths_hubs_and_pairs(spark):
     assert groups(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
-@pytest.mark.parametrize("least_shared, least_share, crowd", [(1, 0.0, 3), (2, 0.3, 4), (3, 0.5, 256), (2, 1.0, 2)])
+@pytest.mark.parametrize("least_shared, least_share, crowd", [(1, 0.0, 3), (2, 0.3, 4), (3, 0.5, 256)])
 def test_coordinated_pairs_against_all_pairs(spark, least_shared, least_share, crowd):
     random.seed(least_shared)
     own = {f"w{i}": set(random.sample(range(40), random.randrange(1, 9))) | ({100} if i % 2 else set()) for i in range(60)}
