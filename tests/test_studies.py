@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_micro import T0, TAPE, position, table
+from tidewatch.functions import overlap
 from tidewatch.functions.asof import as_of
 from tidewatch.functions.graph import groups
 from tidewatch.operators import calibration, coordination, indices
@@ -57,6 +58,26 @@ def test_coordinated_pairs_against_all_pairs(spark, least_shared, least_share, c
     assert {(r.a, r.b): r.shared for r in pairs.collect()} == expected and expected
 
 
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_blocks_and_meetings_find_the_same_pairs(spark, blocks, monkeypatch):
+    monkeypatch.setattr(overlap, "ROW", 3)
+    monkeypatch.setattr(overlap, "STEP", 5)
+    random.seed(blocks)
+    own = {f"w{i}": set(random.sample(range(30), random.randrange(1, 12))) | ({100} if i % 2 else set()) for i in range(50)}
+    places = spark.createDataFrame([(w, p) for w, s in own.items() for p in s], "wallet string, place int")
+    rows = coordination._numbered(places, 2)
+    expected = {(a, b): (len(own[a] & own[b]), len(own[a] & own[b]) / len(own[a] | own[b])) for a, b in itertools.combinations(sorted(own), 2) if len(own[a] & own[b]) >= 2 and len(own[a] & own[b]) >= 0.2 * len(own[a] | own[b])}
+    for pairs in (overlap.pairs_by_blocks(rows, blocks, 2, 0.2), coordination._along(coordination._leads(rows, 2, 0.2), rows, 2, 0.2, 4)):
+        found = pairs.collect()
+        assert {(r.a, r.b): (r.shared, r.share) for r in found} == expected and len(found) == len(expected) > 0
+
+
+def test_wallets_that_all_meet_are_compared_by_blocks(spark):
+    places = spark.range(400).selectExpr("concat('w', id) as wallet", "explode(sequence(0, 20)) as place")
+    pairs = coordination.coordinated_pairs(places)
+    assert "MapInArrow" in pairs._jdf.queryExecution().toString() and pairs.where("shared = 21 and share = 1 and a < b").count() == 400 * 399 // 2
+
+
 def test_coordinated_groups_and_places(spark):
     rows = [trade(m, h * 60 + i, taker=w, maker=f"m{w}{h}", ord=h) for h, m in ((0, 1), (3, 2), (9, 1)) for i, w in enumerate("abc")] + [trade(1, 5, taker="d", maker="x"), trade(None, 5, taker="a", maker="y"), trade(1, 6, taker="CONTRACT_SPLIT", maker="z")]
     places = coordination.trade_places(tape(spark, rows))

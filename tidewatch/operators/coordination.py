@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import divide, exact_sum
 from tidewatch.functions.graph import groups
+from tidewatch.functions.overlap import blocks_of, pairs_by_blocks
 from tidewatch.operators.tape import wallet_trades
 from tidewatch.sources.scratch import stored
 
 #: Wallets of a bucket that one task compares with as many others.
 CROWD = 256
+#: Places in a block's row that cost as much as one meeting of two wallets.
+MEETING = 8
 HOUR = 3600
 PLACE = ["market_id", "nonusdc_side", "direction", "at"]
 
@@ -24,20 +27,25 @@ def trade_places(trades: DataFrame, seconds: int = HOUR, exclude_sentinels: bool
     return known.select("wallet", F.struct(*PLACE).alias("place")).distinct()
 
 
-def _leads(places: DataFrame, least_shared: int, least_share: float) -> DataFrame:
+def _numbered(places: DataFrame, least_shared: int) -> DataFrame:
+    """wallet, n, pid, crowd: places that several wallets trade in by a number, and how many do, of the wallets that have enough places (n). A stored table."""
+    # ids are those of a stored table, so they stay the same when it is read again
+    busy = stored(places.groupBy("place").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1").withColumn("pid", F.monotonically_increasing_id()), "busy")
+    sizes = places.groupBy("wallet").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_shared)
+    return stored(places.join(sizes, "wallet").join(busy, "place").select("wallet", "n", "pid", "crowd"), "numbered")
+
+
+def _leads(rows: DataFrame, least_shared: int, least_share: float) -> DataFrame:
     """wallet, n, place, crowd of the places that one of two linked wallets meets the other in.
 
     Wallets that share `need` of their places have one in common even when each leaves out its need - 1 busiest. So only
     the rarest n - need + 1 are left to pair on, and what everybody trades in hardly ever is among them.
     """
-    busy = places.groupBy("place").agg(F.count(F.lit(1)).alias("crowd"))
-    sizes = places.groupBy("wallet").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_shared)
-    rows = places.join(sizes, "wallet").join(busy.where("crowd > 1"), "place")
     need = F.greatest(F.lit(least_shared), F.ceil(F.col("n") * least_share - 1e-9))
     # places that nobody else trades in come first in the order of rarity, and pair with none
     alone = F.col("n") - F.count(F.lit(1)).over(W.partitionBy("wallet"))
-    nth = F.row_number().over(W.partitionBy("wallet").orderBy("crowd", "place")) + alone
-    return rows.withColumn("nth", nth).where(F.col("nth") <= F.col("n") - need + 1).select("wallet", "n", "place", "crowd")
+    nth = F.row_number().over(W.partitionBy("wallet").orderBy("crowd", "pid")) + alone
+    return rows.withColumn("nth", nth).where(F.col("nth") <= F.col("n") - need + 1).select("wallet", "n", F.col("pid").alias("place"), "crowd")
 
 
 def _met(leads: DataFrame, least_share: float, crowd: int) -> DataFrame:
@@ -53,22 +61,34 @@ def _met(leads: DataFrame, least_share: float, crowd: int) -> DataFrame:
     return met.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb")).distinct()
 
 
-def coordinated_pairs(places: DataFrame, least_shared: int = 3, least_share: float = 0.3, crowd: int = CROWD) -> DataFrame:
-    """a, b, shared, share: wallets that have `least_shared` places in common, and `least_share` of all places that either has.
-
-    Exactly the pairs that counting all pairs would find. Candidates meet in their rarest places; what they share is counted along the
-    smaller wallet's places, so an exchange's wallet is never walked through for each of its partners.
-    """
-    places = stored(places, "places")
-    met = _met(_leads(places, least_shared, least_share), least_share, crowd)
+def _along(leads: DataFrame, rows: DataFrame, least_shared: int, least_share: float, crowd: int) -> DataFrame:
+    """The pairs of coordinated_pairs() from those that meet, what they share being counted along the smaller wallet's places."""
+    met = _met(leads, least_share, crowd)
     first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     met = met.withColumns({"small": F.when(first, F.col("a")).otherwise(F.col("b")), "large": F.when(first, F.col("b")).otherwise(F.col("a"))})
-    along = met.join(places.withColumnRenamed("wallet", "small"), "small").join(places.withColumnRenamed("wallet", "large"), ["large", "place"])
+    own = rows.select("wallet", F.col("pid").alias("place"))
+    along = met.join(own.withColumnRenamed("wallet", "small"), "small").join(own.withColumnRenamed("wallet", "large"), ["large", "place"])
     pairs = along.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
     share = divide(F.col("shared"), F.col("na") + F.col("nb") - F.col("shared"))
     return pairs.withColumn("share", share).where((F.col("shared") >= least_shared) & (F.col("share") >= least_share)).select("a", "b", "shared", "share")
 
 
+def coordinated_pairs(places: DataFrame, least_shared: int = 3, least_share: float = 0.3, crowd: int = CROWD) -> DataFrame:
+    """a, b, shared, share: wallets that have `least_shared` places in common, and `least_share` of all places that either has.
+
+    Exactly the pairs that counting all pairs would find. Where few wallets meet in their rarest places, only those that do are compared. Where most do,
+    blocks of wallets are compared with blocks, which shuffles places times blocks instead of a row a meeting. Four counts tell which is less.
+    """
+    rows = _numbered(stored(places, "places"), least_shared)
+    leads = stored(_leads(rows, least_shared, least_share), "leads")
+    meetings = leads.groupBy("place").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0.0
+    members, wallets = rows.agg(F.count(F.lit(1)), F.count_distinct("wallet")).first()
+    blocks = blocks_of(wallets, members)
+    if meetings * MEETING < float(members) * blocks:
+        return _along(leads, rows, least_shared, least_share, crowd)
+    return pairs_by_blocks(rows, blocks, least_shared, least_share)
+
+
 def coordinated_groups(pairs: DataFrame) -> DataFrame:
     """wallet, group_id (the group's first wallet by name), group_size, partners, shared: the wallets of coordinated_pairs()."""
     pairs = stored(pairs, "pairs")
