@@ -1,6 +1,7 @@
 """The walk over positions that all metrics share, against each metric's own table; slices and reports of few wallets."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from tests.test_micro import T0, position, table
 from tests.test_studies import tape, trade
 from tidewatch.operators import metrics, reports, score, timing
 from tidewatch.operators.positions import wallet_positions
+from tidewatch.plans import queries
 from tidewatch.sources import land_chunks, read_chunks, read_optional, schemas
 
 
@@ -75,3 +77,17 @@ def test_a_slice_of_a_market_has_its_pre_spike_figures(spark):
     # the move starts at minute 100, so only the trade at minute 0 lies in its look-back, for both sides of it
     assert (row.pre_spike_trades, row.pre_spike_wallets, row.correct, row.pre_spike_usd) == (2, 2, 1, 100.0)
     assert wallet_positions(tape(spark, rows), markets).where("market_id = 1").count() == row.positions and T0
+
+
+def test_positions_are_dealt_by_transaction_and_market_only(spark):
+    """At any size: an exchange by wallet, transaction or side of the doubled trades would be there beside these."""
+    rows = queries.day_positions(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    dealt = [[re.sub("#.*", "", c) for c in keys.split(", ")[:-1]] for keys in re.findall(r"Exchange hashpartitioning\((.*?)\), ", plan)]
+    assert sorted(map(tuple, dealt)).count(("market_id", "slice")) >= 1 and not any("wallet" in keys or "nonusdc_side" in keys for keys in dealt) and "BroadcastHashJoin [transactionHash" not in plan
+    assert rows.count() == rows.select("wallet", "market_id", "side").distinct().count()
+
+
+def test_values_read_no_texts_of_markets(spark):
+    kept = score.needed(queries.day_positions(spark, "/root/testdata/sf0.001"))
+    assert "market_question" not in kept.columns and kept.where("resolution not in ('token1', 'token2')").isEmpty()

@@ -10,12 +10,14 @@ from tidewatch.operators.tape import MERGE, REDEEM, SPLIT, once_per_transaction,
 
 #: Last price of token1 from which it has won, and up to which it has lost.
 WON, LOST = 0.85, 0.15
+#: Parts that a market's positions are dealt to, by wallet.
+SLICES = 8
 
 
-def position_sums(rows: DataFrame) -> DataFrame:
-    """One row a (wallet, market, side) of wallet_trades()."""
+def position_sums(rows: DataFrame, *more: str) -> DataFrame:
+    """One row a (wallet, market, side) of wallet_trades(), with columns that a wallet or market fixes."""
     of = lambda direction, col: F.coalesce(exact_sum(F.when(F.col("direction") == direction, F.col(col))), F.lit(0.0))
-    sums = rows.groupBy("wallet", "market_id", F.col("nonusdc_side").alias("side")).agg(
+    sums = rows.groupBy("wallet", "market_id", F.col("nonusdc_side").alias("side"), *more).agg(
         of("BUY", "usd_amount").alias("total_usd_in"), of("BUY", "token_amount").alias("tokens_bought"), of("SELL", "usd_amount").alias("total_usd_out"), of("SELL", "token_amount").alias("tokens_sold"),
         F.count("timestamp").alias("num_trades"), F.min("timestamp").alias("first_trade_timestamp"), F.max("timestamp").alias("last_trade_timestamp"),
     )
@@ -40,8 +42,12 @@ def resolutions(markets: DataFrame, last: DataFrame) -> DataFrame:
 
 
 def wallet_positions(trades: DataFrame, markets: DataFrame, exclude_sentinels: bool = False, exclude_synthetic_prices: bool = False) -> DataFrame:
-    """Positions with their market's outcome; position_won is never null."""
+    """Positions with their market's outcome; position_won is never null.
+
+    Trades are dealt by market and slice of wallets once, for the sums and for the outcomes, which come once a slice.
+    """
     rows = once_per_transaction(wallet_trades(trades, exclude_sentinels), "nonusdc_side", "direction")
-    outcome = resolutions(markets, last_prices(trades, exclude_synthetic_prices))
-    joined = position_sums(rows).join(outcome, "market_id", "left").withColumn("resolution", F.coalesce("resolution", F.lit("unresolved")))
+    rows = rows.withColumn("slice", F.pmod(F.hash("wallet"), F.lit(SLICES))).repartition("market_id", "slice")
+    outcome = resolutions(markets, last_prices(trades, exclude_synthetic_prices)).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    joined = position_sums(rows, "slice").join(outcome, ["market_id", "slice"], "left").drop("slice").withColumn("resolution", F.coalesce("resolution", F.lit("unresolved")))
     return joined.withColumn("position_won", F.coalesce(F.col("resolution").isin("token1", "token2") & (F.col("resolution") == F.col("side")), F.lit(False)))

@@ -63,6 +63,12 @@ def fused_values(positions: DataFrame, outcomes: DataFrame | None = None) -> Dat
     return sums.select("wallet", F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), v.alias("value"), F.col(b).alias("bets")) for n, (v, b) in values.items()))))
 
 
+def needed(positions: DataFrame) -> DataFrame:
+    """What fused_values() reads of positions, as a stored table: the resolved ones, without the texts of their markets."""
+    columns = ["wallet", "market_id", "side", "total_usd_in", "total_usd_out", "net_tokens", "avg_entry_price", "first_trade_timestamp", "market_volume", "resolution", "position_won"]
+    return stored(metrics.resolved(positions).select(*columns), "positions")
+
+
 def metric_values(values: dict[str, DataFrame] | DataFrame, least_bets: int = 5, cap_at: float = 0.99) -> DataFrame:
     """wallet, metric, value, bets: one row a wallet and metric that rests on enough bets, of fused_values() or of the metrics' tables.
 
@@ -125,5 +131,5 @@ def all_metrics(positions: DataFrame, outcomes: DataFrame | None = None) -> dict
 
 def aggregate_score(positions: DataFrame, least_bets: int = 5, least_metrics: int = 3, least_wallets: int = 50, outcomes: DataFrame | None = None) -> DataFrame:
     """The aggregate of the eight metrics of positions. Positions, values and scores are stored on the way, and ranks counted in a few small jobs, while this is built."""
-    values = metric_values(fused_values(stored(positions, "positions"), outcomes), least_bets)
+    values = metric_values(fused_values(needed(positions), outcomes), least_bets)
     return ranked(stored(aggregate(percentiles(values, least_wallets), least_metrics), "scores"))

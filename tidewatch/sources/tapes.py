@@ -45,14 +45,18 @@ def events_markets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lineitem_tape(spark: SparkSession, folder: str) -> DataFrame:
-    """A trade a line: the part is the market, the customer the taker, the supplier the maker, the order the transaction."""
-    lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    """A trade a line: the part is the market, the customer the taker, the supplier the maker, the order the transaction.
+
+    Both tables are dealt by the transaction, whatever their size, so that what goes by transaction next needs no other exchange.
+    """
+    order = F.col("o_orderkey").cast("string").alias("order")
+    lines, orders = table(spark, folder, "lineitem").withColumn("transactionHash", F.col("l_orderkey").cast("string")), table(spark, folder, "orders").select(order, "o_custkey").hint("merge")
     sell = F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY")
     price = (2 * F.col("l_quantity") - 1) / 100.0
-    return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(
+    return lines.join(orders, lines["transactionHash"] == orders["order"]).select(
         F.timestamp_micros(micros("l_shipdate")).alias("timestamp"), F.col("l_partkey").alias("market_id"), F.concat(F.lit("s"), "l_suppkey").alias("maker"), F.concat(F.lit("c"), "o_custkey").alias("taker"),
         F.when(F.col("l_linenumber") % 2 == 0, "token1").otherwise("token2").alias("nonusdc_side"), F.when(sell == "BUY", "SELL").otherwise("BUY").alias("maker_direction"), sell.alias("taker_direction"),
-        price.alias("price"), F.col("l_extendedprice").alias("usd_amount"), divide(F.col("l_extendedprice"), price).alias("token_amount"), F.col("l_orderkey").cast("string").alias("transactionHash"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"),
+        price.alias("price"), F.col("l_extendedprice").alias("usd_amount"), divide(F.col("l_extendedprice"), price).alias("token_amount"), "transactionHash", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"),
     )
 
 
