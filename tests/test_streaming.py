@@ -66,3 +66,15 @@ def test_late_rows_name_their_days(spark, tmp_path):
     kept, days = streaming.split_late(rows, closed)
     assert sorted(r.price for r in kept.collect()) == [0.5, 0.5] and kept.columns == rows.columns
     assert [(r.market_id, r.day) for r in days.collect()] == [(1, T0.date())]
+
+
+def test_look_back_join_meets_by_hours_and_each_pair_once(spark):
+    starts = [dt.datetime(2024, 1, 1, 12), dt.datetime(2024, 1, 1, 12, 45)]
+    spikes = spark.createDataFrame([(1, i, at, "up") for i, at in enumerate(starts)], "market_id long, spike_id long, spike_start_ts timestamp, direction string")
+    times = sorted({at - dt.timedelta(minutes=m, microseconds=u) for at in starts for m in (29, 30, 60, 105, 239, 240) for u in (-1, 0, 1)})
+    once = spark.createDataFrame([("w", 1, "buy", at, 5.0, 0.5) for at in times], "wallet string, market_id long, direction string, timestamp timestamp, usd_amount double, price double")
+    met = streaming.pre_spike_trades(once, spikes)
+    expected = sorted((i, at) for i, start in enumerate(starts) for at in times if dt.timedelta(minutes=30) <= start - at <= dt.timedelta(hours=4))
+    assert sorted((r.spike_id, r.entry_timestamp) for r in met.collect()) == expected
+    join = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in join and join.count("hour#") >= 4
