@@ -91,3 +91,11 @@ def test_positions_are_dealt_by_transaction_and_market_only(spark):
 def test_values_read_no_texts_of_markets(spark):
     kept = score.needed(queries.day_positions(spark, "/root/testdata/sf0.001"))
     assert "market_question" not in kept.columns and kept.where("resolution not in ('token1', 'token2')").isEmpty()
+
+
+def test_timings_read_history_and_trades_ahead_from_stored_tables(spark):
+    rows, spikes = queries.candidate_timings(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # the tape is read for the activity of wallets only, not again for each figure of trades, moves and history
+    assert "row_number" not in plan and "price_before" in spikes.columns
+    assert rows.count() == rows.select("wallet").distinct().count()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import exact_sum
 from tidewatch.operators import metrics, quality, reports, score, tape, timing
-from tidewatch.plans.queries import Query, _busiest, _resolved_slice, candidates, day_positions, event_positions, shown
+from tidewatch.plans.queries import Query, _busiest, _resolved_slice, candidate_timings, candidates, day_positions, event_positions, shown
 from tidewatch.sources import land_chunks, read_chunks, read_csv, read_optional, schemas, tapes
 from tidewatch.sources.scratch import scratch, stored
 from tidewatch.sources.tapes import table
@@ -65,8 +65,7 @@ def markets_from_csv(spark: SparkSession, d: str) -> DataFrame:
 def _board(spark: SparkSession, d: str, sort_by: str, with_timing: bool = True) -> DataFrame:
     rows = score.aggregate_score(event_positions(spark, d), least_wallets=10).withColumn("aggregate_score", F.round("aggregate_score", 6))
     if with_timing:
-        trades, spikes = tapes.events_tape(spark, d), candidates(spark, d)
-        timings = timing.timing_scores(timing.pre_spike_trades(spikes, trades), spikes, timing.price_history(trades), trades)
+        timings, _ = candidate_timings(spark, d)
         timings = timings.withColumn("excess_ratio", F.round("excess_ratio", 6))
     else:
         timings = read_optional(spark, scratch(spark, "no-such-table"), schemas.TIMING)
@@ -127,10 +126,12 @@ def wallet_slice_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def _event_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """Positions, scores, timing and pre-spike trades of the events tape, as a batch run stores them."""
-    trades, spikes = tapes.events_tape(spark, d), stored(candidates(spark, d), "spikes")
+    trades = tapes.events_tape(spark, d)
+    history = stored(timing.price_history(trades), "history")
+    spikes = stored(candidates(spark, d, history), "spikes")
     positions = stored(event_positions(spark, d), "positions")
     pre = stored(timing.pre_spike_trades(spikes, trades), "pre-spike")
-    return {"positions": positions, "scores": stored(score.aggregate_score(positions, least_wallets=10), "scores"), "timings": stored(timing.timing_scores(pre, spikes, timing.price_history(trades), trades), "timings"), "pre_spike": pre}
+    return {"positions": positions, "scores": stored(score.aggregate_score(positions, least_wallets=10), "scores"), "timings": stored(timing.timing_scores(pre, spikes, history, trades), "timings"), "pre_spike": pre}
 
 
 @query
