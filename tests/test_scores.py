@@ -99,3 +99,24 @@ def test_timings_read_history_and_trades_ahead_from_stored_tables(spark):
     # the tape is read for the activity of wallets only, not again for each figure of trades, moves and history
     assert "row_number" not in plan and "price_before" in spikes.columns
     assert rows.count() == rows.select("wallet").distinct().count()
+
+
+def test_metrics_read_positions_of_resolved_markets_only(spark):
+    """The trades of other markets are left out before they are dealt by transaction; outcomes are looked up without sorting positions."""
+    folder = "/root/testdata/sf0.001"
+    rows, outcomes = queries.resolved_positions(spark, folder)
+    columns = [c for c in rows.columns]
+    whole = queries.day_positions(spark, folder).where("resolution in ('token1', 'token2')").select(*columns)
+    assert sorted(map(str, rows.collect())) == sorted(map(str, whole.collect())) != [] and outcomes.where("resolution not in ('token1', 'token2')").isEmpty()
+    plan = queries.FOUND["bet_size_vs_odds"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [l_partkey" in plan and "LeftSemi" in plan and "SortMergeJoin [market_id" not in plan
+
+
+def test_trades_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch):
+    """A fixed number of partitions would sort ever more rows in a task, and spill."""
+    folder = "/root/testdata/sf0.001"
+    before = sorted(map(str, queries.day_positions(spark, folder).collect()))
+    monkeypatch.setattr("tidewatch.functions.ROWS_A_TASK", 500)
+    rows = queries.day_positions(spark, folder)
+    tasks = {int(n) for n in re.findall(r"Exchange hashpartitioning\((?:transactionHash|order|market_id)#[^)]*?(\d+)\), REPARTITION_BY_NUM", rows._jdf.queryExecution().executedPlan().toString())}
+    assert len(tasks) == 1 and tasks.pop() > 4 and sorted(map(str, rows.collect())) == before

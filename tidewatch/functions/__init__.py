@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MICRO, NANO = 1_000_000, 1_000_000_000
+#: Rows that a task sorts or adds up in memory.
+ROWS_A_TASK = 1_000_000
 
 
 def divide(a: Column, b: Column) -> Column:
@@ -33,6 +35,17 @@ def exact_mean(x: Column, scale: int = NANO) -> Column:
     return divide(exact_sum(x, scale), F.count(x))
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int | None:
+    """Tasks that so many rows are dealt to where the session's number would give a task too many; None where it does."""
+    wanted = -(-rows // ROWS_A_TASK)
+    return wanted if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """df by its keys, to `tasks` tasks if given."""
+    return df.repartition(tasks, *keys) if tasks else df.repartition(*keys)
+
+
 def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each group of equal keys, in an order that has to be total."""
     return df.withColumn("__nth", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__nth = 1").drop("__nth")

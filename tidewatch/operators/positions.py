@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions import divide, exact_sum
+from tidewatch.functions import dealt, divide, exact_sum
 from tidewatch.operators.tape import MERGE, REDEEM, SPLIT, once_per_transaction, wallet_trades
 
 #: Last price of token1 from which it has won, and up to which it has lost.
@@ -41,13 +41,15 @@ def resolutions(markets: DataFrame, last: DataFrame) -> DataFrame:
     return rows.withColumn("resolution", outcome).drop("last_price")
 
 
-def wallet_positions(trades: DataFrame, markets: DataFrame, exclude_sentinels: bool = False, exclude_synthetic_prices: bool = False) -> DataFrame:
+def wallet_positions(trades: DataFrame, markets: DataFrame, exclude_sentinels: bool = False, exclude_synthetic_prices: bool = False, outcomes: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Positions with their market's outcome; position_won is never null.
 
-    Trades are dealt by market and slice of wallets once, for the sums and for the outcomes, which come once a slice.
+    Trades are dealt by market and slice of wallets once, for the sums and for the outcomes, which come once a slice and are looked up by hash, as
+    sorting positions for it is more than all else. outcomes: the resolutions() of the markets, if known already. tasks: how many trades are dealt to.
     """
     rows = once_per_transaction(wallet_trades(trades, exclude_sentinels), "nonusdc_side", "direction")
-    rows = rows.withColumn("slice", F.pmod(F.hash("wallet"), F.lit(SLICES))).repartition("market_id", "slice")
-    outcome = resolutions(markets, last_prices(trades, exclude_synthetic_prices)).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
-    joined = position_sums(rows, "slice").join(outcome, ["market_id", "slice"], "left").drop("slice").withColumn("resolution", F.coalesce("resolution", F.lit("unresolved")))
+    rows = dealt(rows.withColumn("slice", F.pmod(F.hash("wallet"), F.lit(SLICES))), tasks, "market_id", "slice")
+    outcome = resolutions(markets, last_prices(trades, exclude_synthetic_prices)) if outcomes is None else outcomes
+    outcome = outcome.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    joined = position_sums(rows, "slice").join(outcome.hint("shuffle_hash"), ["market_id", "slice"], "left").drop("slice").withColumn("resolution", F.coalesce("resolution", F.lit("unresolved")))
     return joined.withColumn("position_won", F.coalesce(F.col("resolution").isin("token1", "token2") & (F.col("resolution") == F.col("side")), F.lit(False)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.functions import MICRO, counted_below, divide, exact_sum, with_row
+from tidewatch.functions import MICRO, counted_below, dealt, divide, exact_sum, tasks_for, with_row
 from tidewatch.operators import metrics
 from tidewatch.sources.scratch import stored
 
@@ -31,16 +31,17 @@ def _long(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, (t.select("wallet", F.lit(n).alias("metric"), F.col(SCORED[n][0]).cast("double").alias("value"), F.col(SCORED[n][1]).alias("bets")) for n, t in tables.items()))
 
 
-def fused_values(positions: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
+def fused_values(positions: DataFrame, outcomes: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """wallet, metric, value, bets of all eight metrics, the same as from their tables, in one walk over the positions.
 
     Positions are dealt by market side once, for the consensus of prices, and by wallet once: in the order of a wallet's first trades each run of
-    wins is a row of whole sums, and a wallet's runs add up to all that the eight values need.
+    wins is a row of whole sums, and a wallet's runs add up to all that the eight values need. tasks: how many they are dealt to by wallet.
     """
     rows = with_row(metrics.resolved(positions).withColumn("pnl", metrics._pnl()), metrics.niche_volume(positions, outcomes=outcomes))
     usd, entry, won = F.col("total_usd_in"), F.col("avg_entry_price"), F.col("won")
     sides = rows.groupBy("market_id", "side").agg(divide(exact_sum(entry * usd), exact_sum(usd)).alias("consensus"))
-    rows = rows.join(sides, ["market_id", "side"], "left")
+    rows = rows.join(sides.hint("shuffle_hash"), ["market_id", "side"], "left")
+    rows = dealt(rows, tasks, "wallet") if tasks else rows
     order = W.partitionBy("wallet").orderBy("first_trade_timestamp", "market_id", "side").rowsBetween(W.unboundedPreceding, 0)
     whole = lambda x: F.floor(x * MICRO + 0.5)
     only = {"contrarian": entry < 0.20, "niche": F.col("market_volume") <= F.col("niche_volume"), "longshot": entry < 0.10}
@@ -69,6 +70,12 @@ def needed(positions: DataFrame) -> DataFrame:
     return stored(metrics.resolved(positions).select(*columns), "positions")
 
 
+def stored_values(positions: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
+    """fused_values() of what is needed() of positions, dealt to as many tasks as there are rows for."""
+    rows = needed(positions)
+    return fused_values(rows, outcomes, tasks_for(rows.sparkSession, rows.count()))
+
+
 def metric_values(values: dict[str, DataFrame] | DataFrame, least_bets: int = 5, cap_at: float = 0.99) -> DataFrame:
     """wallet, metric, value, bets: one row a wallet and metric that rests on enough bets, of fused_values() or of the metrics' tables.
 
@@ -131,5 +138,5 @@ def all_metrics(positions: DataFrame, outcomes: DataFrame | None = None) -> dict
 
 def aggregate_score(positions: DataFrame, least_bets: int = 5, least_metrics: int = 3, least_wallets: int = 50, outcomes: DataFrame | None = None) -> DataFrame:
     """The aggregate of the eight metrics of positions. Positions, values and scores are stored on the way, and ranks counted in a few small jobs, while this is built."""
-    values = metric_values(fused_values(needed(positions), outcomes), least_bets)
+    values = metric_values(stored_values(positions, outcomes), least_bets)
     return ranked(stored(aggregate(percentiles(values, least_wallets), least_metrics), "scores"))

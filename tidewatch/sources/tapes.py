@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions import divide, micros, with_row
+from tidewatch.functions import dealt, divide, micros, tasks_for, with_row
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,13 +44,24 @@ def events_markets(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("m").cast("string").alias("id"), F.concat(F.lit("market "), "m").alias("question"), "volume", F.when(F.col("m") % 10 != 0, "closed").alias("closedTime"), F.concat(F.lit("A"), "m").alias("token1"), F.concat(F.lit("B"), "m").alias("token2"), F.concat(F.lit("c"), "m").alias("condition_id"))
 
 
-def lineitem_tape(spark: SparkSession, folder: str) -> DataFrame:
+def lineitem_tasks(spark: SparkSession, folder: str) -> int | None:
+    """Tasks that the trades of lineitem are dealt to; the count comes from the files' footers."""
+    return tasks_for(spark, table(spark, folder, "lineitem").count())
+
+
+def lineitem_tape(spark: SparkSession, folder: str, markets: DataFrame | None = None) -> DataFrame:
     """A trade a line: the part is the market, the customer the taker, the supplier the maker, the order the transaction.
 
     Both tables are dealt by the transaction, whatever their size, so that what goes by transaction next needs no other exchange.
+    markets: market_id of the markets whose trades are wanted; other lines are left out before they are dealt.
     """
+    tasks = lineitem_tasks(spark, folder)
     order = F.col("o_orderkey").cast("string").alias("order")
     lines, orders = table(spark, folder, "lineitem").withColumn("transactionHash", F.col("l_orderkey").cast("string")), table(spark, folder, "orders").select(order, "o_custkey").hint("merge")
+    if markets is not None:
+        lines = lines.join(markets.select("market_id").hint("shuffle_hash"), lines["l_partkey"] == markets["market_id"], "left_semi")
+    if tasks:
+        lines, orders = dealt(lines, tasks, "transactionHash"), dealt(orders, tasks, "order").hint("merge")
     sell = F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY")
     price = (2 * F.col("l_quantity") - 1) / 100.0
     return lines.join(orders, lines["transactionHash"] == orders["order"]).select(
