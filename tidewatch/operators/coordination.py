@@ -136,14 +136,17 @@ def entity_leaderboard(positions: DataFrame, entities: DataFrame, suspects: Data
 
     entities: market_id, entity; a market may be about several. suspects: wallet, score. A wallet counts once an entity.
     """
-    own = positions.select("wallet", "market_id", "total_usd_in").join(entities.select("market_id", "entity").distinct(), "market_id").join(suspects.select("wallet", "score"), "wallet", "left")
+    about = entities.select("market_id", "entity").distinct()
+    own = positions.select("wallet", "market_id", "total_usd_in").join(about, "market_id").join(suspects.select("wallet", "score"), "wallet", "left")
     wallets = own.groupBy("entity", "wallet").agg(F.max("score").alias("score"), exact_sum(F.col("total_usd_in")).alias("usd"))
     suspect = F.col("score").isNotNull()
     people = wallets.groupBy("entity").agg(
         F.count(F.lit(1)).alias("num_wallets"), F.count_if(suspect).alias("suspicious_wallets"), F.avg("score").alias("mean_score"), F.max_by("wallet", F.struct("score", "usd", "wallet")).alias("top_wallet"),
         F.coalesce(exact_sum(F.when(suspect, F.col("usd"))), F.lit(0.0)).alias("suspicious_usd"), F.coalesce(exact_sum(F.col("usd")), F.lit(0.0)).alias("total_usd"),
     )
-    markets = own.groupBy("entity", "market_id").agg(F.max(suspect.cast("int")).alias("hit")).groupBy("entity").agg(F.count(F.lit(1)).alias("num_markets"), F.sum("hit").alias("suspicious_markets"))
+    # each market once, without its positions' wallets; those of suspects are few
+    hit = positions.select("wallet", "market_id").join(suspects.where("score is not null").select("wallet"), "wallet", "left_semi").select("market_id", F.lit(1).alias("hit")).distinct()
+    markets = positions.select("market_id").distinct().join(hit, "market_id", "left").join(about, "market_id").groupBy("entity").agg(F.count(F.lit(1)).alias("num_markets"), F.coalesce(F.sum("hit"), F.lit(0)).alias("suspicious_markets"))
     rows = people.join(markets, "entity").where("suspicious_wallets > 0").withColumn("suspicious_share", divide(F.col("suspicious_usd"), F.col("total_usd")))
     columns = ["entity", "suspicious_wallets", "suspicious_markets", "num_wallets", "num_markets", "suspicious_usd", "total_usd", "suspicious_share", "mean_score", "top_wallet"]
     return rows.select(*columns).orderBy(F.desc("suspicious_wallets"), F.desc("suspicious_usd"), "entity").limit(limit)

@@ -49,8 +49,9 @@ def entry_ages(spark: SparkSession, d: str) -> DataFrame:
 @query
 def entity_leaderboard(spark: SparkSession, d: str) -> DataFrame:
     """Brands of parts by the wallets on them that a ROI of 2 or more makes suspicious."""
-    positions = day_positions(spark, d)
-    suspects = metrics.roi(positions).where("flagged").select("wallet", F.round("roi", 6).alias("score"))
+    needed = ["wallet", "market_id", "total_usd_in", "total_usd_out", "net_tokens", "first_trade_timestamp", "last_trade_timestamp", "resolution", "position_won"]
+    positions = stored(day_positions(spark, d).select(*needed), "positions")
+    suspects = stored(metrics.roi(positions).where("flagged").select("wallet", F.round("roi", 6).alias("score")), "suspects")
     entities = table(spark, d, "part").select(F.col("p_partkey").alias("market_id"), F.col("p_brand").alias("entity"))
     return shown(coordination.entity_leaderboard(positions, entities, suspects))
 
