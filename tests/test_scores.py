@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.test_micro import T0, position, table
 from tests.test_studies import tape, trade
+from tidewatch.functions import thinned
 from tidewatch.operators import metrics, reports, score, timing
 from tidewatch.operators.positions import wallet_positions
 from tidewatch.plans import queries, studies
@@ -131,3 +132,24 @@ def test_slices_and_entities_read_stored_positions_without_texts(spark, monkeypa
     monkeypatch.setattr(queries, "write_table", lambda df, path, *order: (kept.extend(df.columns), df.limit(3).write.parquet(path)))
     queries.FOUND["stored_slice"](spark, folder)
     assert "wallet" in kept and "market_question" not in kept
+
+
+def test_thinned_loses_no_wanted_row(spark):
+    rows, wanted = spark.range(200_000).selectExpr("if(id = 7, null, id) as k", "id"), spark.range(0, 200_000, 100).selectExpr("id as market_id")
+    kept = [r.k for r in thinned(rows, "k", wanted, "market_id").collect()]
+    # beside the 2,000 wanted ones those whose bit another key has set too
+    assert len(kept) == len(set(kept)) < 2_100 and set(range(0, 200_000, 100)) <= set(kept)
+    assert thinned(rows, "k", wanted.limit(0), "market_id").count() == 0 and thinned(rows, "k", wanted.union(wanted), "market_id").columns == ["k", "id"]
+
+
+def test_lines_of_other_markets_are_left_out_where_they_are_read(spark):
+    """Dealing all lines by market, only to leave out most of them, was the largest exchange of all."""
+    plan = queries.resolved_positions(spark, "/root/testdata/sf0.001")[0]._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("ShuffledHashJoin [l_partkey") :]
+    assert re.search(r"Exchange hashpartitioning\(l_partkey[^\n]*\n(?:(?!Exchange)[^\n]*\n)*[^\n]*BroadcastHashJoin [^\n]*LeftSemi", below)
+
+
+def test_positions_are_dealt_to_wallets_without_volumes(spark):
+    rows = score.needed(queries.day_positions(spark, "/root/testdata/sf0.001"))
+    plan = score.fused_values(rows, queries.resolved_positions(spark, "/root/testdata/sf0.001")[1], 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search("market_volume|niche_volume", plan[: plan.index("Join LeftOuter")])

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 MICRO, NANO = 1_000_000, 1_000_000_000
 #: Rows that a task sorts or adds up in memory.
 ROWS_A_TASK = 1_000_000
+#: Bits that keys are hashed to, 64 a row: 2^20 rows at most.
+SLOTS = 1 << 26
 
 
 def divide(a: Column, b: Column) -> Column:
@@ -46,6 +48,17 @@ def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
     return df.repartition(tasks, *keys) if tasks else df.repartition(*keys)
 
 
+def thinned(df: DataFrame, key: str, wanted: DataFrame, name: str) -> DataFrame:
+    """df without most of the rows whose key isn't among another table's; all others stay, so an exact join is to follow.
+
+    Each key has one of SLOTS bits by its hash. The words of 64 bits that have any set are broadcast, and df is read past them before it is dealt anywhere.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    words = wanted.select(slot(name).alias("__slot")).groupBy(F.shiftright("__slot", 6).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(__slot % 64 as int)))").alias("__bits"))
+    # a semi join, as Spark would move the exact one that follows below an inner join
+    return df.join(F.broadcast(words), (F.shiftright(slot(key), 6) == F.col("__word")) & (F.getbit("__bits", (slot(key) % 64).cast("int")) == 1), "left_semi")
+
+
 def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each group of equal keys, in an order that has to be total."""
     return df.withColumn("__nth", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__nth = 1").drop("__nth")

@@ -38,13 +38,14 @@ def fused_values(positions: DataFrame, outcomes: DataFrame | None = None, tasks:
     wins is a row of whole sums, and a wallet's runs add up to all that the eight values need. tasks: how many they are dealt to by wallet.
     """
     rows = with_row(metrics.resolved(positions).withColumn("pnl", metrics._pnl()), metrics.niche_volume(positions, outcomes=outcomes))
+    rows = rows.withColumn("niche", F.col("market_volume") <= F.col("niche_volume")).select("wallet", "market_id", "side", "first_trade_timestamp", "total_usd_in", "avg_entry_price", "won", "pnl", "niche")
     usd, entry, won = F.col("total_usd_in"), F.col("avg_entry_price"), F.col("won")
     sides = rows.groupBy("market_id", "side").agg(divide(exact_sum(entry * usd), exact_sum(usd)).alias("consensus"))
     rows = rows.join(sides.hint("shuffle_hash"), ["market_id", "side"], "left")
     rows = dealt(rows, tasks, "wallet") if tasks else rows
     order = W.partitionBy("wallet").orderBy("first_trade_timestamp", "market_id", "side").rowsBetween(W.unboundedPreceding, 0)
     whole = lambda x: F.floor(x * MICRO + 0.5)
-    only = {"contrarian": entry < 0.20, "niche": F.col("market_volume") <= F.col("niche_volume"), "longshot": entry < 0.10}
+    only = {"contrarian": entry < 0.20, "niche": F.col("niche"), "longshot": entry < 0.10}
     added = {
         "bets": F.count("market_id"), "length": F.sum("won"), "usd": F.sum(whole(usd)), "profit": F.sum(whole(F.greatest(F.col("pnl"), F.lit(0.0)))), "loss": F.sum(whole(F.greatest(-F.col("pnl"), F.lit(0.0)))), "net": F.sum(whole(F.col("pnl"))),
         "own": F.sum(whole(F.pow(entry - won, F.lit(2.0)) * usd)), "theirs": F.sum(whole(F.pow(F.col("consensus") - won, F.lit(2.0)) * usd)),

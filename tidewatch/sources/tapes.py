@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions import dealt, divide, micros, tasks_for, with_row
+from tidewatch.functions import dealt, divide, micros, tasks_for, thinned, with_row
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,13 +53,15 @@ def lineitem_tape(spark: SparkSession, folder: str, markets: DataFrame | None =
     """A trade a line: the part is the market, the customer the taker, the supplier the maker, the order the transaction.
 
     Both tables are dealt by the transaction, whatever their size, so that what goes by transaction next needs no other exchange.
-    markets: market_id of the markets whose trades are wanted; other lines are left out before they are dealt.
+    markets: market_id of the markets whose trades are wanted; other lines are left out before they are dealt, most of them where they are read.
     """
     tasks = lineitem_tasks(spark, folder)
     order = F.col("o_orderkey").cast("string").alias("order")
-    lines, orders = table(spark, folder, "lineitem").withColumn("transactionHash", F.col("l_orderkey").cast("string")), table(spark, folder, "orders").select(order, "o_custkey").hint("merge")
+    lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders").select(order, "o_custkey").hint("merge")
     if markets is not None:
+        lines = thinned(lines, "l_partkey", markets, "market_id")
         lines = lines.join(markets.select("market_id").hint("shuffle_hash"), lines["l_partkey"] == markets["market_id"], "left_semi")
+    lines = lines.withColumn("transactionHash", F.col("l_orderkey").cast("string"))
     if tasks:
         lines, orders = dealt(lines, tasks, "transactionHash"), dealt(orders, tasks, "order").hint("merge")
     sell = F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY")
